@@ -76,7 +76,7 @@ RUN = f"""WITH {BEST}, {SOLVED}, {PICKS}, parts AS (
 
 @query("rerank_report", RUN)
 def rerank_report(spark, sf_dir):
-    """The whole rerank evaluation in one plan. pass@k per source uses the largest k of the source."""
+    """The whole rerank evaluation in one plan."""
     all_grades = grades(spark, sf_dir)
     return ev.run_metrics(all_grades, selected(spark, sf_dir), picks(spark, sf_dir))
 
@@ -108,7 +108,7 @@ def pass_at_1(spark, sf_dir):
     return ev.accuracy(ev.first_rollout(grades(spark, sf_dir)), ["source"])
 
 
-@query("pass_at_k", f"""WITH {SOLVED} SELECT source, count(*) AS total, CAST(sum(any_correct) AS BIGINT) AS correct, avg(any_correct) AS accuracy, max(k) AS k,
+@query("pass_at_k", f"""WITH {SOLVED} SELECT source, count(*) AS total, CAST(sum(any_correct) AS BIGINT) AS correct, avg(any_correct) AS accuracy, (SELECT max(k) FROM solved) AS k,
    CAST(grouping(source) AS TINYINT) AS overall FROM solved GROUP BY GROUPING SETS ((source), ())""")
 def pass_at_k(spark, sf_dir):
     return ev.pass_at_k(grades(spark, sf_dir))

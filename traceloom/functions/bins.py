@@ -49,8 +49,8 @@ def doubling_bin(n: Column, start: int = 256) -> Column:
 
 
 def doubling_label(number: Column, start: int = 256) -> Column:
-    low = F.when(number == 0, F.lit(0).cast("bigint")).otherwise(F.lit(start) * F.shiftleft(F.lit(1).cast("bigint"), number - 1))
-    high = F.lit(start) * F.shiftleft(F.lit(1).cast("bigint"), number)
+    edge = lambda n: (F.lit(start) * F.pow(F.lit(2.0), n)).cast("bigint")
+    low, high = F.when(number == 0, F.lit(0).cast("bigint")).otherwise(edge(number - 1)), edge(number)
     return F.concat(F.lit("["), low.cast("string"), F.lit(","), high.cast("string"), F.lit(")"))
 
 

@@ -196,7 +196,7 @@ def token_histograms(rows: DataFrame, start: int = 256) -> DataFrame:
     tops = counts.groupBy("class", "measure").agg(F.max("bin").alias("_top"))
     every = tops.select("class", "measure", F.explode(F.sequence(F.lit(0), F.col("_top") + 1)).alias("bin"), "_top")
     filled = every.join(counts, ["class", "measure", "bin"], "left").fillna(0, ["rows"])
-    open_end = F.concat(F.lit("["), (F.lit(start) * F.shiftleft(F.lit(1).cast("bigint"), F.col("_top"))).cast("string"), F.lit(",inf)"))
+    open_end = F.concat(F.lit("["), (F.lit(start) * F.pow(F.lit(2.0), F.col("_top"))).cast("bigint").cast("string"), F.lit(",inf)"))
     label = F.when(F.col("bin") > F.col("_top"), open_end).otherwise(doubling_label(F.col("bin"), start))
     return filled.select("class", "measure", "bin", label.alias("range"), "rows")
 
