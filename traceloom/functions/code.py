@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from traceloom.functions.rows import bind
 from traceloom.functions.text import rstrip, strip
 
 # The required header lines and what opens a header or a declaration line.
@@ -16,6 +17,7 @@ HEADER_LINES = [
 ]
 HEADER_STARTS = ["import ", "set_option ", "open "]
 DECLARATION_STARTS = ["import ", "set_option ", "open ", "lemma ", "theorem "]
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _starts(line: Column, starts: list[str]) -> Column:
@@ -27,65 +29,86 @@ def _starts(line: Column, starts: list[str]) -> Column:
 
 def _leading(lines: Column, keep) -> Column:
     """How many lines at the top satisfy ``keep``."""
-    flags = F.transform(lines, keep)
-    first_other = F.array_position(flags, F.lit(False))
-    return F.when(first_other > 0, first_other - 1).otherwise(F.size(lines)).cast("int")
-
-
-def _lines(c: Column) -> Column:
-    return F.split(c, "\n")
+    first_other = F.array_position(F.transform(lines, keep), F.lit(False)).cast("int")
+    return bind(first_other, lambda at: F.when(at > 0, at - 1).otherwise(F.size(lines)))
 
 
 def _tail(lines: Column, skip: Column) -> Column:
     return F.slice(lines, skip + 1, F.greatest(F.size(lines) - skip, F.lit(0)))
 
 
+def _text(lines: Column) -> Column:
+    return F.array_join(lines, "\n")
+
+
+def _in_header(line: Column) -> Column:
+    return (strip(line) == "") | _starts(strip(line), HEADER_STARTS)
+
+
+def _in_header_or_note(line: Column) -> Column:
+    return _in_header(line) | strip(line).startswith("--")
+
+
 def remove_header(c: Column) -> Column:
     """Drop the fixed header lines wherever they stand."""
-    kept = F.filter(_lines(c), lambda line: ~strip(line).isin(HEADER_LINES))
-    return strip(F.array_join(kept, "\n"))
+    return strip(_text(F.filter(F.split(c, "\n"), lambda line: ~strip(line).isin(HEADER_LINES))))
 
 
 def split_header_body(c: Column) -> Column:
     """Leading import, option, open and blank lines against the rest."""
-    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-    n = _leading(lines, lambda line: (strip(line) == "") | _starts(strip(line), HEADER_STARTS))
-    return F.struct(
-        strip(F.array_join(F.slice(lines, F.lit(1), n), "\n")).alias("header"),
-        strip(F.array_join(_tail(lines, n), "\n")).alias("body"),
-    )
+
+    def parts(lines: Column) -> Column:
+        return bind(
+            _leading(lines, _in_header),
+            lambda n: F.struct(
+                strip(_text(F.slice(lines, F.lit(1), n))).alias("header"), strip(_text(_tail(lines, n))).alias("body")
+            ),
+        )
+
+    return bind(F.split(c, LINE_END), parts)
 
 
 def ensure_header(c: Column) -> Column:
     """Add the missing required lines after the leading header, with a blank line after it."""
-    lines = _lines(c)
-    missing = F.filter(
-        F.array(*[F.lit(s) for s in HEADER_LINES]),
-        lambda wanted: ~F.exists(lines, lambda line: strip(line).contains(wanted)),
-    )
-    in_header = lambda line: (strip(line) == "") | _starts(strip(line), HEADER_STARTS + ["--"])
-    at = _leading(lines, in_header)
-    full = F.flatten(F.array(F.slice(lines, F.lit(1), at), missing, _tail(lines, at)))
-    leading = F.slice(full, F.lit(1), _leading(full, in_header))
-    marks = F.transform(leading, lambda line: strip(line) != "")
-    header_end = F.when(
-        F.array_contains(marks, True), F.size(marks) - F.array_position(F.reverse(marks), F.lit(True)) + 1
-    ).otherwise(0).cast("int")
-    needs_gap = (header_end > 0) & (header_end < F.size(full)) & (strip(F.get(full, header_end)) != "")
-    gap = F.when(needs_gap, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    joined = F.array_join(F.flatten(F.array(F.slice(full, F.lit(1), header_end), gap, _tail(full, header_end))), "\n")
-    return F.ltrim(joined, F.lit("\n"))
+
+    def completed(lines: Column) -> Column:
+        missing = F.filter(
+            F.array(*[F.lit(s) for s in HEADER_LINES]),
+            lambda wanted: ~F.exists(lines, lambda line: strip(line).contains(wanted)),
+        )
+        return bind(
+            _leading(lines, _in_header_or_note),
+            lambda at: F.flatten(F.array(F.slice(lines, F.lit(1), at), missing, _tail(lines, at))),
+        )
+
+    def spaced(lines: Column) -> Column:
+        leading = F.slice(lines, F.lit(1), _leading(lines, _in_header_or_note))
+        blank_run = bind(F.reverse(leading), lambda back: _leading(back, lambda line: strip(line) == ""))
+        end = bind(leading, lambda top: F.size(top) - blank_run)
+        return bind(
+            end,
+            lambda n: F.when(
+                (n > 0) & (n < F.size(lines)) & (strip(F.get(lines, n)) != ""),
+                F.flatten(F.array(F.slice(lines, F.lit(1), n), F.array(F.lit("")), _tail(lines, n))),
+            ).otherwise(lines),
+        )
+
+    return F.ltrim(_text(bind(bind(F.split(c, "\n"), completed), spaced)), F.lit("\n"))
 
 
 def bare_code_block(c: Column) -> Column:
     """Last lean4 fence, else from the first declaration line to the next fence; null when there is neither."""
     fenced = F.regexp_extract_all(c, F.lit(r"(?s)```lean4\s*\n(.*?)\n```"), F.lit(1))
-    lines = F.split(strip(c), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
-    start = F.array_position(F.transform(lines, lambda line: _starts(strip(line), DECLARATION_STARTS)), F.lit(True))
-    rest = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines))
-    upto = _leading(rest, lambda line: ~strip(line).startswith("```"))
-    loose = F.when(start > 0, F.nullif(strip(F.array_join(F.slice(rest, F.lit(1), upto), "\n")), F.lit("")))
-    return F.coalesce(strip(F.get(fenced, F.size(fenced) - 1)), loose)
+    last = bind(fenced, lambda blocks: F.get(blocks, F.size(blocks) - 1))
+
+    def loose(lines: Column) -> Column:
+        before = _leading(lines, lambda line: ~_starts(strip(line), DECLARATION_STARTS))
+        return bind(
+            bind(before, lambda n: _tail(lines, n)),
+            lambda rest: _text(F.slice(rest, F.lit(1), _leading(rest, lambda line: ~strip(line).startswith("```")))),
+        )
+
+    return F.coalesce(strip(last), F.nullif(strip(bind(F.split(strip(c), LINE_END), loose)), F.lit("")))
 
 
 def extract_code_block(c: Column) -> Column:

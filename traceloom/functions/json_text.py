@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from traceloom.functions.rows import bind
 from traceloom.functions.text import is_blank, strip
 
 RELAXED_JSON = {
@@ -24,7 +25,7 @@ def _last(array: Column) -> Column:
 def _fenced(text: Column, tag: str) -> Column:
     """Body of the last fence that opens an object, else of the last fence, else null."""
     bodies = F.transform(F.regexp_extract_all(text, F.lit(rf"(?is)```{tag}\s*\n?(.*?)\n?```"), F.lit(1)), strip)
-    return F.coalesce(_last(F.filter(bodies, lambda b: b.startswith("{"))), _last(bodies))
+    return bind(bodies, lambda found: F.coalesce(_last(F.filter(found, lambda b: b.startswith("{"))), _last(found)))
 
 
 def first_balanced_object(text: Column) -> Column:
@@ -55,7 +56,7 @@ def extract_json_block(c: Column) -> Column:
     after = F.substring_index(c, "</think>", -1)
     without = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
     text = F.when(c.contains("</think>"), after).when(~is_blank(without), without).otherwise(c)
-    return F.coalesce(_fenced(text, "json"), _fenced(text, ""), first_balanced_object(text))
+    return bind(text, lambda t: F.coalesce(_fenced(t, "json"), _fenced(t, ""), first_balanced_object(t)))
 
 
 def is_strict_json(c: Column) -> Column:
@@ -82,7 +83,7 @@ def drop_trailing_commas(c: Column) -> Column:
 
 def readable_json(c: Column) -> Column:
     """The block as it is when valid, else repaired for the relaxed reader."""
-    return F.when(is_strict_json(c), c).otherwise(drop_trailing_commas(repair_backslashes(c)))
+    return bind(c, lambda t: F.when(is_strict_json(t), t).otherwise(drop_trailing_commas(repair_backslashes(t))))
 
 
 def parse_llm_json(c: Column, schema: str, corrupt: str = "_unreadable") -> Column:
@@ -103,4 +104,5 @@ def extract_json_object(c: Column) -> Column:
         F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""),
     ).otherwise(text)
     span = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(is_strict_json(bare), bare).when(is_strict_json(span), span)
+    first_readable = lambda texts: F.get(F.filter(texts, is_strict_json), F.lit(0))
+    return first_readable(F.array(bare, span))

@@ -110,16 +110,16 @@ def error_text(c: Column) -> Column:
 
 
 def fmt_pct(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c), F.lit("")).otherwise(F.format_string("%.2f%%", c * 100))
+    return F.when(c.isNull() | F.isnan(c), F.lit("")).otherwise(F.format_string("%.2f%%", F.bround(c * 100, 2)))
 
 
 def fmt_seconds(seconds: Column) -> Column:
     """320ms, 4.20s, 3m05.0s, 1h02m07.5s."""
     whole_minutes = F.floor(seconds / 60)
-    rest = seconds - whole_minutes * 60
+    rest = F.bround(seconds - whole_minutes * 60, 1)
     return (
-        F.when(seconds < 1, F.format_string("%.0fms", seconds * 1000))
-        .when(seconds < 60, F.format_string("%.2fs", seconds))
+        F.when(seconds < 1, F.format_string("%.0fms", F.bround(seconds * 1000, 0)))
+        .when(seconds < 60, F.format_string("%.2fs", F.bround(seconds, 2)))
         .when(whole_minutes < 60, F.format_string("%dm%04.1fs", whole_minutes, rest))
         .otherwise(F.format_string("%dh%02dm%04.1fs", F.floor(whole_minutes / 60), whole_minutes % 60, rest))
     )

@@ -22,7 +22,7 @@ def missing_ids(requested: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def unknown_values(requested: DataFrame, present: DataFrame) -> DataFrame:
-    return requested.exceptAll(requested.intersect(present)).distinct()
+    return requested.subtract(present)
 
 
 def dedup_ordered(df: DataFrame, key: str, order: Column) -> DataFrame:

@@ -25,15 +25,14 @@ def sample_where(df: DataFrame, condition: Column, n: int, seed: int, key: str)
 
 
 def sample_per(df: DataFrame, by: str, n: int, seed: int, key: str, total: int | None = None) -> DataFrame:
-    """Up to ``n`` rows of every group; ``total`` then keeps the first rows by group and draw."""
+    """Up to ``n`` rows of every group; ``total`` then draws that many from what is left."""
     draw = seeded_hash(seed, key)
     if n <= TASK_SIDE_LIMIT:
         drawn = top_per(df.withColumn("_draw", draw), [by], [F.col("_draw")], n, "_rank")
     else:
         drawn = hash_rank(df, [by], draw, "_rank").where(F.col("_rank") <= n)
-    if total is not None:
-        drawn = drawn.orderBy(by, "_rank").limit(total)
-    return drawn.select(*df.columns)
+    drawn = drawn.select(*df.columns)
+    return drawn if total is None else sample_n(drawn, total, seed, key, strict=False)
 
 
 def sample_stratified(
