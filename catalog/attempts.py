@@ -1 +1,297 @@
-"""stub"""
+"""Attempt-log state, retries and rewards."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog.graphs import FINDINGS, OBLIGATIONS
+from catalog.views import attempts, graph_records, grades, nodes, table
+from traceloom.operators import attempts as at
+from traceloom.operators import reward, stats
+
+KIND = "CASE WHEN token_overflow THEN 'token_overflow' WHEN api_error THEN 'api_error' WHEN output_truncated THEN 'output_truncated' WHEN no_code THEN 'extract_error' ELSE 'validated' END"
+KIND_PROVE = "CASE WHEN token_overflow THEN 'token_overflow' WHEN output_truncated THEN 'output_truncated' WHEN no_code THEN 'extract_error' ELSE 'validated' END"
+
+
+def status(kind, passed, spent):
+    return f"CASE WHEN {kind} = 'validated' AND {passed} THEN 'success' WHEN {kind} = 'token_overflow' OR {spent} THEN 'failed' ELSE 'pending' END"
+
+
+@query("attempt_kinds", f"SELECT conv_id, turn, {KIND} AS kind, {KIND_PROVE} AS prove_kind FROM attempts")
+def attempt_kinds(spark, sf_dir):
+    return attempts(spark, sf_dir).select("conv_id", "turn", at.attempt_kind().alias("kind"), at.attempt_kind("prove").alias("prove_kind"))
+
+
+@query(
+    "node_status",
+    f"""WITH marked AS (SELECT *, {KIND} AS kind FROM attempts), judged AS (SELECT *, {status('kind', 'lean_pass', 'attempt > 2')} AS status FROM marked)
+    SELECT record_id, fact_id, max(attempt) AS tries, arg_max(status, attempt) AS status, arg_max(kind, attempt) AS kind FROM judged GROUP BY record_id, fact_id""",
+)
+def node_status(spark, sf_dir):
+    return at.fold_status(attempts(spark, sf_dir), 2)
+
+
+@query(
+    "node_status_training",
+    f"""WITH marked AS (SELECT *, {KIND_PROVE} AS kind FROM attempts), judged AS (SELECT *, {status('kind', 'lean_verify', 'attempt >= 2')} AS status FROM marked)
+    SELECT record_id, fact_id, max(attempt) AS tries, arg_max(status, attempt) AS status, arg_max(kind, attempt) AS kind FROM judged GROUP BY record_id, fact_id""",
+)
+def node_status_training(spark, sf_dir):
+    return at.fold_status(attempts(spark, sf_dir), 2, "prove", "ge")
+
+
+@query(
+    "last_attempts",
+    """SELECT record_id, fact_id, max(attempt) AS attempt, arg_max(output, attempt) AS output, CAST(count(*) - 1 AS INT) AS earlier FROM attempts GROUP BY record_id, fact_id""",
+)
+def last_attempts(spark, sf_dir):
+    rows = at.last_attempts(attempts(spark, sf_dir), ["output", "lean_verify"], with_history=True)
+    return rows.select("record_id", "fact_id", "attempt", "output", F.size("history").alias("earlier"))
+
+
+@query(
+    "retry_conversations",
+    """SELECT record_id, fact_id, concat('prove it', coalesce(string_agg(concat('|', CASE WHEN lean_pass THEN 'Lean error/warnings: ' ELSE 'Error: ' END, output, chr(10), chr(10), ' Based on these errors, please correct the previous response. '), '' ORDER BY attempt)
+      FILTER (attempt < last), '')) AS turns FROM (SELECT *, max(attempt) OVER (PARTITION BY record_id, fact_id) AS last FROM attempts) GROUP BY record_id, fact_id""",
+)
+def retry_conversations(spark, sf_dir):
+    from traceloom.functions.chat import message
+
+    log = attempts(spark, sf_dir).withColumns({"lean_code": F.when(F.col("lean_pass"), "x").otherwise(" "), "error_msg": F.col("output")})
+    rows = at.last_attempts(log, ["lean_code", "error_msg"], with_history=True)
+    turns = at.rebuild_conversation(F.array(message("user", F.lit("prove it"))), F.col("history"))
+    return rows.select("record_id", "fact_id", F.array_join(F.transform(turns, lambda m: m["content"]), "|").alias("turns"))
+
+
+@query(
+    "feedback_messages",
+    """SELECT conv_id, turn, CASE WHEN token_overflow THEN 'The previous response hit a token limit. Regenerate the full Lean4 formalization.'
+      WHEN no_code THEN concat('The previous response was invalid because: ', output, chr(10), 'Please regenerate valid Lean4 code.')
+      ELSE concat('The previous Lean4 code did not compile.', chr(10), 'Lean errors: ', output, chr(10), 'Please regenerate corrected Lean4 code.') END AS feedback,
+      concat(CASE WHEN no_code THEN 'Error: ' ELSE 'Lean error/warnings: ' END, output, chr(10), chr(10), ' Based on these errors, please correct the previous response. ') AS retry FROM attempts""",
+)
+def feedback_messages(spark, sf_dir):
+    error = F.when(F.col("token_overflow"), "token_overflow").otherwise(F.col("output"))
+    code = F.when(F.col("no_code"), "").otherwise("x")
+    kind = F.when(F.col("no_code"), "extract_error").otherwise("validated")
+    return attempts(spark, sf_dir).select(
+        "conv_id", "turn", at.feedback_message("formalize", error, code).alias("feedback"), at.retry_turn("prove", kind, F.col("output")).alias("retry")
+    )
+
+
+@query(
+    "seed_formalize",
+    f"""WITH {OBLIGATIONS} SELECT f.record_id, f.fact_id, CASE WHEN h % 3 = 0 THEN 'pending' ELSE 'skipped' END AS form_status, CASE WHEN h % 3 = 0 THEN t.statement END AS statement, h % 3 <> 0 AS lean_pass
+    FROM facts f LEFT JOIN tasks t ON t.record_id = f.record_id AND t.pos = f.pos""",
+)
+def seed_formalize(spark, sf_dir):
+    from traceloom.functions.rows import settle
+
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), F.col("doc_id"), "text")
+    sized = F.transform(F.split("text", r"\. "), lambda s, i: (F.length(s) * 31 + (i + 1) * 17 + F.col("doc_id") * 7) % 1000)
+    marks = settle(docs, h=sized).select("record_id", "h")
+    marked = F.transform("facts", lambda f, i: f.withField("skip", F.when(F.get("h", i) % 3 == 0, 0).otherwise(2)))
+    records = settle(graph_records(spark, sf_dir).join(marks, "record_id"), facts=marked)
+    rows = at.seed_formalize(records).select("record_id", "fact_id", "form_status", "statement", "lean_pass")
+    return rows
+
+
+@query("seed_prove", "SELECT record_id, fact_id, CASE WHEN skip = 0 AND form_lean_pass AND lean_code <> '' THEN 'pending' ELSE 'skipped' END AS prove_status, NOT (skip = 0 AND form_lean_pass AND lean_code <> '') AS skipped FROM nodes")
+def seed_prove(spark, sf_dir):
+    return at.seed_prove(nodes(spark, sf_dir).withColumn("form_code", F.col("lean_code")))
+
+
+@query(
+    "recovered_nodes",
+    """SELECT record_id, fact_id, CASE WHEN skip <> 0 OR NOT form_lean_pass OR lean_code = '' THEN 'skipped' WHEN prove_status = 'running' THEN 'pending' ELSE prove_status END AS prove_status FROM nodes""",
+)
+def recovered_nodes(spark, sf_dir):
+    return at.recover(nodes(spark, sf_dir).withColumn("form_code", F.col("lean_code")), "prove").select("record_id", "fact_id", "prove_status")
+
+
+TARGETS = """targets AS (SELECT record_id, fact_id FROM nodes WHERE prove_status = 'failed'),
+  tries AS (SELECT record_id, fact_id, k AS attempt, (l_partkey * 7 + k * 3) % 5 = 0 AS lean_verify FROM nodes, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE prove_status = 'failed' AND l_suppkey % 9 > 0 AND k <= l_partkey % 6),
+  outcomes AS (SELECT t.record_id, t.fact_id, min(attempt) FILTER (lean_verify AND attempt <= 3) AS won, max(attempt) FILTER (attempt <= 3) AS last FROM targets t LEFT JOIN tries USING (record_id, fact_id) GROUP BY t.record_id, t.fact_id)"""
+
+
+def retries(spark, sf_dir):
+    failed = nodes(spark, sf_dir).where("prove_status = 'failed'")
+    tries = (
+        failed.where("l_suppkey % 9 > 0")
+        .select("record_id", "fact_id", "l_partkey", F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("attempt"))
+        .where(F.col("attempt") <= F.col("l_partkey") % 6)
+        .withColumn("lean_verify", (F.col("l_partkey") * 7 + F.col("attempt") * 3) % 5 == 0)
+    )
+    return at.retry_outcome(failed, tries, 3)
+
+
+@query("retry_outcomes", f"WITH {TARGETS} SELECT record_id, fact_id, won IS NOT NULL AS success, coalesce(CAST(won AS VARCHAR), 'failed') AS success_bucket, CAST(coalesce(won + 1, last + 1, 0) AS INT) AS attempt_count FROM outcomes")
+def retry_outcomes(spark, sf_dir):
+    return retries(spark, sf_dir)
+
+
+@query(
+    "retry_scaling",
+    f"""WITH {TARGETS}, counted AS (SELECT coalesce(CAST(won AS VARCHAR), 'failed') AS bucket FROM outcomes)
+    SELECT d.bucket, count(c.bucket) AS nodes, count(c.bucket) / (SELECT count(*) FROM counted) AS ratio FROM (SELECT unnest(['0', '1', '2', '3', 'failed']) AS bucket) d LEFT JOIN counted c USING (bucket) GROUP BY d.bucket""",
+)
+def retry_scaling(spark, sf_dir):
+    return stats.retry_scaling(retries(spark, sf_dir))
+
+
+AFTER = f"""{TARGETS}, after_nodes AS (SELECT n.*, coalesce(o.won IS NOT NULL, false) AS now FROM nodes n LEFT JOIN outcomes o USING (record_id, fact_id))"""
+
+
+@query("retry_applied", f"WITH {AFTER} SELECT record_id, fact_id, CASE WHEN now THEN 'success' ELSE prove_status END AS prove_status, now OR lean_verify AS lean_verify, NOT now AND prove_skipped AS prove_skipped FROM after_nodes")
+def retry_applied(spark, sf_dir):
+    rows = at.apply_retry(nodes(spark, sf_dir), retries(spark, sf_dir))
+    return rows.select("record_id", "fact_id", "prove_status", "lean_verify", "prove_skipped")
+
+
+@query(
+    "retry_study",
+    f"""WITH {AFTER}, flags AS (SELECT *, origin IN ('derived', 'answer') AS need, origin IN ('derived', 'answer') AND NOT (origin = 'derived' AND skip = 1) AS need_x FROM after_nodes),
+    ranked_pre AS (SELECT record_id, parent_id, rollout_id, count(*) FILTER (need AND prove_status = 'success') AS s, count(*) FILTER (need AND (now OR prove_status = 'success')) AS s2, count(*) FILTER (need AND lean_pass) AS p, count(*) FILTER (need AND (now OR lean_pass)) AS p2, count(*) FILTER (need) AS n FROM flags GROUP BY ALL),
+    best AS (SELECT arg_min(record_id, row(-(CASE WHEN n > 0 THEN s / n ELSE 0.0 END), -s, -p, rollout_id)) AS id, arg_min(record_id, row(-(CASE WHEN n > 0 THEN s2 / n ELSE 0.0 END), -s2, -p2, rollout_id)) AS id2 FROM ranked_pre GROUP BY parent_id),
+    accs AS (SELECT avg(g.is_correct) AS a, avg(g2.is_correct) AS b FROM best JOIN grades g ON g.id = best.id JOIN grades g2 ON g2.id = best.id2),
+    sums AS (SELECT count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 AS pi, count(*) FILTER (need AND (now OR lean_verify)) / count(*) FILTER (need) * 100.0 AS pi2,
+      count(*) FILTER (need_x AND lean_verify) / count(*) FILTER (need_x) * 100.0 AS px, count(*) FILTER (need_x AND (now OR lean_verify)) / count(*) FILTER (need_x) * 100.0 AS px2,
+      count(*) FILTER (need AND form_lean_pass) / count(*) FILTER (need) * 100.0 AS fi, count(*) FILTER (need_x AND form_lean_pass) / count(*) FILTER (need_x) * 100.0 AS fx FROM flags),
+    long AS (SELECT unnest(['include_skipped_derived.global_prove_verified_nodes_ratio', 'exclude_skipped_derived.global_prove_verified_nodes_ratio', 'include_skipped_derived.global_form_verified_nodes_ratio', 'exclude_skipped_derived.global_form_verified_nodes_ratio', 'step_proof_best.accuracy']) AS metric,
+      unnest([pi, px, fi, fx, a]) AS before, unnest([pi2, px2, fi, fx, b]) AS after FROM sums, accs)
+    SELECT metric, round(before, 8) AS before, round(after, 8) AS after, round(after - before, 8) AS delta FROM long""",
+)
+def retry_study(spark, sf_dir):
+    from traceloom.plans.retry import before_after_retry
+
+    rows = before_after_retry(nodes(spark, sf_dir), grades(spark, sf_dir), retries(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 8) for c in ("before", "after", "delta")})
+
+
+@query("selection_summary", """WITH ranked_pre AS (SELECT record_id, parent_id, rollout_id, count(*) FILTER (need AND prove_status = 'success') AS s, count(*) FILTER (need AND lean_pass) AS p, count(*) FILTER (need) AS n
+     FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY ALL),
+   best AS (SELECT parent_id, arg_min(record_id, row(-(CASE WHEN n > 0 THEN s / n ELSE 0.0 END), -s, -p, rollout_id)) AS id FROM ranked_pre GROUP BY parent_id)
+   SELECT g.source, count(*) AS selected, count(g.id) AS graded, CAST(sum(g.is_correct) AS BIGINT) AS correct, avg(coalesce(g.is_correct, 0)) AS accuracy FROM best LEFT JOIN (SELECT * FROM grades WHERE answer <> 'P') g ON g.id = best.id GROUP BY g.source""")
+def selection_summary(spark, sf_dir):
+    from traceloom.plans.retry import selection_summary as summary
+
+    return summary(nodes(spark, sf_dir), grades(spark, sf_dir).where("answer <> 'P'"))
+
+
+@query("selection_report", f"""WITH kept AS (SELECT parent_id, round(avg(p), 9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
+     FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY parent_id, record_id) GROUP BY parent_id),
+   b AS (SELECT parent_id, CASE WHEN ratio >= 100 THEN '100%' ELSE concat(CAST(floor(ratio / 20) * 20 AS INT), '-', CAST(floor(ratio / 20) * 20 + 20 AS INT), '%') END AS bucket FROM kept),
+   r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('11|', parent_id))) AS r FROM b)
+   SELECT bucket, count(*) AS problems, count(*) FILTER (r <= 4) AS sampled FROM r GROUP BY bucket""")
+def selection_report(spark, sf_dir):
+    from traceloom.plans.retry import selection_report as report
+
+    return report(nodes(spark, sf_dir), per_bucket=4, seed=11, step=20)
+
+
+@query("graph_done", "SELECT record_id, coalesce(bool_and(prove_status IN ('success', 'failed', 'skipped')) FILTER (origin NOT IN ('given', 'introduced')), true) AS done FROM nodes GROUP BY record_id")
+def graph_done(spark, sf_dir):
+    from traceloom.schemas import ROOT_ORIGINS, TERMINAL
+
+    return at.graph_done(nodes(spark, sf_dir), F.col("origin").isin(ROOT_ORIGINS), F.col("prove_status").isin(TERMINAL))
+
+
+FORMAL = "formal AS (SELECT record_id, fact_id, l_partkey AS ord, error_msg AS formal_error FROM nodes WHERE l_partkey % 4 > 0 UNION ALL SELECT record_id, fact_id, -1, 'older' FROM nodes WHERE l_suppkey % 2 = 0)"
+
+
+@query("joined_traces", f"WITH {FORMAL} SELECT n.record_id, n.fact_id, f.formal_error FROM nodes n JOIN (SELECT record_id, fact_id, arg_max(formal_error, ord) AS formal_error FROM formal GROUP BY ALL) f USING (record_id, fact_id)")
+def joined_traces(spark, sf_dir):
+    return _joined(spark, sf_dir)[0].select("record_id", "fact_id", "formal.formal_error")
+
+
+@query("unmatched_traces", f"WITH {FORMAL} SELECT count(*) AS unmatched FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM formal f WHERE f.record_id = n.record_id AND f.fact_id = n.fact_id)")
+def unmatched_traces(spark, sf_dir):
+    return _joined(spark, sf_dir)[1]
+
+
+def _joined(spark, sf_dir):
+    everything = nodes(spark, sf_dir)
+    new = everything.where("l_partkey % 4 > 0").select("record_id", "fact_id", F.col("l_partkey").alias("ord"), F.col("error_msg").alias("formal_error"))
+    old = everything.where("l_suppkey % 2 = 0").select("record_id", "fact_id", F.lit(-1).cast("bigint").alias("ord"), F.lit("older").alias("formal_error"))
+    return at.join_traces(everything.select("record_id", "fact_id", "prove_status"), new.unionByName(old), "ord")
+
+
+@query("reused_stage", "SELECT g.id AS record_id, o_custkey AS position, arg_min(n.fact_id, row(pos, n.fact_id)) AS fact_id FROM grades g JOIN nodes n ON n.record_id = g.id WHERE answer = 'F' GROUP BY ALL")
+def reused_stage(spark, sf_dir):
+    wanted = grades(spark, sf_dir).where("answer = 'F'").select(F.col("id").alias("record_id"), F.col("o_custkey").alias("position"))
+    return at.reuse_stage(wanted, nodes(spark, sf_dir).select("record_id", "fact_id", "pos"), F.struct("pos", "fact_id")).select("record_id", "position", "fact_id")
+
+
+@query("exported_subset", "SELECT g.id AS record_id, o_custkey AS position, n.fact_id FROM grades g JOIN nodes n ON n.record_id = g.id WHERE answer = 'F'")
+def exported_subset(spark, sf_dir):
+    have = nodes(spark, sf_dir).select("record_id").distinct()
+    wanted = grades(spark, sf_dir).where("answer = 'F'").select(F.col("id").alias("record_id"), F.col("o_custkey").alias("position")).join(have, "record_id", "left_semi")
+    return at.export_subset(nodes(spark, sf_dir).select("record_id", "fact_id"), wanted)
+
+
+# --- rewards -----------------------------------------------------------------------------------------------
+
+REWARD = f"""{FINDINGS}, errs AS (SELECT record_id, count(*) AS n_err, count(DISTINCT nullif(fact_id, '')) AS bad FROM findings WHERE type <> 'final_answer_without_parents' GROUP BY record_id),
+  warns AS (SELECT record_id, count(*) AS n_warn FROM findings WHERE type = 'final_answer_without_parents' GROUP BY record_id),
+  oks AS (SELECT f.record_id, count(*) AS n, count(*) FILTER (r.pos IS NOT NULL) AS roots, count(*) FILTER (r.pos IS NOT NULL AND fm.fact_id IS NOT NULL) AS formed, count(*) FILTER (r.pos IS NOT NULL AND vf.fact_id IS NOT NULL) AS proved,
+     count(*) FILTER (is_final_answer) AS fin, count(*) FILTER (is_final_answer AND vf.fact_id IS NOT NULL) AS fin_ok
+     FROM facts f LEFT JOIN rooted r ON r.record_id = f.record_id AND r.pos = f.pos
+     LEFT JOIN (SELECT DISTINCT record_id, fact_id FROM facts WHERE formalized) fm ON fm.record_id = f.record_id AND fm.fact_id = f.fact_id
+     LEFT JOIN (SELECT DISTINCT record_id, fact_id FROM facts WHERE verified) vf ON vf.record_id = f.record_id AND vf.fact_id = f.fact_id GROUP BY f.record_id),
+  parts AS (SELECT o.record_id, CAST(substr(o.record_id, 2) AS BIGINT) % 10 > 0 AS valid_json, n_err IS NULL AS passed, o.*, coalesce(n_warn, 0) AS warns, n_err, bad FROM oks o LEFT JOIN errs USING (record_id) LEFT JOIN warns USING (record_id)),
+  rewards AS (SELECT record_id, valid_json, valid_json AND passed AS validator_passed,
+    CASE WHEN NOT valid_json THEN -1.0 WHEN NOT passed THEN 0.05 - 0.6 * CASE WHEN bad > 0 THEN least(1.0, bad / n) ELSE 1.0 END ELSE 0.05 + 0.15 - 0.01 * warns END AS structure_score,
+    CASE WHEN valid_json AND passed AND roots > 0 THEN 0.4 * formed / roots ELSE 0 END AS formalizer_score, CASE WHEN valid_json AND passed AND roots > 0 THEN 0.2 * proved / roots ELSE 0 END AS prover_score,
+    CASE WHEN valid_json AND passed AND fin > 0 THEN 0.2 * fin_ok / fin ELSE 0 END AS final_answer_score FROM parts)"""
+
+
+def rewarded(spark, sf_dir):
+    ids = lambda flag: F.transform(F.filter("facts", lambda f: f[flag]), lambda f: f["fact_id"])
+    graphs = graph_records(spark, sf_dir).withColumns(
+        {
+            "valid_json": F.substring("record_id", 2, 20).cast("bigint") % 10 > 0,
+            "formalized": ids("formalized"),
+            "verified": ids("verified"),
+        }
+    )
+    return reward.score_graphs(graphs)
+
+
+@query(
+    "graph_rewards",
+    f"""WITH RECURSIVE {REWARD} SELECT record_id, valid_json, validator_passed, round(CAST(structure_score AS DOUBLE), 6) AS structure_score, round(CAST(formalizer_score AS DOUBLE), 6) AS formalizer_score, round(CAST(prover_score AS DOUBLE), 6) AS prover_score,
+    round(CAST(final_answer_score AS DOUBLE), 6) AS final_answer_score, round(CAST(structure_score + formalizer_score + prover_score + final_answer_score AS DOUBLE), 6) AS score FROM rewards""",
+)
+def graph_rewards(spark, sf_dir):
+    parts = ["structure_score", "formalizer_score", "prover_score", "final_answer_score", "score"]
+    return rewarded(spark, sf_dir).select("record_id", "valid_json", "validator_passed", *[F.round(p, 6).alias(p) for p in parts])
+
+
+@query(
+    "offline_evaluation",
+    f"""WITH RECURSIVE {REWARD} SELECT count(*) AS candidates, round(avg(CAST(structure_score + formalizer_score + prover_score + final_answer_score AS DOUBLE)), 6) AS mean_score FROM rewards""",
+)
+def offline_evaluation(spark, sf_dir):
+    return reward.evaluate_offline(rewarded(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(
+    "candidate_rewards",
+    """SELECT record_id, valid_json, passed AS validator_passed, CASE WHEN NOT valid_json THEN -1.0 WHEN passed THEN 0.6 ELSE -0.55 END::DOUBLE AS score FROM (
+      SELECT concat('d', doc_id) AS record_id, doc_id % 4 < 3 AS valid_json, doc_id % 4 < 2 AND trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AS passed FROM documents)""",
+)
+def candidate_rewards(spark, sf_dir):
+    """Model answers parsed, validated and scored: a two-fact graph, one without facts, or no JSON at all."""
+    fact = lambda i, body, parents, final, origin: F.struct(
+        F.lit(i).alias("fact_id"), body.alias("text"), F.array(*[F.lit(p) for p in parents]).cast("array<string>").alias("parent_fact_ids"),
+        F.lit(final).alias("is_final_answer"), F.lit(origin).alias("origin"),
+    )
+    both = F.array(fact("f_1", F.col("text"), [], False, "given"), fact("f_2", F.lit("so"), ["f_1"], True, "answer"))
+    body = lambda facts: F.to_json(F.struct(F.lit("p").alias("problem_id"), F.lit("q").alias("problem_text"), facts.alias("facts")))
+    kind = F.col("doc_id") % 4
+    empty = F.lit('```json\n{"problem_id": "p", "problem_text": "q", "facts": []}\n```')
+    answer = F.when(kind < 2, F.concat(F.lit("```json\n"), body(both), F.lit("\n```"))).when(kind == 2, empty).otherwise("none")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), answer.alias("model_output"))
+    parsed = reward.parse_candidates(rows).withColumns({"formalized": F.array(F.lit("f_2")), "verified": F.array(F.lit("f_1"))})
+    return reward.score_graphs(parsed).select("record_id", "valid_json", "validator_passed", F.round("score", 6).alias("score"))

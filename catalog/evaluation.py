@@ -8,6 +8,7 @@ from catalog import query
 from catalog.views import grades, nodes
 from traceloom.operators import evaluate as ev
 from traceloom.operators import sampling, scoring
+from traceloom.plans import rerank
 
 SCORES = """scores AS (
   SELECT record_id, count(*) FILTER (need AND NOT (origin = 'derived' AND skip = 1)) AS prove_required_nodes,
@@ -77,8 +78,7 @@ RUN = f"""WITH {BEST}, {SOLVED}, {PICKS}, parts AS (
 @query("rerank_report", RUN)
 def rerank_report(spark, sf_dir):
     """The whole rerank evaluation in one plan."""
-    all_grades = grades(spark, sf_dir)
-    return ev.run_metrics(all_grades, selected(spark, sf_dir), picks(spark, sf_dir))
+    return rerank.rerank_report(nodes(spark, sf_dir), grades(spark, sf_dir), SEEDS)
 
 
 @query(
