@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.chat import MESSAGES
 from traceloom.functions.coerce import coerce_skip
-from traceloom.operators.graph import obligation
-from traceloom.functions.rows import settle
+from traceloom.operators.graph import obligation, with_cells
 from traceloom.functions.text import strip
 
 YES = lambda c: F.coalesce(c, F.lit(False))
@@ -61,20 +60,20 @@ def last_attempts(attempts: DataFrame, payload: list[str], with_history: bool =
 
 def seed_formalize(records: DataFrame) -> DataFrame:
     """First state of each fact: pending with its obligation where it counts, else skipped as passed."""
-    facts = F.col("facts")
     counts = lambda f: coerce_skip(f["skip"]) == 0
-    rows = F.transform(
-        facts,
-        lambda f: F.struct(
-            strip(f["fact_id"]).alias("fact_id"),
+    rows = F.zip_with(
+        "facts",
+        "_f",
+        lambda f, cell: F.struct(
+            cell["id"].alias("fact_id"),
             coerce_skip(f["skip"]).alias("skip"),
             F.when(counts(f), F.lit("pending")).otherwise(F.lit("skipped")).alias("form_status"),
-            F.when(counts(f), obligation(facts, f)).alias("statement"),
+            F.when(counts(f), obligation(cell)).alias("statement"),
             (~counts(f)).alias("lean_pass"),
             (~counts(f)).alias("skipped"),
         ),
     )
-    return settle(records, facts=facts).select("record_id", F.inline(rows))
+    return with_cells(records).select("record_id", F.inline(rows))
 
 
 def seed_prove(nodes: DataFrame) -> DataFrame:

@@ -234,7 +234,10 @@ def failure_payloads(records: DataFrame, failed, context: str = "ancestor", max_
             wanted = parents_of(f)
         else:
             wanted = closure(F.col("_nodes"), parents_of(f), F.size("_forward"))
-        return bind(wanted, lambda ids: F.filter(facts, lambda e: F.array_contains(ids, strip(e["fact_id"]))))
+        near = lambda ids: F.filter(
+            F.zip_with(facts, "_ids", lambda e, i: F.when(F.array_contains(ids, i), e)), lambda e: e.isNotNull()
+        )
+        return bind(wanted, near)
 
     bad = F.filter(facts, failed)
     if max_failed is not None:

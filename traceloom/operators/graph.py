@@ -81,20 +81,17 @@ def final_ids(facts: Column) -> Column:
 
 def edges_of(records: DataFrame) -> DataFrame:
     """One row per listed parent; ``parent_pos`` is the last place of the parent, null when it is missing."""
-    ids = topo_order(F.col("facts"))
-    rows = settle(records, _ids=ids).select("record_id", "_ids", F.posexplode("facts").alias("_pos", "fact"))
+    rows = with_cells(records).select("record_id", "_back", F.posexplode("_f").alias("_pos", "f"))
     rows = rows.select(
         "record_id",
-        "_ids",
+        "_back",
         (F.col("_pos") + 1).alias("child_pos"),
-        strip(F.col("fact.fact_id")).alias("child_id"),
-        origin_of(F.col("fact")).alias("child_origin"),
-        F.posexplode(parents_of(F.col("fact"))).alias("ord", "parent_id"),
-    )
-    return rows.select(
-        "record_id", "child_pos", "child_id", "child_origin", "ord", "parent_id",
-        _last_place(F.col("_ids"), F.col("parent_id")).alias("parent_pos"),
+        F.col("f.id").alias("child_id"),
+        F.col("f.origin").alias("child_origin"),
+        F.posexplode("f.parents").alias("ord", "parent_id"),
     )
+    place = _place_from_end(F.col("_back"), F.col("parent_id"))
+    return rows.select("record_id", "child_pos", "child_id", "child_origin", "ord", "parent_id", place.alias("parent_pos"))
 
 
 def node_kind(facts: Column) -> Column:
@@ -108,8 +105,32 @@ def node_kind(facts: Column) -> Column:
 
 
 def _last_place(ids: Column, wanted: Column) -> Column:
-    from_end = F.array_position(F.reverse(ids), wanted)
-    return F.when(from_end > 0, (F.size(ids) - from_end + 1).cast("int"))
+    return _place_from_end(F.reverse(ids), wanted)
+
+
+def _place_from_end(back: Column, wanted: Column) -> Column:
+    """Last place of an id, given the ids in reverse order; null when it is not there."""
+    from_end = F.array_position(back, wanted)
+    return F.when(from_end > 0, (F.size(back) - from_end + 1).cast("int"))
+
+
+def with_cells(records: DataFrame) -> DataFrame:
+    """Add ``_f``, the facts cleaned once (id, origin, parents, text, final), and their ids, forwards and backwards."""
+    cleaned = F.transform(
+        "facts",
+        lambda f: F.struct(
+            strip(F.coalesce(f["fact_id"], F.lit(""))).alias("id"),
+            origin_of(f).alias("origin"),
+            f["origin"].alias("raw_origin"),
+            F.coalesce(f["parent_fact_ids"], F.array().cast(IDS)).cast(IDS).alias("listed"),
+            parents_of(f).alias("parents"),
+            strip(F.coalesce(f["text"], F.lit(""))).alias("text"),
+            F.coalesce(f["is_final_answer"], F.lit(False)).alias("final"),
+        ),
+    )
+    staged = settle(settle(records, facts=F.col("facts")), _f=cleaned)
+    ids = F.transform("_f", lambda f: f["id"])
+    return settle(staged, _ids=ids, _back=F.reverse(ids))
 
 
 def closure(nodes: Column, seed: Column, forward_edges: Column) -> Column:
@@ -139,21 +160,20 @@ def closure(nodes: Column, seed: Column, forward_edges: Column) -> Column:
 
 
 def with_links(records: DataFrame) -> DataFrame:
-    """Add ``_nodes`` (id, place, known parents), ``_forward`` (edges that do not point back) and ``_reach``."""
-    facts, ids = F.col("facts"), F.col("_ids")
-    staged = settle(settle(records, facts=facts), _ids=topo_order(facts))
+    """Add, besides the cells, ``_nodes`` (id, known parents), ``_forward`` (edges that do not point back) and ``_reach``."""
+    ids, back = F.col("_ids"), F.col("_back")
     linked = F.transform(
-        facts,
+        "_f",
         lambda f, i: F.struct(
-            strip(f["fact_id"]).alias("id"),
+            f["id"].alias("id"),
             (i + 1).alias("place"),
             F.transform(
-                F.filter(parents_of(f), lambda p: F.array_contains(ids, p)),
-                lambda p: F.struct(p.alias("id"), _last_place(ids, p).alias("place")),
+                F.filter(f["parents"], lambda p: F.array_contains(ids, p)),
+                lambda p: F.struct(p.alias("id"), _place_from_end(back, p).alias("place")),
             ).alias("links"),
         ),
     )
-    staged = settle(staged, _linked=linked)
+    staged = settle(with_cells(records), _linked=linked)
     forward = F.flatten(
         F.transform(
             "_linked",
@@ -168,10 +188,12 @@ def with_links(records: DataFrame) -> DataFrame:
         lambda n: F.struct(n["id"].alias("id"), F.transform(n["links"], lambda p: p["id"]).cast(IDS).alias("parents")),
     )
     staged = settle(staged, _forward=forward, _nodes=nodes).drop("_linked")
-    return settle(staged, _reach=closure(F.col("_nodes"), final_ids(facts), F.size("_forward")))
+    finals = F.transform(F.filter("_f", lambda f: f["final"]), lambda f: f["id"])
+    return settle(staged, _reach=closure(F.col("_nodes"), finals, F.size("_forward")))
 
 
-LINK_COLUMNS = ["_ids", "_nodes", "_forward", "_reach"]
+CELL_COLUMNS = ["_f", "_ids", "_back"]
+LINK_COLUMNS = [*CELL_COLUMNS, "_nodes", "_forward", "_reach"]
 
 
 def cycle_reaching(nodes: Column, forward: Column) -> Column:
@@ -194,19 +216,11 @@ def reaches_final(records: DataFrame) -> DataFrame:
 
 
 def _with_skip(linked: DataFrame) -> DataFrame:
-    marked = F.transform(
-        "facts",
-        lambda f: f.withField(
-            "skip",
-            F.when(
-                origin_of(f).isin(PROVED_ORIGINS)
-                & F.array_contains(F.col("_reach"), strip(f["fact_id"]))
-                & (F.size(parents_of(f)) > 0),
-                0,
-            ).otherwise(1),
-        ),
-    )
-    return settle(linked, facts=marked)
+    def skip(cell: Column) -> Column:
+        counts = cell["origin"].isin(PROVED_ORIGINS) & F.array_contains(F.col("_reach"), cell["id"]) & (F.size(cell["parents"]) > 0)
+        return F.when(counts, 0).otherwise(1)
+
+    return settle(linked, facts=F.zip_with("facts", "_f", lambda f, cell: f.withField("skip", skip(cell))))
 
 
 def mark_skip(records: DataFrame) -> DataFrame:
@@ -230,43 +244,41 @@ def _found(*pairs: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(test, issue) for test, issue in pairs])).cast(ISSUES)
 
 
-def _node_issues(facts: Column, ids: Column) -> Column:
+def _node_issues(cells: Column, ids: Column) -> Column:
     """Findings about one fact on its own."""
 
     def check(f: Column, i: Column) -> Column:
-        fact_id = strip(F.coalesce(f["fact_id"], F.lit("")))
-        listed = F.coalesce(f["parent_fact_ids"], F.array().cast(IDS))
+        fact_id, listed = f["id"], f["listed"]
         return F.when(fact_id == "", F.array(_issue("empty_fact_id")).cast(ISSUES)).otherwise(
             _found(
                 (F.array_position(ids, fact_id) <= i, _issue("duplicate_fact_id", fact_id, id=fact_id)),
-                (is_blank(f["text"]), _issue("empty_text", fact_id)),
+                (f["text"] == "", _issue("empty_text", fact_id)),
                 (
-                    ~origin_of(f).isin(ORIGINS),
-                    _issue("invalid_origin", fact_id, origin=F.coalesce(f["origin"], F.lit(""))),
+                    ~f["origin"].isin(ORIGINS),
+                    _issue("invalid_origin", fact_id, origin=F.coalesce(f["raw_origin"], F.lit(""))),
                 ),
                 (F.size(F.array_distinct(listed)) != F.size(listed), _issue("duplicate_parent_fact", fact_id)),
             )
         )
 
-    return F.flatten(F.transform(facts, check))
+    return F.flatten(F.transform(cells, check))
 
 
-def _link_issues(facts: Column, ids: Column, checks: ValidationChecks) -> Column:
+def _link_issues(cells: Column, back: Column, checks: ValidationChecks) -> Column:
     """Findings about one fact's parents and origin."""
 
     def check(f: Column, i: Column) -> Column:
-        fact_id = strip(F.coalesce(f["fact_id"], F.lit("")))
-        origin, parents = origin_of(f), parents_of(f)
-        final = F.coalesce(f["is_final_answer"], F.lit(False))
-        rooted = F.size(parents) > 0
+        fact_id, origin, final = f["id"], f["origin"], f["final"]
+        rooted = F.size(f["parents"]) > 0
 
         def link(p: Column) -> Column:
-            place = _last_place(ids, p)
-            return F.when(place.isNull(), _issue("missing_parent_fact", fact_id, parent=p)).when(
-                place >= i + 1, _issue("forward_parent_fact", fact_id, parent=p, id=fact_id)
+            return bind(
+                F.coalesce(_place_from_end(back, p), F.lit(0)),
+                lambda place: F.when(place == 0, _issue("missing_parent_fact", fact_id, parent=p)).when(
+                    place >= i + 1, _issue("forward_parent_fact", fact_id, parent=p, id=fact_id)
+                ),
             )
 
-        links = F.array_compact(F.transform(parents, link)).cast(ISSUES) if checks.dependency_structure else F.array().cast(ISSUES)
         rules = []
         if checks.origin_rules:
             rules.append(((origin == "given") & rooted, _issue("given_fact_with_parents", fact_id)))
@@ -275,9 +287,11 @@ def _link_issues(facts: Column, ids: Column, checks: ValidationChecks) -> Column
         rules.append((final & (origin != "answer"), _issue("final_answer_origin_mismatch", fact_id)))
         if checks.introduced_without_parents:
             rules.append(((origin == "introduced") & rooted, _issue("introduced_fact_with_parents", fact_id)))
-        return F.concat(links, _found(*rules))
+        if not checks.dependency_structure:
+            return _found(*rules)
+        return F.concat(F.array_compact(F.transform(f["parents"], link)).cast(ISSUES), _found(*rules))
 
-    return F.flatten(F.transform(facts, check))
+    return F.flatten(F.transform(cells, check))
 
 
 def validate_graphs(records: DataFrame, checks: ValidationChecks = ValidationChecks()) -> DataFrame:
@@ -285,36 +299,35 @@ def validate_graphs(records: DataFrame, checks: ValidationChecks = ValidationChe
 
     Findings keep the order in which a reader of the graph would meet them.
     """
-    facts, ids = F.col("facts"), F.col("_ids")
-    finals = F.size(final_ids(facts))
+    cells, ids, back = F.col("_f"), F.col("_ids"), F.col("_back")
+    finals = F.size(F.filter(cells, lambda f: f["final"]))
     none = F.array().cast(ISSUES)
     warned = F.transform(
         F.filter(
-            facts,
-            lambda f: F.coalesce(f["is_final_answer"], F.lit(False))
-            & (F.size(parents_of(f)) == 0)
-            & ~F.contains(F.coalesce(F.col("problem_text"), F.lit("")), strip(f["text"])),
+            cells,
+            lambda f: f["final"] & (F.size(f["parents"]) == 0) & ~F.contains(F.coalesce(F.col("problem_text"), F.lit("")), f["text"]),
         ),
-        lambda f: _issue("final_answer_without_parents", strip(f["fact_id"]), "warning"),
+        lambda f: _issue("final_answer_without_parents", f["id"], "warning"),
     ).cast(ISSUES)
     in_cycle = F.col("_cyclic")
     first_cyclic = F.get(F.filter(ids, lambda i: F.array_contains(in_cycle, i)), F.lit(0))
     cycles = F.when(F.size(in_cycle) > 0, F.array(_issue("cycle_detected", first_cyclic)).cast(ISSUES)).otherwise(none)
     dead = F.transform(
-        F.filter(facts, lambda f: ~F.array_contains(F.col("_reach"), strip(f["fact_id"]))),
-        lambda f: _issue("dead_end_fact", strip(f["fact_id"])),
+        F.filter(ids, lambda i: ~F.array_contains(F.col("_reach"), i)), lambda i: _issue("dead_end_fact", i)
     ).cast(ISSUES)
     parts = [
-        _node_issues(facts, ids),
+        _node_issues(cells, ids),
         _found((finals == 0, _issue("missing_final_answer")), (finals > 1, _issue("multiple_final_answers"))),
-        _link_issues(facts, ids, checks),
+        _link_issues(cells, back, checks),
     ]
     if checks.dependency_structure:
         parts.append(cycles)
     if checks.all_facts_reach_answer:
         parts.append(dead)
-    empty = F.size(F.coalesce(facts, F.array().cast(records.schema["facts"].dataType))) == 0
-    linked = settle(_with_skip(with_links(records)), _cyclic=cycle_reaching(F.col("_nodes"), F.col("_forward")))
+    empty = F.size(F.coalesce(F.col("facts"), F.array().cast(records.schema["facts"].dataType))) == 0
+    linked = _with_skip(with_links(records))
+    if checks.dependency_structure:
+        linked = settle(linked, _cyclic=cycle_reaching(F.col("_nodes"), F.col("_forward")))
     judged = settle(
         linked,
         errors=F.when(empty, F.array(_issue("empty_facts")).cast(ISSUES)).otherwise(F.concat(*parts)),
@@ -345,30 +358,29 @@ def feedback_text(errors: Column) -> Column:
     )
 
 
-def _fact_named(facts: Column, wanted: Column) -> Column:
-    """Last fact with an id, null when there is none."""
-    return F.get(F.filter(F.reverse(facts), lambda f: strip(f["fact_id"]) == wanted), F.lit(0))
+def obligation(cell: Column) -> Column:
+    """'Given A, B, and C, prove that D.' for one of ``with_cells``; null for roots and where a parent is missing."""
+    text_at = lambda place: F.get(F.col("_f"), place - 1)["text"]
+    texts = F.transform(cell["parents"], lambda p: text_at(_place_from_end(F.col("_back"), p)))
 
+    def sentence(parts: Column) -> Column:
+        told = F.concat(F.lit("Given "), join_phrase(parts), F.lit(", prove that "), cell["text"], F.lit("."))
+        return F.when((F.size(parts) > 0) & ~F.exists(parts, lambda t: t.isNull()), told)
 
-def obligation(facts: Column, fact: Column) -> Column:
-    """'Given A, B, and C, prove that D.'; null for roots and where a parent is missing."""
-    texts = F.transform(parents_of(fact), lambda p: strip(_fact_named(facts, p)["text"]))
-    sentence = F.concat(F.lit("Given "), join_phrase(texts), F.lit(", prove that "), strip(fact["text"]), F.lit("."))
-    return F.when((F.size(texts) > 0) & ~F.exists(texts, lambda t: t.isNull()), sentence)
+    return bind(texts, sentence)
 
 
 def obligations(records: DataFrame) -> DataFrame:
     """One row per fact that has parents, with its proof obligation."""
-    facts = F.col("facts")
     rows = F.transform(
-        F.filter(facts, lambda f: F.size(parents_of(f)) > 0),
+        F.filter("_f", lambda f: F.size(f["parents"]) > 0),
         lambda f: F.struct(
-            strip(f["fact_id"]).alias("fact_id"),
-            F.concat(F.lit("prove_"), strip(f["fact_id"])).alias("problem_name"),
-            obligation(facts, f).alias("statement"),
+            f["id"].alias("fact_id"),
+            F.concat(F.lit("prove_"), f["id"]).alias("problem_name"),
+            obligation(f).alias("statement"),
         ),
     )
-    return settle(records, facts=facts).select("record_id", F.inline(rows))
+    return with_cells(records).select("record_id", F.inline(rows))
 
 
 def semantic_fact(fact: Column) -> Column:
@@ -403,48 +415,43 @@ def contexts(records: DataFrame, mode: str) -> DataFrame:
     """
     if mode not in CONTEXT_MODES:
         raise ValueError(f"unknown context mode {mode!r}; one of {CONTEXT_MODES}")
-    facts = F.col("facts")
     titled = lambda name, body: F.concat(F.lit(HEADINGS[name]), body)
+    listed = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
     shared = {"_problem": titled("problem", F.nullif(strip(F.col("problem_text")), F.lit("")))}
-    if mode in CONTEXT_MODES[3:]:
-        shared["_graph"] = titled("graph", F.to_json(F.transform(facts, semantic_fact)))
+    if mode in CONTEXT_MODES[2:]:
+        shared["_json"] = F.transform("facts", lambda f: F.to_json(semantic_fact(f)))
     if mode == CONTEXT_MODES[4]:
         seen = strip_think(F.coalesce(F.col("raw_cot"), F.lit("")))
         shared["_trace"] = titled("trace", F.when(seen == "", F.lit("")).otherwise(F.concat(F.lit("\n"), seen)))
-    staged = settle(settle(records, facts=facts), **shared)
-    problem, graph, trace = F.col("_problem"), F.col("_graph"), F.col("_trace")
+    staged = settle(with_cells(records), **shared)
+    if mode in CONTEXT_MODES[3:]:
+        staged = settle(staged, _graph=titled("graph", listed(F.col("_json"))))
 
     def text(f: Column, i: Column) -> Column:
-        task = obligation(facts, f)
         if mode == "c0_parent":
-            return task
+            return obligation(f)
         if mode == "c1_problem_parent":
             middle = []
         elif mode == "c2_problem_prefix":
-            earlier = F.transform(F.slice(facts, F.lit(1), i), semantic_fact)
-            middle = [titled("prefix", F.to_json(earlier)), titled("node", F.to_json(semantic_fact(f)))]
+            earlier = listed(F.slice(F.col("_json"), F.lit(1), i))
+            middle = [titled("prefix", earlier), titled("node", F.get("_json", i))]
         else:
-            middle = [trace] if mode == "c4_problem_cot_full_graph" else []
-            middle += [graph, titled("node_id", strip(f["fact_id"]))]
-        gap = F.lit("\n\n")
-        pieces = [problem]
-        for section in middle + [titled("task", task)]:
-            pieces += [gap, section]
+            middle = [F.col("_trace")] if mode == "c4_problem_cot_full_graph" else []
+            middle += [F.col("_graph"), titled("node_id", f["id"])]
+        pieces = [F.col("_problem")]
+        for section in middle + [titled("task", obligation(f))]:
+            pieces += [F.lit("\n\n"), section]
         return F.concat(*pieces)
 
-    rows = F.filter(
-        F.transform(
-            facts,
-            lambda f, i: F.struct(
-                (i + 1).alias("pos"),
-                strip(f["fact_id"]).alias("fact_id"),
-                (F.size(parents_of(f)) > 0).alias("rooted"),
-                text(f, i).alias("context"),
-            ),
+    rows = F.transform(
+        F.filter(
+            F.transform("_f", lambda f, i: F.struct(i.alias("i"), f.alias("cell"))), lambda r: F.size(r["cell"]["parents"]) > 0
+        ),
+        lambda r: F.struct(
+            (r["i"] + 1).alias("pos"), r["cell"]["id"].alias("fact_id"), text(r["cell"], r["i"]).alias("context")
         ),
-        lambda r: r["rooted"],
     )
-    return staged.select("record_id", F.inline(rows)).drop("rooted")
+    return staged.select("record_id", F.inline(rows))
 
 
 def form_messages(fact_id: Column, final: Column, context: Column, system: str, user: str) -> Column:
@@ -472,17 +479,14 @@ def prove_messages(statement: Column, code: Column, passed: Column, system: str,
 
 
 def prefix_facts(records: DataFrame) -> DataFrame:
-    """Per fact how many facts stand before it and which one is next before."""
-    facts = F.col("facts")
+    """Per fact the ids of the facts that stand before it."""
     rows = F.transform(
-        facts,
-        lambda f, i: F.struct(
-            (i + 1).alias("pos"),
-            strip(f["fact_id"]).alias("fact_id"),
-            F.transform(F.slice(facts, F.lit(1), i), lambda e: strip(e["fact_id"])).alias("earlier_ids"),
+        "_ids",
+        lambda fact_id, i: F.struct(
+            (i + 1).alias("pos"), fact_id.alias("fact_id"), F.slice(F.col("_ids"), F.lit(1), i).alias("earlier_ids")
         ),
     )
-    return settle(records, facts=facts).select("record_id", F.inline(rows))
+    return with_cells(records).select("record_id", F.inline(rows))
 
 
 def ancestors(records: DataFrame, wanted) -> DataFrame:
