@@ -74,16 +74,21 @@ def repair_backslashes(c: Column) -> Column:
     return F.replace(doubled, F.lit("\\"), F.lit("\\\\"))
 
 
+QUOTED = r"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')"""
+
+
+def drop_comments(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?s){QUOTED}|//[^\n]*|/\*.*?\*/", "$1")
+
+
 def drop_trailing_commas(c: Column) -> Column:
     """Remove commas before a closing bracket, leaving quoted text alone."""
-    return F.regexp_replace(
-        c, r"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')|,(\s*[}\]])""", "$1$2"
-    )
+    return F.regexp_replace(c, rf"{QUOTED}|,(\s*[}}\]])", "$1$2")
 
 
 def readable_json(c: Column) -> Column:
     """The block as it is when valid, else repaired for the relaxed reader."""
-    return bind(c, lambda t: F.when(is_strict_json(t), t).otherwise(drop_trailing_commas(repair_backslashes(t))))
+    return bind(c, lambda t: F.when(is_strict_json(t), t).otherwise(drop_trailing_commas(drop_comments(repair_backslashes(t)))))
 
 
 def parse_llm_json(c: Column, schema: str, corrupt: str = "_unreadable") -> Column:

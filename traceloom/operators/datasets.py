@@ -130,17 +130,21 @@ def boxed_answer(c: Column) -> Column:
     return bind(first_balanced_object(tail), lambda b: F.substring(b, F.lit(2), F.length(b) - 2))
 
 
+def _bare(c: Column) -> Column:
+    """Without spaces, dollar signs and thousands commas."""
+    return F.regexp_replace(F.regexp_replace(c, r"[\s$]", ""), r"(?<=\d),(?=\d{3})", "")
+
+
 def plain_answer(c: Column) -> Column:
-    """Boxed answer, else the last number, else the text; without spaces, dollar signs and thousands commas."""
+    """Boxed answer, else the last number, else the whole text."""
     numbers = F.regexp_extract_all(c, F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1))
     last = bind(numbers, lambda found: F.get(found, F.size(found) - 1))
-    text = F.coalesce(boxed_answer(c), last, c)
-    return F.regexp_replace(F.regexp_replace(text, r"[\s$]", ""), r"(?<=\d),(?=\d{3})", "")
+    return _bare(F.coalesce(boxed_answer(c), last, c))
 
 
 def grade_answers(rows: DataFrame, places: int = 6) -> DataFrame:
     """Compare ``answer`` with ``gold``: same text, or numbers equal to ``places`` decimals. Not symbolic."""
-    staged = settle(rows, extracted_answer=plain_answer(F.col("answer")), extracted_gold=plain_answer(F.col("gold")))
+    staged = settle(rows, extracted_answer=plain_answer(F.col("answer")), extracted_gold=_bare(F.coalesce(boxed_answer(F.col("gold")), F.col("gold"))))
     a, g = F.col("extracted_answer").try_cast("double"), F.col("extracted_gold").try_cast("double")
     same = (F.col("extracted_answer") == F.col("extracted_gold")) | (F.round(a, places) == F.round(g, places))
     return staged.withColumns(
