@@ -250,13 +250,14 @@ def rollout_details(spark, sf_dir):
     return rows.select("id", "parent_id", "rank", "success_ratio", "is_correct", "grade_missing", "in_stage2", "in_stage3", "selected")
 
 
-@query("compare_nodes", """WITH b AS (SELECT record_id, fact_id, prove_status, CASE WHEN l_quantity < 20 THEN 'failed' ELSE form_status END AS form_status FROM nodes WHERE l_quantity < 40)
-   SELECT n.record_id, n.fact_id, 'form_status' AS field, n.form_status AS first, coalesce(b.form_status, '') AS second FROM nodes n LEFT JOIN b USING (record_id, fact_id)
-   UNION ALL SELECT n.record_id, n.fact_id, 'prove_status', n.prove_status, coalesce(b.prove_status, '') FROM nodes n LEFT JOIN b USING (record_id, fact_id)""")
+@query("compare_nodes", """WITH a AS (SELECT record_id, fact_id, arg_max(prove_status, l_extendedprice) AS prove_status, arg_max(form_status, l_extendedprice) AS form_status FROM nodes GROUP BY ALL),
+   b AS (SELECT record_id, fact_id, arg_max(prove_status, l_extendedprice) AS prove_status, arg_max(CASE WHEN l_quantity < 20 THEN 'failed' ELSE form_status END, l_extendedprice) AS form_status FROM nodes WHERE l_quantity < 40 GROUP BY ALL)
+   SELECT a.record_id, a.fact_id, 'form_status' AS field, a.form_status AS first, coalesce(b.form_status, '') AS second FROM a LEFT JOIN b USING (record_id, fact_id)
+   UNION ALL SELECT a.record_id, a.fact_id, 'prove_status', a.prove_status, coalesce(b.prove_status, '') FROM a LEFT JOIN b USING (record_id, fact_id)""")
 def compare_nodes(spark, sf_dir):
     first = nodes(spark, sf_dir)
     second = first.where("l_quantity < 40").withColumn("form_status", F.when(F.col("l_quantity") < 20, "failed").otherwise(F.col("form_status")))
-    return ev.compare_nodes(first, {"first": first, "second": second}, ["form_status", "prove_status"])
+    return ev.compare_nodes(first, {"first": first, "second": second}, ["form_status", "prove_status"], "l_extendedprice")
 
 
 @query("available_sources", "SELECT source, true AS shown_by_default FROM grades UNION SELECT source, true FROM documents")

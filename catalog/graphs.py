@@ -294,3 +294,28 @@ def graph_semantic_facts(spark, sf_dir):
         "record_id", (F.col("at") + 1).alias("pos"), "f.fact_id", "f.text", "f.origin", "f.is_final_answer",
         F.array_join("f.parent_fact_ids", " ").alias("parents"),
     )
+
+
+@query(
+    "graph_schema_findings",
+    """SELECT doc_id, 'problem_text: Field required' AS message FROM documents WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 'facts.0.text: Input should be a valid string' FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'facts.0.origin: Field required' FROM documents WHERE doc_id % 5 = 0
+    UNION ALL SELECT doc_id, 'facts.0.parent_fact_ids: Input should be a valid list' FROM documents WHERE doc_id % 7 = 0""",
+)
+def graph_schema_findings(spark, sf_dir):
+    from catalog.views import table
+
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    number = F.col("doc_id")
+    parts = F.concat(
+        F.lit('{"problem_id": "p"'),
+        F.when(number % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(', "problem_text": '), quoted(F.col("source")))),
+        F.lit(', "facts": [{"fact_id": "f_1", "text": '),
+        F.when(number % 3 == 0, F.length("text").cast("string")).otherwise(F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9)),
+        F.when(number % 5 == 0, F.lit("")).otherwise(F.lit(', "origin": "given"')),
+        F.when(number % 7 == 0, F.lit(', "parent_fact_ids": "none"')).otherwise(F.lit(', "parent_fact_ids": []')),
+        F.lit("}]}"),
+    )
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(g.schema_issues(F.try_parse_json(parts))).alias("i"))
+    return found.select("doc_id", "i.message")

@@ -54,15 +54,15 @@ def read_stage_records(spark, sf_dir):
     )
 
 
-@query("read_stage_records_tolerant", "SELECT count(*) AS kept, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0) AS corrupt FROM documents WHERE doc_id % 9 <> 0")
+@query("read_stage_records_tolerant", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'corrupt' ELSE 'kept' END AS lines, count(*) AS n FROM documents GROUP BY 1")
 def read_stage_records_tolerant(spark, sf_dir):
     path = scratch_path(spark, "stage-lines")
     number = F.substring(F.col("meta.record_id"), 2, 20).cast("bigint")
     line = F.when(number % 9 == 0, F.concat(F.lit('{"meta": {"record_id": '), number.cast("string"))).otherwise(F.to_json(F.struct("meta", "input", "results")))
     stage_records(spark, sf_dir).select(line.alias("value")).write.text(path)
-    kept = readers.read_stage_records(spark, path, strict=False).select("meta.record_id").agg(F.count("record_id").alias("kept"))
-    bad = readers.corrupt_lines(spark, path).agg(F.coalesce(F.sum("corrupt_lines"), F.lit(0)).alias("corrupt"))
-    return kept.withColumn("_one", F.lit(1)).join(bad.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    kept = readers.read_stage_records(spark, path, strict=False).select("meta.record_id").agg(F.count("record_id").alias("n"))
+    bad = readers.corrupt_lines(spark, path).agg(F.coalesce(F.sum("corrupt_lines"), F.lit(0)).alias("n"))
+    return kept.select(F.lit("kept").alias("lines"), "n").unionByName(bad.select(F.lit("corrupt").alias("lines"), "n"))
 
 
 @query(

@@ -216,13 +216,17 @@ def rollout_details(scored: DataFrame, grades: DataFrame, stages: dict[str, Data
     return rows.join(chosen, "id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
-def compare_nodes(base: DataFrame, runs: dict[str, DataFrame], fields: list[str]) -> DataFrame:
-    """Long table (record, fact, field, one column per run): each run's value for every node of ``base``."""
-    rows = base.select("record_id", "fact_id")
+def compare_nodes(base: DataFrame, runs: dict[str, DataFrame], fields: list[str], order: str) -> DataFrame:
+    """Long table (record, fact, field, one column per run): each run's value for every node of ``base``.
+
+    Where a run lists a node twice the last one by ``order`` counts.
+    """
+    keys = ["record_id", "fact_id"]
+    rows = base.select(*keys).distinct()
     for name, nodes in runs.items():
-        picked = nodes.select("record_id", "fact_id", F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(f"_{name}"))
-        rows = rows.join(picked, ["record_id", "fact_id"], "left")
-    values = [
+        values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+        rows = rows.join(nodes.groupBy(*keys).agg(F.max_by(values, order).alias(f"_{name}")), keys, "left")
+    cells = [
         F.struct(F.lit(f).alias("field"), *[F.coalesce(F.col(f"_{name}.{f}"), F.lit("")).alias(name) for name in runs]) for f in fields
     ]
-    return rows.select("record_id", "fact_id", F.inline(F.array(*values)))
+    return rows.select(*keys, F.inline(F.array(*cells)))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from traceloom.functions.bins import percent_bucket
 from traceloom.functions.text import parent_id, rollout_no
 from traceloom.operators.attempts import apply_retry
+from traceloom.operators.routing import reject_problems
 from traceloom.operators.sampling import sample_stratified
 from traceloom.operators.scoring import best_of_n, problem_ratio, score_records, verification_stats
-from traceloom.operators.stats import before_after, stats_metrics
+from traceloom.operators.stats import before_after, output_counts, stats_metrics
 
 
 def selected_records(nodes: DataFrame) -> DataFrame:
@@ -42,6 +43,21 @@ def selection_report(nodes: DataFrame, per_bucket: int, seed: int, step: int = 2
     return before.join(after, "bucket", "left").fillna(0, ["sampled"])
 
 
+def selection_counts(rollouts: DataFrame, grades: DataFrame, answers: DataFrame, per_bucket: int, seed: int, ratios: DataFrame, step: int = 20) -> DataFrame:
+    """Problems in all, rejected for open thinking, eligible, drawn by bucket, and rollouts without a grade.
+
+    ``answers`` holds the graded answer texts, ``ratios`` the proof ratio of each problem.
+    """
+    kept = reject_problems(rollouts, answers)
+    bucket = percent_bucket(F.round("ratio_percent", 9), step)
+    eligible = ratios.join(kept.select("parent_id").distinct(), "parent_id", "left_semi").withColumn("bucket", bucket)
+    drawn = sample_stratified(eligible, "bucket", seed, "parent_id", per_bucket=per_bucket, step=step)
+    ungraded = rollouts.select("id").join(grades.select("id"), "id", "left_anti")
+    named = {"total": rollouts.select("parent_id").distinct(), "eligible": eligible, "selected": drawn, "ungraded": ungraded}
+    counts = output_counts(named).groupBy().pivot("output", list(named)).sum("rows")
+    return counts.withColumn("rejected", F.col("total") - F.col("eligible"))
+
+
 def metrics(nodes: DataFrame, grades: DataFrame) -> DataFrame:
     """Global ratios of both scopes and the accuracy of the selection."""
     chosen = selected_records(nodes).join(grades.select(F.col("id").alias("record_id"), "is_correct"), "record_id", "left")
