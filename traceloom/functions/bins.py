@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Edges of the token report.
@@ -54,6 +54,12 @@ def doubling_label(number: Column, start: int = 256) -> Column:
     return F.concat(F.lit("["), low.cast("string"), F.lit(","), high.cast("string"), F.lit(")"))
 
 
+def small_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A fixed little table made of literals, without a Python worker."""
+    cells = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def zero_filled(counts: DataFrame, dimension: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Every row of a small fixed ``dimension``, with 0 where ``counts`` has nothing."""
     return dimension.join(counts, keys, "left").fillna(0, subset=values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.bins import bucket_labels, percent_bucket, zero_filled
+from traceloom.functions.bins import bucket_labels, percent_bucket, small_table, zero_filled
 from traceloom.operators.ranks import row_ranks, top_per
 from traceloom.schemas import PROVED_ORIGINS
 
@@ -48,16 +48,21 @@ def retry_eligible(nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_need(nodes: DataFrame) -> DataFrame:
+    """Add ``_need`` and ``_need_x``, the two scopes of nodes to prove, as flags worked out once per node."""
+    return nodes.withColumns({"_need": required(), "_need_x": required(True)})
+
+
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(empty))
 
 
 def score_records(nodes: DataFrame, keys: list[str] = ["record_id"]) -> DataFrame:
     """Node counts per record; the ratio divides by all required nodes, the skipped ones included."""
-    needed = required()
-    counted = nodes.groupBy(*keys).agg(
+    needed = F.col("_need")
+    counted = with_need(nodes).groupBy(*keys).agg(
         F.count_if(needed).alias("_all"),
-        F.count_if(required(True)).alias("prove_required_nodes"),
+        F.count_if("_need_x").alias("prove_required_nodes"),
         F.count_if(needed & (F.col("prove_status") == "success")).alias("prove_success_nodes"),
         F.count_if(needed & YES(F.col("lean_verify"))).alias("lean_verify_nodes"),
         F.count_if(needed & YES(F.col("lean_pass"))).alias("lean_pass_nodes"),
@@ -121,17 +126,18 @@ def record_ratios(nodes: DataFrame, keys: list[str] = ["record_id"], flavour: st
     if flavour == "report":
         formal = YES(F.col("form_status") == "success") | (formal & ~YES(F.col("form_skipped")))
     verified, final = YES(F.col("lean_verify")), YES(F.col("is_final_answer"))
+    marked = with_need(nodes).withColumns({"_formal": formal, "_answer": final | (F.lower(F.trim("origin")) == "answer")})
     wide = [F.count("*").alias("nodes"), F.count_if(final & ~verified).alias("finals_unverified")]
-    for tag, scope in (("include", required()), ("exclude", required(True))):
-        answer = final | (F.lower(F.trim("origin")) == "answer")
+    answer = F.col("_answer")
+    for tag, scope in (("include", F.col("_need")), ("exclude", F.col("_need_x"))):
         wide += [
             F.count_if(scope).alias(f"{tag}_required"),
             F.count_if(scope & verified).alias(f"{tag}_verified"),
-            F.count_if(scope & formal).alias(f"{tag}_formal"),
+            F.count_if(scope & F.col("_formal")).alias(f"{tag}_formal"),
             F.count_if(scope & answer).alias(f"{tag}_finals"),
             F.count_if(scope & answer & verified).alias(f"{tag}_finals_verified"),
         ]
-    counted = nodes.groupBy(*keys).agg(*wide)
+    counted = marked.groupBy(*keys).agg(*wide)
     fields = ["required", "verified", "formal", "finals", "finals_verified"]
     scopes = F.array(
         *[
@@ -196,14 +202,15 @@ def ratio_histogram(nodes: DataFrame, step: int = 10, flavour: str = "report") -
         ),
     )
     counts = staged.groupBy("scope", "stage", "bucket").agg(F.count("*").alias("records"))
-    dimension = nodes.sparkSession.createDataFrame(
+    dimension = small_table(
+        nodes.sparkSession,
+        ["scope", "stage", "bucket"],
         [
             (scope, stage, bucket)
             for scope in ("include_skipped_derived", "exclude_skipped_derived")
             for stage in ("prove", "form")
             for bucket in bucket_labels(step)
         ],
-        "scope string, stage string, bucket string",
     )
     return zero_filled(counts, dimension, ["scope", "stage", "bucket"], ["records"])
 
@@ -264,7 +271,7 @@ def success_by_category(nodes: DataFrame, categories: DataFrame, order: str, inc
         .agg(F.count("*").alias("problem_count"), *[F.sum(s).alias(s) for s in sums])
     )
     labels = CATEGORIES + ["UNKNOWN"]
-    dimension = nodes.sparkSession.createDataFrame(list(enumerate(labels)), "category_order int, category string")
+    dimension = small_table(nodes.sparkSession, ["category_order", "category"], list(enumerate(labels)))
     filled = zero_filled(counts, dimension, ["category"], ["problem_count", *sums])
     percent = lambda part, whole: F.round(ratio(F.col(part), F.col(whole)) * 100.0, 6)
     return filled.withColumn("node_prove_success_ratio", percent("prove_success_nodes", "prove_required_nodes")).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, pow2_bin, zero_filled
+from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, pow2_bin, small_table, zero_filled
 from traceloom.functions.checks import classify_error
 from traceloom.functions.coerce import to_bool, to_float, to_step
 from traceloom.functions.text import compact_ws, is_blank, strip
@@ -221,7 +221,7 @@ def retry_scaling(outcomes: DataFrame) -> DataFrame:
     known = ["0", "1", "2", "3", "failed"]
     bucket = F.when(F.col("success_bucket").isin(known), F.col("success_bucket")).otherwise(F.lit("failed"))
     counts = outcomes.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("nodes"))
-    dimension = outcomes.sparkSession.createDataFrame([(k,) for k in known], "bucket string")
+    dimension = small_table(outcomes.sparkSession, ["bucket"], [(k,) for k in known])
     filled = zero_filled(counts, dimension, ["bucket"], ["nodes"])
     total = F.sum("nodes").over(_whole())
     return filled.withColumn("ratio", F.when(total > 0, F.col("nodes") / total).otherwise(0.0))
