@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.attempts import KIND, status
+from catalog.evaluation import CASES
 from catalog.views import attempts, grades, graph_records, nodes, samples, table, traces
 from traceloom.operators import datasets, scoring
 from traceloom.plans import cases as case_plan
@@ -164,7 +166,10 @@ def written_metrics(spark, sf_dir):
     return spark.read.option("header", True).schema("metric string, `1-URGENT` double, `5-LOW` double, avg double").csv(path)
 
 
-@query("extracted_cases")
+@query(
+    "extracted_cases",
+    f"WITH {CASES} SELECT id, parent_id, rollout_id FROM grades WHERE parent_id IN (SELECT parent_id FROM cases WHERE bucket = 'a_wrong_b_correct')",
+)
 def extracted_cases(spark, sf_dir):
     from catalog.evaluation import ev, scored, second_grades, second_scored
 
@@ -201,9 +206,12 @@ def _stream(spark, df, name, files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("stream_status")
+@query(
+    "stream_status",
+    f"""WITH marked AS (SELECT *, {KIND} AS kind FROM attempts), judged AS (SELECT *, {status('kind', 'lean_pass', 'attempt > 2')} AS status FROM marked)
+    SELECT record_id, fact_id, max(attempt) AS tries, arg_max(status, attempt) AS status FROM judged GROUP BY record_id, fact_id""",
+)
 def stream_status(spark, sf_dir):
-    """Checked in the tests against the batch fold."""
     log = _stream(spark, attempts(spark, sf_dir).select("record_id", "fact_id", "attempt", "lean_pass", "lean_verify", "token_overflow", "api_error", "output_truncated", "no_code"), "attempt-log")
     out, mark = scratch_path(spark, "status"), scratch_path(spark, "status-mark")
     live.run_updates(live.stream_status(log, 2), out, mark, ["record_id", "fact_id"])

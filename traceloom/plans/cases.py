@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from traceloom.operators.datasets import pivot_rollouts
 from traceloom.operators.evaluate import CASES_ANY, CASES_TWO, case_counts, mine_cases, select_case_rows, top_cases
+from traceloom.session import cut_lineage
 from traceloom.sources.sinks import write_manifest, write_rollouts
 
 
@@ -14,7 +15,7 @@ def extract_cases(
     limit: int = -1, buckets: list[str] | None = None,
 ) -> DataFrame:
     """Write flat and wide rollouts per bucket and for all, with a manifest; returns the case counts before any limit."""
-    cases = mine_cases(views)
+    cases = cut_lineage(mine_cases(views))  # every write below starts from these rows
     names = buckets or CASES_ANY + (CASES_TWO if len(views) == 2 else [])
     kept = cases if limit < 0 else top_cases(cases, limit)
     kept = kept.where(kept["bucket"].isin(names))
