@@ -5,13 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import bytebpe, tokencount
+from traceloom.llm import bytebpe, langid, simhash, tokencount, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_held_out(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
@@ -22,5 +34,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(bytebpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op9_byte_bpe": op9_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op7_token_counts": op7_token_counts, "op9_byte_bpe": op9_byte_bpe}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE}
