@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import bytebpe, langid, simhash, tokencount, topk, urlfilter
+from traceloom.llm import bytebpe, decontam, langid, pii, simhash, tokencount, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
@@ -38,5 +46,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(bytebpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op7_token_counts": op7_token_counts, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op4_url_filter": urlfilter.ORACLE}
