@@ -197,3 +197,29 @@ def predict_held_out(docs: DataFrame) -> DataFrame:
     """``identify`` learned from the rows that are not held out, with a mark for those that are; a null doc_id is not held out."""
     found = identify(docs, f"NOT ({HELD_OUT})")
     return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+MAX_PHRASE_RATE = 0.5  # phrases per letter: matches of two letters or less are chance in any language
+
+
+def keep_identified(docs: DataFrame, allowed: str = f"NOT ({HELD_OUT})") -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language, with all their columns.
+
+    Rejected are texts without a letter (``und``) and those that need more than ``MAX_PHRASE_RATE`` phrases per letter even in
+    their best language. If nothing can be learned no row is rejected for its rate.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(training_texts(docs, allowed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = None
+        for batch in slices(batches, "text"):
+            parser = parser or Parser(shared.value)
+            read = texts(batch, "text")
+            if parser.languages:
+                langs, _, rate = parser.predict(read)
+                keep = [lang != UNKNOWN and r <= MAX_PHRASE_RATE for lang, r in zip(langs, rate, strict=True)]
+            else:
+                keep = [len(parser.symbols_of(t)) > 0 for t in read]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
