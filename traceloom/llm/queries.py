@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import bytebpe, decontam, langid, pii, simhash, tokencount, topk, urlfilter
+from traceloom.llm import bytebpe, decontam, htmltext, langid, pii, simhash, tokencount, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bytebpe.digests(bytebpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op8_main_text": op8_main_text, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op4_url_filter": urlfilter.ORACLE}
