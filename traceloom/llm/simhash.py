@@ -102,15 +102,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     grouped = cut_lineage(group_documents(docs))
     ids = grouped.where("doc_id IS NOT NULL")
     repeated = ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    away = cut_lineage(ids.where("doc_id <> component_id").select("doc_id").unionAll(repeated).select(F.col("doc_id").alias("away_id")))
-    own = docs.doc_id.cast("long")
-    kept = docs.where(docs.doc_id.isNotNull()).join(small_side(away), own == F.col("away_id"), "left_anti")
-    again = away.join(repeated, F.col("away_id") == repeated.doc_id, "left_semi")
+    away = small_side(cut_lineage(ids.where("doc_id <> component_id").select("doc_id").unionAll(repeated)))
+    own = docs["doc_id"].cast("long")
+    kept = docs.where(docs["doc_id"].isNotNull()).join(away, own == away["doc_id"], "left_anti")
+    again = cut_lineage(repeated)
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, own == F.col("away_id"), "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.unionByName(docs.join(again, own == again["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
     nameless = grouped.where("component_id IS NULL").select(F.col("fp").alias("of"), "group_fp").distinct()
     if not nameless.isEmpty():
-        found = docs.where(docs.doc_id.isNull()).withColumn("of_fp", fingerprint_udf()(F.col("text")))
-        first = found.join(nameless, found.of_fp == nameless.of).dropDuplicates(["group_fp"])
-        kept = kept.unionByName(first.select(docs.columns))
+        rows = docs.where(docs["doc_id"].isNull()).select(F.struct("*").alias("row"), fingerprint_udf()(F.col("text")).alias("of_fp"))
+        first = rows.join(nameless, rows["of_fp"] == nameless["of"]).dropDuplicates(["group_fp"])
+        kept = kept.unionByName(first.select("row.*"))
     return kept
