@@ -7,8 +7,8 @@ only meet within an anchor. Neighbouring windows of one anchor form a stretch.
 1. Stretches are counted by anchor. An anchor that occurs once repeats nothing. If all its stretches are equal (copies), all their
    windows are repeated. The rest are mixed. A bit table of bounded size tells later passes which anchors to look at; a bit set by
    chance only makes them look at more.
-2. The distinct stretches of mixed anchors, each with its count, are dealt to shards by anchor; an anchor with very many is dealt
-   to several. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
+2. The stretches of mixed anchors, of equal ones at most two from each task, are dealt to shards by anchor, without the gram, which
+   the anchor stands for; an anchor with very many is dealt to several. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
    windows are equal, and so which start more than once.
 3. Where an anchor fills several shards, each shard sorts the hashes of its distinct windows and cuts them in ranges; the lists of
    one range from all shards meet in a task, where each is searched for in the others (binary search).
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.batches import packed, slices
 from traceloom.llm.joins import small_side
 from traceloom.llm.suffixes import Hashed, anchored_windows, common_prefixes, suffix_array
+from traceloom.llm.words import finish
 from traceloom.session import cut_lineage
 
 WINDOW = 200
@@ -39,58 +40,93 @@ GRAM = 64
 FILTER_BITS = 26
 SHARD_STRETCHES = 2048
 SHARD_BYTES = 2 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 ALL = 1 << 30
-STRETCH = "doc_id long, row_key long, anchor long, content long, start int, windows int, bytes binary"
-REPEATS = "anchor long, content long, first int, last int, piece int, shard int, hashes binary, owners binary"
+REST = WINDOW - GRAM  # bytes of a window without its gram
+SEEN_STRETCHES = 500_000
+STRETCH = "doc_id long, row_key int, anchor long, content long, start int, windows int"
+BYTES = "anchor long, content long, windows int, place int, bytes binary"
+REPEATS = "anchor long, content long, first int, last int, piece int, hashes binary, owners binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text as bytes, row_key): the parts of a row that this operator reads."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.hash("text"))
 
 
 def bit_of(anchors: np.ndarray) -> np.ndarray:
     return anchors >> np.uint64(64 - FILTER_BITS)
 
 
-def stretches(docs: DataFrame, seen=None, mixed=None) -> DataFrame:
-    """The stretches of all texts; with bit tables only of anchors in ``seen``, and bytes only of those in ``mixed``."""
+def found_in(batch: pa.RecordBatch, bits) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The stretches of a batch, with a bit table only those of its anchors, and the batch's bytes and text bounds."""
+    flat, bounds = packed(batch.column("text").to_pylist())
+    found = anchored_windows(flat, bounds, WINDOW, GRAM)
+    if bits is not None:
+        bit = bit_of(found["anchor"])
+        keep = (bits.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        found = {name: values[keep] for name, values in found.items()}
+    return found, flat, bounds
+
+
+def stretches(docs: DataFrame, seen=None) -> DataFrame:
+    """The stretches of all texts, with a bit table only those of its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            flat, bounds = packed(batch.column("text").to_pylist())
-            found = anchored_windows(flat, bounds, WINDOW, GRAM)
-            if seen is not None:
-                bits = bit_of(found["anchor"])
-                keep = (seen.value[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                found = {name: values[keep] for name, values in found.items()}
-            text, start = found["text"], found["start"]
-            if mixed is None:
-                content = pa.nulls(len(start), pa.binary())
-            else:
-                bits = bit_of(found["anchor"])
-                wanted = mixed.value[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1
-                raw, ends = flat.tobytes(), start + found["windows"] + WINDOW - 1
-                content = pa.array([raw[a:b] if w else None for a, b, w in zip(start.tolist(), ends.tolist(), wanted.tolist(), strict=True)], pa.binary())
-            rows = pa.array(text)
+            found, _, bounds = found_in(batch, seen)
+            rows = pa.array(found["text"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
                     batch.column("row_key").take(rows),
                     pa.array(found["anchor"].view(np.int64)),
                     pa.array(found["content"].view(np.int64)),
-                    pa.array((start - bounds[text]).astype(np.int32)),
+                    pa.array((found["start"] - bounds[found["text"]]).astype(np.int32)),
                     pa.array(found["windows"].astype(np.int32)),
-                    content,
                 ],
-                names=["doc_id", "row_key", "anchor", "content", "start", "windows", "bytes"],
+                names=["doc_id", "row_key", "anchor", "content", "start", "windows"],
             )
 
     return keyed(docs).mapInArrow(run, STRETCH)
 
 
+def stretch_bytes(docs: DataFrame, mixed) -> DataFrame:
+    """The bytes of stretches of mixed anchors, without the gram. Of equal ones a task gives two, the second without the bytes:
+    that a stretch is there twice is all that its further copies could tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[tuple[int, int], int] = {}
+        for batch in slices(batches, "text", SLICE):
+            found, flat, _ = found_in(batch, mixed)
+            raw = flat.tobytes()
+            chosen, content = [], []
+            if len(times) > SEEN_STRETCHES:
+                times.clear()
+            begins, places, counts = found["start"].tolist(), found["place"].tolist(), found["windows"].tolist()
+            for k, key in enumerate(zip(found["anchor"].tolist(), found["content"].tolist(), strict=True)):
+                before = times.get(key, 0)
+                if before == 2:
+                    continue
+                times[key] = before + 1
+                chosen.append(k)
+                at = places[k]
+                content.append(None if before else raw[begins[k] : at] + raw[at + GRAM : begins[k] + counts[k] + WINDOW - 1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found["anchor"].view(np.int64)[chosen]),
+                    pa.array(found["content"].view(np.int64)[chosen]),
+                    pa.array(found["windows"][chosen].astype(np.int32)),
+                    pa.array((found["place"] - found["start"])[chosen].astype(np.int32)),
+                    pa.array(content, pa.binary()),
+                ],
+                names=["anchor", "content", "windows", "place", "bytes"],
+            )
+
+    return keyed(docs).mapInArrow(run, BYTES)
+
+
 def bit_table(anchors: DataFrame):
     """Broadcast of a table of 2**FILTER_BITS bits with those of the anchors set; its size is the same for any input."""
     bit = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
@@ -101,12 +137,13 @@ def bit_table(anchors: DataFrame):
     return anchors.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
 
-def runs_of(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of set flags within an owner: owner, first and last offset."""
+def runs_of(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray, step: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Maximal runs of set flags within an owner: owner, first and last offset. ``step`` are the places that must follow each other."""
     at = np.flatnonzero(flags)
     if not len(at):
         return at, at, at
-    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
+    follow = at if step is None else step[at]
+    breaks = np.flatnonzero((np.diff(follow) != 1) | (np.diff(owner[at]) != 0)) + 1
     first, last = at[np.concatenate([[0], breaks])], at[np.concatenate([breaks - 1, [len(at) - 1]])]
     return owner[first], offset[first], offset[last]
 
@@ -114,58 +151,64 @@ def runs_of(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[n
 def resolve_shard(group: pd.DataFrame, shards: int) -> pd.DataFrame:
     """The windows of a shard's stretches that start more than once; of an anchor in several shards also the hashes of all its windows.
 
-    The rows of the latter carry a piece of the hashes' range, sorted, and which stretch and offset each window is.
+    The rows of the latter carry a piece of the hashes' range, sorted, and which stretch and offset each window is. A stretch's gram
+    is one symbol of its anchor's own, so a window is ``REST`` + 1 symbols and equal only within an anchor.
     """
+    group = group.assign(empty=group["bytes"].isna()).sort_values(["anchor", "content", "empty"], kind="stable", ignore_index=True)
+    fresh = ~group.duplicated(["anchor", "content"])
+    times = np.bincount(np.cumsum(fresh) - 1)
+    group = group[fresh]
+    anchor, content = group["anchor"].to_numpy(np.int64), group["content"].to_numpy(np.int64)
+    windows, place = group["windows"].to_numpy(np.int64), group["place"].to_numpy(np.int64)
     contents = [bytes(b) for b in group["bytes"]]
-    windows = group["windows"].to_numpy(np.int64)
-    sizes = np.array([len(b) for b in contents])
-    x = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + 1
+    marked = b"".join([c[:p] + b"\0" + c[p:] + b"\0" for c, p in zip(contents, place.tolist(), strict=True)])
+    sizes = np.array([len(b) + 1 for b in contents])
     starts = np.cumsum(sizes + 1) - sizes - 1
+    x = np.frombuffer(marked, np.uint8).astype(np.int32) + 1
+    x[starts + place] = 257 + np.unique(anchor, return_inverse=True)[1]
     x[starts + sizes] = 0
     order = suffix_array(x)
-    prefix = common_prefixes(x, order, starts, sizes, WINDOW)
+    prefix = common_prefixes(x, order, starts, sizes, REST + 1)
     equal_to = np.empty(len(x), np.int64)
-    equal_to[order] = np.cumsum(prefix < WINDOW)
+    equal_to[order] = np.cumsum(prefix < REST + 1)
     owner = np.repeat(np.arange(len(contents)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     classes = equal_to[starts[owner] + offset]
-    times = np.bincount(classes, group["times"].to_numpy(np.int64)[owner])
-    who, first, last = runs_of(times[classes] > 1, owner, offset)
-    anchor, content = group["anchor"].to_numpy(np.int64), group["content"].to_numpy(np.int64)
-    out = [pd.DataFrame({"anchor": anchor[who], "content": content[who], "first": first, "last": last, "piece": -1, "shard": -1, "hashes": None, "owners": None})]
+    counts = np.bincount(classes, times[owner])
+    who, first, last = runs_of(counts[classes] > 1, owner, offset)
+    out = [pd.DataFrame({"anchor": anchor[who], "content": content[who], "first": first, "last": last, "piece": -1, "hashes": None, "owners": None})]
     if shards > 1:
-        hashed = Hashed(np.frombuffer(b"\0".join(contents) + b"\0", np.uint8))
+        hashed = Hashed(np.frombuffer(marked, np.uint8))
         at = starts[owner] + offset
-        hashes = hashed.ranges(at, at + WINDOW)
+        hashes = finish(hashed.ranges(at, at + REST + 1) ^ (place[owner] - offset).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         by = np.argsort(hashes, kind="stable")
         hashes, owner, offset = hashes[by], owner[by], offset[by]
         piece = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         for p in np.unique(piece):
             mine = piece == p
             places = np.stack([content[owner[mine]], offset[mine]])
-            out.append(
-                pd.DataFrame({"anchor": anchor[:1], "content": [0], "first": [0], "last": [0], "piece": [p], "shard": group["part"].iloc[:1].to_numpy(),
-                              "hashes": [hashes[mine].tobytes()], "owners": [places.astype(np.int64).tobytes()]})
-            )
+            columns = {"anchor": anchor[:1], "content": [0], "first": [0], "last": [0], "piece": [p], "hashes": [hashes[mine].tobytes()]}
+            out.append(pd.DataFrame(columns | {"owners": [places.astype(np.int64).tobytes()]}))
     return pd.concat(out, ignore_index=True)
 
 
 def merge_shards(group: pd.DataFrame) -> pd.DataFrame:
     """Windows of one range of hashes that another shard of the same anchor holds too, found by binary search in each."""
     lists = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-    owners = [np.frombuffer(o, np.int64).reshape(2, -1) for o in group["owners"]]
-    out = []
     together = np.sort(np.concatenate([np.unique(mine) for mine in lists]))
-    for mine, (content, offset) in zip(lists, owners, strict=True):
+    found = [np.zeros((2, 0), np.int64)]
+    for mine, owners in zip(lists, group["owners"], strict=True):
         shared = np.searchsorted(together, mine, "right") - np.searchsorted(together, mine, "left") > 1
-        out.append(pd.DataFrame({"content": content[shared], "first": offset[shared], "last": offset[shared]}))
-    found = pd.concat(out, ignore_index=True)
-    found["anchor"] = group["anchor"].iloc[0]
-    return found[["anchor", "content", "first", "last"]]
+        found.append(np.frombuffer(owners, np.int64).reshape(2, -1)[:, shared])
+    content, offset = np.concatenate(found, axis=1)
+    by = np.lexsort((offset, content))
+    content, offset = content[by], offset[by]
+    owner, first, last = runs_of(np.ones(len(content), bool), content, offset, offset)
+    return pd.DataFrame({"anchor": group["anchor"].iloc[0], "content": owner, "first": first, "last": last})
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
-    """(anchor, content, first, last): the repeated windows of stretches by offset, and the bit table of the anchors to look at."""
+    """(anchor, content, runs): the repeated windows of stretches as runs of offsets, and the bit table of the anchors to look at."""
     counted = stretches(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
     anchors = cut_lineage(counted.where("times > 1"))
     pure, mixed = anchors.where("low = high"), anchors.where("low <> high")
@@ -173,14 +216,10 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     total = mixed.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total * (WINDOW + 100) // SHARD_BYTES))
 
-    distinct = (
-        stretches(docs, look_in, look_in)
-        .groupBy("anchor", "content")
-        .agg(F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
-    )
     large = mixed.where(F.col("times") > SHARD_STRETCHES).select("anchor", F.ceil(F.col("times") / SHARD_STRETCHES).cast("int").alias("parts"))
     dealt = (
-        distinct.join(small_side(large), "anchor", "left")
+        stretch_bytes(docs, look_in)
+        .join(small_side(large), "anchor", "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("content"), "parts")).otherwise(0).cast("int"))
         .withColumn("shard", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards).cast("long"))))
@@ -193,35 +232,42 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     within = resolved.where("piece < 0").select("anchor", "content", "first", "last")
     across = resolved.where("piece >= 0").groupBy("anchor", "piece").applyInPandas(merge_shards, "anchor long, content long, first int, last int")
     copies = pure.select("anchor", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last"))
-    return copies.unionAll(within).unionAll(across), seen
+    runs = copies.unionAll(within).unionAll(across).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return runs, seen
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, spans): per document with a repeated window the maximal byte ranges to remove, as pairs of long packed in bytes."""
     repeats, seen = repeated_windows(docs)
-    places = stretches(docs, seen).select("doc_id", "row_key", "anchor", "content", "start", "windows")
-    found = places.join(repeats, ["anchor", "content"]).select(
-        "doc_id", "row_key", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.least("last", F.col("windows") - 1)).alias("b")).alias("r")
-    )
-    gathered = found.groupBy("doc_id", "row_key").agg(F.collect_set("r").alias("ranges"))
+    found = stretches(docs, seen).join(repeats, ["anchor", "content"])
+    gathered = found.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            ranges = batch.column("ranges")
-            ends = np.concatenate([[0], np.cumsum(ranges.value_lengths().to_numpy(zero_copy_only=False))])
-            flat = ranges.flatten()
-            every = np.stack([flat.field("a").to_numpy(), flat.field("b").to_numpy()], axis=1).astype(np.int64)
-            for k in range(batch.num_rows):
-                mine = every[ends[k] : ends[k + 1]]
-                mine = mine[np.argsort(mine[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(mine[:, 1] + WINDOW)
-                breaks = np.flatnonzero(mine[1:, 0] > reach[:-1]) + 1
-                first, last = mine[np.concatenate([[0], breaks]), 0], reach[np.concatenate([breaks - 1, [len(mine) - 1]])]
-                spans.append(np.stack([first, last], axis=1).tobytes())
+            found = batch.column("found")
+            flat = found.flatten()
+            runs = flat.field("runs")
+            per_stretch = runs.value_lengths().to_numpy(zero_copy_only=False)
+            values = runs.flatten()
+            start = np.repeat(flat.field("start").to_numpy().astype(np.int64), per_stretch)
+            most = np.repeat(flat.field("windows").to_numpy().astype(np.int64), per_stretch) - 1
+            first = start + values.field("first").to_numpy()
+            last = start + np.minimum(values.field("last").to_numpy(), most) + WINDOW
+            of_row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+            row = np.repeat(of_row, per_stretch)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            spans = [joined_ranges(first[a:b], last[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, pa.binary())], names=["doc_id", "row_key", "spans"])
 
-    return gathered.mapInArrow(run, "doc_id long, row_key long, spans binary")
+    return gathered.mapInArrow(run, "doc_id long, row_key int, spans binary")
+
+
+def joined_ranges(first: np.ndarray, last: np.ndarray) -> bytes:
+    """The maximal ranges that overlapping or touching ranges make, as pairs of long."""
+    by = np.argsort(first, kind="stable")
+    first, reach = first[by], np.maximum.accumulate(last[by])
+    breaks = np.flatnonzero(first[1:] > reach[:-1]) + 1
+    return np.stack([first[np.concatenate([[0], breaks])], reach[np.concatenate([breaks - 1, [len(first) - 1]])]], axis=1).tobytes()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

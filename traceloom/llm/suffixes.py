@@ -9,32 +9,32 @@ import numpy as np
 from traceloom.llm.words import BYTE_CODES, STEP, finish
 
 BACK = np.uint64(pow(int(STEP), -1, 2**64))
-SYMBOLS = 7  # symbols of nine bits in the first sort key
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Positions of ``x`` (symbols below 512) sorted by their suffixes.
+    """Positions of ``x`` (symbols from 0) sorted by their suffixes.
 
     Larsson-Sadakane refinement: positions are sorted by their first symbols; then only groups that are still equal are sorted
     by the rank of the position one sorted length further on, which doubles the length each time.
     """
     n = len(x)
-    padded = np.concatenate([x.astype(np.int64), np.zeros(SYMBOLS, np.int64)])
+    bits = int(x.max(initial=1)).bit_length()
+    length = max(1, 62 // bits)  # symbols in the first sort key
+    padded = np.concatenate([x.astype(np.int64), np.zeros(length, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(SYMBOLS):
-        key = key << 9 | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    for k in range(length):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key)
     heads = np.concatenate([[True], key[order][1:] != key[order][:-1]])[:n]
     rank = np.zeros(2 * n + 1, np.int64)  # past the end all ranks are 0, below those of the text
     first = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     rank[order] = first + 1
     sizes = np.bincount(first, minlength=n)
     open_slots = np.flatnonzero(sizes[first] > 1)
-    length = SYMBOLS
     while len(open_slots):
         at = order[open_slots]
         group, further = rank[at], rank[np.minimum(at + length, 2 * n)]
-        by = np.lexsort((further, group))
+        by = np.argsort(group * (n + 2) + further)
         at, group, further = at[by], group[by], further[by]
         order[open_slots] = at
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (further[1:] != further[:-1])])
@@ -129,9 +129,9 @@ def anchored_windows(flat: np.ndarray, bounds: np.ndarray, window: int, gram: in
 
     A window's anchor is its gram with the least hash, the leftmost of equals; equal windows so have equal anchors at equal places.
     Neighbouring windows with the same anchor make one stretch: ``text`` it lies in, its first window's ``start``, the number of
-    ``windows``, the ``anchor`` hash and the ``content`` hash of all bytes of the stretch and the anchor's place in them.
+    ``windows``, the ``place`` of the gram, the ``anchor`` hash and the ``content`` hash of all bytes of the stretch and the anchor's place in them.
     """
-    names = ("text", "start", "windows", "anchor", "content")
+    names = ("text", "start", "windows", "place", "anchor", "content")
     sizes = np.diff(bounds)
     if len(flat) < window or sizes.max(initial=0) < window:
         return {name: np.zeros(0, np.uint64 if name in ("anchor", "content") else np.int64) for name in names}
@@ -152,4 +152,4 @@ def anchored_windows(flat: np.ndarray, bounds: np.ndarray, window: int, gram: in
     content = hashed.ranges(start, start + windows + window - 1)
     content ^= (place - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) ^ windows.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     text = np.searchsorted(bounds, start, side="right") - 1
-    return dict(zip(names, (text, start, windows, grams[place], finish(content)), strict=True))
+    return dict(zip(names, (text, start, windows, place, grams[place], finish(content)), strict=True))
