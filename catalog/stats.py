@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.views import attempts, grades, nodes, samples, table
+from traceloom.functions.exact import sql_mean, sql_std_pop, sql_sum
 from traceloom.operators import scoring, stats
 
 FORMAL = "(form_status = 'success' OR (form_lean_pass AND NOT form_skipped))"
@@ -227,16 +228,13 @@ def source_counts(spark, sf_dir):
     return stats.source_counts(grades(spark, sf_dir))
 
 
-ROUNDED = ["mean", "std_pop", "min", "max"]
-
-
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 6) for c in ROUNDED})
+    return df.withColumn("std_pop", F.round("std_pop", 6))
 
 
 @query(
     "reward_by_step",
-    """SELECT step, count(reward) AS n, round(coalesce(avg(reward), 0), 6) AS mean, round(coalesce(stddev_pop(reward), 0), 6) AS std_pop, round(min(reward), 6) AS min, round(max(reward), 6) AS max,
+    f"""SELECT step, count(reward) AS n, coalesce({sql_mean('reward')}, 0) AS mean, round(coalesce({sql_std_pop('reward')}, 0), 6) AS std_pop, min(reward) AS min, max(reward) AS max,
     count(*) FILTER (reward_missing) AS missing, count(*) FILTER (NOT reward_missing AND reward IS NULL) AS invalid, CAST(grouping(step) AS TINYINT) AS overall
     FROM samples GROUP BY GROUPING SETS ((step), ())""",
 )
@@ -265,7 +263,7 @@ def _trace_fields(spark, sf_dir):
 
 @query(
     "reward_trace_metrics",
-    """SELECT step, field, count(x) AS n, round(coalesce(avg(x), 0), 6) AS mean, round(coalesce(stddev_pop(x), 0), 6) AS std_pop, round(min(x), 6) AS min, round(max(x), 6) AS max,
+    f"""SELECT step, field, count(x) AS n, coalesce({sql_mean('x')}, 0) AS mean, round(coalesce({sql_std_pop('x')}, 0), 6) AS std_pop, min(x) AS min, max(x) AS max,
     count(*) FILTER (lacking) AS missing, count(*) FILTER (NOT lacking AND x IS NULL) AS invalid FROM (
       SELECT step, 'score' AS field, reward AS x, reward_missing AS lacking FROM samples UNION ALL SELECT step, 'structure_score', value / 100, false FROM samples)
     GROUP BY GROUPING SETS ((step, field), (field))""",
@@ -346,8 +344,9 @@ def token_bins(spark, sf_dir):
 
 @query(
     "runtime_rollup",
-    """SELECT event_type AS stage, epoch(max(ts)) - epoch(min(ts)) AS total_seconds, round(sum(value), 4) AS check_seconds, count(value) AS checks, round(avg(value), 6) AS seconds_per_check,
-    round(sum(value / 10), 4) AS idle_seconds, round(sum(value / 10) / (epoch(max(ts)) - epoch(min(ts))), 8) AS idle_ratio FROM events GROUP BY event_type""",
+    f"""SELECT *, CASE WHEN total_seconds > 0 THEN idle_seconds / total_seconds END AS idle_ratio FROM (
+      SELECT event_type AS stage, epoch(max(ts)) - epoch(min(ts)) AS total_seconds, {sql_sum('value')} AS check_seconds, count(value) AS checks,
+      {sql_mean('value')} AS seconds_per_check, {sql_sum('value / 10')} AS idle_seconds FROM events GROUP BY event_type)""",
 )
 def runtime_rollup(spark, sf_dir):
     origin = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
@@ -355,6 +354,4 @@ def runtime_rollup(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("stage"), at.alias("started"), at.alias("ended"), F.col("value").alias("check_seconds"), (F.col("value") / 10).alias("idle_seconds")
     )
-    rows = stats.runtime_rollup(log)
-    places = {"check_seconds": 4, "seconds_per_check": 6, "idle_seconds": 4, "idle_ratio": 8}
-    return rows.withColumns({c: F.round(c, n) for c, n in places.items()})
+    return stats.runtime_rollup(log)

@@ -8,6 +8,7 @@ from catalog import query
 from catalog.attempts import KIND, status
 from catalog.evaluation import CASES
 from catalog.views import attempts, grades, graph_records, nodes, samples, table, traces
+from traceloom.functions.exact import sql_mean, sql_std_pop
 from traceloom.operators import datasets, scoring
 from traceloom.plans import cases as case_plan
 from traceloom.session import scratch_path
@@ -214,20 +215,31 @@ def _stream(spark, df, name, files=4):
 def stream_status(spark, sf_dir):
     log = _stream(spark, attempts(spark, sf_dir).select("record_id", "fact_id", "attempt", "lean_pass", "lean_verify", "token_overflow", "api_error", "output_truncated", "no_code"), "attempt-log")
     out, mark = scratch_path(spark, "status"), scratch_path(spark, "status-mark")
-    live.run_updates(live.stream_status(log, 2), out, mark, ["record_id", "fact_id"])
+    live.run_updates(live.stream_status(log, 2), out, mark)
     return live.latest_updates(spark, out, ["record_id", "fact_id"])
 
 
 @query(
     "stream_reward",
-    """SELECT step, count(reward) AS n, round(coalesce(avg(reward), 0), 4) AS mean, round(coalesce(stddev_pop(reward), 0), 4) AS std_pop, round(min(reward), 6) AS min, round(max(reward), 6) AS max,
+    f"""SELECT step, count(reward) AS n, coalesce({sql_mean('reward')}, 0) AS mean, round(coalesce({sql_std_pop('reward')}, 0), 6) AS std_pop, min(reward) AS min, max(reward) AS max,
     count(*) FILTER (reward_missing) AS missing, count(*) FILTER (NOT reward_missing AND reward IS NULL) AS invalid FROM samples GROUP BY step""",
 )
 def stream_reward(spark, sf_dir):
     log = _stream(spark, samples(spark, sf_dir).select("step", F.col("reward_text").alias("reward")), "sample-log")
     out, mark = scratch_path(spark, "reward"), scratch_path(spark, "reward-mark")
-    live.run_updates(live.stream_reward(log), out, mark, ["step"])
-    return live.latest_updates(spark, out, ["step"]).withColumns({c: F.round(c, n) for c, n in {"mean": 4, "std_pop": 4, "min": 6, "max": 6}.items()})
+    live.run_updates(live.stream_reward(log), out, mark)
+    return live.latest_updates(spark, out, ["step"]).withColumn("std_pop", F.round("std_pop", 6))
+
+
+@query(
+    "stream_reward_histogram",
+    """SELECT step, CAST(CASE WHEN reward = 1.0 THEN 39 ELSE trunc((reward + 1.0) / CAST(0.05 AS DOUBLE)) END AS INT) AS bin, count(*) AS rewards FROM samples WHERE reward BETWEEN -1.0 AND 1.0 GROUP BY ALL""",
+)
+def stream_reward_histogram(spark, sf_dir):
+    log = _stream(spark, samples(spark, sf_dir).select("step", F.col("reward_text").alias("reward")), "histogram-log")
+    out, mark = scratch_path(spark, "histogram"), scratch_path(spark, "histogram-mark")
+    live.run_updates(live.stream_reward_histogram(log), out, mark)
+    return live.latest_updates(spark, out, ["step", "bin"])
 
 
 @query("stream_resume", "SELECT DISTINCT record_id FROM traces WHERE record_id NOT IN (SELECT concat('d', doc_id) FROM labels WHERE quality = 1)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, pow2_bin, small_table, zero_filled
 from traceloom.functions.checks import classify_error
 from traceloom.functions.coerce import to_bool, to_float, to_step
+from traceloom.functions.exact import exact_mean, exact_std_pop, exact_sum
 from traceloom.functions.text import compact_ws, is_blank, strip
 from traceloom.schemas import TERMINAL
 
@@ -96,8 +97,8 @@ def _spread(value: Column) -> list[Column]:
     n = F.count(value)
     return [
         n.alias("n"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std_pop"),
+        F.coalesce(exact_mean(value), F.lit(0.0)).alias("mean"),
+        F.coalesce(exact_std_pop(value), F.lit(0.0)).alias("std_pop"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     ]
@@ -250,9 +251,9 @@ def runtime_rollup(log: DataFrame) -> DataFrame:
     """Per stage: wall time, check time, checks, mean per check and share of idle time (null over nothing)."""
     sums = log.groupBy("stage").agg(
         (F.max("ended") - F.min("started")).alias("total_seconds"),
-        F.coalesce(F.sum("check_seconds"), F.lit(0.0)).alias("check_seconds"),
+        exact_sum(F.col("check_seconds")).alias("check_seconds"),
         F.count("check_seconds").alias("checks"),
-        F.avg("check_seconds").alias("seconds_per_check"),
-        F.coalesce(F.sum("idle_seconds"), F.lit(0.0)).alias("idle_seconds"),
+        exact_mean(F.col("check_seconds")).alias("seconds_per_check"),
+        exact_sum(F.col("idle_seconds")).alias("idle_seconds"),
     )
     return sums.withColumn("idle_ratio", F.when(F.col("total_seconds") > 0, F.col("idle_seconds") / F.col("total_seconds")))

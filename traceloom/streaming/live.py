@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from traceloom.functions.bins import fixed_bin
 from traceloom.functions.coerce import to_float, to_step
+from traceloom.functions.exact import exact_mean, exact_std_pop
 from traceloom.operators.attempts import NODE, attempt_kind, attempt_status
 
-STATUS = "record_id string, fact_id string, tries int, status string"
-
 
-def _keep_latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State is the highest attempt seen and its status, so a repeated or late attempt changes nothing."""
-    tries, status = state.get if state.exists else (0, None)
-    changed = False
-    for frame in frames:
-        best = frame.loc[frame["attempt"].idxmax()]
-        if best["attempt"] > tries:
-            tries, status, changed = int(best["attempt"]), str(best["status"]), True
-    if changed:
-        state.update((tries, status))
-        yield pd.DataFrame({"record_id": [key[0]], "fact_id": [key[1]], "tries": [tries], "status": [status]})
 
+def stream_status(
+    attempts: DataFrame, retries: int, stage: str = "formalize", rule: str = "gt", arrived: str | None = None, retention: str = "7 days"
+) -> DataFrame:
+    """Tries and status of each node by its highest attempt, updated as attempts arrive; repeated and late attempts change nothing.
 
-def stream_status(attempts: DataFrame, retries: int, stage: str = "formalize", rule: str = "gt") -> DataFrame:
-    """Status of each node whenever a newer attempt arrives; one update per node and batch."""
+    State is one row a node. With ``arrived``, a column of arrival times, nodes are kept per window of ``retention`` (column
+    ``seen``) and their state ends one ``retention`` after the window: attempts of a node must arrive within it. Without, the
+    state lives as long as the query, which suits a log that is worked through once.
+    """
     passed = F.col("lean_pass" if stage == "formalize" else "lean_verify")
-    judged = attempts.select(*NODE, "attempt", attempt_status(attempt_kind(stage), F.col("attempt"), passed, retries, rule).alias("status"))
-    return judged.groupBy(*NODE).applyInPandasWithState(
-        _keep_latest, STATUS, "tries int, status string", "update", GroupStateTimeout.NoTimeout
-    )
+    judged = attempts.withColumn("_status", attempt_status(attempt_kind(stage), F.col("attempt"), passed, retries, rule))
+    keys: list = list(NODE)
+    if arrived is not None:
+        judged = judged.withWatermark(arrived, retention)
+        keys.append(F.window(arrived, retention).alias("seen"))
+    return judged.groupBy(*keys).agg(F.max("attempt").cast("int").alias("tries"), F.max_by("_status", "attempt").alias("status"))
 
 
 def stream_reward(samples: DataFrame, field: str = "reward") -> DataFrame:
@@ -45,8 +37,8 @@ def stream_reward(samples: DataFrame, field: str = "reward") -> DataFrame:
     rows = samples.select(to_step(F.col("step").cast("string")).alias("step"), raw.alias("_raw"), value.alias("_x"))
     return rows.where("step IS NOT NULL").groupBy("step").agg(
         F.count("_x").alias("n"),
-        F.coalesce(F.avg("_x"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_pop("_x"), F.lit(0.0)).alias("std_pop"),
+        F.coalesce(exact_mean(F.col("_x")), F.lit(0.0)).alias("mean"),
+        F.coalesce(exact_std_pop(F.col("_x")), F.lit(0.0)).alias("std_pop"),
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
         F.count_if(F.col("_raw").isNull()).alias("missing"),
@@ -62,9 +54,16 @@ def stream_reward_histogram(samples: DataFrame, lo: float = -1.0, hi: float = 1.
     return rows.where("step IS NOT NULL AND bin IS NOT NULL").groupBy("step", "bin").agg(F.count("*").alias("rewards"))
 
 
-def stream_resume(records: DataFrame, done: DataFrame, key: str = "record_id") -> DataFrame:
-    """Each unfinished record once: finished ids are joined away, repeats are dropped by state."""
-    return records.join(done.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+def stream_resume(records: DataFrame, done: DataFrame, key: str = "record_id", arrived: str | None = None, retention: str = "7 days") -> DataFrame:
+    """Each unfinished record once: finished ids are joined away, repeats are dropped by state.
+
+    With ``arrived``, a column of arrival times, an id is remembered for ``retention`` only, so the state is bounded by what arrives
+    in that time; a repeat that comes later than that is expected to be in ``done`` by then. Without, every id is remembered.
+    """
+    unfinished = records.join(done.select(key).distinct(), key, "left_anti")
+    if arrived is None:
+        return unfinished.dropDuplicates([key])
+    return unfinished.withWatermark(arrived, retention).dropDuplicatesWithinWatermark([key])
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -73,7 +72,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Update-mode streams to files: one folder per batch, rewritten whole when a batch is repeated."""
 
     def write(batch: DataFrame, number: int) -> None:
