@@ -196,3 +196,42 @@ def test_seed_state(spark):
     rows = {r["fact_id"]: r for r in attempts.seed_formalize(marked).collect()}
     assert rows["f_1"]["form_status"] == "skipped" and rows["f_1"]["lean_pass"] and rows["f_1"]["statement"] is None
     assert rows["f_3"]["form_status"] == "pending" and rows["f_3"]["statement"] == "Given b, prove that c."
+
+
+def _wide(edges, n):
+    facts = [fact(f"f{k}", f"t{k}", [f"f{p}" for p in edges.get(k, [])], "answer" if k == n - 1 else "derived", k == n - 1) for k in range(n)]
+    return [("r", "problem", facts)]
+
+
+WIDE = f"record_id string, problem_text string, facts {FACTS}"
+
+
+@pytest.mark.parametrize("kind", ["chain", "ring", "random"])
+def test_large_invalid_graphs_stay_cheap(spark, kind):
+    import random
+    import time
+
+    n, rng = 2000, random.Random(4)
+    if kind == "chain":  # every fact rests on the next one, the final one on the first
+        edges = {k: [k + 1] for k in range(n - 2)} | {n - 1: [0]}
+    elif kind == "ring":
+        edges = {k: [(k + 1) % n] for k in range(n)}
+    else:
+        edges = {k: rng.sample(range(n), 2) for k in range(n)}
+    reached, edge = {n - 1}, [n - 1]
+    while edge:
+        edge = list({p for k in edge for p in edges.get(k, [])} - reached)
+        reached |= set(edge)
+    left, before = set(range(n)), None
+    while left != before:
+        before, left = left, left & {p for k in left for p in edges.get(k, [])}
+    records = spark.createDataFrame(_wide(edges, n), WIDE)
+    graph.validate_graphs(spark.createDataFrame(_wide({1: [0]}, 2), WIDE)).collect()  # compile
+    took = []
+    for _ in range(2):  # the machine may be busy with other work
+        start = time.perf_counter()
+        (row,) = graph.validate_graphs(records).collect()
+        took.append(time.perf_counter() - start)
+    assert {e.fact_id for e in row.errors if e.type == "dead_end_fact"} == {f"f{k}" for k in range(n) if k not in reached}
+    assert [e.fact_id for e in row.errors if e.type == "cycle_detected"] == ([f"f{min(left)}"] if left else [])
+    assert min(took) < 5, took

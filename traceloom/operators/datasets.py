@@ -12,7 +12,7 @@ from traceloom.functions.coerce import normalize_category, normalize_issue
 from traceloom.functions.json_text import extract_json_object, first_balanced_object, parse_llm_json
 from traceloom.functions.rows import bind, settle
 from traceloom.functions.text import has_unclosed_think, is_blank, rollout_record_id, strip, strip_think, truncate_text
-from traceloom.operators.graph import closure, parents_of, with_links
+from traceloom.operators.graph import place_from_end, closure, ids_at, parents_of, with_links
 from traceloom.operators.sampling import pick_one, split_by_ratio
 from traceloom.schemas import GRAPH_DOCUMENT
 
@@ -237,7 +237,8 @@ def failure_payloads(records: DataFrame, failed, context: str = "ancestor", max_
         if context == "direct":
             wanted = parents_of(f)
         else:
-            wanted = closure(F.col("_nodes"), parents_of(f), F.size("_forward"))
+            above = F.filter(F.transform(parents_of(f), lambda p: place_from_end(F.col("_back"), p)), lambda p: p.isNotNull())
+            wanted = ids_at(F.col("_ids"), closure(F.col("_parents"), above))
         near = lambda ids: F.filter(
             F.zip_with(facts, "_ids", lambda e, i: F.when(F.array_contains(ids, i), e)), lambda e: e.isNotNull()
         )

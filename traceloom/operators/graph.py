@@ -90,7 +90,7 @@ def edges_of(records: DataFrame) -> DataFrame:
         F.col("f.origin").alias("child_origin"),
         F.posexplode("f.parents").alias("ord", "parent_id"),
     )
-    place = _place_from_end(F.col("_back"), F.col("parent_id"))
+    place = place_from_end(F.col("_back"), F.col("parent_id"))
     return rows.select("record_id", "child_pos", "child_id", "child_origin", "ord", "parent_id", place.alias("parent_pos"))
 
 
@@ -104,11 +104,7 @@ def node_kind(facts: Column) -> Column:
     )
 
 
-def _last_place(ids: Column, wanted: Column) -> Column:
-    return _place_from_end(F.reverse(ids), wanted)
-
-
-def _place_from_end(back: Column, wanted: Column) -> Column:
+def place_from_end(back: Column, wanted: Column) -> Column:
     """Last place of an id, given the ids in reverse order; null when it is not there."""
     from_end = F.array_position(back, wanted)
     return F.when(from_end > 0, (F.size(back) - from_end + 1).cast("int"))
@@ -133,81 +129,88 @@ def with_cells(records: DataFrame) -> DataFrame:
     return settle(staged, _ids=ids, _back=F.reverse(ids))
 
 
-def closure(nodes: Column, seed: Column, forward_edges: Column) -> Column:
-    """Ids of ``seed`` and of everything they rest on.
+PLACES = "array<int>"
+
+
+def closure(parents: Column, seed: Column) -> Column:
+    """Places of ``seed`` and of everything they rest on.
 
-    ``nodes`` holds (id, parents) in list order. Walking the list from its end follows every edge that points
-    back; an edge that points forward needs one more walk, so ``forward_edges`` extra walks are enough. Walks
-    stop mattering once nothing new turns up.
+    ``parents`` holds the parents' places by place. Each round looks only at the places the last one found and stops mattering when
+    nothing new turns up, so a graph costs its edges plus, per round, the places found so far, whichever way its edges point.
     """
 
-    def walk(found: Column) -> Column:
-        return F.aggregate(
-            F.reverse(nodes),
-            found,
-            lambda acc, n: F.when(F.array_contains(acc, n["id"]), F.array_union(acc, n["parents"]).cast(IDS)).otherwise(acc),
+    def expand(acc: Column) -> Column:
+        above = F.flatten(F.transform(acc["edge"], lambda i: F.element_at(parents, i)))
+        return bind(
+            F.array_except(above, acc["found"]).cast(PLACES),
+            lambda new: F.struct(F.concat(acc["found"], new).alias("found"), new.alias("edge")),
         )
 
-    start = F.struct(F.array_distinct(seed).cast(IDS).alias("ids"), F.lit(-1).alias("before"))
+    first = F.array_distinct(seed).cast(PLACES)
     end = F.aggregate(
-        F.sequence(F.lit(0), forward_edges),
-        start,
-        lambda acc, _: F.when(F.size(acc["ids"]) == acc["before"], acc).otherwise(
-            F.struct(walk(acc["ids"]).alias("ids"), F.size(acc["ids"]).alias("before"))
-        ),
+        F.sequence(F.lit(0), F.size(parents)),
+        F.struct(first.alias("found"), first.alias("edge")),
+        lambda acc, _: F.when(F.size(acc["edge"]) == 0, acc).otherwise(expand(acc)),
     )
-    return end["ids"]
+    return end["found"]
 
 
 def with_links(records: DataFrame) -> DataFrame:
-    """Add, besides the cells, ``_nodes`` (id, known parents), ``_forward`` (edges that do not point back) and ``_reach``."""
+    """Add, besides the cells, ``_parents`` (places of known parents by place), ``_own`` (the place that stands for each fact's id,
+    its last), ``_forward`` (number of edges that do not point back) and ``_reach`` (ids the final facts rest on)."""
     ids, back = F.col("_ids"), F.col("_back")
     linked = F.transform(
         "_f",
-        lambda f, i: F.struct(
+        lambda f: F.struct(
             f["id"].alias("id"),
-            (i + 1).alias("place"),
-            F.transform(
-                F.filter(f["parents"], lambda p: F.array_contains(ids, p)),
-                lambda p: F.struct(p.alias("id"), _place_from_end(back, p).alias("place")),
-            ).alias("links"),
+            place_from_end(back, f["id"]).alias("own"),
+            F.filter(F.transform(f["parents"], lambda p: place_from_end(back, p)), lambda p: p.isNotNull()).cast(PLACES).alias("parents"),
         ),
     )
     staged = settle(with_cells(records), _linked=linked)
-    forward = F.flatten(
-        F.transform(
-            "_linked",
-            lambda n: F.transform(
-                F.filter(n["links"], lambda p: p["place"] >= n["place"]),
-                lambda p: F.struct(n["id"].alias("child"), p["id"].alias("parent")),
-            ),
-        )
+    forward = F.aggregate(
+        F.transform("_linked", lambda n, i: F.size(F.filter(n["parents"], lambda p: p > i))), F.lit(0), lambda total, n: total + n
     )
-    nodes = F.transform(
+    # facts that share an id count as one: the last of them has the parents of all
+    shared = F.transform(
         "_linked",
-        lambda n: F.struct(n["id"].alias("id"), F.transform(n["links"], lambda p: p["id"]).cast(IDS).alias("parents")),
+        lambda n, i: F.when(
+            n["own"] == i + 1, F.flatten(F.transform(F.filter("_linked", lambda m: m["own"] == n["own"]), lambda m: m["parents"]))
+        ).otherwise(F.array().cast(PLACES)),
     )
-    staged = settle(staged, _forward=forward, _nodes=nodes).drop("_linked")
-    finals = F.transform(F.filter("_f", lambda f: f["final"]), lambda f: f["id"])
-    return settle(staged, _reach=closure(F.col("_nodes"), finals, F.size("_forward")))
+    single = F.transform("_linked", lambda n: n["parents"])
+    parents = F.when(F.size(F.array_distinct(ids)) == F.size(ids), single).otherwise(shared)
+    staged = settle(staged, _forward=forward, _parents=parents, _own=F.transform("_linked", lambda n: n["own"]).cast(PLACES)).drop("_linked")
+    finals = F.filter(F.zip_with("_f", "_own", lambda f, own: F.when(f["final"], own)), lambda p: p.isNotNull())
+    return settle(staged, _reach=ids_at(ids, closure(F.col("_parents"), finals)))
+
+
+def ids_at(ids: Column, places: Column) -> Column:
+    return F.transform(places, lambda p: F.element_at(ids, p)).cast(IDS)
 
 
 CELL_COLUMNS = ["_f", "_ids", "_back"]
-LINK_COLUMNS = [*CELL_COLUMNS, "_nodes", "_forward", "_reach"]
+LINK_COLUMNS = [*CELL_COLUMNS, "_parents", "_own", "_forward", "_reach"]
 
 
-def cycle_reaching(nodes: Column, forward: Column) -> Column:
-    """Ids from which a cycle can be reached through children.
+def cycle_reaching() -> Column:
+    """Ids from which a cycle can be reached through children, of records with links.
 
-    Every cycle holds a forward edge, and its child lies on a cycle when the parent rests on it.
+    Facts without a child that is still there are taken away round by round; what stays leads to a cycle. Only a graph with an
+    edge that does not point back can hold one.
     """
-    on_cycle = F.transform(
-        F.filter(
-            forward, lambda e: F.array_contains(closure(nodes, F.array(e["parent"]), F.size(forward)), e["child"])
-        ),
-        lambda e: e["child"],
+    start = F.array_distinct("_own").cast(PLACES)
+
+    def peel(acc: Column) -> Column:
+        above = F.flatten(F.transform(acc["left"], lambda i: F.element_at("_parents", i)))
+        return F.struct(F.array_intersect(acc["left"], above).cast(PLACES).alias("left"), F.size(acc["left"]).alias("before"))
+
+    end = F.aggregate(
+        F.sequence(F.lit(0), F.size("_ids")),
+        F.struct(start.alias("left"), F.lit(-1).alias("before")),
+        lambda acc, _: F.when(F.size(acc["left"]) == acc["before"], acc).otherwise(peel(acc)),
     )
-    return F.when(F.size(on_cycle) > 0, closure(nodes, on_cycle, F.size(forward))).otherwise(F.array().cast(IDS))
+    return F.when(F.col("_forward") > 0, ids_at(F.col("_ids"), end["left"])).otherwise(F.array().cast(IDS))
 
 
 def reaches_final(records: DataFrame) -> DataFrame:
@@ -273,7 +276,7 @@ def _link_issues(cells: Column, back: Column, checks: ValidationChecks) -> Colum
 
         def link(p: Column) -> Column:
             return bind(
-                F.coalesce(_place_from_end(back, p), F.lit(0)),
+                F.coalesce(place_from_end(back, p), F.lit(0)),
                 lambda place: F.when(place == 0, _issue("missing_parent_fact", fact_id, parent=p)).when(
                     place >= i + 1, _issue("forward_parent_fact", fact_id, parent=p, id=fact_id)
                 ),
@@ -327,7 +330,7 @@ def validate_graphs(records: DataFrame, checks: ValidationChecks = ValidationChe
     empty = F.size(F.coalesce(F.col("facts"), F.array().cast(records.schema["facts"].dataType))) == 0
     linked = _with_skip(with_links(records))
     if checks.dependency_structure:
-        linked = settle(linked, _cyclic=cycle_reaching(F.col("_nodes"), F.col("_forward")))
+        linked = settle(linked, _cyclic=cycle_reaching())
     judged = settle(
         linked,
         errors=F.when(empty, F.array(_issue("empty_facts")).cast(ISSUES)).otherwise(F.concat(*parts)),
@@ -361,7 +364,7 @@ def feedback_text(errors: Column) -> Column:
 def obligation(cell: Column) -> Column:
     """'Given A, B, and C, prove that D.' for one of ``with_cells``; null for roots and where a parent is missing."""
     text_at = lambda place: F.get(F.col("_f"), place - 1)["text"]
-    texts = F.transform(cell["parents"], lambda p: text_at(_place_from_end(F.col("_back"), p)))
+    texts = F.transform(cell["parents"], lambda p: text_at(place_from_end(F.col("_back"), p)))
 
     def sentence(parts: Column) -> Column:
         told = F.concat(F.lit("Given "), join_phrase(parts), F.lit(", prove that "), cell["text"], F.lit("."))
@@ -498,7 +501,7 @@ def ancestors(records: DataFrame, wanted) -> DataFrame:
         lambda f: F.struct(
             strip(f["fact_id"]).alias("fact_id"),
             bind(
-                closure(F.col("_nodes"), F.array(strip(f["fact_id"])), F.size("_forward")),
+                ids_at(ids, closure(F.col("_parents"), F.array(place_from_end(F.col("_back"), strip(f["fact_id"]))))),
                 lambda found: F.filter(
                     F.array_distinct(ids), lambda i: (i != strip(f["fact_id"])) & F.array_contains(found, i)
                 ),
