@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+_kept: dict[Any, Any] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of each batch whose ``column`` holds at most ``limit`` bytes together; a longer row comes alone."""
+def worker_state(key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, built once. A worker keeps one such thing at a time, for workers outlive a
+    stage and their memory is shared with the next stage's."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def drop_worker_state() -> None:
+    _kept.clear()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep_state: bool = False) -> Iterator[pa.RecordBatch]:
+    """Row ranges of each batch whose ``column`` holds at most ``limit`` bytes together; a longer row comes alone.
+
+    Unless the caller uses it, what an earlier stage left in this worker is dropped.
+    """
+    if not keep_state:
+        drop_worker_state()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -13,18 +13,17 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.batches import slices, texts
+from traceloom.llm.batches import slices, texts, worker_state
 
 WORDS_PER_QUERY = 60_000
 BYTES_PER_QUERY = 1 << 20
-MEMO_WORDS = 700_000
+MEMO_WORDS = 600_000
 ENCODED = "doc_id long, ids binary, decoded binary"
 
 # A row's key is its word and its position. Rows of words that still have a pair go round; a word without one leaves as done.
@@ -82,7 +81,8 @@ class Contractor:
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # ids
+        self.decoded: dict[str, bytes] = {}  # only of words that would not decode to themselves
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         merges = np.array(merge_rows(ranks), np.int32).reshape(-1, 3)
         self.put("merges_rows", {"a": merges[:, 0], "b": merges[:, 1], "merged": merges[:, 2]})
@@ -94,13 +94,13 @@ class Contractor:
         self.db.register(name, pa.table(columns))
 
     def learn(self, words: list[str]) -> None:
-        """Encode and decode distinct words, so that ``known`` holds their id bytes and their text bytes."""
+        """Encode and decode distinct words, so that ``known`` holds the bytes of their ids."""
         rest: list[tuple[str, bytes]] = []
         size = 0
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(raw)) is not None:
-                self.known[word] = (rank.to_bytes(4, "little"), raw)
+                self.known[word] = rank.to_bytes(4, "little")
                 continue
             rest.append((word, raw))
             size += len(raw)
@@ -122,8 +122,10 @@ class Contractor:
         flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
         begin = 0
-        for (word, _), end, text in zip(words, ends.tolist(), found["bytes"].to_pylist(), strict=True):
-            self.known[word] = (flat[begin:end].tobytes(), bytes.fromhex(text))
+        for (word, raw), end, text in zip(words, ends.tolist(), found["bytes"].to_pylist(), strict=True):
+            self.known[word] = flat[begin:end].tobytes()
+            if (decoded := bytes.fromhex(text)) != raw:
+                self.decoded[word] = decoded
             begin = end
 
     def encode(self, batch: list[str]) -> tuple[list[bytes], list[bytes]]:
@@ -132,13 +134,15 @@ class Contractor:
         new = set().union(*pieces) if pieces else set()
         if len(self.known) + len(new) > MEMO_WORDS:
             self.known.clear()
+            self.decoded.clear()
         self.learn([w for w in new if w not in self.known])
-        known = self.known
-        ids = [b"".join([known[w][0] for w in p]) for p in pieces]
-        return ids, [b"".join([known[w][1] for w in p]) for p in pieces]
+        known, decoded = self.known, self.decoded
+        ids = [b"".join([known[w] for w in p]) for p in pieces]
+        if not decoded:  # every word's ids decode to its own bytes
+            return ids, ["".join(p).encode("utf-8", "surrogatepass") for p in pieces]
+        return ids, [b"".join([decoded[w] if w in decoded else w.encode("utf-8", "surrogatepass") for w in p]) for p in pieces]
 
 
-@lru_cache(maxsize=1)
 def contractor(rank_bytes: bytes, pattern: str) -> Contractor:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_bytes.splitlines())}
     return Contractor(ranks, pattern)
@@ -153,8 +157,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = contractor(shared.value, pattern)
-        for batch in slices(batches, "text"):
+        coder = worker_state(("byte bpe", rank_file, pattern), lambda: contractor(shared.value, pattern))
+        for batch in slices(batches, "text", keep_state=True):
             ids, decoded = coder.encode(texts(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]

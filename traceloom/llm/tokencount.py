@@ -13,13 +13,12 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.batches import slices, texts
+from traceloom.llm.batches import slices, texts, worker_state
 
 MEMO_WORDS = 700_000
 COUNTED = "doc_id long, n_bytes long, n_tokens long"
@@ -148,11 +147,6 @@ class WordTokens:
         return [sum([known[w] for w in p]) + e for p, e in zip(pieces, extra, strict=True)]
 
 
-@lru_cache(maxsize=1)
-def counter(spec_text: str, whole: frozenset[str]) -> WordTokens:
-    return WordTokens(spec_text, whole)
-
-
 def count_tokens(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row's whole text.
 
@@ -163,8 +157,8 @@ def count_tokens(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((spec, WordTokens(spec).whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = counter(*shared.value)
-        for batch in slices(batches, "text"):
+        tokens = worker_state(("token counts", vocabulary_file), lambda: WordTokens(*shared.value))
+        for batch in slices(batches, "text", keep_state=True):
             found = texts(batch, "text")
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in found]
             yield pa.RecordBatch.from_arrays(
