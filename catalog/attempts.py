@@ -179,7 +179,7 @@ def selection_summary(spark, sf_dir):
     return summary(nodes(spark, sf_dir), grades(spark, sf_dir).where("answer <> 'P'"))
 
 
-@query("selection_report", f"""WITH kept AS (SELECT parent_id, round(avg(p), 9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
+@query("selection_report", f"""WITH kept AS (SELECT parent_id, sum(CAST(round(p * 1e9) AS DECIMAL(18,0)))::DOUBLE / (count(p) * 1e9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
      FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY parent_id, record_id) GROUP BY parent_id),
    b AS (SELECT parent_id, CASE WHEN ratio >= 100 THEN '100%' ELSE concat(CAST(floor(ratio / 20) * 20 AS INT), '-', CAST(floor(ratio / 20) * 20 + 20 AS INT), '%') END AS bucket FROM kept),
    r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('11|', parent_id))) AS r FROM b)
@@ -190,12 +190,12 @@ def selection_report(spark, sf_dir):
     return report(nodes(spark, sf_dir), per_bucket=4, seed=11, step=20)
 
 
-@query("selection_counts", """WITH pr AS (SELECT parent_id, round(avg(p), 9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
+@query("selection_counts", """WITH pr AS (SELECT parent_id, sum(CAST(round(p * 1e9) AS DECIMAL(18,0)))::DOUBLE / (count(p) * 1e9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
      FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY parent_id, record_id) GROUP BY parent_id),
    g AS (SELECT *, o_custkey % 23 = 0 AS open_trace, o_custkey % 31 = 0 AS open_answer FROM grades), bad AS (SELECT DISTINCT parent_id FROM g WHERE open_trace OR open_answer),
    ok AS (SELECT parent_id, CASE WHEN ratio >= 100 THEN '100%' ELSE concat(CAST(floor(ratio / 20) * 20 AS INT), '%') END AS bucket FROM pr WHERE parent_id IN (SELECT parent_id FROM g) AND parent_id NOT IN (SELECT parent_id FROM bad))
    SELECT (SELECT count(DISTINCT parent_id) FROM g) AS total, (SELECT count(*) FROM ok) AS eligible, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY bucket) AS r FROM ok) WHERE r <= 25) AS selected,
-   (SELECT count(*) FROM g WHERE answer = 'P') AS ungraded, (SELECT count(DISTINCT parent_id) FROM g) - (SELECT count(*) FROM ok) AS rejected""")
+   (SELECT count(*) FROM g WHERE answer = 'P') AS ungraded, (SELECT count(*) FROM bad) AS rejected""")
 def selection_counts(spark, sf_dir):
     from traceloom.operators.scoring import problem_ratio
     from traceloom.plans import retry
@@ -207,6 +207,15 @@ def selection_counts(spark, sf_dir):
     return retry.selection_counts(rollouts, rows.where("answer <> 'P'"), answers, 25, 4, problem_ratio(nodes(spark, sf_dir), True))
 
 
+@query("rejected_problem_ids", "SELECT DISTINCT parent_id FROM grades WHERE o_custkey % 23 = 0 OR o_custkey % 31 = 0")
+def rejected_problem_ids(spark, sf_dir):
+    from traceloom.plans import retry
+
+    rows = grades(spark, sf_dir)
+    opened = lambda n: F.when(F.col("o_custkey") % n == 0, "<think>open").otherwise("done")
+    return retry.rejected_problems(rows.select("id", "parent_id", opened(23).alias("response")), rows.select("parent_id", opened(31).alias("answer")))
+
+
 @query("graph_done", "SELECT record_id, coalesce(bool_and(prove_status IN ('success', 'failed', 'skipped')) FILTER (origin NOT IN ('given', 'introduced')), true) AS done FROM nodes GROUP BY record_id")
 def graph_done(spark, sf_dir):
     from traceloom.schemas import ROOT_ORIGINS, TERMINAL

@@ -258,18 +258,18 @@ def apply_issues(spark, sf_dir):
     near AS (SELECT p.record_id, p.pos, count(DISTINCT f.pos) AS n FROM placed p JOIN links l ON l.record_id = p.record_id AND l.pos = p.pos
        JOIN facts f ON f.record_id = l.record_id AND f.fact_id = l.parent_id GROUP BY ALL)
     SELECT p.record_id, p.fact_id, p.nth, coalesce(n.n, 0)::INT AS context_facts, CASE WHEN length(p.text) > 60 THEN concat(substr(p.text, 1, 60), chr(10), '...[truncated ', length(p.text) - 60, ' chars]') ELSE p.text END AS text
-    FROM placed p LEFT JOIN near n ON n.record_id = p.record_id AND n.pos = p.pos WHERE nth <= 5""".replace("p.nth, ", ""),
+    FROM placed p LEFT JOIN near n ON n.record_id = p.record_id AND n.pos = p.pos""".replace("p.nth, ", ""),
 )
 def failure_payloads(spark, sf_dir):
     failed = lambda f: f["origin"].isin("derived", "answer") & f["formalized"] & ~f["verified"]
-    rows = datasets.failure_payloads(graph_records(spark, sf_dir), failed, "direct", max_failed=5, max_chars=60)
+    rows = datasets.failure_payloads(graph_records(spark, sf_dir), failed, "direct", max_chars=60)
     return rows.select("record_id", "fact_id", F.size("context").alias("context_facts"), "node.text")
 
 
 @query("failure_prompts")
 def failure_prompts(spark, sf_dir):
     failed = lambda f: f["origin"].isin("derived", "answer") & f["formalized"] & ~f["verified"]
-    rows = datasets.failure_payloads(graph_records(spark, sf_dir), failed, "ancestor", max_failed=3, max_chars=200)
+    rows = datasets.failure_payloads(graph_records(spark, sf_dir), failed, "ancestor", max_chars=200)
     asked = datasets.failure_prompts(rows, "", "Problem: {problem}\nWhy did this node fail?\n{payload}")
     return asked.select("record_id", "fact_id", F.md5(F.get("messages", F.lit(0))["content"]).alias("prompt_hash"))
 

@@ -76,11 +76,11 @@ def bucket_selection(spark, sf_dir):
 
 @query(
     "problem_ratio",
-    f"""WITH {RATIOS} SELECT regexp_extract(record_id, '^(.*)__rollout_', 1) AS parent_id, round(avg(prove_percent), 9) AS ratio_percent FROM percents
+    f"""WITH {RATIOS} SELECT regexp_extract(record_id, '^(.*)__rollout_', 1) AS parent_id, {sql_mean('prove_percent', 9)} AS ratio_percent FROM percents
     WHERE scope = 'exclude_skipped_derived' GROUP BY ALL""",
 )
 def problem_ratio(spark, sf_dir):
-    return scoring.problem_ratio(nodes(spark, sf_dir), False).select("parent_id", F.round("ratio_percent", 9).alias("ratio_percent"))
+    return scoring.problem_ratio(nodes(spark, sf_dir), False)
 
 
 CATEGORY_ROWS = """category_rows AS (SELECT concat('p', o_orderkey // 4) AS parent_id, o_orderkey AS ord,

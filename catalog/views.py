@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions.rows import settle
-from traceloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +117,9 @@ LINKS_SQL = """
 def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = lambda n: F.concat(F.lit("f_"), n.cast("string"))
-    staged = spread(docs.select(
+    staged = docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), "source", F.col("text").alias("raw_cot"), "doc_id"
-    ))
+    )
     numbered = F.transform(
         F.split("raw_cot", r"\. "),
         lambda s, i: F.struct(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceloom.operators import attempts, ids, ranks, routing, sampling, scoring, stats
-from traceloom.session import cut_lineage, scratch_path, spread
+from traceloom.session import cut_lineage, scratch_path
 from traceloom.sources import readers, sinks
 from traceloom.streaming import live
 
@@ -42,18 +42,19 @@ def test_row_ranks_with_null_groups(spark):
     assert got == expected_ranks(df.collect(), lambda r: r["v"])
 
 
-def test_hash_rank_is_a_permutation_per_group(spark):
-    df = skewed(spark, 9_000)
-    rows = ranks.hash_rank(df, ["key"], ranks.seeded_hash(3, "id")).collect()
-    groups = {}
-    for r in rows:
-        groups.setdefault(r["key"], []).append(r["rank"])
-    assert len(rows) == 9_000 and all(sorted(g) == list(range(1, len(g) + 1)) for g in groups.values())
+def test_draw_bounds_are_the_nth_digests(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise("rest").alias("key"), "id")
+    draw = ranks.seeded_hash(3, "id")
+    ordered = {}
+    for r in df.withColumn("d", draw).collect():
+        ordered.setdefault(r.key, []).append(r.d)
+    got = {r.key: r._bound for r in ranks.draw_bounds(df, ["key"], draw, 700).collect()}
+    assert got == {"hot": sorted(ordered["hot"])[699]}
 
 
 def test_top_per_prunes_before_the_shuffle(spark):
     plan = ranks.top_per(skewed(spark), ["key"], [F.col("v")], 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4
 
 
 def test_best_of_n_does_not_sort_groups(spark):
@@ -167,7 +168,6 @@ def test_run_statistics_from_folders(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
 
 
 def test_stream_status_equals_the_fold(spark):
@@ -181,7 +181,7 @@ def test_stream_status_equals_the_fold(spark):
     log.unionByName(log).repartition(3).write.parquet(path)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = scratch_path(spark, "out")
-    live.run_updates(live.stream_status(stream, 3), out, scratch_path(spark, "mark"), ["record_id", "fact_id"])
+    live.run_updates(live.stream_status(stream, 3), out, scratch_path(spark, "mark"))
     got = {(r["record_id"], r["fact_id"]): (r["tries"], r["status"]) for r in live.latest_updates(spark, out, ["record_id", "fact_id"]).collect()}
     want = {(r["record_id"], r["fact_id"]): (r["tries"], r["status"]) for r in attempts.fold_status(log, 3).collect()}
     assert got == want
@@ -200,3 +200,38 @@ def test_sinks(spark):
 def test_ordered_ids(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (" ", 0)], "k string, pos int")
     assert [r["k"] for r in ids.requested_ids(df, "k", F.col("pos"), 5).orderBy("first_seen").collect()] == ["b", "a"]
+
+
+def test_draws_move_no_payload(spark):
+    import re
+
+    from traceloom.operators import sampling
+
+    rows = spark.range(5000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("part"), F.repeat(F.lit("x"), 50).alias("payload"))
+    plans = {
+        "sample_n": sampling.sample_n(rows, 10, 1, "key"),
+        "sample_per": sampling.sample_per(rows, "part", 10, 1, "key"),
+        "split": sampling.split_by_ratio(rows, "key"),
+        "stratified": sampling.sample_stratified(rows.withColumn("part", F.col("part").cast("string")), "part", 1, "key", per_bucket=5),
+    }
+    for name, df in plans.items():
+        text = df._jdf.queryExecution().executedPlan().toString()
+        for line in text.split("\n"):
+            assert not (re.search(r"\bExchange\b", line) and "payload" in line), (name, line)
+        assert "payload" not in str([x for x in re.findall(r"Window \[.*", text)])
+
+
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_draws_have_one_way_for_every_size(spark, n):
+    import hashlib
+
+    from traceloom.operators import ranks, sampling
+
+    rows = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("part"))
+    digest = {k: hashlib.md5(f"5|{k}".encode()).hexdigest() for k in range(4000)}
+    want = sorted(range(4000), key=digest.get)[:n]
+    assert sorted(r.key for r in sampling.sample_n(rows, n, 5, "key").collect()) == sorted(want)
+    per = {p: sorted((k for k in range(4000) if k % 3 == p), key=digest.get)[:n] for p in range(3)}
+    assert sorted(r.key for r in sampling.sample_per(rows, "part", n, 5, "key").collect()) == sorted(k for v in per.values() for k in v)
+    top = ranks.top_per(rows, ["part"], [F.col("key").desc()], n).collect()
+    assert {(r.part, r["rank"]): r.key for r in top} == {(p, i + 1): k for p in range(3) for i, k in enumerate(sorted((k for k in range(4000) if k % 3 == p), reverse=True)[:n])}

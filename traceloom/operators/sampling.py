@@ -6,17 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.bins import bucket_labels
-from traceloom.operators.ranks import TASK_SIDE_LIMIT, hash_rank, row_ranks, seeded_hash, top_per
+from traceloom.operators.ranks import draw_bounds, drawn_first, row_ranks, seeded_hash, top_per
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str, strict: bool = True) -> DataFrame:
     """``n`` rows without replacement; with ``strict`` a sample larger than the data is an error."""
     if strict and df.limit(n).count() < n:
         raise ValueError(f"cannot draw {n} rows: the input has fewer")
-    draw = seeded_hash(seed, key)
-    if n <= TASK_SIDE_LIMIT:
-        return df.orderBy(draw).limit(n)
-    return hash_rank(df, [], draw, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return drawn_first(df, [], seeded_hash(seed, key), n)
 
 
 def sample_where(df: DataFrame, condition: Column, n: int, seed: int, key: str) -> DataFrame:
@@ -26,12 +23,7 @@ def sample_where(df: DataFrame, condition: Column, n: int, seed: int, key: str)
 
 def sample_per(df: DataFrame, by: str, n: int, seed: int, key: str, total: int | None = None) -> DataFrame:
     """Up to ``n`` rows of every group; ``total`` then draws that many from what is left."""
-    draw = seeded_hash(seed, key)
-    if n <= TASK_SIDE_LIMIT:
-        drawn = top_per(df.withColumn("_draw", draw), [by], [F.col("_draw")], n, "_rank")
-    else:
-        drawn = hash_rank(df, [by], draw, "_rank").where(F.col("_rank") <= n)
-    drawn = drawn.select(*df.columns)
+    drawn = drawn_first(df, [by], seeded_hash(seed, key), n)
     return drawn if total is None else sample_n(drawn, total, seed, key, strict=False)
 
 
@@ -43,10 +35,9 @@ def sample_stratified(
         raise ValueError("give either n or per_bucket")
     draw = seeded_hash(seed, key)
     limit = per_bucket if per_bucket is not None else n
-    if limit <= TASK_SIDE_LIMIT:
-        ranked = top_per(df.withColumn("_draw", draw), [bucket], [F.col("_draw")], limit, "_rank")
-    else:
-        ranked = hash_rank(df, [bucket], draw, "_rank").where(F.col("_rank") <= limit)
+    if per_bucket is not None:
+        return drawn_first(df, [bucket], draw, limit)
+    ranked = top_per(drawn_first(df, [bucket], draw, limit).withColumn("_draw", draw), [bucket], [F.col("_draw")], limit, "_rank")
     if per_bucket is None:
         labels = F.array(*[F.lit(label) for label in bucket_labels(step)])
         place = F.array_position(labels, F.col(bucket))
@@ -84,18 +75,15 @@ def split_by_ratio(df: DataFrame, key: str, train: float = 0.98, val: float = 0.
     n_train, n_val, n_test = split_sizes(df.count(), train, val)
     if min(n_train, n_val, n_test) <= 0:
         raise ValueError(f"empty split: train={n_train}, val={n_val}, test={n_test}")
-    ranked = hash_rank(df, [], seeded_hash(seed, key), "_rank")
-    part = (
-        F.when(F.col("_rank") <= n_train, F.lit("train"))
-        .when(F.col("_rank") <= n_train + n_val, F.lit("val"))
-        .otherwise(F.lit("test"))
-    )
-    return ranked.withColumn("split", part).drop("_rank")
+    draw = seeded_hash(seed, key)
+    first, second = (draw_bounds(df, [], draw, n).select("_bound").scalar() for n in (n_train, n_train + n_val))
+    part = F.when(draw <= first, F.lit("train")).when(draw <= second, F.lit("val")).otherwise(F.lit("test"))
+    return df.withColumn("split", part)
 
 
 def split_by_range(df: DataFrame, order: list[Column], train_count: int = 10_000, val_count: int = 1_000) -> DataFrame:
     """Add ``split`` to the first rows in ``order``: train, then val. Too few rows is an error."""
     if df.limit(train_count + val_count).count() < train_count + val_count:
         raise ValueError(f"need {train_count + val_count} rows")
-    ranked = row_ranks(df, [], order, "_rank").where(F.col("_rank") <= train_count + val_count)
+    ranked = top_per(df, [], order, train_count + val_count, "_rank")
     return ranked.withColumn("split", F.when(F.col("_rank") <= train_count, F.lit("train")).otherwise(F.lit("val"))).drop("_rank")

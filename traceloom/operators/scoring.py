@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.functions.exact import exact_mean
 from traceloom.functions.bins import bucket_labels, percent_bucket, small_table, zero_filled
 from traceloom.operators.ranks import row_ranks, top_per
 from traceloom.schemas import PROVED_ORIGINS
@@ -232,12 +233,15 @@ def select_by_bucket(nodes: DataFrame, buckets: list[str], n: int, order: list[C
 
 
 def problem_ratio(nodes: DataFrame, include_skipped: bool, keys: list[str] = ["parent_id"]) -> DataFrame:
-    """Mean over a problem's rollouts of their proof ratio in percent; 0 for a rollout with nothing to prove."""
+    """Mean over a problem's rollouts of their proof ratio in percent; 0 for a rollout with nothing to prove.
+
+    The ratios are added up in whole units of 10^-9 percent, so that neither the mean nor its bucket hangs on summing order.
+    """
     scope = required(not include_skipped)
     per_record = nodes.groupBy(*keys, "record_id").agg(
         F.count_if(scope).alias("_need"), F.count_if(scope & YES(F.col("lean_verify"))).alias("_done")
     )
-    return per_record.groupBy(*keys).agg(F.avg(ratio(F.col("_done"), F.col("_need")) * 100.0).alias("ratio_percent"))
+    return per_record.groupBy(*keys).agg(exact_mean(ratio(F.col("_done"), F.col("_need")) * 100.0, 9).alias("ratio_percent"))
 
 
 def with_category(records: DataFrame, categories: DataFrame, order: str) -> DataFrame:

@@ -34,9 +34,8 @@ def selection_summary(nodes: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def selection_report(nodes: DataFrame, per_bucket: int, seed: int, step: int = 20) -> DataFrame:
-    """Problems and sampled problems per ratio bucket; the mean is rounded so that no bucket hangs on summing order."""
-    mean = F.round("ratio_percent", 9)
-    problems = problem_ratio(nodes, True).select("parent_id", percent_bucket(mean, step).alias("bucket"))
+    """Problems and sampled problems per ratio bucket."""
+    problems = problem_ratio(nodes, True).select("parent_id", percent_bucket(F.col("ratio_percent"), step).alias("bucket"))
     drawn = sample_stratified(problems, "bucket", seed, "parent_id", per_bucket=per_bucket, step=step)
     before = problems.groupBy("bucket").agg(F.count("*").alias("problems"))
     after = drawn.groupBy("bucket").agg(F.count("*").alias("sampled"))
@@ -49,13 +48,19 @@ def selection_counts(rollouts: DataFrame, grades: DataFrame, answers: DataFrame,
     ``answers`` holds the graded answer texts, ``ratios`` the proof ratio of each problem.
     """
     kept = reject_problems(rollouts, answers)
-    bucket = percent_bucket(F.round("ratio_percent", 9), step)
+    bucket = percent_bucket(F.col("ratio_percent"), step)
     eligible = ratios.join(kept.select("parent_id").distinct(), "parent_id", "left_semi").withColumn("bucket", bucket)
     drawn = sample_stratified(eligible, "bucket", seed, "parent_id", per_bucket=per_bucket, step=step)
     ungraded = rollouts.select("id").join(grades.select("id"), "id", "left_anti")
-    named = {"total": rollouts.select("parent_id").distinct(), "eligible": eligible, "selected": drawn, "ungraded": ungraded}
-    counts = output_counts(named).groupBy().pivot("output", list(named)).sum("rows")
-    return counts.withColumn("rejected", F.col("total") - F.col("eligible"))
+    problems = rollouts.select("parent_id").distinct()
+    named = {"total": problems, "eligible": eligible, "selected": drawn, "ungraded": ungraded, "rejected": rejected_problems(rollouts, answers)}
+    return output_counts(named).groupBy().pivot("output", list(named)).sum("rows")
+
+
+def rejected_problems(rollouts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Ids of the problems that are left out because a rollout or an answer of theirs ends inside open thinking."""
+    kept = reject_problems(rollouts, answers).select("parent_id").distinct()
+    return rollouts.select("parent_id").distinct().join(kept, "parent_id", "left_anti")
 
 
 def metrics(nodes: DataFrame, grades: DataFrame) -> DataFrame:
