@@ -392,6 +392,12 @@ def safe_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize_name(F.col("url")).alias("name"))
 
 
+@query("nested_error_texts", """SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE concat('{"chars":', n_chars, ',"lang":"', lang, '"}') END AS error_text FROM documents""")
+def nested_error_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.struct("lang", F.col("n_chars").alias("chars"))).alias("error"))
+    return rows.select("doc_id", text.error_text(F.col("error"), rows.schema["error"].dataType).alias("error_text"))
+
+
 @query("error_texts", """SELECT record_id, fact_id, error_msg AS error_text FROM nodes""")
 def error_texts(spark, sf_dir):
     return nodes(spark, sf_dir).select("record_id", "fact_id", text.error_text(F.col("error_msg")).alias("error_text"))

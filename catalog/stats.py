@@ -355,3 +355,24 @@ def runtime_rollup(spark, sf_dir):
         F.col("event_type").alias("stage"), at.alias("started"), at.alias("ended"), F.col("value").alias("check_seconds"), (F.col("value") / 10).alias("idle_seconds")
     )
     return stats.runtime_rollup(log)
+
+
+@query(
+    "trace_gaps",
+    """WITH r AS (SELECT doc_id % 7 AS step, list_filter([1, 2, 3], lambda i: doc_id % 11 <> 0) AS ids, doc_id FROM documents),
+    u AS (SELECT step, doc_id, unnest(ids) AS i FROM r), steps AS (SELECT DISTINCT step FROM r)
+    SELECT s.step, count(u.i) AS rollouts, count(*) FILTER (u.i IS NOT NULL AND (u.doc_id + u.i) % 5 = 1) AS missing_trace, count(*) FILTER (u.i IS NOT NULL AND (u.doc_id + u.i) % 5 = 2) AS invalid_trace,
+    CAST(grouping(s.step) AS TINYINT) AS overall FROM steps s LEFT JOIN u USING (step) GROUP BY GROUPING SETS ((s.step), ())""",
+)
+def trace_gaps(spark, sf_dir):
+    from traceloom.sources.readers import explode_samples
+
+    docs = table(spark, sf_dir, "documents")
+    kind = lambda i: (F.col("doc_id") + i) % 5
+    trace = lambda i: F.when(kind(i) == 1, F.lit(None)).when(kind(i) == 2, F.lit("[1, 2]")).otherwise(F.to_json(F.struct(F.col("n_chars").alias("score"))))
+    rollouts = F.transform(
+        F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.col("doc_id") % 11 != 0),
+        lambda i: F.struct(F.lit("0.5").alias("reward"), trace(i).alias("trace")),
+    )
+    records = docs.select((F.col("doc_id") % 7).cast("string").alias("step"), rollouts.alias("rollouts"))
+    return stats.trace_gaps(explode_samples(records, ["score"]))

@@ -235,3 +235,43 @@ def test_draws_have_one_way_for_every_size(spark, n):
     assert sorted(r.key for r in sampling.sample_per(rows, "part", n, 5, "key").collect()) == sorted(k for v in per.values() for k in v)
     top = ranks.top_per(rows, ["part"], [F.col("key").desc()], n).collect()
     assert {(r.part, r["rank"]): r.key for r in top} == {(p, i + 1): k for p in range(3) for i, k in enumerate(sorted((k for k in range(4000) if k % 3 == p), reverse=True)[:n])}
+
+
+def test_finished_rows_without_prompt_or_context(spark):
+    done = spark.createDataFrame(
+        [(1, "p", "c0_parent"), (2, None, None), (3, " ", ""), (4, "q", "c0_parent"), (5, "p", "c1"), (6, None, "c1")], "id int, prompt string, context_mode string"
+    )
+    assert sorted(r.id for r in routing.incompatible(done, "p", "c0_parent").collect()) == [4, 5, 6]
+    assert sorted(r.id for r in routing.incompatible(done, "p", "c1").collect()) == [1, 2, 3, 4]
+
+
+def test_node_without_prove_status_is_pending(spark):
+    nodes = spark.createDataFrame([("r", "success", None), ("r", "success", "success")], "record_id string, form_status string, prove_status string")
+    row = stats.record_status(nodes.withColumns({"form_failed": F.lit(0), "prove_failed": F.lit(0)})).first()
+    assert (row.prove_pending, row.prove_success) == (1, 1)
+
+
+def test_steps_without_rollouts_and_traces(spark):
+    records = spark.createDataFrame(
+        [("1", [("0.5", '{"score":"1"}'), ("0.5", None), ("1", "[1]"), None, ("2", "null")]), ("2", None), ("3", [])], "step string, rollouts array<struct<reward:string,trace:string>>"
+    )
+    rows = readers.explode_samples(records, ["score"])
+    gaps = {r.step: (r.rollouts, r.missing_trace, r.invalid_trace) for r in stats.trace_gaps(rows).collect()}
+    assert gaps == {1: (5, 2, 2), 2: (0, 0, 0), 3: (0, 0, 0), None: (5, 2, 2)}
+    spread = {r.step: (r.n, r.missing) for r in stats.reward_by_step(rows).collect()}
+    assert spread == {1: (4, 1), 2: (0, 0), 3: (0, 0), None: (4, 1)}
+    numbers, _ = stats.reward_trace_by_step(rows, ["score"], ["score"])
+    assert {(r.step, r.n, r.missing) for r in numbers.collect()} == {(1, 1, 0), (None, 1, 0)}
+
+
+def test_run_folders_and_paths(spark, tmp_path):
+    for name, files in {"step_proof_a": ["summary/metrics.json", "scores.jsonl"], "step_proof_b": ["metrics.json"], "step_proof_c": []}.items():
+        (tmp_path / name).mkdir()
+        for f in files:
+            (tmp_path / name / f).parent.mkdir(exist_ok=True)
+            (tmp_path / name / f).write_text("{}")
+    root = str(tmp_path)
+    status = readers.experiment_status(readers.list_files(spark, root), ["summary/metrics.json", "scores.jsonl"], readers.run_folders(spark, root))
+    assert {r.experiment: r.missing for r in status.collect()} == {
+        "step_proof_a": [], "step_proof_b": ["summary/metrics.json", "scores.jsonl"], "step_proof_c": ["summary/metrics.json", "scores.jsonl"]
+    }

@@ -32,9 +32,13 @@ def to_step(c: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")), signed)
 
 
+NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+
+
 def to_float(c: Column) -> Column:
-    """Finite number or null."""
-    value = strip(c).try_cast("double")
+    """Finite number written in decimal digits, or null; type letters as in ``1d`` are no numbers."""
+    text = strip(c)
+    value = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 

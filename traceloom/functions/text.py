@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 # Characters a plain strip() removes, the rollout id marker and the thinking tags.
 WHITESPACE = (
@@ -104,8 +105,12 @@ def sanitize_name(c: Column, n: int = 140, default: str = "cases") -> Column:
     return F.when(safe == "", F.lit(default)).otherwise(safe)
 
 
-def error_text(c: Column) -> Column:
-    """Null becomes ''; text stays; a nested value becomes JSON."""
+def error_text(c: Column, kind: DataType | None = None) -> Column:
+    """Null becomes ''; text stays; a value of a nested ``kind`` becomes compact JSON with sorted keys."""
+    if isinstance(kind, VariantType):
+        return F.coalesce(F.to_json(c), F.lit(""))
+    if isinstance(kind, (StructType, ArrayType, MapType)):
+        return F.coalesce(F.to_json(F.to_variant_object(c)), F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
 
 

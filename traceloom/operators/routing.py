@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.functions.text import strip
 from traceloom.functions.chat import prompt_tokens, quarter_length
 from traceloom.functions.checks import classify_api_error
 from traceloom.functions.coerce import coerce_skip
@@ -54,8 +55,11 @@ def check_compatible(done: DataFrame, prompt: str, context: str) -> None:
 
 
 def incompatible(done: DataFrame, prompt: str, context: str) -> DataFrame:
-    made_with = F.coalesce(F.col("context_mode"), F.lit(DEFAULT_CONTEXT))
-    return done.where(~F.col("prompt").eqNullSafe(F.lit(prompt)) | (made_with != context))
+    """Finished rows made with another prompt or context. Without a noted prompt any prompt will do; without a noted context, null or
+    blank, a row was made with the default one."""
+    noted = F.nullif(strip(F.coalesce(F.col("prompt"), F.lit(""))), F.lit(""))
+    made_with = F.coalesce(F.nullif(strip(F.coalesce(F.col("context_mode"), F.lit(""))), F.lit("")), F.lit(DEFAULT_CONTEXT))
+    return done.where((noted.isNotNull() & (noted != prompt)) | (made_with != context))
 
 
 def reject_problems(rollouts: DataFrame, grades: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ def error_examples(nodes: DataFrame, stage: str, order: list[str], n: int = 100)
 
 
 def record_status(nodes: DataFrame, include_prove: bool = True) -> DataFrame:
-    """Status counts of each record and whether it completed with failures."""
+    """Status counts of each record and whether it completed with failures; a node without a prove status is pending."""
     stages = ["form", "prove"] if include_prove else ["form"]
-    counts = [F.count_if(F.col(f"{s}_status") == v).alias(f"{s}_{v}") for s in stages for v in TERMINAL + ["pending", "running"]]
+    state_of = {"form": F.col("form_status"), "prove": F.coalesce("prove_status", F.lit("pending")) if include_prove else None}
+    counts = [F.count_if(state_of[s] == v).alias(f"{s}_{v}") for s in stages for v in TERMINAL + ["pending", "running"]]
     failed = F.lit(0)
     for s in stages:
         failed = failed + F.col(f"{s}_failed")
@@ -109,12 +110,16 @@ def _with_step(samples: DataFrame) -> DataFrame:
 
 
 def reward_by_step(samples: DataFrame, field: str = "reward") -> DataFrame:
-    """Reward spread per step and over all (step null); missing and unreadable rewards are counted apart."""
+    """Reward spread per step and over all (step null); missing and unreadable rewards are counted apart.
+
+    A step without rollouts, whose row has a null ``rollout_idx``, has a row of its own and no missing reward.
+    """
     raw = F.col(field).cast("string")
-    read = _with_step(samples).select("step", raw.alias("_raw"), to_float(raw).alias("_x"))
+    there = F.col("rollout_idx").isNotNull() if "rollout_idx" in samples.columns else F.lit(True)
+    read = _with_step(samples).select("step", raw.alias("_raw"), to_float(raw).alias("_x"), there.alias("_there"))
     return read.rollup("step").agg(
         *_spread(F.col("_x")),
-        F.count_if(F.col("_raw").isNull()).alias("missing"),
+        F.count_if(F.col("_raw").isNull() & F.col("_there")).alias("missing"),
         F.count_if(F.col("_raw").isNotNull() & F.col("_x").isNull()).alias("invalid"),
         F.grouping("step").alias("overall"),
     )
@@ -137,9 +142,21 @@ def sample_gaps(records: DataFrame) -> DataFrame:
     )
 
 
+def trace_gaps(samples: DataFrame) -> DataFrame:
+    """Per step, and over all (step null), rollouts, those without a trace and those whose trace is no object."""
+    return _with_step(samples).rollup("step").agg(
+        F.count_if(F.col("trace_state") != "none").alias("rollouts"),
+        F.count_if(F.col("trace_state") == "missing").alias("missing_trace"),
+        F.count_if(F.col("trace_state") == "invalid").alias("invalid_trace"),
+        F.grouping("step").alias("overall"),
+    )
+
+
 def reward_trace_by_step(samples: DataFrame, metrics: list[str], bools: list[str]) -> tuple[DataFrame, DataFrame]:
     """Per step, and over all, spread of each numeric field and rate of each flag of the reward trace."""
     rows = _with_step(samples)
+    if "trace_state" in samples.columns:
+        rows = rows.where("trace_state = 'ok'")
     numbers = rows.select(
         "step",
         F.inline(F.array(*[F.struct(F.lit(m).alias("field"), F.col(m).cast("string").alias("_raw")) for m in metrics])),

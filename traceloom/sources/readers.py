@@ -21,7 +21,7 @@ def read_traces(
     spark: SparkSession, path: str, glob: str = "*.parquet", id_col: str = "id", question_col: str = "question",
     response_col: str = "response", answer_col: str | None = None, limit: int = -1,
 ) -> DataFrame:
-    """Trace shards with the file and row each trace came from; ``limit`` takes the first ones in that order."""
+    """Trace shards with the file, relative to ``path``, and row each trace came from; ``limit`` takes the first in that order."""
     raw = spark.read.option("pathGlobFilter", glob).parquet(path)
     require_columns(raw, [id_col, question_col, response_col] + ([answer_col] if answer_col else []))
     rows = raw.select(
@@ -29,7 +29,7 @@ def read_traces(
         F.col(question_col).cast("string").alias("problem"),
         F.col(response_col).cast("string").alias("raw_cot"),
         (F.col(answer_col).cast("string") if answer_col else F.lit("")).alias("reference_answer"),
-        F.col("_metadata.file_name").alias("source_file"),
+        F.substring_index("_metadata.file_path", path.rstrip("/") + "/", -1).alias("source_file"),
         F.col("_metadata.row_index").alias("source_row_pos"),
     )
     return rows.orderBy("source_file", "source_row_pos").limit(limit) if limit >= 0 else rows
@@ -67,9 +67,22 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_samples(records: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per rollout of step records, with the named trace fields as raw text."""
-    rows = records.select("step", F.posexplode("rollouts").alias("rollout_idx", "_r"))
-    return rows.select("step", "rollout_idx", "_r.reward", *[F.get_json_object("_r.trace", f"$.{f}").alias(f) for f in fields])
+    """One row per rollout of step records, with the named trace fields as raw text.
+
+    ``trace_state`` is ok, missing (no trace) or invalid (a rollout or trace that is no object); a record without rollouts keeps one
+    row of state none.
+    """
+    rows = records.select("step", F.posexplode_outer("rollouts").alias("rollout_idx", "_r"))
+    kind = F.schema_of_variant(F.try_parse_json("_r.trace"))
+    state = (
+        F.when(F.col("rollout_idx").isNull(), "none")
+        .when(F.col("_r").isNull(), "invalid")
+        .when(F.col("_r.trace").isNull() | (kind == "VOID"), "missing")
+        .when(kind.startswith("OBJECT"), "ok")
+        .otherwise("invalid")
+    )
+    traces = [F.get_json_object("_r.trace", f"$.{f}").alias(f) for f in fields]
+    return rows.select("step", "rollout_idx", "_r.reward", *traces, state.alias("trace_state"))
 
 
 def final_over_checkpoints(final: DataFrame, checkpoints: DataFrame, final_order: Column, checkpoint_order: Column) -> DataFrame:
@@ -121,15 +134,28 @@ def experiment_ratios(rows: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files under ``root`` with the first folder below it and their size; contents are not read."""
+    """Files under ``root``: the run folder they are in, their path below it and their size; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     below = F.substring_index("path", root.rstrip("/") + "/", -1)
-    return files.select(F.substring_index(below, "/", 1).alias("experiment"), F.expr("regexp_replace(path, '^.*/', '')").alias("file"), "length")
+    return files.select(F.substring_index(below, "/", 1).alias("experiment"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), "length")
+
 
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the folders right below ``root``, empty ones included."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    return spark.createDataFrame([(n,) for n in names], "experiment string")
 
-def experiment_status(files: DataFrame, required: list[str]) -> DataFrame:
-    """Per run the required files that are missing or empty; runs are complete when there are none."""
+
+def experiment_status(files: DataFrame, required: list[str], folders: DataFrame | None = None) -> DataFrame:
+    """Per run the required files, by their path below the run folder, that are missing or empty; complete when there are none.
+
+    ``folders`` names all runs, so that those without any file have a row too.
+    """
     present = F.collect_set(F.when((F.col("length") > 0) & F.col("file").isin(required), F.col("file")))
     status = files.groupBy("experiment").agg(present.alias("_have"))
-    missing = F.array_except(F.array(*[F.lit(r) for r in required]), F.col("_have"))
+    if folders is not None:
+        status = folders.select("experiment").distinct().join(status, "experiment", "left")
+    missing = F.array_except(F.array(*[F.lit(r) for r in required]), F.coalesce("_have", F.array().cast("array<string>")))
     return status.select("experiment", missing.alias("missing"), (F.size(missing) == 0).alias("complete"))
