@@ -321,3 +321,51 @@ def candidate_rewards(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), answer.alias("model_output"))
     parsed = reward.parse_candidates(rows).withColumns({"formalized": F.array(F.lit("f_2")), "verified": F.array(F.lit("f_1"))})
     return reward.score_graphs(parsed).select("record_id", "valid_json", "validator_passed", F.round("score", 6).alias("score"))
+
+
+# Answers by kind: what is wrong with the second fact, or with the whole answer, and what it scores.
+SCHEMA_CASES = [
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {second}]}}', None, 0.6),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {no_origin}]}}', "facts.1.origin: Field required", -0.55),
+    ('{{"problem_text": "q", "facts": [{first}, {second}]}}', "problem_id: Field required", -0.55),
+    ('{{"problem_id": "p", "facts": [{first}, {second}]}}', "problem_text: Field required", -0.55),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {number_text}]}}', "facts.1.text: Input should be a valid string", -0.55),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {spelled}]}}', None, 0.6),
+    ('```json\n[{first}, {second}]\n```', ": Input should be a valid dictionary or instance of FDGDocument", -0.55),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [], "extra": [0x1F, +1, .5],}}', "The FDG must contain at least one fact.", -0.55),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, 7]}}', "facts.1: Input should be a valid dictionary or instance of FactItem", -0.55),
+    ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {second_part}]}}', "facts.1.skip: Input should be a valid integer, got a number with a fractional part", -0.55),
+    ("no answer", None, -1.0),
+]
+SECOND = '{"fact_id": "f_2", "text": "so", "parent_fact_ids": ["f_1"], "is_final_answer": true, "origin": "answer"}'
+PIECES = {
+    "second": SECOND,
+    "no_origin": SECOND.replace(', "origin": "answer"', ""),
+    "number_text": SECOND.replace('"so"', "5"),
+    "spelled": SECOND.replace("true", '"Yes"'),
+    "second_part": SECOND.replace("}", ', "skip": 0.5}'),
+}
+
+
+def _schema_sql():
+    kinds = " ".join(f"WHEN {k} THEN {score}" for k, (_, _, score) in enumerate(SCHEMA_CASES))
+    texts = " ".join(f"WHEN {k} THEN '{problem}'" for k, (_, problem, _) in enumerate(SCHEMA_CASES) if problem)
+    return f"""SELECT doc_id, doc_id % {len(SCHEMA_CASES)} < {len(SCHEMA_CASES) - 1} AS valid_json,
+      CASE WHEN blank AND k IN (0, 5) THEN 'Fact text must not be empty.' ELSE CASE k {texts} END END AS message,
+      CAST(CASE WHEN blank AND k IN (0, 5) THEN -0.25 ELSE CASE k {kinds} END END AS DOUBLE) AS score
+      FROM (SELECT doc_id, doc_id % {len(SCHEMA_CASES)} AS k, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' AS blank FROM documents)"""
+
+
+@query("candidate_schema_rewards", _schema_sql())
+def candidate_schema_rewards(spark, sf_dir):
+    """Answers with every kind of schema fault round a fact that holds the document's text: first finding and score."""
+    first = F.to_json(F.struct(F.lit("f_1").alias("fact_id"), F.col("text"), F.array().cast("array<string>").alias("parent_fact_ids"), F.lit("given").alias("origin")))
+    answers = F.lit(None)
+    for k, (template, _, _) in enumerate(SCHEMA_CASES):
+        parts = template.format(first="\0", **PIECES).split("\0")
+        whole = F.lit(parts[0]) if len(parts) == 1 else F.concat(F.lit(parts[0]), first, F.lit(parts[1]))
+        answers = F.coalesce(F.when(F.col("doc_id") % len(SCHEMA_CASES) == k, whole), answers)
+    rows = table(spark, sf_dir, "documents").select("doc_id", answers.alias("model_output"))
+    parsed = reward.parse_candidates(rows).withColumns({"formalized": F.array(F.lit("f_2")), "verified": F.array(F.lit("f_1"))})
+    scored = reward.score_graphs(parsed)
+    return scored.select("doc_id", "valid_json", F.when(F.col("valid_json"), F.get("errors", F.lit(0))["message"]).alias("message"), F.round("score", 6).alias("score"))

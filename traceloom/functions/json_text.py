@@ -101,6 +101,45 @@ def parse_llm_json(c: Column, schema: str, corrupt: str = "_unreadable") -> Colu
     return F.when(parsed.isNotNull() & parsed[corrupt].isNull(), parsed.dropFields(corrupt))
 
 
+def plain_numbers(c: Column) -> Column:
+    """Numbers of relaxed JSON as strict ones: no plus sign, a digit on both sides of the point, and hexadecimal ones as 0, 1 or 2.
+
+    A hexadecimal number only matters by being a number, none, or one: the graph fields that hold numbers are flags.
+    """
+    rules = [
+        (r"(?<![\w.])\+(?=[0-9.])", ""),
+        (r"(?<![\w.])\.(?=[0-9])", "0."),
+        (r"(?<=[0-9])\.(?![0-9])", ".0"),
+        (r"\b0[xX]0+(?![0-9a-fA-F])", "0"),
+        (r"\b0[xX]0*1(?![0-9a-fA-F])", "1"),
+        (r"\b0[xX][0-9a-fA-F]+", "2"),
+    ]
+
+    def outside(piece: Column) -> Column:
+        for pattern, plain in rules:
+            piece = F.regexp_replace(piece, pattern, plain)
+        return piece
+
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s){QUOTED}|[^\"']+|."), 0)
+    quoted = lambda p: p.startswith('"') | p.startswith("'")
+    return F.array_join(F.transform(pieces, lambda p: F.when(quoted(p), p).otherwise(outside(p))), "")
+
+
+def read_answer(c: Column) -> Column:
+    """The JSON value of an answer as a VARIANT, whatever its type; null when it holds no readable JSON.
+
+    Strict JSON is read as it is, then with lone backslashes repaired, then as relaxed JSON.
+    """
+    block = extract_json_block(c)
+
+    def read(t: Column) -> Column:
+        repaired = repair_backslashes(t)
+        relaxed = F.from_json(plain_numbers(drop_trailing_commas(drop_comments(repaired))), "variant", RELAXED_JSON)
+        return F.coalesce(F.try_parse_json(t), F.try_parse_json(repaired), relaxed)
+
+    return bind(block, read)
+
+
 def extract_json_object(c: Column) -> Column:
     """Strict JSON text of a short report answer: fences off, else first { to last }; null when unreadable."""
     text = strip(c)

@@ -300,7 +300,8 @@ def _link_issues(cells: Column, back: Column, checks: ValidationChecks) -> Colum
 def validate_graphs(records: DataFrame, checks: ValidationChecks = ValidationChecks()) -> DataFrame:
     """Add ``errors``, ``warnings`` and ``passed`` to records with ``facts`` and ``problem_text``, and set ``skip``.
 
-    Findings keep the order in which a reader of the graph would meet them.
+    Findings keep the order in which a reader of the graph would meet them. Where records have ``schema_errors`` and a record's list
+    holds any, these are its findings and nothing else is looked at.
     """
     cells, ids, back = F.col("_f"), F.col("_ids"), F.col("_back")
     finals = F.size(F.filter(cells, lambda f: f["final"]))
@@ -331,10 +332,12 @@ def validate_graphs(records: DataFrame, checks: ValidationChecks = ValidationChe
     linked = _with_skip(with_links(records))
     if checks.dependency_structure:
         linked = settle(linked, _cyclic=cycle_reaching())
+    mistyped = F.size(F.coalesce("schema_errors", none)) > 0 if "schema_errors" in records.columns else F.lit(False)
+    first = F.when(mistyped, F.col("schema_errors")) if "schema_errors" in records.columns else F.when(F.lit(False), none)
     judged = settle(
         linked,
-        errors=F.when(empty, F.array(_issue("empty_facts")).cast(ISSUES)).otherwise(F.concat(*parts)),
-        warnings=F.when(empty, none).otherwise(warned),
+        errors=F.coalesce(first, F.when(empty, F.array(_issue("empty_facts")).cast(ISSUES)).otherwise(F.concat(*parts))),
+        warnings=F.when(mistyped | empty, none).otherwise(warned),
     )
     return judged.withColumn("passed", F.size("errors") == 0).drop("_cyclic", *LINK_COLUMNS)
 
@@ -544,40 +547,121 @@ def node_state(skipped: Column, verified: Column, formalised: Column) -> Column:
     )
 
 
+# Spellings of flags, and the messages about mistyped fields.
+TRUE_TEXTS = ["1", "on", "t", "true", "y", "yes"]
+FALSE_TEXTS = ["0", "off", "f", "false", "n", "no"]
+TYPE_PROBLEMS = {
+    "text": "Input should be a valid string",
+    "list": "Input should be a valid list",
+    "flag": "Input should be a valid boolean",
+    "flag_value": "Input should be a valid boolean, unable to interpret input",
+    "number": "Input should be a valid integer",
+    "number_text": "Input should be a valid integer, unable to parse string as an integer",
+    "number_part": "Input should be a valid integer, got a number with a fractional part",
+    "document": "Input should be a valid dictionary or instance of FDGDocument",
+    "fact": "Input should be a valid dictionary or instance of FactItem",
+}
+NUMERIC = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _shape(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _as_text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def read_flag(v: Column) -> Column:
+    """A boolean, a number 0 or 1, or a spelled flag; null when it is none of them."""
+    number, word = F.try_variant_get(v, "$", "double"), F.lower(_as_text(v))
+    return (
+        F.when(_shape(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(_shape(v).rlike(NUMERIC), F.when(number == 1, True).when(number == 0, False))
+        .when(_shape(v) == "STRING", F.when(word.isin(TRUE_TEXTS), True).when(word.isin(FALSE_TEXTS), False))
+    )
+
+
+def read_whole(v: Column) -> Column:
+    """A whole number, a flag as 0 or 1, or a whole number as text; null when it is none of them."""
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(_shape(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
+        .when(_shape(v).rlike(NUMERIC), F.when(number == F.floor(number), number.try_cast("int")))
+        .when(_shape(v) == "STRING", F.when(strip(_as_text(v)).rlike(r"^[+-]?[0-9]+(\.0+)?$"), strip(_as_text(v)).try_cast("double").try_cast("int")))
+    )
+
+
+def typed_facts(document: Column) -> Column:
+    """The facts of a document without schema findings, in the fact type."""
+    facts = F.coalesce(F.try_variant_get(document, "$.facts", "array<variant>"), F.array().cast("array<variant>"))
+    get = lambda f, name, kind: F.try_variant_get(f, f"$.{name}", kind)
+    return F.transform(
+        facts,
+        lambda f: F.struct(
+            get(f, "fact_id", "string").alias("fact_id"),
+            get(f, "text", "string").alias("text"),
+            F.coalesce(get(f, "parent_fact_ids", IDS), F.array().cast(IDS)).alias("parent_fact_ids"),
+            F.coalesce(read_flag(get(f, "is_final_answer", "variant")), F.lit(False)).alias("is_final_answer"),
+            get(f, "origin", "string").alias("origin"),
+            F.coalesce(read_whole(get(f, "skip", "variant")), F.lit(0)).alias("skip"),
+        ),
+    )
+
+
 def schema_issues(document: Column) -> Column:
-    """Findings about missing or mistyped fields of a parsed document (a VARIANT), in field order."""
+    """Findings about missing or mistyped fields of a parsed document (a VARIANT), in field order; none for a null document."""
 
-    def issue(where: Column, problem: str) -> Column:
+    def issue(where: Column, kind: str) -> Column:
+        problem = TYPE_PROBLEMS.get(kind, kind)
         return _issue("schema_validation_error", None, where=where, problem=F.lit(problem))
 
-    def field(owner: Column, name: str, kind: str, required: bool, where: Column, problem: str) -> Column:
+    def text_field(owner: Column, name: str, where: Column) -> Column:
         value = F.try_variant_get(owner, f"$.{name}", "variant")
-        shape = F.schema_of_variant(value)
-        missing = F.when(F.lit(required) & value.isNull(), issue(where, "Field required"))
-        return F.coalesce(missing, F.when(value.isNotNull() & ~shape.rlike(kind), issue(where, problem)))
+        return F.when(value.isNull(), issue(where, "Field required")).when(_shape(value) != "STRING", issue(where, "text"))
+
+    def flag_field(owner: Column, where: Column) -> Column:
+        value = F.try_variant_get(owner, "$.is_final_answer", "variant")
+        readable = _shape(value).rlike(NUMERIC) | (_shape(value) == "STRING")
+        wrong = F.when(readable, issue(where, "flag_value")).otherwise(issue(where, "flag"))
+        return F.when(value.isNotNull() & read_flag(value).isNull(), wrong)
+
+    def whole_field(owner: Column, where: Column) -> Column:
+        value = F.try_variant_get(owner, "$.skip", "variant")
+        wrong = (
+            F.when(_shape(value).rlike(NUMERIC), issue(where, "number_part"))
+            .when(_shape(value) == "STRING", issue(where, "number_text"))
+            .otherwise(issue(where, "number"))
+        )
+        return F.when(value.isNotNull() & read_whole(value).isNull(), wrong)
 
-    facts = F.try_variant_get(document, "$.facts", "array<variant>")
-    text_problem, list_problem = "Input should be a valid string", "Input should be a valid list"
+    def list_field(owner: Column, name: str, where: Column) -> Column:
+        value = F.try_variant_get(owner, f"$.{name}", "variant")
+        return F.when(value.isNotNull() & ~_shape(value).startswith("ARRAY"), issue(where, "list"))
 
     def of_fact(f: Column, i: Column) -> Column:
-        at = lambda name: F.concat(F.lit("facts."), i.cast("string"), F.lit(f".{name}"))
-        return F.array_compact(
-            F.array(
-                field(f, "fact_id", "^STRING$", True, at("fact_id"), text_problem),
-                field(f, "text", "^STRING$", True, at("text"), text_problem),
-                field(f, "parent_fact_ids", "^ARRAY", False, at("parent_fact_ids"), list_problem),
-                field(f, "is_final_answer", "^(BOOLEAN|BIGINT)$", False, at("is_final_answer"), "Input should be a valid boolean"),
-                field(f, "origin", "^STRING$", True, at("origin"), text_problem),
-                field(f, "skip", "^(BIGINT|BOOLEAN)$", False, at("skip"), "Input should be a valid integer"),
-            )
-        ).cast(ISSUES)
-
-    top = F.array_compact(
-        F.array(
-            field(document, "problem_id", "^STRING$", True, F.lit("problem_id"), text_problem),
-            field(document, "problem_text", "^STRING$", True, F.lit("problem_text"), text_problem),
-            field(document, "facts", "^ARRAY", False, F.lit("facts"), list_problem),
+        base = F.concat(F.lit("facts."), i.cast("string"))
+        at = lambda name: F.concat(base, F.lit(f".{name}"))
+        parents = F.coalesce(F.try_variant_get(f, "$.parent_fact_ids", "array<variant>"), F.array().cast("array<variant>"))
+        mistyped = F.transform(
+            parents, lambda p, k: F.when(_shape(p) != "STRING", issue(F.concat(at("parent_fact_ids"), F.lit("."), k.cast("string")), "text"))
         )
-    ).cast(ISSUES)
-    inner = F.flatten(F.transform(F.coalesce(facts, F.array().cast("array<variant>")), of_fact))
-    return F.concat(top, inner)
+        fields = F.concat(
+            F.array(text_field(f, "fact_id", at("fact_id")), text_field(f, "text", at("text")), list_field(f, "parent_fact_ids", at("parent_fact_ids"))),
+            mistyped,
+            F.array(flag_field(f, at("is_final_answer")), text_field(f, "origin", at("origin")), whole_field(f, at("skip"))),
+        )
+        return F.when(_shape(f).startswith("OBJECT"), F.array_compact(fields)).otherwise(F.array(issue(base, "fact"))).cast(ISSUES)
+
+    top = F.array(
+        text_field(document, "problem_id", F.lit("problem_id")),
+        text_field(document, "problem_text", F.lit("problem_text")),
+        list_field(document, "facts", F.lit("facts")),
+    )
+    facts = F.coalesce(F.try_variant_get(document, "$.facts", "array<variant>"), F.array().cast("array<variant>"))
+    found = F.concat(F.array_compact(top).cast(ISSUES), F.flatten(F.transform(facts, of_fact)))
+    return (
+        F.when(document.isNull(), F.array().cast(ISSUES))
+        .when(_shape(document).startswith("OBJECT"), found)
+        .otherwise(F.array(issue(F.lit(""), "document")).cast(ISSUES))
+    )

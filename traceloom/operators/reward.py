@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.json_text import parse_llm_json
+from traceloom.functions.json_text import read_answer
 from traceloom.functions.rows import settle
 from traceloom.functions.text import strip
-from traceloom.operators.graph import validate_graphs
-from traceloom.schemas import GRAPH_DOCUMENT, RewardWeights, ValidationChecks
+from traceloom.operators.graph import schema_issues, typed_facts, validate_graphs
+from traceloom.schemas import RewardWeights, ValidationChecks
 
 
 def parse_candidates(candidates: DataFrame, answer: str = "model_output") -> DataFrame:
-    """Add ``valid_json``, ``problem_text`` and ``facts`` read from the model's answer."""
-    parsed = settle(candidates, _document=parse_llm_json(F.col(answer), GRAPH_DOCUMENT))
-    return parsed.select(
-        *[c for c in candidates.columns],
-        F.col("_document").isNotNull().alias("valid_json"),
-        F.col("_document.problem_text").alias("problem_text"),
-        F.coalesce(F.col("_document.facts"), F.array().cast(parsed.schema["_document"].dataType["facts"].dataType)).alias("facts"),
+    """Add what the model's answer holds: ``valid_json``, ``schema_errors``, ``problem_text``, ``facts`` and ``num_raw_facts``.
+
+    The answer is read to a VARIANT and checked field by field first; only a document without findings is cast to typed facts, so
+    one mistyped field neither hides nor throws away the rest. The raw count is that of an object's list of facts.
+    """
+    read = settle(candidates, _document=read_answer(F.col(answer)))
+    document = F.col("_document")
+    checked = settle(read, schema_errors=schema_issues(document))
+    raw = F.size(F.try_variant_get(document, "$.facts", "array<variant>"))
+    parsed = settle(
+        checked,
+        valid_json=document.isNotNull(),
+        problem_text=F.try_variant_get(document, "$.problem_text", "string"),
+        facts=typed_facts(F.when(F.size("schema_errors") == 0, document)),
+        num_raw_facts=F.coalesce(F.greatest(raw, F.lit(0)), F.lit(0)),
     )
+    return parsed.select(*candidates.columns, "valid_json", "schema_errors", "problem_text", "facts", "num_raw_facts")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -34,7 +43,7 @@ def score_graphs(graphs: DataFrame, weights: RewardWeights = RewardWeights(), ch
     """
     w = weights
     judged = validate_graphs(graphs, checks)
-    listed = F.size("facts")
+    listed = F.col("num_raw_facts") if "num_raw_facts" in graphs.columns else F.size("facts")
     bad_ids = F.array_distinct(F.filter(F.transform("errors", lambda e: strip(e["fact_id"])), lambda i: i.isNotNull() & (i != "")))
     scale = (
         F.when(listed <= 0, F.lit(1.0))
