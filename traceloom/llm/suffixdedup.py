@@ -10,8 +10,9 @@ only meet within an anchor. Neighbouring windows of one anchor form a stretch.
 2. The stretches of mixed anchors, of equal ones at most two from each task, are dealt to shards by anchor, without the gram, which
    the anchor stands for; an anchor with very many is dealt to several. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
    windows are equal, and so which start more than once.
-3. Where an anchor fills several shards, each shard sorts the hashes of its distinct windows and cuts them in ranges; the lists of
-   one range from all shards meet in a task, where each is searched for in the others (binary search).
+3. Where an anchor fills several shards, each shard sorts the hashes of its windows by their place around the gram, which equal
+   windows share, and cuts them in pieces; the lists of one piece from all shards meet in a task, where each is searched for in the
+   others (binary search). Of very many shards the pieces are cut by hash too.
 4. The repeated windows go back to the documents as few byte ranges each, and the bytes they cover are removed.
 
 Copies are counted before they move, so a group of any size is a row per task; a mixed anchor of any size is split. Null texts are
@@ -42,6 +43,7 @@ SHARD_STRETCHES = 2048
 SHARD_BYTES = 2 << 20
 SLICE = 1 << 20
 ALL = 1 << 30
+PLACE_PIECES = 16
 REST = WINDOW - GRAM  # bytes of a window without its gram
 SEEN_STRETCHES = 500_000
 STRETCH = "doc_id long, row_key int, anchor long, content long, start int, windows int"
@@ -183,7 +185,9 @@ def resolve_shard(group: pd.DataFrame, shards: int) -> pd.DataFrame:
         hashes = finish(hashed.ranges(at, at + REST + 1) ^ (place[owner] - offset).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         by = np.argsort(hashes, kind="stable")
         hashes, owner, offset = hashes[by], owner[by], offset[by]
-        piece = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        by_place = min(shards, PLACE_PIECES)
+        by_hash = np.uint64(-(-shards // by_place))
+        piece = (place[owner] - offset) * by_place // (REST + 1) + by_place * ((hashes >> np.uint64(32)) * by_hash >> np.uint64(32)).astype(np.int64)
         for p in np.unique(piece):
             mine = piece == p
             places = np.stack([content[owner[mine]], offset[mine]])
@@ -193,7 +197,7 @@ def resolve_shard(group: pd.DataFrame, shards: int) -> pd.DataFrame:
 
 
 def merge_shards(group: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one range of hashes that another shard of the same anchor holds too, found by binary search in each."""
+    """Windows of one piece that another shard of the same anchor holds too, found by binary search in each, as runs of offsets."""
     lists = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
     together = np.sort(np.concatenate([np.unique(mine) for mine in lists]))
     found = [np.zeros((2, 0), np.int64)]
@@ -208,7 +212,7 @@ def merge_shards(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
-    """(anchor, content, runs): the repeated windows of stretches as runs of offsets, and the bit table of the anchors to look at."""
+    """(anchor, content, first, last): the repeated windows of stretches as runs of offsets, and the bit table of the anchors to look at."""
     counted = stretches(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
     anchors = cut_lineage(counted.where("times > 1"))
     pure, mixed = anchors.where("low = high"), anchors.where("low <> high")
@@ -232,34 +236,27 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     within = resolved.where("piece < 0").select("anchor", "content", "first", "last")
     across = resolved.where("piece >= 0").groupBy("anchor", "piece").applyInPandas(merge_shards, "anchor long, content long, first int, last int")
     copies = pure.select("anchor", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last"))
-    runs = copies.unionAll(within).unionAll(across).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return runs, seen
+    return copies.unionAll(within).unionAll(across), seen
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, spans): per document with a repeated window the maximal byte ranges to remove, as pairs of long packed in bytes."""
     repeats, seen = repeated_windows(docs)
-    found = stretches(docs, seen).join(repeats, ["anchor", "content"])
-    gathered = found.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("found"))
+    last = F.col("start") + F.least("last", F.col("windows") - 1)
+    run = F.shiftleft((F.col("start") + F.col("first")).cast("long"), 32).bitwiseOR(last.cast("long"))
+    found = stretches(docs, seen).join(repeats, ["anchor", "content"]).select("doc_id", "row_key", run.alias("run"))
+    gathered = found.groupBy("doc_id", "row_key").agg(F.collect_list("run").alias("runs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("found")
-            flat = found.flatten()
-            runs = flat.field("runs")
-            per_stretch = runs.value_lengths().to_numpy(zero_copy_only=False)
-            values = runs.flatten()
-            start = np.repeat(flat.field("start").to_numpy().astype(np.int64), per_stretch)
-            most = np.repeat(flat.field("windows").to_numpy().astype(np.int64), per_stretch) - 1
-            first = start + values.field("first").to_numpy()
-            last = start + np.minimum(values.field("last").to_numpy(), most) + WINDOW
-            of_row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
-            row = np.repeat(of_row, per_stretch)
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            spans = [joined_ranges(first[a:b], last[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            runs = batch.column("runs")
+            flat = runs.flatten().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
+            first, end = flat >> 32, (flat & 0xFFFFFFFF) + WINDOW
+            spans = [joined_ranges(first[a:b], end[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, pa.binary())], names=["doc_id", "row_key", "spans"])
 
-    return gathered.mapInArrow(run, "doc_id long, row_key int, spans binary")
+    return gathered.mapInArrow(join_runs, "doc_id long, row_key int, spans binary")
 
 
 def joined_ranges(first: np.ndarray, last: np.ndarray) -> bytes:
