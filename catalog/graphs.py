@@ -185,34 +185,74 @@ def graph_obligations(spark, sf_dir):
     return g.obligations(graph_records(spark, sf_dir))
 
 
+# Facts as compact JSON with sorted keys, one by one and all of a record in order.
+WRITTEN = """linked AS (SELECT record_id, pos, list(parent_id ORDER BY ord) AS parents FROM links GROUP BY ALL),
+  written AS (SELECT f.record_id, f.pos, CAST(to_json(struct_pack(fact_id := f.fact_id, is_final_answer := f.is_final_answer, origin := f.origin,
+      parent_fact_ids := coalesce(l.parents, []::VARCHAR[]), text := f.text)) AS VARCHAR) AS js FROM facts f LEFT JOIN linked l USING (record_id, pos)),
+  whole AS (SELECT record_id, list(js ORDER BY pos) AS all_js FROM written GROUP BY record_id)"""
+GAP = "chr(10) || chr(10)"
+PROBLEM = f"'Original problem:' || chr(10) || nullif(trim(q.s, {SPACES}), '')"
+TASK = "'Target proof obligation:' || chr(10) || t.statement"
+PREFIX = "'Graph prefix before current node:' || chr(10) || '[' || array_to_string(w.all_js[1:t.pos - 1], ',') || ']'"
+NODE = "'Current node:' || chr(10) || w.all_js[t.pos]"
+GRAPH = "'Full graph:' || chr(10) || '[' || array_to_string(w.all_js, ',') || ']'"
+NODE_ID = "'Current node id:' || chr(10) || t.fact_id"
+SEEN = rf"trim(regexp_replace(regexp_replace(d.text, '(?is)<think\b[^>]*>.*?</think>', '', 'g'), '(?is)<think\b[^>]*>.*$', ''), {SPACES})"
+TRACE = f"'Visible solution or chain of thought:' || CASE WHEN {SEEN} = '' THEN '' ELSE chr(10) || {SEEN} END"
+
+
+def _context_sql(*sections):
+    context = f" || {GAP} || ".join(sections)
+    return f"""WITH {OBLIGATIONS}, {WRITTEN}, shown AS (SELECT t.record_id, t.pos, t.fact_id, {context} AS context FROM tasks t JOIN whole w USING (record_id)
+      LEFT JOIN sentences q ON q.record_id = t.record_id AND q.i = 1 LEFT JOIN documents d ON concat('d', d.doc_id) = t.record_id)
+    SELECT record_id, pos, fact_id, length(context) AS characters, md5(context) AS context_hash FROM shown"""
+
+
+def _context_rows(spark, sf_dir, mode):
+    rows = g.contexts(graph_records(spark, sf_dir), mode)
+    return rows.select("record_id", "pos", "fact_id", F.length("context").cast("long").alias("characters"), F.md5("context").alias("context_hash"))
+
+
+@query("graph_context_parent", f"WITH {OBLIGATIONS} SELECT record_id, pos, fact_id, statement AS context FROM tasks")
+def graph_context_parent(spark, sf_dir):
+    return g.contexts(graph_records(spark, sf_dir), "c0_parent")
+
+
 @query(
     "graph_context_problem",
-    f"""WITH {OBLIGATIONS}
-    SELECT t.record_id, t.pos, t.fact_id, concat('Original problem:', chr(10), nullif(trim(q.s, {SPACES}), ''), chr(10), chr(10), 'Target proof obligation:', chr(10), statement) AS context
-    FROM tasks t JOIN sentences q ON q.record_id = t.record_id AND q.i = 1 WHERE statement IS NOT NULL AND trim(q.s, {SPACES}) <> ''""",
+    f"""WITH {OBLIGATIONS} SELECT t.record_id, t.pos, t.fact_id, {PROBLEM} || {GAP} || {TASK} AS context
+    FROM tasks t LEFT JOIN sentences q ON q.record_id = t.record_id AND q.i = 1""",
 )
 def graph_context_problem(spark, sf_dir):
-    return g.contexts(graph_records(spark, sf_dir), "c1_problem_parent").where("context IS NOT NULL")
+    return g.contexts(graph_records(spark, sf_dir), "c1_problem_parent")
 
 
-def _context_sizes(spark, sf_dir, mode):
-    rows = g.contexts(graph_records(spark, sf_dir), mode)
-    return rows.select("record_id", "pos", "fact_id", (F.length("context") > 0).alias("has_text"), F.md5("context").alias("context_hash"))
-
-
-@query("graph_context_prefix")
+@query("graph_context_prefix", _context_sql(PROBLEM, PREFIX, NODE, TASK))
 def graph_context_prefix(spark, sf_dir):
-    return _context_sizes(spark, sf_dir, "c2_problem_prefix")
+    return _context_rows(spark, sf_dir, "c2_problem_prefix")
 
 
-@query("graph_context_full")
+@query("graph_context_full", _context_sql(PROBLEM, GRAPH, NODE_ID, TASK))
 def graph_context_full(spark, sf_dir):
-    return _context_sizes(spark, sf_dir, "c3_problem_full_graph")
+    return _context_rows(spark, sf_dir, "c3_problem_full_graph")
 
 
-@query("graph_context_trace")
+@query("graph_context_trace", _context_sql(PROBLEM, TRACE, GRAPH, NODE_ID, TASK))
 def graph_context_trace(spark, sf_dir):
-    return _context_sizes(spark, sf_dir, "c4_problem_cot_full_graph")
+    return _context_rows(spark, sf_dir, "c4_problem_cot_full_graph")
+
+
+@query(
+    "form_messages",
+    f"""WITH {OBLIGATIONS} SELECT t.record_id, t.pos, t.fact_id, concat('State ', CASE WHEN f.is_final_answer THEN 'theorem ' ELSE 'lemma ' END, 'prove_', t.fact_id, ':', chr(10)) || t.statement AS asked
+    FROM tasks t JOIN facts f USING (record_id, pos)""",
+)
+def form_messages(spark, sf_dir):
+    records = graph_records(spark, sf_dir)
+    finals = records.select("record_id", F.posexplode("facts").alias("at", "f")).select("record_id", (F.col("at") + 1).alias("pos"), "f.is_final_answer")
+    rows = g.contexts(records, "c0_parent").join(finals, ["record_id", "pos"])
+    messages = g.form_messages(F.col("fact_id"), F.col("is_final_answer"), F.col("context"), "", "State {header}:\n{context}")
+    return rows.select("record_id", "pos", "fact_id", F.get(messages, F.lit(0))["content"].alias("asked"))
 
 
 @query(
