@@ -216,17 +216,15 @@ def case_top(spark, sf_dir):
     return ev.top_cases(cases(spark, sf_dir), 20).select("parent_id", "bucket", "rank")
 
 
-@query("case_rollouts_all", f"WITH {CASES} SELECT id, parent_id, rollout_id FROM grades WHERE parent_id IN (SELECT parent_id FROM cases WHERE bucket = 'a_wrong_b_correct')")
+@query("case_rollouts_all", f"WITH {CASES} SELECT id, parent_id, rollout_id FROM grades WHERE parent_id IN (SELECT parent_id FROM cases)")
 def case_rollouts_all(spark, sf_dir):
-    some = cases(spark, sf_dir).where("bucket = 'a_wrong_b_correct'")
-    return ev.select_case_rows(grades(spark, sf_dir), some, None, "all-rollouts").select("id", "parent_id", "rollout_id")
+    return ev.select_case_rows(grades(spark, sf_dir), cases(spark, sf_dir), None, "all-rollouts").select("id", "parent_id", "rollout_id")
 
 
-@query("case_rollouts_selected", f"""WITH {CASES} SELECT id, parent_id, rollout_id FROM grades WHERE id IN (SELECT a_id FROM cases WHERE bucket = 'a_wrong_b_correct' UNION SELECT b_id FROM cases WHERE bucket = 'a_wrong_b_correct')
-   OR id IN (SELECT id FROM grades_b WHERE is_correct = 1 AND parent_id IN (SELECT parent_id FROM cases WHERE bucket = 'a_wrong_b_correct'))""")
+@query("case_rollouts_selected", f"""WITH {CASES} SELECT id, parent_id, rollout_id FROM grades WHERE id IN (SELECT a_id FROM cases UNION SELECT b_id FROM cases)
+   OR id IN (SELECT id FROM grades_b WHERE is_correct = 1 AND parent_id IN (SELECT parent_id FROM cases))""")
 def case_rollouts_selected(spark, sf_dir):
-    some = cases(spark, sf_dir).where("bucket = 'a_wrong_b_correct'")
-    return ev.select_case_rows(grades(spark, sf_dir), some, second_grades(spark, sf_dir), "selected-and-correct").select("id", "parent_id", "rollout_id")
+    return ev.select_case_rows(grades(spark, sf_dir), cases(spark, sf_dir), second_grades(spark, sf_dir), "selected-and-correct").select("id", "parent_id", "rollout_id")
 
 
 @query("common_problems", "SELECT parent_id FROM grades WHERE rollout_id = 1 INTERSECT SELECT parent_id FROM nodes")

@@ -232,11 +232,10 @@ HEAD_SQL = "concat('import Mathlib', chr(10), 'import Aesop', chr(10), 'set_opti
     f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat({HEAD_SQL}, trim({PROOF_SQL}, {WS}))
       WHEN 1 THEN concat({HEAD_SQL}, trim({PROOF_SQL}, {WS})) WHEN 2 THEN concat({HEAD_SQL}, trim({PROOF_SQL}, {WS}))
       WHEN 4 THEN concat('-- note', chr(10), 'open Foo', chr(10), {HEAD_SQL}, trim({PROOF_SQL}, {WS})) END AS code
-    FROM documents WHERE NOT (doc_id % 5 = 1 AND (contains(text, '```')))""",
+    FROM documents""",
 )
 def extract_code_block(spark, sf_dir):
-    rows = code_texts(spark, sf_dir).where(~((F.col("doc_id") % 5 == 1) & F.col("text").contains("```")))
-    return rows.select("doc_id", code.extract_code_block(F.col("answer")).alias("code"))
+    return code_texts(spark, sf_dir).select("doc_id", code.extract_code_block(F.col("answer")).alias("code"))
 
 
 @query(
@@ -252,18 +251,18 @@ def remove_header(spark, sf_dir):
 
 @query(
     "split_header_body",
-    f"""SELECT doc_id, concat('import A', chr(10), chr(10), 'open B') AS header, trim(concat('lemma x', chr(10), text), {WS}) AS body FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')""",
+    f"""SELECT doc_id, concat('import A', chr(10), chr(10), 'open B') AS header, trim(concat('lemma x', chr(10), text), {WS}) AS body FROM documents""",
 )
 def split_header_body(spark, sf_dir):
     t = F.concat(F.lit("import A\n\nopen B\n"), F.lit("lemma x\n"), F.col("text"))
-    plain = docs(spark, sf_dir).where(~F.col("text").rlike(r"[\r\x0b\x0c]"))
-    return plain.select("doc_id", code.split_header_body(t).alias("p")).select("doc_id", "p.header", "p.body")
+    return docs(spark, sf_dir).select("doc_id", code.split_header_body(t).alias("p")).select("doc_id", "p.header", "p.body")
 
 
-@query("ensure_header", f"SELECT doc_id, concat({HEAD_SQL}, 'lemma x := ', text) AS code FROM documents WHERE NOT contains(text, 'import Mathlib')")
+@query("ensure_header", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('import Mathlib', chr(10), chr(10), substr({HEAD_SQL}, 16)) ELSE {HEAD_SQL} END || 'lemma x := ' || text AS code
+  FROM documents""")
 def ensure_header(spark, sf_dir):
-    rows = docs(spark, sf_dir).where(~F.col("text").contains("import Mathlib"))
-    return rows.select("doc_id", code.ensure_header(F.concat(F.lit("lemma x := "), F.col("text"))).alias("code"))
+    own = F.when(F.col("doc_id") % 3 == 0, F.lit("import Mathlib\n\n")).otherwise(F.lit(""))
+    return docs(spark, sf_dir).select("doc_id", code.ensure_header(F.concat(own, F.lit("lemma x := "), F.col("text"))).alias("code"))
 
 
 @query(
@@ -366,11 +365,11 @@ def natural_order(spark, sf_dir):
 @query(
     "join_phrases",
     """SELECT doc_id, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN w[1] WHEN n = 2 THEN concat(w[1], ' and ', w[2]) ELSE concat(array_to_string(w[1:n - 1], ', '), ', and ', w[n]) END AS phrase
-    FROM (SELECT doc_id, doc_id % 5 AS n, string_split(text, ' ')[1:doc_id % 5] AS w FROM documents) WHERE len(w) = n""",
+    FROM (SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, string_split(text, ' ')[1:doc_id % 5] AS w FROM documents))""",
 )
 def join_phrases(spark, sf_dir):
     n = (F.col("doc_id") % 5).cast("int")
-    words = docs(spark, sf_dir).select("doc_id", n.alias("n"), F.slice(F.split("text", " "), F.lit(1), n).alias("w")).where(F.size("w") == F.col("n"))
+    words = docs(spark, sf_dir).select("doc_id", n.alias("n"), F.slice(F.split("text", " "), F.lit(1), n).alias("w"))
     return words.select("doc_id", text.join_phrase(F.col("w")).alias("phrase"))
 
 
