@@ -46,8 +46,13 @@ def fold_status(attempts: DataFrame, retries: int, stage: str = "formalize", rul
 
 
 def last_attempts(attempts: DataFrame, payload: list[str], with_history: bool = False) -> DataFrame:
-    """Last attempt of each node; ``history`` lists the earlier ones, of which a node has no more than its retries."""
+    """Last attempt of each node; ``history`` lists the earlier ones.
+
+    Attempts of the same number are replays of one and count once, the last of them in payload order.
+    """
     rows = F.struct("attempt", *payload)
+    if with_history:
+        attempts = attempts.groupBy(*NODE, "attempt").agg(F.max(F.struct(*payload)).alias("_payload")).select(*NODE, "attempt", "_payload.*")
     wanted = [F.max_by(rows, "attempt").alias("_last")]
     if with_history:
         wanted.append(F.array_sort(F.collect_list(rows)).alias("_all"))

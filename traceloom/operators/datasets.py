@@ -15,6 +15,7 @@ from traceloom.functions.text import has_unclosed_think, is_blank, rollout_recor
 from traceloom.operators.graph import place_from_end, closure, ids_at, parents_of, with_links
 from traceloom.operators.sampling import pick_one, split_by_ratio
 from traceloom.schemas import GRAPH_DOCUMENT
+from traceloom.sources.sinks import column_values
 
 # Reject reason, version of the issue table, classes of a training record.
 OPEN_THINK_REASON = "unclosed_think_block"
@@ -42,9 +43,9 @@ def unpivot_rollouts(wide: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def pivot_rollouts(flat: DataFrame, numbers: list[int] | None = None) -> DataFrame:
-    """One row per problem with ``response_k`` columns; the first rollout supplies the other fields."""
+    """One row per problem with ``response_k`` columns; the first rollout supplies the other fields. Numbers not given are read."""
     if numbers is None:
-        numbers = sorted(r["rollout_id"] for r in flat.select("rollout_id").distinct().collect())  # column names
+        numbers = column_values(flat, "rollout_id")
     fields = [c for c in ("source", "question", "gold") if c in flat.columns]
     cells = [c for c in ("response", "finish_reason") if c in flat.columns]
     wide = [

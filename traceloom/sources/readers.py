@@ -50,8 +50,8 @@ def read_stage_records(spark: SparkSession, path: str, schema: str = STAGE_RECOR
     """Stage records from JSON lines; blank lines are ignored. Strict makes a bad line an error, else it is left out."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
-    return lines.select(F.from_json("value", schema).alias("_r")).select("_r.*")
+    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where("_bad IS NULL").drop("_bad")
 
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def write_rollouts(flat: DataFrame, path: str, skipped: DataFrame | None = None) -> None:
-    """Flat rollouts as Parquet and as JSON lines, with the rejected rows beside them."""
+    """Flat rollouts as Parquet and as JSON lines, with the rejected rows beside them.
+
+    The input is worked out once: the JSON lines are made from the Parquet files.
+    """
     flat.write.mode("overwrite").parquet(f"{path}/rollouts.parquet")
-    flat.write.mode("overwrite").json(f"{path}/rollouts.jsonl")
+    written = flat.sparkSession.read.schema(flat.schema).parquet(f"{path}/rollouts.parquet")
+    written.write.mode("overwrite").json(f"{path}/rollouts.jsonl")
     if skipped is not None:
         skipped.write.mode("overwrite").json(f"{path}/skipped.jsonl")
 
@@ -30,11 +34,21 @@ def write_manifest(summary: DataFrame, path: str, **parameters: str) -> None:
     stamped.coalesce(1).write.mode("overwrite").json(path)
 
 
+MAX_COLUMNS = 1000
+
+
+def column_values(df: DataFrame, column: str, most: int = MAX_COLUMNS) -> list:
+    """The sorted distinct values of a column that become columns; more than ``most`` of them are an error."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column} would become columns; name those wanted")
+    return sorted(found)
+
+
 def wide_metrics(metrics: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Metrics as rows, sources as sorted columns, the value over all sources last."""
+    """Metrics as rows, sources as sorted columns, the value over all sources last. Sources not given are read, at most MAX_COLUMNS."""
     if sources is None:
-        found = metrics.where("source <> 'avg' AND source <> ''").select("source").distinct()
-        sources = sorted(r["source"] for r in found.collect())  # column names: one per source
+        sources = column_values(metrics.where("source <> 'avg' AND source <> ''"), "source")
     return metrics.groupBy("metric").pivot("source", [*sources, "avg"]).agg(F.first("value"))
 
 
