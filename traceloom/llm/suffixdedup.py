@@ -8,7 +8,8 @@ only meet within an anchor. Neighbouring windows of one anchor form a stretch.
    windows are repeated. The rest are mixed. A bit table of bounded size tells later passes which anchors to look at; a bit set by
    chance only makes them look at more.
 2. The stretches of mixed anchors, of equal ones at most two from each task, are dealt to shards by anchor, without the gram, which
-   the anchor stands for; an anchor with very many is dealt to several. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
+   the anchor stands for; what a task has for a shard is packed and compressed. An anchor with very many is dealt to several shards,
+   which are its own. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
    windows are equal, and so which start more than once.
 3. Where an anchor fills several shards, each shard sorts the hashes of its windows by their place around the gram, which equal
    windows share, and cuts them in pieces; the lists of one piece from all shards meet in a task, where each is searched for in the
@@ -40,14 +41,16 @@ WINDOW = 200
 GRAM = 64
 FILTER_BITS = 26
 SHARD_STRETCHES = 2048
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
+MOST_SPLIT = 1_000_000  # anchors that may have shards of their own; the largest come first
+BUFFER_BYTES = 24 << 20
 SLICE = 1 << 20
 ALL = 1 << 30
 PLACE_PIECES = 16
 REST = WINDOW - GRAM  # bytes of a window without its gram
 SEEN_STRETCHES = 500_000
 STRETCH = "doc_id long, row_key int, anchor long, content long, start int, windows int"
-BYTES = "anchor long, content long, windows int, place int, bytes binary"
+PACKED = "shard long, part int, parts int, stretches binary"
 REPEATS = "anchor long, content long, first int, last int, piece int, hashes binary, owners binary"
 
 
@@ -94,12 +97,66 @@ def stretches(docs: DataFrame, seen=None) -> DataFrame:
     return keyed(docs).mapInArrow(run, STRETCH)
 
 
-def stretch_bytes(docs: DataFrame, mixed) -> DataFrame:
-    """The bytes of stretches of mixed anchors, without the gram. Of equal ones a task gives two, the second without the bytes:
+class Packer:
+    """Stretches gathered by shard, and packed as compressed arrays when the buffer is full."""
+
+    def __init__(self, shards: int, large: tuple[np.ndarray, np.ndarray]):
+        self.shards, (self.large, self.parts) = shards, large
+        self.rows: dict[tuple[int, int, int], list] = {}
+        self.size = 0
+
+    def add(self, anchors: np.ndarray, contents: np.ndarray, windows: np.ndarray, places: np.ndarray, raw: list[bytes | None]) -> None:
+        at = np.minimum(np.searchsorted(self.large, anchors), max(0, len(self.large) - 1))
+        own = self.large[at] == anchors if len(self.large) else np.zeros(len(anchors), bool)
+        parts = np.where(own, self.parts[at], 1) if len(self.large) else np.ones(len(anchors), np.int64)
+        shard = np.where(own, anchors.view(np.int64), (anchors % np.uint64(self.shards)).view(np.int64))
+        part = np.where(own, (contents % parts.astype(np.uint64)).astype(np.int64), 0)
+        columns = (anchors.view(np.int64), contents.view(np.int64), windows, places)
+        for key, *row, text in zip(zip(shard.tolist(), part.tolist(), parts.tolist(), strict=True), *(c.tolist() for c in columns), raw, strict=True):
+            self.rows.setdefault(key, []).append((*row, text))
+            self.size += 60 + len(text or b"")
+
+    def flush(self) -> pa.RecordBatch:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        blobs = []
+        for rows in self.rows.values():
+            rows.sort(key=lambda r: r[0])  # stretches of one anchor are alike
+            anchors, contents, windows, places, texts = zip(*rows, strict=True)
+            sizes = [-1 if t is None else len(t) for t in texts]
+            head = np.array([len(rows)], "<i8").tobytes() + b"".join(np.array(c, "<i8").tobytes() for c in (anchors, contents))
+            head += b"".join(np.array(c, "<i4").tobytes() for c in (windows, places, sizes))
+            blobs.append(press(head + b"".join(t for t in texts if t)))
+        keys = list(zip(*self.rows, strict=True)) or [(), (), ()]
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.int32()), pa.array(blobs, pa.binary())],
+            names=["shard", "part", "parts", "stretches"],
+        )
+        self.rows, self.size = {}, 0
+        return out
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Anchors, contents, windows, places and texts of a packed row."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    anchors, contents = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+    windows, places, sizes = np.frombuffer(raw, "<i4", 3 * n, 8 + 16 * n).reshape(3, n)
+    ends = 8 + 28 * n + np.cumsum(np.maximum(sizes, 0))
+    texts = [None if size < 0 else raw[end - size : end] for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return anchors, contents, windows, places, texts
+
+
+def packed_stretches(docs: DataFrame, mixed, large, shards: int) -> DataFrame:
+    """The stretches of mixed anchors without the gram, packed by shard. Of equal ones a task gives two, the second without the bytes:
     that a stretch is there twice is all that its further copies could tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times: dict[tuple[int, int], int] = {}
+        packer = Packer(shards, large.value)
         for batch in slices(batches, "text", SLICE):
             found, flat, _ = found_in(batch, mixed)
             raw = flat.tobytes()
@@ -115,18 +172,13 @@ def stretch_bytes(docs: DataFrame, mixed) -> DataFrame:
                 chosen.append(k)
                 at = places[k]
                 content.append(None if before else raw[begins[k] : at] + raw[at + GRAM : begins[k] + counts[k] + WINDOW - 1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found["anchor"].view(np.int64)[chosen]),
-                    pa.array(found["content"].view(np.int64)[chosen]),
-                    pa.array(found["windows"][chosen].astype(np.int32)),
-                    pa.array((found["place"] - found["start"])[chosen].astype(np.int32)),
-                    pa.array(content, pa.binary()),
-                ],
-                names=["anchor", "content", "windows", "place", "bytes"],
-            )
+            place = (found["place"] - found["start"])[chosen]
+            packer.add(found["anchor"][chosen], found["content"][chosen], found["windows"][chosen], place, content)
+            if packer.size > BUFFER_BYTES:
+                yield packer.flush()
+        yield packer.flush()
 
-    return keyed(docs).mapInArrow(run, BYTES)
+    return keyed(docs).mapInArrow(run, PACKED)
 
 
 def bit_table(anchors: DataFrame):
@@ -156,13 +208,15 @@ def resolve_shard(group: pd.DataFrame, shards: int) -> pd.DataFrame:
     The rows of the latter carry a piece of the hashes' range, sorted, and which stretch and offset each window is. A stretch's gram
     is one symbol of its anchor's own, so a window is ``REST`` + 1 symbols and equal only within an anchor.
     """
-    group = group.assign(empty=group["bytes"].isna()).sort_values(["anchor", "content", "empty"], kind="stable", ignore_index=True)
-    fresh = ~group.duplicated(["anchor", "content"])
+    rows = [unpacked(blob) for blob in group["stretches"]]
+    anchor, content, windows, place = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(4))
+    texts = [t for r in rows for t in r[4]]
+    order = np.lexsort((np.array([t is None for t in texts]), content, anchor))
+    anchor, content, windows, place = anchor[order], content[order], windows[order], place[order]
+    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
     times = np.bincount(np.cumsum(fresh) - 1)
-    group = group[fresh]
-    anchor, content = group["anchor"].to_numpy(np.int64), group["content"].to_numpy(np.int64)
-    windows, place = group["windows"].to_numpy(np.int64), group["place"].to_numpy(np.int64)
-    contents = [bytes(b) for b in group["bytes"]]
+    contents = [texts[k] for k in order[fresh].tolist()]
+    anchor, content, windows, place = anchor[fresh], content[fresh], windows[fresh], place[fresh]
     marked = b"".join([c[:p] + b"\0" + c[p:] + b"\0" for c, p in zip(contents, place.tolist(), strict=True)])
     sizes = np.array([len(b) + 1 for b in contents])
     starts = np.cumsum(sizes + 1) - sizes - 1
@@ -218,21 +272,16 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     pure, mixed = anchors.where("low = high"), anchors.where("low <> high")
     seen, look_in = bit_table(anchors), bit_table(mixed)
     total = mixed.agg(F.sum("times")).first()[0] or 0
-    shards = max(1, -(-total * (WINDOW + 100) // SHARD_BYTES))
-
-    large = mixed.where(F.col("times") > SHARD_STRETCHES).select("anchor", F.ceil(F.col("times") / SHARD_STRETCHES).cast("int").alias("parts"))
-    dealt = (
-        stretch_bytes(docs, look_in)
-        .join(small_side(large), "anchor", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("content"), "parts")).otherwise(0).cast("int"))
-        .withColumn("shard", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards).cast("long"))))
-    )
+    shards = max(1, -(-total * WINDOW // SHARD_BYTES))
+    hottest = mixed.where(F.col("times") > SHARD_STRETCHES).orderBy(F.desc("times"), "anchor").limit(MOST_SPLIT).toArrow()
+    by_anchor = np.argsort(hottest["anchor"].to_numpy().view(np.uint64))
+    parts = -(-hottest["times"].to_numpy() // SHARD_STRETCHES)
+    large = docs.sparkSession.sparkContext.broadcast((hottest["anchor"].to_numpy().view(np.uint64)[by_anchor], parts[by_anchor]))
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         return resolve_shard(group, int(group["parts"].iloc[0]))
 
-    resolved = cut_lineage(dealt.groupBy("shard", "part", "parts").applyInPandas(resolve, REPEATS))
+    resolved = cut_lineage(packed_stretches(docs, look_in, large, shards).groupBy("shard", "part", "parts").applyInPandas(resolve, REPEATS))
     within = resolved.where("piece < 0").select("anchor", "content", "first", "last")
     across = resolved.where("piece >= 0").groupBy("anchor", "piece").applyInPandas(merge_shards, "anchor long, content long, first int, last int")
     copies = pure.select("anchor", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last"))
