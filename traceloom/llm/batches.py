@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -23,7 +25,13 @@ def worker_state(key: Any, build: Callable[[], Any]) -> Any:
 
 
 def drop_worker_state() -> None:
-    _kept.clear()
+    """Forget what is kept and give its memory back to the system, as the next stage's tasks run in this process."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep_state: bool = False) -> Iterator[pa.RecordBatch]:

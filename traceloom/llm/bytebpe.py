@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.batches import slices, texts, worker_state
 
-WORDS_PER_QUERY = 60_000
+WORDS_PER_QUERY = 30_000
 BYTES_PER_QUERY = 1 << 20
-MEMO_WORDS = 600_000
+MEMO_WORDS = 450_000
 ENCODED = "doc_id long, ids binary, decoded binary"
 
 # A row's key is its word and its position. Rows of words that still have a pair go round; a word without one leaves as done.
@@ -83,7 +83,7 @@ class Contractor:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids
         self.decoded: dict[str, bytes] = {}  # only of words that would not decode to themselves
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         merges = np.array(merge_rows(ranks), np.int32).reshape(-1, 3)
         self.put("merges_rows", {"a": merges[:, 0], "b": merges[:, 1], "merged": merges[:, 2]})
         self.put("vocab_rows", {"tok": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
