@@ -376,3 +376,19 @@ def trace_gaps(spark, sf_dir):
     )
     records = docs.select((F.col("doc_id") % 7).cast("string").alias("step"), rollouts.alias("rollouts"))
     return stats.trace_gaps(explode_samples(records, ["score"]))
+
+
+BINNED = "CAST(CASE WHEN reward = 1.0 THEN 39 WHEN reward BETWEEN -1.0 AND 1.0 THEN trunc((reward + 1.0) / CAST(0.05 AS DOUBLE)) END AS INT)"
+BIN_COUNTS = ", ' ', ".join(f"count(*) FILTER (b = {k})" for k in range(40))
+BIN_NAMES = " ".join(f"[{-1 + k * 0.05:.4g},{-1 + (k + 1) * 0.05:.4g}{')' if k < 39 else ']'}" for k in range(40))
+
+
+@query(
+    "reward_histogram_report",
+    f"""SELECT step, concat({BIN_COUNTS}) AS hist, '{BIN_NAMES}' AS labels, CAST(grouping(step) AS TINYINT) AS overall
+    FROM (SELECT step, {BINNED} AS b FROM samples) GROUP BY GROUPING SETS ((step), ())""",
+)
+def reward_histogram_report(spark, sf_dir):
+    rows = stats.reward_histogram_report(samples(spark, sf_dir), field="reward_text")
+    joined = {"hist": F.array_join(F.col("hist").cast("array<string>"), " "), "labels": F.array_join("labels", " ")}
+    return rows.withColumns(joined)

@@ -35,6 +35,13 @@ def fixed_bin(x: Column, lo: float, hi: float, width: float) -> Column:
     )
 
 
+def fixed_bin_labels(lo: float, hi: float, width: float) -> list[str]:
+    """Names of the bins of ``fixed_bin``; the last one includes its upper end."""
+    edges = [lo + k * width for k in range(math.ceil((hi - lo) / width) + 1)]
+    names = [f"[{a:.4g},{b:.4g})" for a, b in zip(edges, edges[1:])]
+    return [*names[:-1], names[-1][:-1] + "]"]
+
+
 def pow2_bin(n: Column) -> Column:
     """Label of the power-of-two range of a token count."""
     label = F.when(n == 0, F.lit("0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, pow2_bin, small_table, zero_filled
+from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, fixed_bin_labels, pow2_bin, small_table, zero_filled
 from traceloom.functions.checks import classify_error
 from traceloom.functions.coerce import to_bool, to_float, to_step
 from traceloom.functions.exact import exact_mean, exact_std_pop, exact_sum
@@ -131,6 +131,18 @@ def reward_histogram(samples: DataFrame, lo: float = -1.0, hi: float = 1.0, widt
     return binned.where("bin IS NOT NULL").groupBy("step", "bin").agg(F.count("*").alias("rewards"))
 
 
+def reward_histogram_report(samples: DataFrame, lo: float = -1.0, hi: float = 1.0, width: float = 0.05, field: str = "reward") -> DataFrame:
+    """Per step, and over all (step null), the counts of all bins in order (``hist``, empty bins 0) and their ``labels``.
+
+    Steps without rollouts have a row of zeros. All bins are counted in one pass.
+    """
+    labels = fixed_bin_labels(lo, hi, width)
+    rows = _with_step(samples).select("step", fixed_bin(to_float(F.col(field).cast("string")), lo, hi, width).alias("_bin"))
+    counts = F.array(*[F.count_if(F.col("_bin") == k) for k in range(len(labels))])
+    counted = rows.rollup("step").agg(counts.alias("hist"), F.grouping("step").alias("overall"))
+    return counted.withColumn("labels", F.array(*[F.lit(name) for name in labels]))
+
+
 def sample_gaps(records: DataFrame) -> DataFrame:
     """Of step records with a ``rollouts`` array: how many lack a step and how many lack rollouts."""
     no_step = to_step(F.col("step").cast("string")).isNull()
