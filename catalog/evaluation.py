@@ -81,6 +81,18 @@ def rerank_report(spark, sf_dir):
     return rerank.rerank_report(nodes(spark, sf_dir), grades(spark, sf_dir), SEEDS)
 
 
+CHOSEN = "(SELECT * FROM grades WHERE source IN ('1-URGENT', '2-HIGH'))"
+
+
+@query(
+    "chosen_source_summary",
+    f"""SELECT metric, value FROM ({RUN.replace('FROM grades', f'FROM {CHOSEN}')}) WHERE source = 'avg'
+    UNION ALL SELECT 'selected', CAST(count(DISTINCT parent_id) AS DOUBLE) FROM {CHOSEN}""",
+)
+def chosen_source_summary(spark, sf_dir):
+    return rerank.source_summary(nodes(spark, sf_dir), grades(spark, sf_dir), SEEDS, [" 1-URGENT", "2-HIGH", ""])
+
+
 @query(
     "metrics_wide",
     f"""SELECT metric, max(value) FILTER (source = '1-URGENT') AS "1-URGENT", max(value) FILTER (source = '2-HIGH') AS "2-HIGH",

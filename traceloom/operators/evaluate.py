@@ -101,7 +101,7 @@ def run_metrics(grades: DataFrame, selected: DataFrame, picks: DataFrame) -> Dat
     over = lambda df, metric, value: df.select(
         metric.alias("metric"), F.when(F.col("overall") == 1, F.lit("avg")).otherwise(F.col("source")).alias("source"), F.col(value).alias("value")
     )
-    runs = picks.cube("source", "seed").agg(F.avg("is_correct").alias("accuracy"), F.grouping("source").alias("overall"), F.grouping("seed").alias("_all")).where("_all = 0")
+    runs = picks.groupingSets([["source", "seed"], ["seed"]], "source", "seed").agg(F.avg("is_correct").alias("accuracy"), F.grouping("source").alias("overall"))
     parts = [
         over(runs, F.concat(F.lit("random_seed_"), F.col("seed").cast("string")), "accuracy"),
         over(accuracy_with_sources(first_rollout(grades)), F.lit("pass@1"), "accuracy"),
