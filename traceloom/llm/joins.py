@@ -1,10 +1,14 @@
-"""Broadcast of a join side only where its counted size is within a bound."""
+"""Broadcast of a join side only where its counted size is within a bound, and steps that leave no shuffle files behind."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.session import cut_lineage
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -14,3 +18,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Counts ``df``, so give it a checkpointed or otherwise cheap table of narrow rows.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def finished_step(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and the shuffle files that led to it given up.
+
+    Spark removes a shuffle's files when the driver no longer refers to it and has collected its garbage; without asking for that
+    they would stay on disk through all later steps. Pass an expression, not a variable that goes on naming the plan.
+    """
+    out = cut_lineage(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -32,10 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.batches import packed, slices
-from traceloom.llm.joins import small_side
+from traceloom.llm.joins import finished_step, small_side
 from traceloom.llm.suffixes import Hashed, anchored_windows, common_prefixes, suffix_array
 from traceloom.llm.words import finish
-from traceloom.session import cut_lineage
 
 WINDOW = 200
 GRAM = 64
@@ -267,8 +266,12 @@ def merge_shards(group: pd.DataFrame) -> pd.DataFrame:
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     """(anchor, content, first, last): the repeated windows of stretches as runs of offsets, and the bit table of the anchors to look at."""
-    counted = stretches(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
-    anchors = cut_lineage(counted.where("times > 1"))
+    anchors = finished_step(
+        stretches(docs)
+        .groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
+        .where("times > 1")
+    )
     pure, mixed = anchors.where("low = high"), anchors.where("low <> high")
     seen, look_in = bit_table(anchors), bit_table(mixed)
     total = mixed.agg(F.sum("times")).first()[0] or 0
@@ -281,7 +284,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         return resolve_shard(group, int(group["parts"].iloc[0]))
 
-    resolved = cut_lineage(packed_stretches(docs, look_in, large, shards).groupBy("shard", "part", "parts").applyInPandas(resolve, REPEATS))
+    resolved = finished_step(packed_stretches(docs, look_in, large, shards).groupBy("shard", "part", "parts").applyInPandas(resolve, REPEATS))
     within = resolved.where("piece < 0").select("anchor", "content", "first", "last")
     across = resolved.where("piece >= 0").groupBy("anchor", "piece").applyInPandas(merge_shards, "anchor long, content long, first int, last int")
     copies = pure.select("anchor", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last"))
@@ -318,7 +321,7 @@ def joined_ranges(first: np.ndarray, last: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: kept is what is left of the text's bytes."""
-    ranges = cut_lineage(removed_ranges(docs)).select(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_row"), "spans")
+    ranges = finished_step(removed_ranges(docs)).select(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_row"), "spans")
     rows = keyed(docs)
     joined = rows.join(small_side(ranges), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_row")), "left")
 
