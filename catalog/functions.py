@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.views import attempts, grades, nodes, samples, table, traces
+from catalog.views import grades, nodes, table, traces
 from traceloom.functions import bins, chat, checks, code, coerce, json_text, text
 
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

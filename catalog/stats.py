@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.views import attempts, grades, nodes, samples, table
+from catalog.views import grades, nodes, samples, table
 from traceloom.functions.exact import sql_mean, sql_std_pop, sql_sum
 from traceloom.operators import scoring, stats
 

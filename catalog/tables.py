@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.attempts import KIND, status
 from catalog.evaluation import CASES
-from catalog.views import attempts, grades, graph_records, nodes, samples, table, traces
+from catalog.views import attempts, grades, graph_records, samples, table, traces
 from traceloom.functions.exact import sql_mean, sql_std_pop
-from traceloom.operators import datasets, scoring
+from traceloom.operators import datasets
 from traceloom.plans import cases as case_plan
 from traceloom.session import scratch_path
 from traceloom.sources import readers, sinks
