@@ -117,7 +117,9 @@ LINKS_SQL = """
 def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = lambda n: F.concat(F.lit("f_"), n.cast("string"))
-    staged = docs.select(
+    # The table is one row group, so one task would build all graphs; a stage that wrote the graphs would have dealt them out by id.
+    dealt = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    staged = dealt.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), "source", F.col("text").alias("raw_cot"), "doc_id"
     )
     numbered = F.transform(
