@@ -85,21 +85,30 @@ def group_documents(docs: DataFrame) -> DataFrame:
     """
     fps = cut_lineage(fingerprints(docs))
     nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(nodes.select("fp")))
+    grouped = label_rows(fps, nodes, components(links(nodes.select("fp"))))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "group_fp")
+
+
+def label_rows(fps: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, component_id, fp, group_fp) of every row of ``fps`` (doc_id, fp), by the ``nodes`` (fp, first_id) and the ``labels``
+    of those that are linked to another."""
     labelled = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = labelled.select(F.col("fp").alias("of"), "label").join(smallest, "label").select("of", "label", "component_id")
-    return fps.join(of_fp, fps.fp == of_fp.of).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", F.col("label").alias("group_fp")
-    )
+    return fps.join(of_fp, fps.fp == of_fp.of).select("doc_id", "component_id", "fp", F.col("label").alias("group_fp"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of one document of each group of fingerprints."""
+    return keep_first(docs, group_documents(docs), fingerprint_udf())
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, key_of_text) -> DataFrame:
     """The rows of one document of each group: the one with the smallest doc_id, once if its row is repeated.
 
-    Rows with a null doc_id cannot be told apart by it; they go where their group has a doc_id, else one of the group stays.
+    ``groups`` has (doc_id, component_id, fp, group_fp) of every row, and ``key_of_text`` gives the fp of a text column. Rows with a null doc_id cannot be told apart by it; they go where their group has a doc_id, else one of the group stays.
     """
-    grouped = cut_lineage(group_documents(docs))
+    grouped = cut_lineage(groups)
     ids = grouped.where("doc_id IS NOT NULL")
     repeated = ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     away = small_side(cut_lineage(ids.where("doc_id <> component_id").select("doc_id").unionAll(repeated)))
@@ -110,7 +119,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         kept = kept.unionByName(docs.join(again, own == again["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
     nameless = grouped.where("component_id IS NULL").select(F.col("fp").alias("of"), "group_fp").distinct()
     if not nameless.isEmpty():
-        rows = docs.where(docs["doc_id"].isNull()).select(F.struct("*").alias("row"), fingerprint_udf()(F.col("text")).alias("of_fp"))
+        rows = docs.where(docs["doc_id"].isNull()).select(F.struct("*").alias("row"), key_of_text(F.col("text")).alias("of_fp"))
         first = rows.join(nameless, rows["of_fp"] == nameless["of"]).dropDuplicates(["group_fp"])
         kept = kept.unionByName(first.select("row.*"))
     return kept

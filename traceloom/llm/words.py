@@ -26,10 +26,14 @@ def word_hashes(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of letters and digits of any script, in lower case.
     """
-    raw = [t.lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES) + b" " for t in batch]
+    return hashes_of([t.lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES) + b" " for t in batch])
+
+
+def hashes_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts given as bytes that end in a space and have no other separator."""
     flat = np.frombuffer(b"".join(raw), np.uint8)
     if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(len(batch) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
     full = flat != 32
     begins = full.copy()
     begins[1:] &= ~full[:-1]
