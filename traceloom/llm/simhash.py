@@ -1,11 +1,11 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by one-bit neighbours of whole fingerprints, which stand in for multi-index hashing by segments.
 
-A fingerprint's 64 bits are two segments of 32. Every distinct fingerprint enumerates the Hamming ball of radius 1 within each
-segment, the other segment unchanged, and itself: 65 table keys. Two fingerprints differ in at most two bits exactly when they
+Every distinct fingerprint enumerates its Hamming ball of radius 1: its 64 one-bit neighbours and itself, 65 table keys of all 64
+bits. This works for a distance of two only, and needs no split of hot segment values. Two fingerprints differ in at most two bits exactly when they
 share a key, for one of the two bits can be flipped on either side, wherever they lie. A table entry is only the key and a
 64-bit mask saying which bit each comer flipped, so entries are pre-aggregated before the shuffle, at most 65 fingerprints can
 ever meet in one, and no bucket grows with the corpus. The matches of a key form a star around its smallest fingerprint, whose
-complete distances are verified; components of the stars are the groups.
+complete distances are at most two by construction (the check in ``links`` only states it); components of the stars are the groups.
 
 Copies share a fingerprint, so a group of copies is one row here whatever its size.
 """
