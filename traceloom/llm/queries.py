@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import bytebpe, decontam, htmltext, langid, pii, simhash, suffixdedup, tokencount, topk, urlfilter
+from traceloom.llm import bytebpe, collocations, decontam, htmltext, langid, pii, simhash, suffixdedup, tokencount, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op8_main_text": op8_main_text, "op9_byte_bpe": op9_byte_bpe, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op4_url_filter": urlfilter.ORACLE}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op8_main_text": op8_main_text, "op9_byte_bpe": op9_byte_bpe, "op10_suffix_dedup": op10_suffix_dedup, "op12_collocations": op12_collocations}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op4_url_filter": urlfilter.ORACLE, "op12_collocations": collocations.ORACLE}
