@@ -1,23 +1,61 @@
-"""Broadcast of a join side only where its counted size is within a bound, and steps that leave no shuffle files behind."""
+"""Broadcast of a join side only where its measured bytes are within a bound, tables of bits, and steps that leave no shuffle files behind."""
 
 from __future__ import annotations
 
 import gc
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from traceloom.session import cut_lineage
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+LEAST_BITS, MOST_BITS = 16, 29
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``BROADCAST_BYTES``, else as it is, for a shuffled join.
 
-    Counts ``df``, so give it a checkpointed or otherwise cheap table of narrow rows.
+    Measures every row, strings, bytes and arrays by their length, so give it a checkpointed or otherwise cheap table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = F.lit(16)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size += 8 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, ArrayType):
+            size += 8 + 8 * F.coalesce(F.size(field.name), F.lit(0))
+        else:
+            size += 8
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+class BitTable:
+    """A set of 64-bit keys by their leading bits: holds every key put in, and now and then another."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys >> np.uint64(64 - self.bits)
+        return (self.table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_table(keys: DataFrame, column: str):
+    """Broadcast of a ``BitTable`` of a column of longs.
+
+    It has 8 to 16 bits a key, up to 2**``MOST_BITS`` bits (64 MB). With more keys it holds more of the others, which costs its users
+    work and no rows.
+    """
+    bits = max(LEAST_BITS, min(MOST_BITS, (8 * keys.count()).bit_length()))
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    mask = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - bits}) & 63 AS INT))")
+    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(BitTable(bits, table.view(np.uint8)))
 
 
 def finished_step(df: DataFrame) -> DataFrame:

@@ -98,13 +98,14 @@ def both_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashed:
-    """Hashes of any range of a byte array."""
+    """Hashes of any range of a byte array, or of an array of 64-bit codes."""
 
     def __init__(self, flat: np.ndarray):
+        codes = BYTE_CODES[flat] if flat.dtype == np.uint8 else flat
         size = 1 << max(10, int(len(flat) + 1).bit_length())
         self.up, self.down = both_powers(size)
         self.sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[flat] * self.up[: len(flat)], out=self.sums[1:])
+        np.cumsum(codes * self.up[: len(flat)], out=self.sums[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
@@ -125,6 +126,11 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_windows(flat: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+    """The windows of all texts of bytes, gathered by anchor."""
+    return anchored(Hashed(flat), bounds, window, gram)
+
+
+def anchored(hashed: Hashed, bounds: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """The windows of all texts, gathered by anchor.
 
     A window's anchor is its gram with the least hash, the leftmost of equals; equal windows so have equal anchors at equal places.
@@ -133,9 +139,8 @@ def anchored_windows(flat: np.ndarray, bounds: np.ndarray, window: int, gram: in
     """
     names = ("text", "start", "windows", "place", "anchor", "content")
     sizes = np.diff(bounds)
-    if len(flat) < window or sizes.max(initial=0) < window:
+    if sizes.max(initial=0) < window:
         return {name: np.zeros(0, np.uint64 if name in ("anchor", "content") else np.int64) for name in names}
-    hashed = Hashed(flat)
     grams = finish(hashed.grams(gram))
     low = np.uint64(0xFFFFFFFF)
     least = sliding_minimum(grams & ~low | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
