@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import bytebpe, collocations, decontam, htmltext, langid, pii, simhash, substringdedup, suffixdedup, tokencount, topk, urlfilter
+from traceloom.llm import alignment, bytebpe, collocations, decontam, htmltext, langid, pii, simhash, substringdedup, suffixdedup, tokencount, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths).drop("a", "b")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -62,5 +67,5 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substringdedup.digests(substringdedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op8_main_text": op8_main_text, "op9_byte_bpe": op9_byte_bpe, "op10_suffix_dedup": op10_suffix_dedup, "op12_collocations": op12_collocations, "op13_substring_dedup": op13_substring_dedup}
+QUERIES = {"op1_topk": op1_topk, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_url_filter": op4_url_filter, "op5_personal_data": op5_personal_data, "op6_decontamination": op6_decontamination, "op7_token_counts": op7_token_counts, "op8_main_text": op8_main_text, "op9_byte_bpe": op9_byte_bpe, "op10_suffix_dedup": op10_suffix_dedup, "op11_alignment": op11_alignment, "op12_collocations": op12_collocations, "op13_substring_dedup": op13_substring_dedup}
 ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op4_url_filter": urlfilter.ORACLE, "op12_collocations": collocations.ORACLE, "op13_substring_dedup": substringdedup.ORACLE}
