@@ -28,10 +28,15 @@ def drop_worker_state() -> None:
     """Forget what is kept and give its memory back to the system, as the next stage's tasks run in this process."""
     if _kept:
         _kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep_state: bool = False) -> Iterator[pa.RecordBatch]:

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.batches import slices
+from traceloom.llm.batches import give_back, slices
 from traceloom.llm.hattrie import WORDS, HatTrie, merged_runs
 from traceloom.session import cut_lineage
 
-SLOT_BYTES = 16 << 20  # text bytes per slot
+SLOT_BYTES = 12 << 20  # text bytes per slot
 SEGMENT = 4 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
@@ -67,7 +67,10 @@ def counted_runs(docs: DataFrame, slots: int) -> DataFrame:
                     if left := trie.count(lang, words, len(carried)):
                         yield batch_of(left)
                     carried = words[-(WORDS - 1) :]
-        yield batch_of(trie.spill(0))
+        left = batch_of(trie.spill(0))
+        del trie
+        give_back()  # the worker goes on to merge
+        yield left
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")

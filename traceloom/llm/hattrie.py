@@ -143,40 +143,48 @@ class HatTrie:
         held, out = sum(sizes), []
         if held <= most:
             return out
+        order = sorted(range(1, len(self.names)), key=self.names.__getitem__)
+        names = [b"", *(self.names[k] for k in order)]
+        rank = np.zeros(len(names), np.int64)
+        rank[order] = np.arange(1, len(names))
         for at in sorted(range(self.slots), key=lambda k: -sizes[k]):
             if held <= most // 2 or not sizes[at]:
                 break
-            out.append((at, self.run(self.roots[at])))
+            out.append((at, run_of(self.roots[at], names, rank)))
             self.roots[at] = Counter()
             held -= sizes[at]
         return out
 
-    def run(self, root) -> bytes:
-        """A subtree as a sorted run."""
-        found = containers(root)
-        n = sum(map(len, found))
-        keys = np.fromiter((k for c in found for k in c), np.int64, n)
-        times = np.fromiter((v for c in found for v in c.values()), np.int64, n)
-        ids = [keys >> BITS * (WORDS - 1 - k) & LOW for k in range(WORDS)]
-        used = np.unique(np.concatenate(ids))
-        used = used[used > 0]
-        names = [self.names[k] for k in used.tolist()]
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.zeros(len(self.names), np.int64)
-        rank[used[order]] = np.arange(1, len(used) + 1)
-        columns = [rank[i] for i in ids]
-        by = np.lexsort(columns[::-1])
-        return packed_run([names[k] for k in order], [c[by] for c in columns], times[by])
+
+def run_of(root, names: list[bytes], rank: np.ndarray) -> bytes:
+    """A subtree as a sorted run; ``names`` are all words in byte order, ``rank`` the place there of each id."""
+    found = containers(root)
+    keys = np.concatenate([np.fromiter(c, np.int64, len(c)) for c in found])
+    times = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in found])
+    key = np.zeros(len(keys), np.int64)
+    for place in range(WORDS):
+        shift = BITS * (WORDS - 1 - place)
+        key |= rank[keys >> shift & LOW] << shift
+    by = np.argsort(key)
+    key = key[by]
+    columns = [key >> BITS * (WORDS - 1 - place) & LOW for place in range(WORDS)]
+    used = np.zeros(len(names), bool)
+    for c in columns:
+        used[c] = True
+    used[0] = False
+    own = np.cumsum(used) * used
+    return packed_run([names[k] for k in np.flatnonzero(used).tolist()], [own[c] for c in columns], times[by])
 
 
 def packed_run(names: list[bytes], columns: list[np.ndarray], times: np.ndarray) -> bytes:
     import zstandard
 
-    head = np.array([len(names), len(times)], "<i8").tobytes()
+    kind = "<u2" if len(names) < 1 << 16 else "<u4"
+    wide = np.dtype(np.min_scalar_type(int(times.max(initial=0)))).itemsize
+    head = np.array([len(names), len(times), wide], "<i8").tobytes()
     sizes = np.array([len(n) for n in names], "<i4").tobytes()
     steps = [np.diff(columns[0], prepend=0), *columns[1:]]  # the first words ascend
-    kind = "<u2" if len(names) < 1 << 16 else "<u4"
-    body = b"".join(s.astype(kind).tobytes() for s in steps) + times.astype("<u8").tobytes()
+    body = b"".join(s.astype(kind).tobytes() for s in steps) + times.astype(f"<u{wide}").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + sizes + b"".join(names) + body)
 
 
@@ -185,14 +193,13 @@ def unpacked_run(blob: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    names_count, n = np.frombuffer(raw, "<i8", 2).tolist()
-    ends = 16 + 4 * names_count + np.cumsum(np.frombuffer(raw, "<i4", names_count, 16), dtype=np.int64)
-    starts = np.concatenate([[16 + 4 * names_count], ends])
+    names_count, n, wide = np.frombuffer(raw, "<i8", 3).tolist()
+    ends = 24 + 4 * names_count + np.cumsum(np.frombuffer(raw, "<i4", names_count, 24), dtype=np.int64)
+    starts = np.concatenate([[24 + 4 * names_count], ends])
     names = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]
     kind, at = np.dtype("<u2" if names_count < 1 << 16 else "<u4"), int(starts[-1])
-    columns = [np.frombuffer(raw, kind, n, at + k * n * kind.itemsize).astype(np.int64) for k in range(WORDS)]
-    columns[0] = np.cumsum(columns[0])
-    return names, columns, np.frombuffer(raw, "<u8", n, at + WORDS * n * kind.itemsize).astype(np.int64)
+    columns = [np.frombuffer(raw, kind, n, at + k * n * kind.itemsize) for k in range(WORDS)]
+    return names, columns, np.frombuffer(raw, f"<u{wide}", n, at + WORDS * n * kind.itemsize)
 
 
 def merged_runs(blobs: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
@@ -201,21 +208,24 @@ def merged_runs(blobs: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.n
     names = sorted(set().union(*(r[0] for r in runs)))
     rank = {name: k for k, name in enumerate(names, 1)}
     bits = max(1, len(names).bit_length())
-    columns: list[list[np.ndarray]] = [[] for _ in range(WORDS)]
-    for own, ranks, _ in runs:
+    one_key = WORDS * bits <= 63
+    keys, times, thirds = [], [], []
+    for own, columns, counts in runs:
         to = np.array([0, *(rank[name] for name in own)], np.int64)
-        for place, r in zip(columns, ranks, strict=True):
-            place.append(to[r])
-    one, two, three = (np.concatenate(c) for c in columns)
-    times = np.concatenate([r[2] for r in runs])
-    if WORDS * bits <= 63:
-        key = (one << 2 * bits) | (two << bits) | three
-    else:  # so many words that their ranks do not fit side by side: rank the pairs first
-        pairs, pair = np.unique((one << 31) | two, return_inverse=True)
-        key = (pair << 31) | three
+        pair = to[np.cumsum(columns[0], dtype=np.int64)] << bits | to[columns[1]]
+        keys.append(pair << bits | to[columns[2]] if one_key else pair)
+        thirds.append(np.zeros(0, np.int64) if one_key else to[columns[2]])
+        times.append(counts.astype(np.int64))
+    del runs, rank
+    key, total = np.concatenate(keys), np.concatenate(times)
+    del keys, times
+    if not one_key:  # so many words that their ranks do not fit side by side: rank the pairs first
+        pairs, key = np.unique(key, return_inverse=True)
+        key = key << 31 | np.concatenate(thirds)
     by = np.argsort(key, kind="stable")  # a merge sort that goes on from the runs' own order
-    key = key[by]
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(times[by], heads) if len(heads) else times
-    first = by[heads]
-    return names, [one[first], two[first], three[first]], total
+    key, total = key[by], total[by]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    key, total = key[heads], np.add.reduceat(total, heads) if len(heads) else total
+    low = (1 << bits) - 1
+    pair, third = (key >> bits, key & low) if one_key else (pairs[key >> 31], key & (1 << 31) - 1)
+    return names, [pair >> bits, pair & low, third], total
