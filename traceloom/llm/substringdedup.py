@@ -6,11 +6,11 @@ have equal anchors at equal places. Neighbouring windows of one anchor form a st
 
 1. Stretches are counted by prefix, at first the anchor's own words. A prefix that occurs once repeats nothing. If all its stretches
    are equal (copies), all their windows are repeated.
-2. A prefix with more than ``MOST_STRETCHES`` unequal stretches is made longer: its windows are halved by the place of the anchor in
-   them, and each half has the longer sequence of words that all its windows share. So prefixes grow until their groups fit in
-   memory, or at the full window, where equal prefixes are equal windows and counting decides.
-3. The stretches of the other prefixes go to shards by prefix, equal ones at most twice from a task, packed and compressed. Per
+2. The distinct stretches of the other prefixes go to shards by prefix, equal ones at most twice from a task, packed and compressed. Per
    prefix the suffix tree of its windows is grown (``subtrees``), and what lies below an internal node of ``WINDOW`` words is repeated.
+3. A prefix with more than ``MOST_STRETCHES`` unequal stretches is made longer: its windows are halved by the place of the anchor in
+   them, and each half has the longer sequence of words that all its windows share. So prefixes grow, level by level and over their
+   distinct stretches only, until their groups fit in memory, or to the full window, where equal prefixes are equal windows.
 4. The repeated windows go back to the texts as few ranges each, and the words they cover are removed.
 
 Words are what ASCII white space separates, unchanged. Null texts are empty; texts of fewer words than a window keep all. Repeated rows
@@ -21,7 +21,6 @@ Long words travel as a digest of 256 bits. No group of stretches and no slice of
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.batches import slices
-from traceloom.llm.joins import BitTable, bit_table, small_side
+from traceloom.llm.joins import BitTable, bit_table, small_side, text_keys
 from traceloom.llm.subtrees import deep_leaves, subtrees
 from traceloom.llm.suffixes import Hashed, anchored
-from traceloom.llm.words import finish
+from traceloom.llm.words import finish, hashes_of
 from traceloom.session import cut_lineage
 
 WINDOW = 35
@@ -45,11 +44,11 @@ STRETCH_BYTES = 300  # of a packed stretch, to reckon shards with
 BUFFER_BYTES = 16 << 20
 SLICE = 4 << 20
 LONG_WORD = 64
-KNOWN_WORDS = 500_000
 SEEN_STRETCHES = 300_000
 ALL = 1 << 30
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 LEVELS = (WINDOW - GRAM).bit_length() + 1
-KEYED = "h1 long, h2 long, prefix long, content long, start int, windows int"
+REPEATS = "prefix long, content long, first int, last int"
 
 
 def cells(level: int) -> list[tuple[int, int]]:
@@ -59,99 +58,62 @@ def cells(level: int) -> list[tuple[int, int]]:
     return [(low, high - 1) for low, high in zip(edges[:-1], edges[1:], strict=True)]
 
 
-class Words(dict):
-    """Numbers of words, and the hash of each by number."""
-
-    def __init__(self):
-        self.hashes = array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        self.hashes.append(xxh64_intdigest(word))
-        self[word] = at = len(self)
-        return at
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of a list of words."""
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-            self.hashes = array("Q")
-        ids = np.array([self[w] for w in words], np.int64)
-        return np.frombuffer(self.hashes, np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
-
-
-def split_words(raw: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts in order, and where each text's words begin, with the total at the end."""
-    parts = [t.split() for t in raw]
-    return [w for p in parts for w in p], np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-
-
-def stretches_in(hashes: np.ndarray, bounds: np.ndarray, split: list[BitTable], at_levels: int) -> Iterator[dict[str, np.ndarray]]:
-    """The stretches at each level up to ``at_levels``; beyond the first only those whose shorter prefix is in the split table of its level."""
-    hashed = Hashed(hashes)
-    found = anchored(hashed, bounds, WINDOW, GRAM)
-    found["prefix"] = found.pop("anchor")
-    yield found
-    for level in range(1, at_levels + 1):
-        found = {name: values[split[level - 1].holds(found["prefix"])] for name, values in found.items()}
-        parts = []
-        for number, (low, high) in enumerate(cells(level)):
-            place, last = found["place"], found["start"] + found["windows"] - 1
-            start, last = np.maximum(found["start"], place - high), np.minimum(last, place - low)
-            some = last >= start
-            start, last, place, text = start[some], last[some], place[some], found["text"][some]
-            core = hashed.ranges(place - low, place + WINDOW - high) + np.uint64(level * 64 + number)
-            content = hashed.ranges(start, last + WINDOW) ^ (place - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-            columns = (text, start, last - start + 1, place, finish(core ^ np.uint64(0xD6E8FEB86659FD93)), finish(content))
-            parts.append(dict(zip(("text", "start", "windows", "place", "prefix", "content"), columns, strict=True)))
-        found = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
-        # a stretch can lie in a cell through several ways; once is enough
-        by = np.unique(np.stack([found["prefix"].view(np.int64), found["start"], found["text"]]), axis=1, return_index=True)[1]
-        found = {name: values[by] for name, values in found.items()}
-        yield found
+def hashed_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts in order, and where each text's words begin, with the total at the end."""
+    return hashes_of([t.translate(SPACES) + b" " for t in raw])
+
+
+def finer_stretches(found: dict[str, np.ndarray], hashed: Hashed, level: int) -> dict[str, np.ndarray]:
+    """The parts of stretches that lie in the cells of a level, each with its longer prefix."""
+    parts = []
+    for number, (low, high) in enumerate(cells(level)):
+        place = found["place"]
+        start, last = np.maximum(found["start"], place - high), np.minimum(found["start"] + found["windows"] - 1, place - low)
+        some = np.flatnonzero(last >= start)
+        start, last, place = start[some], last[some], place[some]
+        core = hashed.ranges(place - low, place + WINDOW - high) + np.uint64(level * 64 + number)
+        content = hashed.ranges(start, last + WINDOW) ^ (place - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        columns = (found["text"][some], start, last - start + 1, place, finish(core ^ np.uint64(0xD6E8FEB86659FD93)), finish(content))
+        parts.append(dict(zip(("text", "start", "windows", "place", "anchor", "content"), columns, strict=True)))
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text as bytes, h1, h2): the parts of a row that this operator reads."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(20240607), "text")})
+    return rows.withColumns(text_keys(F.col("text")))
 
 
-def prefix_counts(docs: DataFrame, split: list) -> DataFrame:
-    """(prefix, times, low, high) of the prefixes of the level after the split ones that occur several times; low and high are the least and
-    greatest content."""
-    level = len(split)
+def prefix_counts(docs: DataFrame) -> DataFrame:
+    """(prefix, times, low, high) of the anchors that occur several times; low and high are the least and greatest content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables = Words(), [s.value for s in split]
         for batch in slices(batches, "text", SLICE):
-            flat, bounds = split_words(batch.column("text").to_pylist())
-            *_, found = stretches_in(words.of(flat), bounds, tables, level)
-            yield pa.RecordBatch.from_arrays([pa.array(found[k].view(np.int64)) for k in ("prefix", "content")], names=["prefix", "content"])
+            hashes, bounds = hashed_words(batch.column("text").to_pylist())
+            found = anchored(Hashed(hashes), bounds, WINDOW, GRAM)
+            yield pa.RecordBatch.from_arrays([pa.array(found[k].view(np.int64)) for k in ("anchor", "content")], names=["prefix", "content"])
 
     found = keyed(docs).select("text").mapInArrow(run, "prefix long, content long")
     counts = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
     return cut_lineage(counts.where("times > 1"))
 
 
-def all_stretches(docs: DataFrame, split: list, seen: list) -> DataFrame:
-    """The stretches of all levels whose prefix is in the table ``seen`` of its level."""
+def stretches(docs: DataFrame, seen) -> DataFrame:
+    """The stretches whose prefix is in a bit table; windows holds the place of the first window and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables, wanted = Words(), [s.value for s in split], [s.value for s in seen]
         for batch in slices(batches, "text", SLICE):
-            flat, bounds = split_words(batch.column("text").to_pylist())
-            for found, of_level in zip(stretches_in(words.of(flat), bounds, tables, len(tables)), wanted, strict=True):
-                found = {name: values[of_level.holds(found["prefix"])] for name, values in found.items()}
-                rows = pa.array(found["text"])
-                columns = [batch.column("h1").take(rows), batch.column("h2").take(rows)]
-                columns += [pa.array(found[k].view(np.int64)) for k in ("prefix", "content")]
-                columns += [pa.array((found["start"] - bounds[found["text"]]).astype(np.int32)), pa.array(found["windows"].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "prefix", "content", "start", "windows"])
+            hashes, bounds = hashed_words(batch.column("text").to_pylist())
+            found = anchored(Hashed(hashes), bounds, WINDOW, GRAM)
+            at = np.flatnonzero(seen.value.holds(found["anchor"]))
+            rows = pa.array(found["text"][at])
+            columns = [batch.column("h1").take(rows), batch.column("h2").take(rows)]
+            columns += [pa.array(found[k][at].view(np.int64)) for k in ("anchor", "content")]
+            columns.append(pa.array((found["start"] - bounds[found["text"]])[at] << 32 | found["windows"][at]))
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "prefix", "content", "windows"])
 
-    return keyed(docs).select("text", "h1", "h2").mapInArrow(run, KEYED)
+    return keyed(docs).select("text", "h1", "h2").mapInArrow(run, "h1 long, h2 long, prefix long, content long, windows long")
 
 
 def carried(words: list[bytes]) -> bytes:
@@ -159,30 +121,41 @@ def carried(words: list[bytes]) -> bytes:
     return b" ".join([w if len(w) <= LONG_WORD else b"\x0b" + hashlib.sha256(w).hexdigest().encode() for w in words])
 
 
-def packed_shards(docs: DataFrame, split: list, mixed: list, shards: int) -> DataFrame:
-    """The stretches of mixed prefixes, packed by shard. Of equal ones a task gives two, the second without its words: that a stretch
-    is there twice is all that its further copies could tell."""
+def distinct_stretches(batches: Iterator[pa.RecordBatch], wanted: BitTable) -> Iterator[list[tuple[int, int, int, int, bytes]]]:
+    """(prefix, content, windows, place, words) of the stretches of a task whose prefix is wanted. Of equal ones there are two, the second
+    without its words: that a stretch is there twice is all that its further copies could tell."""
+    times: dict[tuple[int, int], int] = {}
+    for batch in slices(batches, "text", SLICE):
+        raw = batch.column("text").to_pylist()
+        hashes, bounds = hashed_words(raw)
+        found = anchored(Hashed(hashes), bounds, WINDOW, GRAM)
+        chosen = wanted.holds(found["anchor"])
+        columns = [found[k][chosen] for k in ("text", "anchor", "content", "start", "windows", "place")]
+        if len(times) > SEEN_STRETCHES:
+            times.clear()
+        rows, words, of = [], [], -1
+        for text, prefix, content, start, windows, place in zip(*(c.tolist() for c in columns), strict=True):
+            before = times.get((prefix, content), 0)
+            if before == 2:
+                continue
+            times[prefix, content] = before + 1
+            if text != of:
+                words, of, begin = raw[text].split(), text, int(bounds[text])
+            part = b"" if before else carried(words[start - begin : start - begin + windows + WINDOW - 1])
+            rows.append((prefix, content, windows, place - start, part))
+        yield rows
+
+
+def packed_shards(docs: DataFrame, mixed, shards: int) -> DataFrame:
+    """The distinct stretches of mixed prefixes, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables, wanted = Words(), [s.value for s in split], [s.value for s in mixed]
-        times: dict[tuple[int, int], int] = {}
         rows: dict[int, list] = {}
         size = 0
-        for batch in slices(batches, "text", SLICE):
-            flat, bounds = split_words(batch.column("text").to_pylist())
-            if len(times) > SEEN_STRETCHES:
-                times.clear()
-            for found, of_level in zip(stretches_in(words.of(flat), bounds, tables, len(tables)), wanted, strict=True):
-                chosen = of_level.holds(found["prefix"])
-                columns = [found[k][chosen].tolist() for k in ("prefix", "content", "start", "windows")]
-                for prefix, content, start, windows in zip(*columns, strict=True):
-                    before = times.get((prefix, content), 0)
-                    if before == 2:
-                        continue
-                    times[prefix, content] = before + 1
-                    text = b"" if before else carried(flat[start : start + windows + WINDOW - 1])
-                    rows.setdefault(prefix % shards, []).append((prefix, content, windows, text))
-                    size += 40 + len(text)
+        for found in distinct_stretches(batches, mixed.value):
+            for prefix, content, windows, _, words in found:
+                rows.setdefault(prefix % shards, []).append((prefix, content, windows, words))
+                size += 40 + len(words)
             if size > BUFFER_BYTES:
                 yield packed_rows(rows)
                 rows, size = {}, 0
@@ -191,6 +164,64 @@ def packed_shards(docs: DataFrame, split: list, mixed: list, shards: int) -> Dat
     return keyed(docs).select("text").mapInArrow(run, "shard long, stretches binary")
 
 
+def hot_stretches(docs: DataFrame, hot) -> DataFrame:
+    """The distinct stretches of prefixes that are to grow, each as a part of itself (of1, of2, offset 0), with the number of its occurrences: one or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in distinct_stretches(batches, hot.value):
+            prefix, content, windows, place, words = zip(*found, strict=True) if found else ((), (), (), (), ())
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (prefix, content)]
+            columns += [pa.array(c, pa.int32()) for c in (windows, place)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary())], names=["of1", "of2", "windows", "place", "words"])
+
+    found = keyed(docs).select("text").mapInArrow(run, "of1 long, of2 long, windows int, place int, words binary")
+    once = found.groupBy("of1", "of2", "windows", "place").agg(F.count(F.lit(1)).alias("times"), F.max("words").alias("words"))
+    return once.withColumn("offset", F.lit(0))
+
+
+PART = "of1 long, of2 long, offset int, windows int, place int, times long, words binary, prefix long, content long"
+
+
+def finer_parts(parts: DataFrame, level: int) -> DataFrame:
+    """Parts of stretches cut by the cells of a level, with their prefix and content there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words", SLICE):
+            raw = [w.split(b" ") for w in batch.column("words").to_pylist()]
+            hashes, bounds = hashes_of([b" ".join(w) + b" " for w in raw])
+            begin = bounds[:-1]
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("offset", "windows", "place")}
+            whole = {"text": np.arange(len(raw)), "start": begin, "windows": columns["windows"], "place": begin + columns["place"]}
+            found = finer_stretches(whole, Hashed(hashes), level)
+            rows, start = found["text"], found["start"] - begin[found["text"]]
+            words = [b" ".join(raw[r][s : s + n + WINDOW - 1]) for r, s, n in zip(rows.tolist(), start.tolist(), found["windows"].tolist(), strict=True)]
+            taken = [batch.column(k).take(pa.array(rows)) for k in ("of1", "of2", "times")]
+            numbers = [columns["offset"][rows] + start, found["windows"], found["place"] - found["start"]]
+            keys = [pa.array(found[k].view(np.int64)) for k in ("anchor", "content")]
+            yield pa.RecordBatch.from_arrays([*taken[:2], *(pa.array(c.astype(np.int32)) for c in numbers), taken[2], pa.array(words, pa.binary()), *keys], names=[c.split()[0] for c in PART.split(", ")])
+
+    return parts.select("of1", "of2", "offset", "windows", "place", "times", "words").mapInArrow(run, PART)
+
+
+def grown(docs: DataFrame, hot) -> list[DataFrame]:
+    """(prefix, content, first, last): the repeated windows of the stretches of hot prefixes, found with longer prefixes."""
+    out = []
+    parts = hot_stretches(docs, hot)
+    for level in range(1, LEVELS + 1):
+        finer = cut_lineage(finer_parts(parts, level))
+        counts = finer.groupBy("prefix").agg(F.sum("times").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
+        judged = cut_lineage(finer.join(small_side(cut_lineage(counts)), "prefix"))
+        out.append(judged.where("low = high").selectExpr("of1 AS prefix", "of2 AS content", "offset AS first", "offset + windows - 1 AS last"))
+        alone = judged.where(f"low <> high AND n <= {MOST_STRETCHES}")
+        size = alone.agg(F.sum(F.octet_length("words").cast("long") + 40)).first()[0] or 0
+        shard = F.pmod("prefix", F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
+        out.append(cut_lineage(alone.select("*", shard).groupBy("shard").applyInPandas(resolve_parts, REPEATS)))
+        parts = judged.where(f"low <> high AND n > {MOST_STRETCHES}")
+        if parts.isEmpty():
+            break
+    return out
+
+
 def packed_rows(rows: dict[int, list]) -> pa.RecordBatch:
     import zstandard
 
@@ -217,57 +248,63 @@ def unpacked_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
 
 
 def resolve_shard(group: pd.DataFrame) -> pd.DataFrame:
-    """(prefix, content, first, last): the repeated windows of a shard's stretches as runs, from the suffix tree of each prefix."""
+    """(prefix, content, first, last): the repeated windows of a shard's packed stretches as runs, from the suffix tree of each prefix."""
     rows = [unpacked_rows(blob) for blob in group["stretches"]]
     prefix, content, windows = (np.concatenate([r[k] for r in rows]) for k in range(3))
-    texts = [t for r in rows for t in r[3]]
-    order = np.lexsort((np.array([not t for t in texts]), content, prefix))  # of equal ones those with words come first
+    words = [w for r in rows for w in r[3]]
+    order = np.lexsort((np.array([not w for w in words]), content, prefix))  # of equal ones those with words come first
     prefix, content, windows = prefix[order], content[order], windows[order].astype(np.int64)
     fresh = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (content[1:] != content[:-1])])
     times = np.bincount(np.cumsum(fresh) - 1)
-    kept = [texts[k].split(b" ") for k in order[fresh].tolist()]
     prefix, content, windows = prefix[fresh], content[fresh], windows[fresh]
+    who, first, last = repeated_runs([words[k] for k in order[fresh].tolist()], windows, prefix, times)
+    return pd.DataFrame({"prefix": prefix[who].view(np.int64), "content": content[who].view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32)})
+
+
+def resolve_parts(group: pd.DataFrame) -> pd.DataFrame:
+    """The same for parts of stretches, by the stretch and the offset they belong to."""
+    windows, offset = (group[k].to_numpy(np.int64) for k in ("windows", "offset"))
+    who, first, last = repeated_runs(group["words"].tolist(), windows, group["prefix"].to_numpy(), group["times"].to_numpy(np.int64))
+    first, last = ((offset[who] + k).astype(np.int32) for k in (first, last))
+    return pd.DataFrame({"prefix": group["of1"].to_numpy()[who], "content": group["of2"].to_numpy()[who], "first": first, "last": last})
+
+
+def repeated_runs(words: list[bytes], windows: np.ndarray, prefix: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of windows that occur several times below their prefix: which stretch, and the offsets of the first and last window."""
+    split = [w.split(b" ") for w in words]
     numbers: dict[bytes, int] = {}
-    x = np.array([numbers.setdefault(w, len(numbers)) for words in kept for w in words], np.int64)
-    begins = np.concatenate([[0], np.cumsum([len(words) for words in kept])])[:-1]
-    owner = np.repeat(np.arange(len(kept)), windows)
+    x = np.array([numbers.setdefault(w, len(numbers)) for part in split for w in part], np.int64)
+    begins = np.concatenate([[0], np.cumsum([len(part) for part in split])])[:-1].astype(np.int64)
+    owner = np.repeat(np.arange(len(split)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     nodes = subtrees(x, begins[owner] + offset, prefix[owner], WINDOW, times[owner])
     at = np.sort(deep_leaves(nodes, WINDOW))  # leaves are numbered by owner and offset
     breaks = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
     first, last = at[breaks[: len(at)]], at[np.append(breaks[1:], True)[: len(at)]]
-    who = owner[first]
-    return pd.DataFrame({"prefix": prefix[who].view(np.int64), "content": content[who].view(np.int64), "first": offset[first].astype(np.int32), "last": offset[last].astype(np.int32)})
-
-
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list, list]:
-    """(prefix, content, first, last): the repeated windows of stretches as runs of offsets, and the tables of split and of repeated prefixes by level."""
-    split: list = []
-    counts: list[DataFrame] = []
-    while True:
-        counts.append(prefix_counts(docs, split))
-        hot = counts[-1].where(f"low <> high AND times > {MOST_STRETCHES}").select("prefix")
-        if len(split) == LEVELS or hot.isEmpty():
-            break
-        split.append(bit_table(hot, "prefix"))
-    seen = [bit_table(c.select("prefix"), "prefix") for c in counts]
-    alone = [c.where(f"low <> high AND times <= {MOST_STRETCHES}") for c in counts]
-    mixed = [bit_table(c.select("prefix"), "prefix") for c in alone]
-    total = sum(c.agg(F.sum("times")).first()[0] or 0 for c in alone)
+    return owner[first], offset[first], offset[last]
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
+    """(prefix, content, first, last): the repeated windows of stretches as runs of offsets, and the bit table of the prefixes to look at."""
+    counts = prefix_counts(docs)
+    mixed = counts.where(f"low <> high AND times <= {MOST_STRETCHES}")
+    total = mixed.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total * STRETCH_BYTES // SHARD_BYTES))
-    in_trees = cut_lineage(packed_shards(docs, split, mixed, shards).groupBy("shard").applyInPandas(resolve_shard, "prefix long, content long, first int, last int"))
-    out = in_trees
-    for c in counts:
-        out = out.unionAll(c.where("low = high").select("prefix", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last")))
-    return out, split, seen
+    in_trees = cut_lineage(packed_shards(docs, bit_table(mixed.select("prefix"), "prefix"), shards).groupBy("shard").applyInPandas(resolve_shard, REPEATS))
+    copies = counts.where("low = high").select("prefix", F.col("low").alias("content"), F.lit(0).alias("first"), F.lit(ALL).alias("last"))
+    out = copies.unionAll(in_trees)
+    hot = counts.where(f"low <> high AND times > {MOST_STRETCHES}").select("prefix")
+    for more in grown(docs, bit_table(hot, "prefix")) if not hot.isEmpty() else []:
+        out = out.unionAll(more)
+    return out, bit_table(counts.select("prefix"), "prefix")
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(h1, h2, spans): of every text with a repeated window the maximal ranges of words to remove, as pairs of long packed in bytes."""
-    repeats, split, seen = repeated_windows(docs)
-    last = F.col("start") + F.least("last", F.col("windows") - 1)
-    run = F.shiftleft((F.col("start") + F.col("first")).cast("long"), 32).bitwiseOR(last.cast("long"))
-    found = all_stretches(docs, split, seen).join(repeats, ["prefix", "content"]).select("h1", "h2", run.alias("run"))
+    repeats, seen = repeated_windows(docs)
+    start, windows = F.shiftright("windows", 32), F.col("windows").bitwiseAND(0xFFFFFFFF)
+    run = F.shiftleft(start + F.col("first"), 32).bitwiseOR(start + F.least(F.col("last").cast("long"), windows - 1))
+    found = stretches(docs, seen).join(repeats, ["prefix", "content"]).select("h1", "h2", run.alias("run"))
     gathered = found.groupBy("h1", "h2").agg(F.collect_set("run").alias("runs"))
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
