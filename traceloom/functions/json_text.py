@@ -51,12 +51,16 @@ def first_balanced_object(text: Column) -> Column:
     return F.when(end["closed"], F.left(tail, end["size"]))
 
 
-def extract_json_block(c: Column) -> Column:
-    """JSON text of a model answer: after the thinking part, fenced if possible; null when there is none."""
+def searched_text(c: Column) -> Column:
+    """The part of a model answer in which a JSON block is looked for: what follows the thinking part."""
     after = F.substring_index(c, "</think>", -1)
     without = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
-    text = F.when(c.contains("</think>"), after).when(~is_blank(without), without).otherwise(c)
-    return bind(text, lambda t: F.coalesce(_fenced(t, "json"), _fenced(t, ""), first_balanced_object(t)))
+    return F.when(c.contains("</think>"), after).when(~is_blank(without), without).otherwise(c)
+
+
+def extract_json_block(c: Column) -> Column:
+    """JSON text of a model answer: after the thinking part, fenced if possible; null when there is none."""
+    return bind(searched_text(c), lambda t: F.coalesce(_fenced(t, "json"), _fenced(t, ""), first_balanced_object(t)))
 
 
 def is_strict_json(c: Column) -> Column:

@@ -145,3 +145,29 @@ def nested_get(json: Column, *paths: str) -> Column:
     """First non-blank value among dotted paths of a JSON text, '' when none."""
     found = [F.get_json_object(json, f"$.{path}") for path in paths]
     return F.coalesce(*[F.when(~is_blank(value), value) for value in found], F.lit(""))
+
+
+def quoted_repr(c: Column) -> Column:
+    """A text as Python writes it in quotes: double ones only if it holds single and no double ones, other characters escaped."""
+    double = c.contains("'") & ~c.contains('"')
+
+    def written(ch: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(ch)))
+        escaped = (
+            F.when(F.length(code) <= 2, F.concat(F.lit("\\x"), F.lpad(code, 2, "0")))
+            .when(F.length(code) <= 4, F.concat(F.lit("\\u"), F.lpad(code, 4, "0")))
+            .otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0")))
+        )
+        return (
+            F.when(ch == "\\", F.lit("\\\\"))
+            .when(ch == "\n", F.lit("\\n"))
+            .when(ch == "\r", F.lit("\\r"))
+            .when(ch == "\t", F.lit("\\t"))
+            .when((ch == "'") & ~double, F.lit("\\'"))
+            .when(ch.rlike(r"[\p{C}\p{Z}&&[^ ]]"), escaped)
+            .otherwise(ch)
+        )
+
+    mark = F.when(double, F.lit('"')).otherwise(F.lit("'"))
+    letters = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    return F.concat(mark, F.array_join(F.transform(letters, written), ""), mark)

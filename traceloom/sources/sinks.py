@@ -54,3 +54,9 @@ def wide_metrics(metrics: DataFrame, sources: list[str] | None = None) -> DataFr
 
 def write_metrics_csv(metrics: DataFrame, path: str, sources: list[str] | None = None) -> None:
     wide_metrics(metrics, sources).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def is_written(spark, path: str) -> bool:
+    """Whether a folder was written whole: Spark's writers leave their mark last."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
