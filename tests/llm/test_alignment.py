@@ -91,6 +91,36 @@ def test_pointers_reach_the_end_of_each_component():
             assert found.tolist() == [min(c for c in common if c >= e) for e in side]
 
 
+def test_table_of_pairs():
+    rng = np.random.default_rng(1)
+    pairs = np.unique(rng.integers(0, 10**6, 5000))
+    table = alignment.PairTable(pairs, pairs * 2 + 1)
+    asked = rng.integers(0, 10**6, 20000)
+    assert table.of(asked).tolist() == np.where(np.isin(asked, pairs), asked * 2 + 1, 0).tolist()
+    assert alignment.PairTable(pairs[:0], pairs[:0]).of(asked[:3]).tolist() == [0, 0, 0]
+
+
+def test_ranks_encode_as_merges():
+    """Every code point in several places, and the vocabulary's own proof; a vocabulary with other merges is refused."""
+    import json
+
+    with open(A, "rb") as f:
+        data = f.read()
+    assert alignment.merges_follow_ranks(data)
+    ranks, merges = alignment.byte_level_side(data, True), alignment.byte_level_side(data, False)
+    assert ranks.pieces == merges.pieces[: len(ranks.pieces)]
+    rng = random.Random(6)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for c in [*points[:3000], *rng.sample(points, 3000)]:
+        x = chr(c)
+        text = f"a{x}b1 {x}'s {x}{x} {x}  x\n{x}<|endoftext|> "
+        assert list(ranks.encode([text])[0]) == merges.encode([text])[0]
+    other = json.loads(data)
+    other["model"]["merges"][5], other["model"]["merges"][6] = other["model"]["merges"][6], other["model"]["merges"][5]
+    assert not alignment.merges_follow_ranks(json.dumps(other).encode())
+    assert set(alignment.byte_letters().values()) == set(range(256))
+
+
 def test_groups_beyond_the_bound_are_counted_in_parts(monkeypatch):
     monkeypatch.setattr(alignment, "MOST_LINKS", 50)
     rng = np.random.default_rng(3)
@@ -103,4 +133,4 @@ def test_groups_beyond_the_bound_are_counted_in_parts(monkeypatch):
         for p, n in zip(pair.tolist(), times.tolist(), strict=True):
             got[p] += n
     assert got == Counter(x * 10 + y for x in a.ids.tolist() for y in b.ids.tolist())
-    assert alignment.distinct_pairs(a, b, groups, 10).tolist() == sorted(got)
+    assert alignment.distinct_pairs(a, b, groups, 10, 100).tolist() == sorted(got)
