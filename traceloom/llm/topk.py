@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SEGMENTS = (1, 4, 16)
 ROW_BLOCK = 8192
 QUERY_BLOCK = 1024
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, q1 long, q2 long, times long, vec_id long, score long"
 
 
 class Resolution:
@@ -49,16 +49,20 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best (query_id, vec_id, score) of each query among the rows, its own id left out."""
+def search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, copies: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """The k best (place of the query, vec_id, score) of each query among the rows, itself left out: of the rows that have its id and its
+    vector the one with copy number 1."""
     if not len(row_ids) or not len(query_ids):
         return []
+    copies = np.ones(len(row_ids), np.int64) if copies is None else copies
     of_queries = [Resolution(queries, s) for s in SEGMENTS]
     of_rows = [Resolution(rows, s) for s in SEGMENTS]
     out = []
     for at, query_id in enumerate(query_ids):
         query = queries[at]
-        alive = np.flatnonzero(row_ids != query_id)
+        named = np.flatnonzero((row_ids == query_id) & (copies == 1))
+        own = named[(rows[named] == query).all(axis=1)]
+        alive = np.delete(np.arange(len(row_ids)), own)
         known = None
         for mine, theirs in zip(of_queries, of_rows, strict=True):
             if len(alive) <= k:
@@ -70,80 +74,90 @@ def search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows
             alive = alive[bounds >= known]
         scores = rows[alive] @ query
         best = best_of(scores, row_ids[alive], k)
-        out += zip([int(query_id)] * len(best), row_ids[alive][best].tolist(), scores[best].tolist(), strict=True)
+        out += zip([at] * len(best), row_ids[alive][best].tolist(), scores[best].tolist(), strict=True)
     return out
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, v): v holds floor(256 * x) of every component. Null ids, null or empty vectors and those with a null or non-finite
-    component take no part; of rows with the same id the one with the smallest v stays."""
+    """(vec_id, v, times): v holds floor(256 * x) of every component, times says how many rows are equal. Null ids, null or empty vectors
+    and those with a null or non-finite component take no part; rows that share an id but not the vector stay apart."""
     x = F.col(vector_column).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = vectors.where(F.col(id_column).isNotNull() & (F.size(x) > 0) & fine)
     v = F.transform(x, lambda c: F.floor(c * 256).cast("long"))
-    return usable.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return usable.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _pack(rows: DataFrame, block: str) -> DataFrame:
-    """One row per block with its ids and vectors as bytes; a block also holds vectors of one length only."""
+def _pack(rows: DataFrame, blocks: int, number: str) -> DataFrame:
+    """One row per block with its ids, numbers and vectors as bytes; a block also holds vectors of one length only."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["vec_id"].to_numpy(np.int64)
         flat = np.concatenate([np.asarray(v, np.int64) for v in group["v"]])
-        return pd.DataFrame({"dim": [group["dim"].iloc[0]], "block": [group["block"].iloc[0]], "ids": [ids.tobytes()], "flat": [flat.tobytes()]})
+        columns = {name: [group[name].to_numpy(np.int64).tobytes()] for name in ("vec_id", number)}
+        return pd.DataFrame({"dim": [group["dim"].iloc[0]], "block": [group["block"].iloc[0]], **columns, "flat": [flat.tobytes()]})
 
-    keyed = rows.select("vec_id", "v", F.size("v").alias("dim"), F.expr(block).alias("block"))
-    return keyed.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, ids binary, flat binary")
+    block = F.pmod(F.xxhash64("vec_id", number, "v"), F.lit(blocks)).alias("block")
+    keyed = rows.select("vec_id", number, "v", F.size("v").alias("dim"), block)
+    return keyed.groupBy("dim", "block").applyInPandas(pack, f"dim int, block long, vec_id binary, {number} binary, flat binary")
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by inner product, ties to the smaller id, all if there are fewer.
 
-    Queries are the rows whose id is divisible by ``query_every``; candidates every row but the query's own, of the same length.
-    An empty table and a table without queries give no rows. Block counts follow the row count, so a block's size does not.
+    Queries are the rows whose id is divisible by ``query_every``; candidates every row but the query's own, of the same length. So rows
+    that repeat a query are candidates of each other, and each of them is a query with an answer of its own, whether their vectors are
+    equal or not. Of equal rows k + 1 are enough to fill any answer and are all that is looked at. An empty table and a table
+    without queries give no rows. Block counts follow the row count, so a block's size does not.
     """
     rows = quantized(vectors, id_column, vector_column)
     total, asked = vectors.agg(F.count(F.lit(1)), F.count_if(F.col(id_column) % query_every == 0)).first()
     row_blocks, query_blocks = -(-total // ROW_BLOCK) or 1, -(-asked // QUERY_BLOCK) or 1
-    spread = "pmod(xxhash64(vec_id), {})"
-    table = _pack(rows, spread.format(row_blocks)).select("dim", F.col("block").alias("row_block"), "ids", "flat")
-    questions = _pack(rows.where(F.col("vec_id") % query_every == 0), spread.format(query_blocks)).select(
-        "dim", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat")
+    each = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k + 1)))).alias("copy"))
+    table = _pack(each, row_blocks, "copy").withColumnRenamed("block", "row_block")
+    questions = _pack(rows.where(F.col("vec_id") % query_every == 0), query_blocks, "times").select(
+        "dim", F.col("block").alias("query_block"), F.col("vec_id").alias("query_ids"), "times", F.col("flat").alias("query_flat")
     )
     # every pair of blocks meets: each side names the blocks of the other
     left = table.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     meetings = left.join(questions, ["dim", "query_block"]).repartition(max(1, row_blocks * query_blocks), "dim", "row_block", "query_block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh128_intdigest
+
         for batch in batches:
             for m in batch.itertuples():
-                matrix = np.frombuffer(m.flat, np.int64).reshape(-1, m.dim)
-                queries = np.frombuffer(m.query_flat, np.int64).reshape(-1, m.dim)
-                found = search(np.frombuffer(m.query_ids, np.int64), queries, np.frombuffer(m.ids, np.int64), matrix, k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                numbers = lambda raw: np.frombuffer(raw, np.int64)
+                matrix, queries = numbers(m.flat).reshape(-1, m.dim), numbers(m.query_flat).reshape(-1, m.dim)
+                ids, times = numbers(m.query_ids), numbers(m.times)
+                found = search(ids, queries, numbers(m.vec_id), matrix, k, numbers(m.copy))
+                keys = [np.frombuffer(xxh128_intdigest(q.tobytes()).to_bytes(16, "little"), np.int64).tolist() for q in queries]
+                rows = [(int(ids[at]), *keys[at], int(times[at]), vec_id, score) for at, vec_id, score in found]
+                yield pd.DataFrame(rows, columns=["query_id", "q1", "q2", "times", "vec_id", "score"])
 
     return _ranked(meetings.mapInPandas(run, FOUND), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of what the meetings found: per query at most k rows a block of rows."""
+    """The k best of what the meetings found, per query at most k rows a block of rows; once for each row that asks the same."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    order = Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    asked = best.withColumn("_asked", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return asked.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH rows AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+WITH rows AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
-    FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+    SELECT q.r AS q, q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
+    FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.r <> q.r AND len(r.v) = len(q.v)
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
