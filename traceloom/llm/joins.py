@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
@@ -31,6 +31,11 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
+def text_keys(text: Column) -> dict[str, Column]:
+    """h1 and h2, 128 bits of hash of a column of text or bytes; null is told from the empty text by the caller."""
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(20240607), text)}
+
+
 class BitTable:
     """A set of 64-bit keys by their leading bits: holds every key put in, and now and then another."""
 

@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.batches import slices, texts
 from traceloom.llm.components import components
-from traceloom.llm.joins import small_side
+from traceloom.llm.joins import small_side, text_keys
 from traceloom.session import cut_lineage
 
 MAX_DISTANCE = 2  # what one flip on either side can bridge
@@ -46,19 +46,14 @@ def fingerprint(text: str, words_per_shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long; null, empty and blank texts have fingerprint 0."""
+    """(doc_id, h1, h2, fp) of every row: hashes of its text, and the fingerprint as a signed long; null, empty and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = [fingerprint(t) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("own_id", "own1", "own2")), pa.array(fps, pa.int64())], names=["doc_id", "h1", "h2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
-
-
-def fingerprint_udf():
-    """The same fingerprint as a column of a text column."""
-    return F.pandas_udf(lambda column: column.map(lambda t: fingerprint(t or "")), "long")
+    return docs.select(F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long")
 
 
 def links(distinct_fps: DataFrame) -> DataFrame:
@@ -77,49 +72,58 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
 
 def group_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp, group_fp) of every row.
+    """(doc_id, fingerprint, component_id, fp, group_fp, h1, h2) of every row.
 
     component_id is the smallest doc_id of the rows that links can reach, this one included; rows with a null doc_id link like any
     other and take the group's id, which is null only if no row of the group has one. Repeated rows come back each. fp and group_fp
-    are the fingerprint and the smallest one of its group as signed longs.
+    are the fingerprint and the smallest one of its group as signed longs, h1 and h2 hashes of the text.
     """
     fps = cut_lineage(fingerprints(docs))
     nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     grouped = label_rows(fps, nodes, components(links(nodes.select("fp"))))
-    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "group_fp")
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "group_fp", "h1", "h2")
 
 
 def label_rows(fps: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, component_id, fp, group_fp) of every row of ``fps`` (doc_id, fp), by the ``nodes`` (fp, first_id) and the ``labels``
+    """(doc_id, component_id, fp, group_fp, h1, h2) of every row of ``fps`` (doc_id, h1, h2, fp), by the ``nodes`` (fp, first_id) and the ``labels``
     of those that are linked to another."""
     labelled = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = labelled.select(F.col("fp").alias("of"), "label").join(smallest, "label").select("of", "label", "component_id")
-    return fps.join(of_fp, fps.fp == of_fp.of).select("doc_id", "component_id", "fp", F.col("label").alias("group_fp"))
+    return fps.join(of_fp, fps.fp == of_fp.of).select("doc_id", "component_id", "fp", F.col("label").alias("group_fp"), "h1", "h2")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of one document of each group of fingerprints."""
-    return keep_first(docs, group_documents(docs), fingerprint_udf())
+    return keep_first(docs, group_documents(docs))
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, key_of_text) -> DataFrame:
-    """The rows of one document of each group: the one with the smallest doc_id, once if its row is repeated.
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group: that with the smallest doc_id (null after all others, then by a hash of the text).
 
-    ``groups`` has (doc_id, component_id, fp, group_fp) of every row, and ``key_of_text`` gives the fp of a text column. Rows with a null doc_id cannot be told apart by it; they go where their group has a doc_id, else one of the group stays.
+    ``groups`` has (doc_id, h1, h2, group_fp) of every row. Rows are told apart by doc_id and text, so different texts under one doc_id,
+    or under none, are judged each; of rows that repeat both one stays.
     """
-    grouped = cut_lineage(groups)
-    ids = grouped.where("doc_id IS NOT NULL")
-    repeated = ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    away = small_side(cut_lineage(ids.where("doc_id <> component_id").select("doc_id").unionAll(repeated)))
-    own = docs["doc_id"].cast("long")
-    kept = docs.where(docs["doc_id"].isNotNull()).join(away, own == away["doc_id"], "left_anti")
-    again = cut_lineage(repeated)
+    key = ["doc_id", "h1", "h2"]
+    rows = cut_lineage(groups.groupBy("group_fp", *key).agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), *key)
+    first = rows.groupBy("group_fp").agg(F.min(order).alias("first"))
+    marked = cut_lineage(rows.join(first, "group_fp").select(*key, "n", (order == F.col("first")).alias("stays")))
+    own = docs.select(F.struct("*").alias("row"), *row_keys())
+    away = small_side(cut_lineage(marked.where("NOT stays OR n > 1").select(*key)))
+    kept = own.join(away, same_row(own, away), "left_anti").select("row.*")
+    again = cut_lineage(marked.where("stays AND n > 1").select(*key))
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, own == again["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    nameless = grouped.where("component_id IS NULL").select(F.col("fp").alias("of"), "group_fp").distinct()
-    if not nameless.isEmpty():
-        rows = docs.where(docs["doc_id"].isNull()).select(F.struct("*").alias("row"), key_of_text(F.col("text")).alias("of_fp"))
-        first = rows.join(nameless, rows["of_fp"] == nameless["of"]).dropDuplicates(["group_fp"])
-        kept = kept.unionByName(first.select("row.*"))
+        repeated = small_side(again)
+        kept = kept.unionByName(own.join(repeated, same_row(own, repeated), "left_semi").dropDuplicates(["own_id", "own1", "own2"]).select("row.*"))
     return kept
+
+
+def row_keys() -> list[Column]:
+    """What tells a row of documents apart: own_id, and 128 bits of hash of its text."""
+    keys = text_keys(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return [F.col("doc_id").cast("long").alias("own_id"), keys["h1"].alias("own1"), keys["h2"].alias("own2")]
+
+
+def same_row(own: DataFrame, other: DataFrame) -> Column:
+    return own["own_id"].eqNullSafe(other["doc_id"]) & (own["own1"] == other["h1"]) & (own["own2"] == other["h2"])

@@ -303,7 +303,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """(h1, h2, spans): of every text with a repeated window the maximal ranges of words to remove, as pairs of long packed in bytes."""
     repeats, seen = repeated_windows(docs)
     start, windows = F.shiftright("windows", 32), F.col("windows").bitwiseAND(0xFFFFFFFF)
-    run = F.shiftleft(start + F.col("first"), 32).bitwiseOR(start + F.least(F.col("last").cast("long"), windows - 1))
+    # a run's place and length, which spread a set's hashes; its two ends would nearly cancel in them
+    run = F.shiftleft(start + F.col("first"), 32).bitwiseOR(F.least(F.col("last").cast("long"), windows - 1) - F.col("first"))
     found = stretches(docs, seen).join(repeats, ["prefix", "content"]).select("h1", "h2", run.alias("run"))
     gathered = found.groupBy("h1", "h2").agg(F.collect_set("run").alias("runs"))
 
@@ -312,7 +313,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             runs = batch.column("runs")
             flat = runs.flatten().to_numpy()
             bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            first, end = flat >> 32, (flat & 0xFFFFFFFF) + WINDOW
+            first = flat >> 32
+            end = first + (flat & 0xFFFFFFFF) + WINDOW
             spans = [joined_ranges(first[a:b], end[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(spans, pa.binary())], names=["h1", "h2", "spans"])
 

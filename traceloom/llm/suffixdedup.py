@@ -5,8 +5,8 @@ where such a string could start) belongs to one anchor, its gram with the least
 only meet within an anchor. Neighbouring windows of one anchor form a stretch.
 
 1. Stretches are counted by anchor. An anchor that occurs once repeats nothing. If all its stretches are equal (copies), all their
-   windows are repeated. The rest are mixed. A bit table of bounded size tells later passes which anchors to look at; a bit set by
-   chance only makes them look at more.
+   windows are repeated. The rest are mixed. A bit table that grows with the anchors, up to a bound, tells later passes which to look
+   at; a bit set by chance only makes them look at more.
 2. The stretches of mixed anchors, of equal ones at most two from each task, are dealt to shards by anchor, without the gram, which
    the anchor stands for; what a task has for a shard is packed and compressed. An anchor with very many is dealt to several shards,
    which are its own. Per shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of its neighbours (Kasai) show which
@@ -17,8 +17,8 @@ only meet within an anchor. Neighbouring windows of one anchor form a stretch.
 4. The repeated windows go back to the documents as few byte ranges each, and the bytes they cover are removed.
 
 Copies are counted before they move, so a group of any size is a row per task; a mixed anchor of any size is split. Null texts are
-empty; texts shorter than a window keep all bytes. Repeated rows are copies of each other. Rows are told apart by doc_id, which may
-be null, and a hash of their text.
+empty; texts shorter than a window keep all bytes. Repeated rows are copies of each other. Ranges find their rows by 128 bits of hash of
+the text alone, as equal texts lose equal ranges; doc_id may be null or shared by different texts.
 """
 
 from __future__ import annotations
@@ -32,13 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.llm.batches import packed, slices
-from traceloom.llm.joins import finished_step, small_side
+from traceloom.llm.joins import BitTable, bit_table, finished_step, small_side, text_keys
 from traceloom.llm.suffixes import Hashed, anchored_windows, common_prefixes, suffix_array
 from traceloom.llm.words import finish
 
 WINDOW = 200
 GRAM = 64
-FILTER_BITS = 26
 SHARD_STRETCHES = 2048
 SHARD_BYTES = 4 << 20
 MOST_SPLIT = 1_000_000  # anchors that may have shards of their own; the largest come first
@@ -48,52 +47,41 @@ ALL = 1 << 30
 PLACE_PIECES = 16
 REST = WINDOW - GRAM  # bytes of a window without its gram
 SEEN_STRETCHES = 500_000
-STRETCH = "doc_id long, row_key int, anchor long, content long, start int, windows int"
+STRETCH = "h1 long, h2 long, anchor long, content long, windows long"
 PACKED = "shard long, part int, parts int, stretches binary"
 REPEATS = "anchor long, content long, first int, last int, piece int, hashes binary, owners binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text as bytes, row_key): the parts of a row that this operator reads."""
+    """(doc_id, text as bytes, h1, h2): the parts of a row that this operator reads."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", F.hash("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(text_keys(F.col("text")))
 
 
-def bit_of(anchors: np.ndarray) -> np.ndarray:
-    return anchors >> np.uint64(64 - FILTER_BITS)
-
-
-def found_in(batch: pa.RecordBatch, bits) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def found_in(batch: pa.RecordBatch, bits: BitTable | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The stretches of a batch, with a bit table only those of its anchors, and the batch's bytes and text bounds."""
     flat, bounds = packed(batch.column("text").to_pylist())
     found = anchored_windows(flat, bounds, WINDOW, GRAM)
     if bits is not None:
-        bit = bit_of(found["anchor"])
-        keep = (bits.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        keep = bits.holds(found["anchor"])
         found = {name: values[keep] for name, values in found.items()}
     return found, flat, bounds
 
 
 def stretches(docs: DataFrame, seen=None) -> DataFrame:
-    """The stretches of all texts, with a bit table only those of its anchors."""
+    """The stretches of all texts, with a bit table only those of its anchors; windows holds the first window's place and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            found, _, bounds = found_in(batch, seen)
+            found, _, bounds = found_in(batch, seen and seen.value)
             rows = pa.array(found["text"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(rows),
-                    batch.column("row_key").take(rows),
-                    pa.array(found["anchor"].view(np.int64)),
-                    pa.array(found["content"].view(np.int64)),
-                    pa.array((found["start"] - bounds[found["text"]]).astype(np.int32)),
-                    pa.array(found["windows"].astype(np.int32)),
-                ],
-                names=["doc_id", "row_key", "anchor", "content", "start", "windows"],
-            )
+            start = (found["start"] - bounds[found["text"]]).astype(np.int64)
+            columns = [batch.column("h1").take(rows), batch.column("h2").take(rows)]
+            columns += [pa.array(found[k].view(np.int64)) for k in ("anchor", "content")]
+            columns.append(pa.array(start << 32 | found["windows"].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "anchor", "content", "windows"])
 
-    return keyed(docs).mapInArrow(run, STRETCH)
+    return keyed(docs).select("text", "h1", "h2").mapInArrow(run, STRETCH)
 
 
 class Packer:
@@ -157,7 +145,7 @@ def packed_stretches(docs: DataFrame, mixed, large, shards: int) -> DataFrame:
         times: dict[tuple[int, int], int] = {}
         packer = Packer(shards, large.value)
         for batch in slices(batches, "text", SLICE):
-            found, flat, _ = found_in(batch, mixed)
+            found, flat, _ = found_in(batch, mixed.value)
             raw = flat.tobytes()
             chosen, content = [], []
             if len(times) > SEEN_STRETCHES:
@@ -177,17 +165,7 @@ def packed_stretches(docs: DataFrame, mixed, large, shards: int) -> DataFrame:
                 yield packer.flush()
         yield packer.flush()
 
-    return keyed(docs).mapInArrow(run, PACKED)
-
-
-def bit_table(anchors: DataFrame):
-    """Broadcast of a table of 2**FILTER_BITS bits with those of the anchors set; its size is the same for any input."""
-    bit = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
-    words = anchors.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(anchor, {64 - FILTER_BITS}) & 63 AS INT))")).alias("bits"))
-    found = words.toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return anchors.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    return keyed(docs).select("text").mapInArrow(run, PACKED)
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray, offset: np.ndarray, step: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -273,7 +251,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
         .where("times > 1")
     )
     pure, mixed = anchors.where("low = high"), anchors.where("low <> high")
-    seen, look_in = bit_table(anchors), bit_table(mixed)
+    seen, look_in = (bit_table(found.select("anchor"), "anchor") for found in (anchors, mixed))
     total = mixed.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total * WINDOW // SHARD_BYTES))
     hottest = mixed.where(F.col("times") > SHARD_STRETCHES).orderBy(F.desc("times"), "anchor").limit(MOST_SPLIT).toArrow()
@@ -292,23 +270,25 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, object]:
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, spans): per document with a repeated window the maximal byte ranges to remove, as pairs of long packed in bytes."""
+    """(h1, h2, spans): per text with a repeated window the maximal byte ranges to remove, as pairs of long packed in bytes."""
     repeats, seen = repeated_windows(docs)
-    last = F.col("start") + F.least("last", F.col("windows") - 1)
-    run = F.shiftleft((F.col("start") + F.col("first")).cast("long"), 32).bitwiseOR(last.cast("long"))
-    found = stretches(docs, seen).join(repeats, ["anchor", "content"]).select("doc_id", "row_key", run.alias("run"))
-    gathered = found.groupBy("doc_id", "row_key").agg(F.collect_list("run").alias("runs"))
+    start, windows = F.shiftright("windows", 32), F.col("windows").bitwiseAND(0xFFFFFFFF)
+    # a run's place and length, which spread a set's hashes; its two ends would nearly cancel in them
+    run = F.shiftleft(start + F.col("first"), 32).bitwiseOR(F.least(F.col("last").cast("long"), windows - 1) - F.col("first"))
+    found = stretches(docs, seen).join(repeats, ["anchor", "content"]).select("h1", "h2", run.alias("run"))
+    gathered = found.groupBy("h1", "h2").agg(F.collect_set("run").alias("runs"))
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs")
             flat = runs.flatten().to_numpy()
             bounds = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
-            first, end = flat >> 32, (flat & 0xFFFFFFFF) + WINDOW
+            first = flat >> 32
+            end = first + (flat & 0xFFFFFFFF) + WINDOW
             spans = [joined_ranges(first[a:b], end[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(spans, pa.binary())], names=["doc_id", "row_key", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(spans, pa.binary())], names=["h1", "h2", "spans"])
 
-    return gathered.mapInArrow(join_runs, "doc_id long, row_key int, spans binary")
+    return gathered.mapInArrow(join_runs, "h1 long, h2 long, spans binary")
 
 
 def joined_ranges(first: np.ndarray, last: np.ndarray) -> bytes:
@@ -321,9 +301,9 @@ def joined_ranges(first: np.ndarray, last: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: kept is what is left of the text's bytes."""
-    ranges = finished_step(removed_ranges(docs)).select(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_row"), "spans")
+    ranges = finished_step(removed_ranges(docs)).select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), "spans")
     rows = keyed(docs)
-    joined = rows.join(small_side(ranges), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_row")), "left")
+    joined = rows.join(small_side(ranges), (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
