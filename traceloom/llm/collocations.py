@@ -25,7 +25,7 @@ from traceloom.llm.hattrie import WORDS, HatTrie, merged_runs
 from traceloom.session import cut_lineage
 
 SLOT_BYTES = 12 << 20  # text bytes per slot
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
 RUNS = "slot int, run binary"
@@ -56,7 +56,7 @@ def counted_runs(docs: DataFrame, slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie(slots)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEGMENT):
             by_lang: dict[bytes, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
@@ -86,19 +86,21 @@ def sequence_counts(docs: DataFrame, min_count: int = 10) -> DataFrame:
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         names, columns, times = merged_runs(group["run"].tolist())
-        words, langs = zip(*(n.split(b" ", 1) for n in names), strict=True)
-        lang_ids, lang_of = np.unique(np.array(langs, object), return_inverse=True)
-        single = columns[1] == 0
-        totals = np.bincount(lang_of[columns[0][single] - 1], times[single], len(lang_ids)).astype(np.int64) if single.any() else np.zeros(len(lang_ids), np.int64)
+        single = np.flatnonzero(columns[1] == 0)
+        of_lang: dict[bytes, int] = {}
+        for name, n in zip(names.take(pa.array(columns[0][single] - 1)).to_pylist(), times[single].tolist(), strict=True):
+            lang = name.split(b" ", 1)[1]
+            of_lang[lang] = of_lang.get(lang, 0) + n
         often = np.flatnonzero(times >= min_count)
-        one, two, three = (c[often].tolist() for c in columns)
+        places = [c[often] for c in columns]
+        words = [names.take(pa.array(p - 1, mask=p == 0)).to_pylist() for p in places]
         out = {
-            "lang": [langs[a - 1] for a in one],
-            "size": (columns[0][often] > 0).astype(np.int32) + (columns[1][often] > 0) + (columns[2][often] > 0),
-            "phrase": [b" ".join([words[k - 1] for k in ids if k]) for ids in zip(one, two, three, strict=True)],
+            "lang": [w.split(b" ", 1)[1] for w in words[0]],
+            "size": sum((p > 0).astype(np.int32) for p in places),
+            "phrase": [b" ".join([w.split(b" ", 1)[0] for w in row if w is not None]) for row in zip(*words, strict=True)],
             "f": times[often],
         }
-        sums = {"lang": lang_ids.tolist(), "size": 0, "phrase": b"", "f": totals}
+        sums = {"lang": list(of_lang), "size": 0, "phrase": b"", "f": np.array(list(of_lang.values()), np.int64)}
         return pd.concat([pd.DataFrame(out), pd.DataFrame(sums)], ignore_index=True)
 
     merged = counted_runs(docs, slots).groupBy("slot").applyInPandas(merge, COUNTED)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 3  # in a sequence at most
 BITS = 21  # of a word id
@@ -144,9 +146,9 @@ class HatTrie:
         if held <= most:
             return out
         order = sorted(range(1, len(self.names)), key=self.names.__getitem__)
-        names = [b"", *(self.names[k] for k in order)]
-        rank = np.zeros(len(names), np.int64)
-        rank[order] = np.arange(1, len(names))
+        names = pa.array([self.names[k] for k in order], pa.binary())
+        rank = np.zeros(len(self.names), np.int64)
+        rank[order] = np.arange(1, len(self.names))
         for at in sorted(range(self.slots), key=lambda k: -sizes[k]):
             if held <= most // 2 or not sizes[at]:
                 break
@@ -156,7 +158,7 @@ class HatTrie:
         return out
 
 
-def run_of(root, names: list[bytes], rank: np.ndarray) -> bytes:
+def run_of(root, names: pa.BinaryArray, rank: np.ndarray) -> bytes:
     """A subtree as a sorted run; ``names`` are all words in byte order, ``rank`` the place there of each id."""
     found = containers(root)
     keys = np.concatenate([np.fromiter(c, np.int64, len(c)) for c in found])
@@ -168,55 +170,61 @@ def run_of(root, names: list[bytes], rank: np.ndarray) -> bytes:
     by = np.argsort(key)
     key = key[by]
     columns = [key >> BITS * (WORDS - 1 - place) & LOW for place in range(WORDS)]
-    used = np.zeros(len(names), bool)
+    used = np.zeros(len(names) + 1, bool)
     for c in columns:
         used[c] = True
     used[0] = False
     own = np.cumsum(used) * used
-    return packed_run([names[k] for k in np.flatnonzero(used).tolist()], [own[c] for c in columns], times[by])
+    return packed_run(names.filter(pa.array(used[1:])), [own[c] for c in columns], times[by])
 
 
-def packed_run(names: list[bytes], columns: list[np.ndarray], times: np.ndarray) -> bytes:
+def packed_run(names: pa.BinaryArray, columns: list[np.ndarray], times: np.ndarray) -> bytes:
     import zstandard
 
     kind = "<u2" if len(names) < 1 << 16 else "<u4"
     wide = np.dtype(np.min_scalar_type(int(times.max(initial=0)))).itemsize
     head = np.array([len(names), len(times), wide], "<i8").tobytes()
-    sizes = np.array([len(n) for n in names], "<i4").tobytes()
+    ends = np.frombuffer(names.buffers()[1], "<i4", len(names) + 1, 4 * names.offset)
+    sizes, letters = np.diff(ends).tobytes(), (names.buffers()[2] or b"")[ends[0] : ends[-1]]
     steps = [np.diff(columns[0], prepend=0), *columns[1:]]  # the first words ascend
     body = b"".join(s.astype(kind).tobytes() for s in steps) + times.astype(f"<u{wide}").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + sizes + b"".join(names) + body)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, sizes, letters, body]))
 
 
-def unpacked_run(blob: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def unpacked_run(blob: bytes) -> tuple[pa.BinaryArray, list[np.ndarray], np.ndarray]:
     """Names in byte order, the ranks of each place (0: no word) and the counts."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     names_count, n, wide = np.frombuffer(raw, "<i8", 3).tolist()
-    ends = 24 + 4 * names_count + np.cumsum(np.frombuffer(raw, "<i4", names_count, 24), dtype=np.int64)
-    starts = np.concatenate([[24 + 4 * names_count], ends])
-    names = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]
-    kind, at = np.dtype("<u2" if names_count < 1 << 16 else "<u4"), int(starts[-1])
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", names_count, 24))]).astype(np.int32)
+    begin = 24 + 4 * names_count
+    at = begin + int(ends[-1])
+    names = pa.BinaryArray.from_buffers(pa.binary(), names_count, [None, pa.py_buffer(ends), pa.py_buffer(raw[begin:at])])
+    kind = np.dtype("<u2" if names_count < 1 << 16 else "<u4")
     columns = [np.frombuffer(raw, kind, n, at + k * n * kind.itemsize) for k in range(WORDS)]
     return names, columns, np.frombuffer(raw, f"<u{wide}", n, at + WORDS * n * kind.itemsize)
 
 
-def merged_runs(blobs: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def merged_runs(blobs: list[bytes]) -> tuple[pa.BinaryArray, list[np.ndarray], np.ndarray]:
     """The runs of one slot as one: sorted runs over a common ranking of words, merged, equal sequences added up."""
     runs = [unpacked_run(b) for b in blobs]
-    names = sorted(set().union(*(r[0] for r in runs)))
-    rank = {name: k for k, name in enumerate(names, 1)}
+    numbered = pa.chunked_array([r[0] for r in runs]).dictionary_encode().unify_dictionaries()
+    names = numbered.chunk(0).dictionary
+    order = pc.array_sort_indices(names)
+    names = names.take(order)
+    rank = np.empty(len(names), np.int64)
+    rank[order.to_numpy()] = np.arange(1, len(names) + 1)
     bits = max(1, len(names).bit_length())
     one_key = WORDS * bits <= 63
     keys, times, thirds = [], [], []
-    for own, columns, counts in runs:
-        to = np.array([0, *(rank[name] for name in own)], np.int64)
+    for numbers, (_, columns, counts) in zip(numbered.chunks, runs, strict=True):
+        to = np.concatenate([[0], rank[numbers.indices.to_numpy()]])
         pair = to[np.cumsum(columns[0], dtype=np.int64)] << bits | to[columns[1]]
         keys.append(pair << bits | to[columns[2]] if one_key else pair)
         thirds.append(np.zeros(0, np.int64) if one_key else to[columns[2]])
         times.append(counts.astype(np.int64))
-    del runs, rank
+    del runs, numbered, rank
     key, total = np.concatenate(keys), np.concatenate(times)
     del keys, times
     if not one_key:  # so many words that their ranks do not fit side by side: rank the pairs first
