@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.graphs import FINDINGS, OBLIGATIONS
-from catalog.views import attempts, graph_records, grades, nodes, table
+from catalog.views import attempts, fact_log, graph_records, grades, nodes, table
 from traceloom.operators import attempts as at
 from traceloom.operators import reward, stats
 
@@ -323,6 +323,49 @@ def candidate_rewards(spark, sf_dir):
     return reward.score_graphs(parsed).select("record_id", "valid_json", "validator_passed", F.round("score", 6).alias("score"))
 
 
+PASSED = "NOT token_overflow AND NOT output_truncated AND NOT no_code AND CASE WHEN stage = 'prover' THEN lean_verify ELSE lean_pass AND NOT api_error END"
+# What each stage of a fact came to within three attempts.
+STAGES = f"""tried AS (SELECT *, {PASSED} AS passed FROM fact_log WHERE attempt <= 3),
+  ended AS (SELECT record_id, fact_id, stage, bool_or(passed) AS won, coalesce(min(attempt) FILTER (passed), max(attempt)) AS tries, coalesce(arg_min(lean_code, attempt) FILTER (passed), arg_max(lean_code, attempt)) AS lean_code,
+    coalesce(arg_min(error_msg, attempt) FILTER (passed), arg_max(error_msg, attempt)) AS error_msg, CASE WHEN bool_or(passed) THEN 'success' WHEN max(attempt) >= 3 THEN 'failed' ELSE 'pending' END AS status FROM tried GROUP BY ALL),
+  worked AS (SELECT f.record_id, f.pos, f.fact_id, a.status AS form_status, a.tries AS form_tries, a.lean_code AS form_code, CASE WHEN a.won THEN b.status END AS prove_status, CASE WHEN a.won THEN b.tries END AS prove_tries, CASE WHEN a.won THEN b.error_msg END AS prove_error,
+    coalesce(a.status = 'failed' OR (a.won AND b.status <> 'pending'), false) AS done
+    FROM facts f JOIN (SELECT DISTINCT record_id, pos FROM links) r ON r.record_id = f.record_id AND r.pos = f.pos
+    LEFT JOIN ended a ON a.record_id = f.record_id AND a.fact_id = f.fact_id AND a.stage = 'formalizer' LEFT JOIN ended b ON b.record_id = f.record_id AND b.fact_id = f.fact_id AND b.stage = 'prover'),
+  formed AS (SELECT DISTINCT record_id, fact_id FROM worked WHERE form_status = 'success'), proven AS (SELECT DISTINCT record_id, fact_id FROM worked WHERE prove_status = 'success'),
+  traced AS (SELECT record_id, bool_and(done) AS done, string_agg(concat_ws(' ', fact_id, coalesce(form_status, '-'), coalesce(form_tries, 0), coalesce(form_code, '-'), coalesce(prove_status, '-'), coalesce(prove_tries, 0), coalesce(prove_error, '-')), ';' ORDER BY pos) AS trace FROM worked GROUP BY record_id)"""
+LOG_REWARD = REWARD.replace("  oks AS (", f"  {STAGES},\n  oks AS (").replace("(SELECT DISTINCT record_id, fact_id FROM facts WHERE formalized)", "formed").replace("(SELECT DISTINCT record_id, fact_id FROM facts WHERE verified)", "proven")
+START_SQL = "left(concat('no graph: ', translate(text, '{}`', '()\"')), 100)"
+ESCAPED_SQL = f"replace(replace(replace({START_SQL}, chr(92), concat(chr(92), chr(92))), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't'))"
+
+
+@query(
+    "candidate_rewards_from_log",
+    f"""WITH RECURSIVE {LOG_REWARD}, errors AS (SELECT concat('d', doc_id) AS record_id, concat('No JSON block found. Text starts with: ',
+      CASE WHEN contains({START_SQL}, chr(39)) AND NOT contains({START_SQL}, chr(34)) THEN concat(chr(34), {ESCAPED_SQL}, chr(34)) ELSE concat(chr(39), replace({ESCAPED_SQL}, chr(39), concat(chr(92), chr(39))), chr(39)) END) AS parse_error FROM documents WHERE doc_id % 10 = 0)
+    SELECT w.record_id, valid_json, validator_passed, coalesce(parse_error, '') AS parse_error, NOT validator_passed OR coalesce(done, true) AS done, CASE WHEN validator_passed THEN coalesce(trace, '') ELSE '' END AS trace,
+    round(CAST(structure_score + formalizer_score + prover_score + final_answer_score AS DOUBLE), 6) AS score FROM rewards w LEFT JOIN traced t ON t.record_id = w.record_id LEFT JOIN errors e ON e.record_id = w.record_id""",
+)
+def candidate_rewards_from_log(spark, sf_dir):
+    """Model answers scored by the log of attempts on their facts: answers without a graph, graphs with faults, open and finished ones."""
+    fields = ["fact_id", "text", "parent_fact_ids", "is_final_answer", "origin", "skip"]
+    facts = F.transform("facts", lambda f: F.struct(*[f[c].alias(c) for c in fields]))
+    body = F.to_json(F.struct(F.col("record_id").alias("problem_id"), "problem_text", facts.alias("facts")))
+    none = F.concat(F.lit("no graph: "), F.translate("raw_cot", "{}`", '()"'))
+    graph = F.substring("record_id", 2, 20).cast("bigint") % 10 > 0
+    answers = graph_records(spark, sf_dir).select("record_id", F.when(graph, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(none).alias("model_output"))
+    rewards = reward.rewards_from_log(answers, fact_log(spark, sf_dir))
+    working = F.filter("facts", lambda f: F.size(f["parent_fact_ids"]) > 0)
+    or_dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    line = lambda f: F.concat_ws(
+        " ", f["fact_id"], or_dash(f["formalizer"]["status"]), number(f["formalizer"]["attempts"]), or_dash(f["formalizer"]["lean_code"]),
+        or_dash(f["prover"]["status"]), number(f["prover"]["attempts"]), or_dash(f["prover"]["error_message"]),
+    )
+    trace = F.array_join(F.transform(working, line), ";")
+    return rewards.select("record_id", "valid_json", "validator_passed", "parse_error", "done", trace.alias("trace"), F.round("score", 6).alias("score"))
+
+
 # Answers by kind: what is wrong with the second fact, or with the whole answer, and what it scores.
 SCHEMA_CASES = [
     ('{{"problem_id": "p", "problem_text": "q", "facts": [{first}, {second}]}}', None, 0.6),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.attempts import KIND, status
+from catalog.attempts import KIND, STAGES, status
 from catalog.evaluation import CASES
-from catalog.views import attempts, grades, graph_records, samples, table, traces
+from catalog.views import attempts, fact_log, grades, graph_records, samples, table, traces
 from traceloom.functions.exact import sql_mean, sql_std_pop
 from traceloom.operators import datasets
 from traceloom.plans import cases as case_plan
@@ -242,6 +242,52 @@ def stream_reward_histogram(spark, sf_dir):
     return live.latest_updates(spark, out, ["step", "bin"])
 
 
+@query(
+    "stream_status_ttl",
+    f"""WITH marked AS (SELECT *, {KIND} AS kind FROM attempts), judged AS (SELECT *, {status('kind', 'lean_pass', 'attempt > 2')} AS status FROM marked)
+    SELECT record_id, fact_id, max(attempt) AS tries, arg_max(status, attempt) AS status FROM judged GROUP BY record_id, fact_id""",
+)
+def stream_status_ttl(spark, sf_dir):
+    live.keep_state_in_rocksdb(spark)
+    fields = ["record_id", "fact_id", "attempt", "lean_pass", "lean_verify", "token_overflow", "api_error", "output_truncated", "no_code"]
+    log = _stream(spark, attempts(spark, sf_dir).select(*fields, F.timestamp_seconds(F.col("turn") + 1000).alias("arrived")), "timed-log")
+    out, mark = scratch_path(spark, "status-ttl"), scratch_path(spark, "status-ttl-mark")
+    live.run_updates(live.stream_status_ttl(log, 2, "arrived", 86400, late="1 hour"), out, mark)
+    return live.latest_updates(spark, out, ["record_id", "fact_id"])
+
+
+@query(
+    "graph_countdown",
+    f"""WITH {STAGES}, open AS (SELECT record_id, fact_id, bool_and(done) AS done FROM worked GROUP BY ALL), known AS (SELECT DISTINCT record_id FROM facts)
+    SELECT record_id, CAST(count(fact_id) AS INT) AS facts FROM known LEFT JOIN open USING (record_id) GROUP BY record_id HAVING coalesce(bool_and(done), true)""",
+)
+def graph_countdown(spark, sf_dir):
+    """The records whose facts are all done, told once each by a stream over graphs and attempts in files of any order."""
+    live.keep_state_in_rocksdb(spark)
+    facts = F.transform("facts", lambda f: F.struct(f["fact_id"].alias("fact_id"), f["parent_fact_ids"].alias("parent_fact_ids")))
+    graphs = _stream(spark, graph_records(spark, sf_dir).select("record_id", facts.alias("facts")), "graphs", files=2)
+    log = _stream(spark, fact_log(spark, sf_dir), "fact-log", files=2)
+    out, mark = scratch_path(spark, "countdown"), scratch_path(spark, "countdown-mark")
+    live.run_available(live.stream_countdown(live.countdown_events(graphs, log)), out, mark)
+    return spark.read.schema("record_id string, facts int").parquet(out)
+
+
+@query(
+    "stream_resume_growing",
+    """SELECT concat('d', doc_id) AS record_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND (doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
+)
+def stream_resume_growing(spark, sf_dir):
+    """Records put out if they are unfinished when their batch runs; the table of finished ones grows between two batches."""
+    named = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id")
+    path, done, out, mark = (scratch_path(spark, n) for n in ("resume-log", "resume-done", "resume-growing", "resume-growing-mark"))
+    read = lambda: spark.read.schema("record_id string").parquet(done)
+    for finished, arrived in (("quality = 1", "doc_id % 2 = 0"), ("toxic = 1", "true")):
+        table(spark, sf_dir, "labels").where(finished).select(named).write.mode("append").parquet(done)
+        table(spark, sf_dir, "documents").where(arrived).select(named).write.mode("append").parquet(path)
+        live.run_resume(spark.readStream.schema("record_id string").parquet(path), read, out, mark)
+    return spark.read.schema("record_id string").parquet(f"{out}/batch=*")
+
+
 @query("stream_resume", "SELECT DISTINCT record_id FROM traces WHERE record_id NOT IN (SELECT concat('d', doc_id) FROM labels WHERE quality = 1)")
 def stream_resume(spark, sf_dir):
     ids = traces(spark, sf_dir).select("record_id")

@@ -269,6 +269,37 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the log of what was tried on the facts of graph records --------------------------------------------------
+
+FACT_LOG_SQL = """
+  SELECT record_id, fact_id, stage, attempt, u % 5 < 2 AS lean_pass, stage = 'prover' AND u % 5 < 2 AS lean_verify, u % 11 = 0 AS token_overflow,
+         u % 13 = 0 AS api_error, u % 17 = 0 AS output_truncated, u % 19 = 0 AS no_code, concat('code ', u) AS lean_code, concat('error ', u) AS error_msg
+  FROM (SELECT record_id, fact_id, stage, attempt, h, h + attempt * 7 + CASE WHEN stage = 'prover' THEN 3 ELSE 0 END AS u
+        FROM facts, (SELECT unnest([1, 2, 3, 4]) AS attempt), (SELECT unnest(['formalizer', 'prover']) AS stage))
+  WHERE attempt <= CASE WHEN stage = 'prover' THEN 1 + (h // 4) % 4 ELSE 1 + h % 4 END"""
+
+
+def fact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("at", "s"))
+    number = F.col("at") + 1
+    facts = docs.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"),
+        number.alias("i"),
+        ((F.length("s") * 31 + number * 17 + F.col("doc_id") * 7) % 1000).alias("h"),
+    )
+    named = F.concat(F.lit("f_"), F.when((F.col("h") < 4) & (F.col("i") > 1), F.col("i") - 1).otherwise(F.col("i")).cast("string"))
+    stages = F.explode(F.array(F.lit("formalizer"), F.lit("prover"))).alias("stage")
+    proving = F.col("stage") == "prover"
+    most = F.when(proving, 1 + F.floor(F.col("h") / 4) % 4).otherwise(1 + F.col("h") % 4)
+    tried = facts.select("record_id", named.alias("fact_id"), "h", stages).select("*", F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("attempt"))
+    u = F.col("u")
+    return tried.withColumn("u", F.col("h") + F.col("attempt") * 7 + F.when(proving, 3).otherwise(0)).select(
+        "record_id", "fact_id", "stage", "attempt", (u % 5 < 2).alias("lean_pass"), (proving & (u % 5 < 2)).alias("lean_verify"), (u % 11 == 0).alias("token_overflow"),
+        (u % 13 == 0).alias("api_error"), (u % 17 == 0).alias("output_truncated"), (u % 19 == 0).alias("no_code"),
+        F.concat(F.lit("code "), u.cast("string")).alias("lean_code"), F.concat(F.lit("error "), u.cast("string")).alias("error_msg"),
+    )
+
+
 VIEWS = {
     "nodes": (NODES_SQL, []),
     "sentences": (SENTENCES_SQL, []),
@@ -278,6 +309,7 @@ VIEWS = {
     "grades": (GRADES_SQL, []),
     "attempts": (ATTEMPTS_SQL, []),
     "samples": (SAMPLES_SQL, []),
+    "fact_log": (FACT_LOG_SQL, ["facts"]),
 }
 
 

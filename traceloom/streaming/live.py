@@ -121,11 +121,11 @@ class CountDown(StatefulProcessor):
                 if needed is not None and not known:
                     known, facts = True, len(needed)
                     for one in needed:
-                        _, form, prove = self.facts.getValue((one,)) if self.facts.containsKey((one,)) else (False, 0, 0)
+                        _, form, prove = self.facts.getValue((one,)) or (False, 0, 0)
                         self.facts.updateValue((one,), (True, form, prove))
                         left += not self.ended(form, prove)
                 elif needed is None:
-                    listed, form, prove = self.facts.getValue((fact_id,)) if self.facts.containsKey((fact_id,)) else (False, 0, 0)
+                    listed, form, prove = self.facts.getValue((fact_id,)) or (False, 0, 0)
                     before = self.ended(form, prove)
                     code = SUCCESS if verdict == "success" else FAILED
                     if stage == "formalizer":
