@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.graphs import SPACES
 from catalog.views import grades, nodes, table, traces
 from traceloom.functions import bins, chat, checks, code, coerce, json_text, text
 
@@ -84,6 +85,51 @@ def compact_response(spark, sf_dir):
     return answers(spark, sf_dir).select("doc_id", (compact(F.col("answer")) != "").alias("kept"))
 
 
+PLAIN_SQL = "translate(text, concat(chr(39), chr(34), chr(92), chr(10), chr(13), chr(9)), '')"
+
+
+@query(
+    "parsed_answers",
+    f"""SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN concat('{{"f":0.5,"n":', doc_id, ',"p":', doc_id, ',"t":', to_json({PLAIN_SQL}), '}}')
+      WHEN 1 THEN concat('[', doc_id + 255, ',-', doc_id, ',"a ', chr(92), '"b',  chr(92), '"",null]') WHEN 2 THEN concat('{{"a":["x",{{"b":true}}],"n":', doc_id, '}}') END AS json FROM documents""",
+)
+def parsed_answers(spark, sf_dir):
+    """Relaxed answers as the JSON they stand for: hexadecimal, signed and pointed numbers, single quotes, bare names, comments, trailing commas."""
+    plain = F.translate("text", "'\"\\\n\r\t", "")
+    k, number = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    told = F.concat(F.lit("```json\n{n: 0x"), F.hex("doc_id"), F.lit(", 't': '"), plain, F.lit("', p: +"), number, F.lit(", f: .5,} // done\n```"))
+    listed = F.concat(F.lit("```\n[0X"), F.hex(F.col("doc_id") + 255), F.lit(", -"), number, F.lit(", 'a \"b\"', null, /* x, ] */]\n```"))
+    nested = F.concat(F.lit("so {a: ['x', {b: true,},], n: "), number, F.lit("} it is"))
+    answer = F.when(k == 0, told).when(k == 1, listed).when(k == 2, nested).otherwise(F.lit("none {"))
+    return docs(spark, sf_dir).select("doc_id", F.to_json(json_text.read_answer(answer)).alias("json"))
+
+
+def _cut_sql(text, n):
+    return f"CASE WHEN length({text}) > {n} THEN concat(rtrim(left({text}, {n}), {SPACES}), chr(10), '... [truncated ', length({text}) - {n}, ' chars]') ELSE {text} END"
+
+
+@query(
+    "checker_outputs",
+    f"""SELECT doc_id, CASE CAST(doc_id % 8 AS INT) WHEN 1 THEN {_cut_sql(f'trim(text, {SPACES})', 2000)} WHEN 2 THEN ''
+      WHEN 3 THEN '{{"shown":[1,2,3,4,5],"shown_count":5,"total_count":7,"omitted_count":2}}'
+      WHEN 4 THEN concat('{{"messages":{{"shown":[{{"severity":"error","pos":{{"column":2,"line":', doc_id, '}},"endPos":null,"kind":"k","data":', to_json({_cut_sql('text', 500)}), '}}],"shown_count":1,"total_count":3,"omitted_count":2}}}}')
+      WHEN 5 THEN concat('{{"sorries":{{"shown":[{{"goal":"g"}}],"shown_count":1,"total_count":1,"omitted_count":0}},"response":', to_json({_cut_sql('CAST(to_json(text) AS VARCHAR)', 2000)}), '}}')
+      WHEN 6 THEN concat('{{"error":', to_json({_cut_sql('text', 2000)}), ',"message":"7"}}') WHEN 7 THEN concat('{{"messages":{{"shown":[{{"message":"{{', chr(92), '"x', chr(92), '":1}}"}},{{"severity":"info","message":"m"}}],"shown_count":2,"total_count":2,"omitted_count":0}}}}')
+      ELSE '' END AS compact FROM documents""",
+)
+def checker_outputs(spark, sf_dir):
+    """Checker outputs of every shape: none, text, an empty and a long list, messages with an error, sorries and a response, an error, messages without one."""
+    k, number, quoted = F.col("doc_id") % 8, F.col("doc_id").cast("string"), F.to_json(F.col("text").cast("variant"))
+    error = F.concat(F.lit('{"messages": [{"severity": "info", "data": "i"}, 5, {"severity": "Error", "pos": {"line": '), number, F.lit(', "column": 2}, "endPos": null, "kind": "k", "x": 1, "data": '), quoted, F.lit("}]}"))
+    output = (
+        F.when(k == 1, F.col("text")).when(k == 2, F.lit(" [] ")).when(k == 3, F.lit("[1,2,3,4,5,6,7]")).when(k == 4, F.replace(error, F.lit('"Error"'), F.lit('"error"')))
+        .when(k == 5, F.concat(F.lit('{"sorries": [{"goal": "g"}], "response": '), quoted, F.lit("}")))
+        .when(k == 6, F.concat(F.lit('{"message": 7, "error": '), quoted, F.lit("}")))
+        .when(k == 7, F.lit('{"messages": [{"x": 1}, {"severity": "info", "message": "m"}]}'))
+    )
+    return docs(spark, sf_dir).select("doc_id", checks.compact_output(output).alias("compact"))
+
+
 @query("rollout_ids", "SELECT id, parent_id, rollout_id, concat(parent_id, '__rollout_', rollout_id) AS made FROM grades")
 def rollout_ids(spark, sf_dir):
     key = F.col("id")
@@ -318,7 +364,7 @@ def experiment_names(spark, sf_dir):
 @query(
     "coercions",
     """SELECT event_id, CASE WHEN k = 0 THEN event_id WHEN k = 1 THEN 7 END AS step, CASE WHEN k IN (0, 5) THEN CAST(event_id AS DOUBLE) WHEN k = 1 THEN 7.0 WHEN k = 6 THEN value END AS number,
-    CASE WHEN k = 2 THEN true WHEN k = 3 THEN false WHEN k = 0 THEN event_id <> 0 WHEN k = 1 THEN true WHEN k = 5 THEN event_id <> 0 WHEN k = 6 THEN value <> 0 END AS flag FROM (SELECT *, event_id % 7 AS k FROM events)""",
+    CASE WHEN k = 2 THEN true WHEN k = 3 THEN false WHEN k = 0 AND event_id IN (0, 1) THEN event_id = 1 END AS flag FROM (SELECT *, event_id % 7 AS k FROM events)""",
 )
 def coercions(spark, sf_dir):
     k = F.col("event_id") % 7

@@ -8,6 +8,7 @@ from catalog import query
 from catalog.views import grades, nodes, samples, table
 from traceloom.functions.exact import sql_mean, sql_std_pop, sql_sum
 from traceloom.operators import scoring, stats
+from traceloom.sources import readers
 
 FORMAL = "(form_status = 'success' OR (form_lean_pass AND NOT form_skipped))"
 RATIOS = f"""base AS (SELECT *, origin IN ('derived', 'answer') AS need, origin IN ('derived', 'answer') AND NOT (origin = 'derived' AND skip = 1) AS need_x FROM nodes),
@@ -284,6 +285,22 @@ def reward_trace_flags(spark, sf_dir):
     return flags.withColumn("true_rate", F.round("true_rate", 6))
 
 
+@query(
+    "reward_trace_scalars",
+    """SELECT step, count(*) FILTER (k IN (1, 2, 3)) AS flags, count(*) FILTER (k IN (0, 2)) AS numbers, count(*) FILTER (k = 3) AS missing, count(*) FILTER (k IN (1, 4)) AS invalid
+      FROM (SELECT event_id // 100 AS step, user_id % 5 AS k FROM events) GROUP BY step""",
+)
+def reward_trace_scalars(spark, sf_dir):
+    """Fields of reward traces by their JSON type: a quoted number is a number and no flag, a true flag is no number."""
+    traces = ['{"passed": "5.0", "score": "5.0"}', '{"passed": 5.0, "score": true}', '{"passed": true, "score": "1e1"}', '{"passed": "true", "score": null}', '{"passed": [1], "score": "x"}']
+    trace = F.get(F.array(*[F.lit(t) for t in traces]), (F.col("user_id") % 5).cast("int"))
+    step = F.floor(F.col("event_id") / 100).cast("string").alias("step")
+    records = table(spark, sf_dir, "events").select(step, F.array(F.struct(F.lit("0.5").alias("reward"), trace.alias("trace"))).alias("rollouts"))
+    spread, flags = stats.reward_trace_by_step(readers.explode_samples(records, ["score", "passed"]), ["score"], ["passed"])
+    numbers = spread.where("step IS NOT NULL").select("step", F.col("n").alias("numbers"), "missing", "invalid")
+    return flags.where("step IS NOT NULL").select("step", F.col("true_n").alias("flags")).join(numbers, "step")
+
+
 @query(
     "sample_gaps",
     """SELECT count(*) AS records, count(*) FILTER (event_type = 'view') AS missing_step, count(*) FILTER (event_type = 'signup') AS missing_rollouts,

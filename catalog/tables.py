@@ -57,6 +57,22 @@ def read_stage_records(spark, sf_dir):
     )
 
 
+@query(
+    "bad_lines",
+    """SELECT line, value FROM (SELECT doc_id, k, row_number() OVER (ORDER BY doc_id, k) AS line, CASE WHEN k = 1 THEN concat('{"meta": {"record_id": "d', doc_id, '"') END AS value
+      FROM documents, (SELECT unnest([0, 1]) AS k) WHERE k = 1 OR doc_id % 5 = 0) WHERE k = 1 AND doc_id % 9 = 0""",
+)
+def bad_lines(spark, sf_dir):
+    """File and line of lines that are no record, blank lines counted."""
+    whole = F.to_json(F.struct(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id")).alias("meta"), F.struct(F.col("text").alias("raw_cot")).alias("input")))
+    broken = F.concat(F.lit('{"meta": {"record_id": "d'), F.col("doc_id").cast("string"), F.lit('"'))
+    line = F.when(F.col("doc_id") % 9 == 0, broken).otherwise(whole)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(""), line)).otherwise(F.array(line))).alias("k", "value"))
+    path = scratch_path(spark, "lines")
+    lines.orderBy("doc_id", "k").coalesce(1).select("value").write.text(path)
+    return readers.bad_lines(spark, path).select("line", "value")
+
+
 @query("read_stage_records_tolerant", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'corrupt' ELSE 'kept' END AS lines, count(*) AS n FROM documents GROUP BY 1")
 def read_stage_records_tolerant(spark, sf_dir):
     path = scratch_path(spark, "stage-lines")

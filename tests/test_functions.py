@@ -186,3 +186,39 @@ def test_template_needs_its_slots():
 def test_grading(spark, answer, gold, right):
     row = datasets.grade_answers(spark.createDataFrame([(answer, gold)], "answer string, gold string")).collect()[0]
     assert row["is_correct"] == right
+
+
+@pytest.mark.parametrize(
+    "answer, value",
+    [
+        ("{a: 0x1F, b: -0xff, c: 0XFFFFFFFFFFFFFFFFFF}", '{"a":31,"b":-255,"c":4.722366482869645E21}'),
+        ("{'a': 'say \"x\"', b: [1,2,], /* n, */ c: .5, d: 5., e: +7} // end", '{"a":"say \\"x\\"","b":[1,2],"c":0.5,"d":5,"e":7}'),
+        ('{"a": "0x1F // no", b1: 12}', '{"a":"0x1F // no","b1":12}'),
+        ("{a: ", None),
+    ],
+)
+def test_relaxed_answers(spark, answer, value):
+    assert one(spark, F.to_json(json_text.read_answer(F.lit("```json\n" + answer + "\n```")))) == value
+
+
+def test_strict_pieces(spark):
+    for relaxed, strict in [(r"'it\'s'", '"it\'s"'), ("'a\\\nb'", '"ab"'), (r"'\x41\v\q'", r'"\u0041\u000bq"'), ("'a\nb'", r'"a\nb"'), ("x1 0x0", "x1 0")]:
+        assert one(spark, json_text.strict_pieces(F.lit(relaxed))) == strict
+
+
+def test_typed_scalars(spark):
+    from traceloom.functions import coerce
+
+    for text, number, flag in [('"5.0"', 5.0, None), ("5.0", 5.0, True), ("0", 0.0, False), ("true", None, True), ('"True"', None, True), ("null", None, None), ("[1]", None, None), ('"1e400"', None, None), ('" no "', None, False)]:
+        value = F.parse_json(F.lit(text))
+        assert (one(spark, coerce.typed_float(value)), one(spark, coerce.typed_bool(value))) == (number, flag), text
+    assert one(spark, coerce.to_bool(F.lit(" 7 "))) is None
+
+
+def test_answers_with_findings_stay_whole(spark):
+    from traceloom.operators.datasets import compact_response
+
+    assert one(spark, compact_response(F.lit('{"problem_id": "p", "problem_text": 5, "facts": [1]}'))) == '{"facts":[1],"problem_id":"p","problem_text":5}'
+    good = '{"problem_id": "p", "problem_text": "q", "z": 1, "facts": [{"fact_id": "f", "text": "t", "origin": "given", "skip": 1}]}'
+    assert one(spark, compact_response(F.lit(good))) == '{"problem_id":"p","problem_text":"q","facts":[{"fact_id":"f","text":"t","parent_fact_ids":[],"is_final_answer":false,"origin":"given"}]}'
+    assert one(spark, compact_response(F.lit("none"))) == ""

@@ -235,3 +235,44 @@ def test_large_invalid_graphs_stay_cheap(spark, kind):
     assert {e.fact_id for e in row.errors if e.type == "dead_end_fact"} == {f"f{k}" for k in range(n) if k not in reached}
     assert [e.fact_id for e in row.errors if e.type == "cycle_detected"] == ([f"f{min(left)}"] if left else [])
     assert min(took) < 5, took
+
+
+def test_ancestors_in_visiting_order():
+    from traceloom.operators.graph import visiting_orders
+
+    def walk(ids, parents, target):
+        by_id, seen, done = dict(zip(ids, parents, strict=True)), set(), []
+
+        def visit(i):
+            if i not in seen:
+                seen.add(i)
+                for p in by_id.get(i, []):
+                    visit(p)
+                if i in by_id:
+                    done.append(i)
+
+        for p in by_id[target]:
+            visit(p)
+        return [i for i in done if i != target]
+
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        ids = [f"f{k}" for k in range(n)]
+        parents = [[f"f{rng.randrange(n + 1)}" for _ in range(rng.randrange(4))] for _ in ids]  # forward edges, loops, unknown and repeated parents
+        assert visiting_orders(ids, parents, [True] * n) == [walk(ids, parents, i) for i in ids]
+    assert visiting_orders(["a", "b", "c"], [["b", "c"], [], ["b"]], [True, False, False]) == [["b", "c"]]
+    assert visiting_orders(["a", "x", "a"], [["x"], [], ["y"]], [False, False, True]) == [["x"]]  # facts that share an id
+
+
+def test_long_chains_of_ancestors(spark):
+    import time
+
+    n = 2000
+    facts = [(f"f_{k}", "t", [f"f_{k + 1}"] if k < n - 1 else [], k == 0, "answer" if k == 0 else "derived") for k in range(n)]  # every edge points forward
+    records = spark.createDataFrame([("r", facts)], "record_id string, facts array<struct<fact_id string, text string, parent_fact_ids array<string>, is_final_answer boolean, origin string>>")
+    found = graph.ancestors(records, lambda f: f["is_final_answer"])
+    assert found.first().ancestor_ids == [f"f_{k}" for k in range(n - 1, 0, -1)]
+    start = time.perf_counter()
+    found.first()
+    assert time.perf_counter() - start < 5

@@ -275,3 +275,23 @@ def test_run_folders_and_paths(spark, tmp_path):
     assert {r.experiment: r.missing for r in status.collect()} == {
         "step_proof_a": [], "step_proof_b": ["summary/metrics.json", "scores.jsonl"], "step_proof_c": ["summary/metrics.json", "scores.jsonl"]
     }
+
+
+def test_bad_lines_are_named_across_splits(spark, tmp_path):
+    """A file in many parts: the error names file and line, and no task reads a whole file."""
+    path = tmp_path / "records"
+    path.mkdir()
+    for name, bad in (("a.jsonl", {700}), ("b.jsonl", {3, 899}), ("c.jsonl", set())):
+        lines = ["" if k % 50 == 7 else '{"meta": {"record_id": "x"' if k in bad else '{"meta": {"record_id": "r%d", "source_file": "%s"}}' % (k, "y" * 100) for k in range(900)]
+        (path / name).write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 9
+        got = sorted((r.source_file.rsplit("/", 1)[1], r.line) for r in readers.bad_lines(spark, str(path)).collect())
+        assert got == [("a.jsonl", 701), ("b.jsonl", 4), ("b.jsonl", 900)]
+        with pytest.raises(ValueError, match="a.jsonl:701.*b.jsonl:4.*b.jsonl:900"):
+            readers.read_stage_records(spark, str(path))
+        assert len(readers.read_stage_records(spark, str(path), strict=False).select("meta.record_id").collect()) == 900 * 3 - 18 * 3 - 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

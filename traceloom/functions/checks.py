@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from traceloom.functions.text import rstrip
+from traceloom.functions.rows import bind
+from traceloom.functions.text import rstrip, strip
 
 # The error classes with the words that lead to them. Order matters: the first hit wins.
 ERROR_RULES = [
@@ -167,19 +168,84 @@ def error_messages(messages: Column) -> Column:
     )
 
 
+def cut_text(text: Column, max_chars: int) -> Column:
+    """A text of at most ``max_chars``; a longer one is cut and says by how much."""
+    note = F.concat(F.lit("\n... [truncated "), (F.length(text) - max_chars).cast("string"), F.lit(" chars]"))
+    return F.when(F.length(text) > max_chars, F.concat(rstrip(F.left(text, F.lit(max_chars))), note)).otherwise(text)
+
+
 def compact_diagnostics(messages: Column, n: int = 5, max_chars: int = 500) -> Column:
     """Errors if there are any, else all messages; the first ``n`` with cut texts, and the counts over all."""
     errors = F.filter(messages, lambda m: F.lower(m["severity"]) == "error")
     chosen = F.when(F.size(errors) > 0, errors).otherwise(messages)
-
-    def cut(text: Column) -> Column:
-        note = F.concat(F.lit("\n... [truncated "), (F.length(text) - max_chars).cast("string"), F.lit(" chars]"))
-        return F.when(F.length(text) > max_chars, F.concat(rstrip(F.left(text, F.lit(max_chars))), note)).otherwise(text)
-
-    shown = F.transform(F.slice(chosen, 1, n), lambda m: F.struct(m["severity"].alias("severity"), cut(m["data"]).alias("data")))
+    shown = F.transform(F.slice(chosen, 1, n), lambda m: F.struct(m["severity"].alias("severity"), cut_text(m["data"], max_chars).alias("data")))
     return F.struct(
         shown.alias("shown"),
         F.size(shown).alias("shown_count"),
         F.size(messages).alias("total_count"),
         (F.size(messages) - F.size(shown)).alias("omitted_count"),
     )
+
+
+def compact_output(c: Column, n: int = 5, message_chars: int = 500, text_chars: int = 2000) -> Column:
+    """Whatever a checker put out, a JSON value or plain text, cut to what a reader needs.
+
+    Of an object: its messages (errors if there are any, else all; the first ``n``, with severity, places and kind, texts cut), its
+    sorries (the first ``n``), and its response, error and message as cut texts; an object with none of them, cut as a whole. Of a list the
+    first ``n``. Each list comes with its counts. Texts are trimmed and cut; null, empty lists and objects, and ``[]`` give ''. The
+    result is compact JSON, for texts the text itself; keys of values that stay as they are come in name order.
+    """
+    field = lambda v, name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
+    shape = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    is_list = lambda v: shape(v).startswith("ARRAY")
+    is_object = lambda v: shape(v).startswith("OBJECT")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    plain = lambda v: F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+    def counted(shown: Column, total: Column) -> Column:
+        return F.struct(shown.alias("shown"), F.size(shown).alias("shown_count"), F.size(total).alias("total_count"), (F.size(total) - F.size(shown)).alias("omitted_count"))
+
+    def message(m: Column) -> Column:
+        names = ["severity", "pos", "endPos", "kind", "data", "message"]
+        known = F.coalesce(*[field(m, name) for name in names]).isNotNull()
+        data, text = field(m, "data"), field(m, "message")
+        return F.struct(
+            *[field(m, name).alias(name) for name in names[:4]],
+            F.when(data.isNotNull(), cut_text(plain(data), message_chars)).alias("data"),
+            F.when(~known, cut_text(F.to_json(m), message_chars)).when(data.isNull() & text.isNotNull(), cut_text(plain(text), message_chars)).alias("message"),
+        )
+
+    def messages(total: Column) -> Column:
+        objects = F.filter(total, is_object)
+        bad = lambda s: F.when(shape(s) == "STRING", F.lower(plain(s)) == "error").otherwise(F.try_variant_get(s, "$", "double") == 1)
+        errors = F.filter(objects, lambda m: F.coalesce(bad(field(m, "severity")), F.lit(False)))
+        chosen = F.when(F.size(errors) > 0, errors).otherwise(objects)
+        return counted(F.transform(F.slice(chosen, 1, n), message), total)
+
+    def of_object(v: Column) -> Column:
+        listed = lambda name: F.when(is_list(field(v, name)), items(field(v, name)))
+        told = lambda name: F.when(field(v, name).isNotNull(), cut_text(plain(field(v, name)), text_chars))
+        response = field(v, "response")
+        parts = {
+            "messages": F.when(listed("messages").isNotNull(), messages(listed("messages"))),
+            "sorries": F.when(listed("sorries").isNotNull(), counted(F.slice(listed("sorries"), 1, n), listed("sorries"))),
+            "response": F.when(response.isNotNull(), cut_text(F.to_json(response), text_chars)),
+            "error": told("error"),
+            "message": told("message"),
+        }
+        some = F.lit(False)
+        for part in parts.values():
+            some = some | part.isNotNull()
+        return F.when(some, F.to_json(F.struct(*[part.alias(name) for name, part in parts.items()]))).otherwise(F.to_json(cut_text(F.to_json(v), text_chars).cast("variant")))
+
+    def written(v: Column) -> Column:
+        text = strip(F.coalesce(F.try_variant_get(v, "$", "string"), c))
+        return (
+            F.when(c.isNull() | (shape(v) == "VOID") & v.isNotNull(), F.lit(""))
+            .when(v.isNull() | (shape(v) == "STRING"), F.when(text == "[]", F.lit("")).otherwise(cut_text(text, text_chars)))
+            .when(is_list(v), F.when(F.size(items(v)) == 0, F.lit("")).otherwise(F.to_json(counted(F.slice(items(v), 1, n), items(v)))))
+            .when(is_object(v), F.when(F.to_json(v) == "{}", F.lit("")).otherwise(of_object(v)))
+            .otherwise(F.to_json(v))
+        )
+
+    return bind(F.try_parse_json(c), written)

@@ -43,12 +43,37 @@ def to_float(c: Column) -> Column:
 
 
 def to_bool(c: Column) -> Column:
+    """The flag a text stands for: one of the known words, and nothing else; a number in a text is no flag."""
     word = F.lower(strip(c))
-    number = word.try_cast("double")
+    return F.when(word.isin(TRUE_WORDS), F.lit(True)).when(word.isin(FALSE_WORDS), F.lit(False))
+
+
+def json_kind(value: Column) -> Column:
+    """What a VARIANT holds: number, text, flag, or other (lists, objects, null); null without a value."""
+    name = F.schema_of_variant(value)
+    return (
+        F.when(name.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit("number"))
+        .when(name == "STRING", F.lit("text"))
+        .when(name == "BOOLEAN", F.lit("flag"))
+        .when(value.isNotNull(), F.lit("other"))
+    )
+
+
+def typed_float(value: Column) -> Column:
+    """Finite number of a VARIANT: its own, or the one its text writes; a flag is none."""
+    kind = json_kind(value)
+    own = F.try_variant_get(value, "$", "double")
+    finite = F.when(F.isnan(own) | (F.abs(own) == float("inf")), None).otherwise(own)
+    return F.when(kind == "number", finite).when(kind == "text", to_float(F.try_variant_get(value, "$", "string")))
+
+
+def typed_bool(value: Column) -> Column:
+    """Flag of a VARIANT: its own, whether its number is not zero, or the one its word stands for."""
+    kind = json_kind(value)
     return (
-        F.when(word.isin(TRUE_WORDS), F.lit(True))
-        .when(word.isin(FALSE_WORDS), F.lit(False))
-        .when(word.rlike(r"^-?\d+(\.\d+)?$"), number != 0)
+        F.when(kind == "flag", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "number", F.try_variant_get(value, "$", "double") != 0)
+        .when(kind == "text", to_bool(F.try_variant_get(value, "$", "string")))
     )
 
 

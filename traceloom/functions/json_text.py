@@ -105,28 +105,51 @@ def parse_llm_json(c: Column, schema: str, corrupt: str = "_unreadable") -> Colu
     return F.when(parsed.isNotNull() & parsed[corrupt].isNull(), parsed.dropFields(corrupt))
 
 
-def plain_numbers(c: Column) -> Column:
-    """Numbers of relaxed JSON as strict ones: no plus sign, a digit on both sides of the point, and hexadecimal ones as 0, 1 or 2.
-
-    A hexadecimal number only matters by being a number, none, or one: the graph fields that hold numbers are flags.
-    """
-    rules = [
-        (r"(?<![\w.])\+(?=[0-9.])", ""),
-        (r"(?<![\w.])\.(?=[0-9])", "0."),
-        (r"(?<=[0-9])\.(?![0-9])", ".0"),
-        (r"\b0[xX]0+(?![0-9a-fA-F])", "0"),
-        (r"\b0[xX]0*1(?![0-9a-fA-F])", "1"),
-        (r"\b0[xX][0-9a-fA-F]+", "2"),
-    ]
-
-    def outside(piece: Column) -> Column:
-        for pattern, plain in rules:
-            piece = F.regexp_replace(piece, pattern, plain)
-        return piece
-
-    pieces = F.regexp_extract_all(c, F.lit(rf"(?s){QUOTED}|[^\"']+|."), 0)
-    quoted = lambda p: p.startswith('"') | p.startswith("'")
-    return F.array_join(F.transform(pieces, lambda p: F.when(quoted(p), p).otherwise(outside(p))), "")
+LEFT = r"(?<![\w.$])"
+# A piece of relaxed JSON: a quoted text, a comment, a number of any form, or what lies between.
+PIECE = rf"(?s)\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|//[^\n]*|/\*.*?\*/|{LEFT}[+-]?0[xX][0-9a-fA-F]+|{LEFT}[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[^\"'/0-9.+-]+|."
+
+
+def strict_pieces(c: Column) -> Column:
+    """Relaxed JSON piece by piece as strict: comments go, texts get double quotes and only the escapes that strict JSON has, numbers lose
+    a plus sign, get a digit on both sides of the point, and hexadecimal ones become decimal. Bare names and commas stay as they are."""
+
+    def text(piece: Column) -> Column:
+        body = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        units = F.regexp_extract_all(body, F.lit(r"(?s)\\(?:\r\n|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)|[^\\]+"), F.lit(0))
+
+        def unit(u: Column) -> Column:
+            second = F.substring(u, F.lit(2), F.length(u))
+            escaped = (
+                F.when(second.rlike(r"^[\"\\\\/bfnrtu]"), u)
+                .when(second.rlike(r"^x[0-9a-fA-F]{2}$"), F.concat(F.lit("\\u00"), F.substring(second, 2, 2)))
+                .when(second.isin("\n", "\r\n", "\r"), F.lit(""))  # the text goes on in the next line
+                .when(second == "v", F.lit("\\u000b"))
+                .when(second == "0", F.lit("\\u0000"))
+                .otherwise(second)
+            )
+            plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(u, '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r"), "\t", r"\\t")
+            return F.when(u.startswith("\\"), escaped).otherwise(plain)
+
+        return F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"'))
+
+    def number(piece: Column) -> Column:
+        bare = F.regexp_replace(piece, r"^\+", "")
+        sign, digits = F.when(bare.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.regexp_replace(bare, r"^-?0[xX]0*", "")
+        whole = F.when(F.length(digits) <= 16, F.coalesce(F.conv(F.when(digits == "", F.lit("0")).otherwise(digits), 16, 10), F.lit("0")))
+        wide = F.aggregate(F.split(digits, ""), F.lit(0.0), lambda acc, d: F.when(d == "", acc).otherwise(acc * 16 + F.conv(d, 16, 10).cast("double"))).cast("string")
+        pointed = F.regexp_replace(F.regexp_replace(bare, r"^(-?)\.", r"$10."), r"\.(?![0-9])", ".0")
+        return F.when(bare.rlike(r"^-?0[xX]"), F.concat(sign, F.coalesce(whole, wide))).otherwise(pointed)
+
+    pieces = F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
+    quoted = lambda p: p.rlike(r"(?s)^\".*\"$") | p.rlike(r"(?s)^'.*'$")
+    strict = lambda p: (
+        F.when(quoted(p) & (F.length(p) > 1), text(p))
+        .when(p.rlike(r"(?s)^(//|/\*)"), F.lit(""))
+        .when(p.rlike(r"^[+-]?(?:[0-9]|\.[0-9])"), number(p))
+        .otherwise(p)
+    )
+    return F.array_join(F.transform(pieces, strict), "")
 
 
 def read_answer(c: Column) -> Column:
@@ -138,7 +161,7 @@ def read_answer(c: Column) -> Column:
 
     def read(t: Column) -> Column:
         repaired = repair_backslashes(t)
-        relaxed = F.from_json(plain_numbers(drop_trailing_commas(drop_comments(repaired))), "variant", RELAXED_JSON)
+        relaxed = F.from_json(drop_trailing_commas(strict_pieces(repaired)), "variant", RELAXED_JSON)
         return F.coalesce(F.try_parse_json(t), F.try_parse_json(repaired), relaxed)
 
     return bind(block, read)

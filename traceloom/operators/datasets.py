@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.chat import chat_messages
 from traceloom.functions.coerce import normalize_category, normalize_issue
-from traceloom.functions.json_text import extract_json_object, first_balanced_object, parse_llm_json
+from traceloom.functions.json_text import extract_json_object, first_balanced_object, read_answer
 from traceloom.functions.rows import bind, settle
 from traceloom.functions.text import has_unclosed_think, is_blank, rollout_record_id, strip, strip_think, truncate_text
-from traceloom.operators.graph import place_from_end, closure, ids_at, parents_of, with_links
+from traceloom.operators.graph import ancestor_lists, parents_of, place_from_end, schema_issues, typed_facts, with_cells
 from traceloom.operators.sampling import pick_one, split_by_ratio
-from traceloom.schemas import GRAPH_DOCUMENT
 from traceloom.sources.sinks import column_values
 
 # Reject reason, version of the issue table, classes of a training record.
@@ -203,13 +202,19 @@ def apply_issues(failed: DataFrame, responses: DataFrame, previous: DataFrame |
 
 
 def compact_response(c: Column) -> Column:
-    """Answer reduced to the graph it holds, as compact JSON without the skip field; '' when unreadable."""
-    document = parse_llm_json(c, GRAPH_DOCUMENT)
-    short = bind(
-        document,
-        lambda d: F.to_json(d.withField("facts", F.transform(d["facts"], lambda f: f.dropFields("skip")))),
-    )
-    return F.coalesce(short, F.lit(""))
+    """Answer reduced to the JSON it holds, as compact JSON; '' when it holds none.
+
+    A graph without schema findings is written field by field, without skip. Any other value stays whole, its keys in name order.
+    """
+
+    def short(document: Column) -> Column:
+        facts = F.transform(typed_facts(document), lambda f: f.dropFields("skip"))
+        text = lambda name: F.try_variant_get(document, f"$.{name}", "string").alias(name)
+        graph = F.to_json(F.struct(text("problem_id"), text("problem_text"), facts.alias("facts")))
+        whole = (F.size(schema_issues(document)) == 0) & F.schema_of_variant(document).startswith("OBJECT")
+        return F.when(whole, graph).when(document.isNotNull(), F.to_json(document)).otherwise(F.lit(""))
+
+    return bind(read_answer(c), short)
 
 
 def compact_fact(f: Column, max_chars: int) -> Column:
@@ -223,37 +228,34 @@ def compact_fact(f: Column, max_chars: int) -> Column:
 
 
 def failure_payloads(records: DataFrame, failed, context: str = "ancestor", max_failed: int | None = None, max_chars: int = 2400) -> DataFrame:
-    """One row per failed fact with its compacted context: none, direct parents, or all it rests on.
+    """One row per failed fact with its compacted context: none, direct parents, or all it rests on, parents before children.
 
     ``failed`` is the test of a fact; ``max_failed`` is the report's own limit per record.
     """
     if context not in ("none", "direct", "ancestor"):
         raise ValueError(f"unknown context {context!r}")
-    staged = with_links(records)
+    staged = with_cells(records)
     facts = F.col("facts")
+    if context == "ancestor":
+        staged = staged.withColumn("_lists", ancestor_lists(failed))
 
-    def around(f: Column) -> Column:
+    def around(f: Column, k: Column) -> Column:
         if context == "none":
             return F.filter(facts, lambda e: F.lit(False))
         if context == "direct":
-            wanted = parents_of(f)
-        else:
-            above = F.filter(F.transform(parents_of(f), lambda p: place_from_end(F.col("_back"), p)), lambda p: p.isNotNull())
-            wanted = ids_at(F.col("_ids"), closure(F.col("_parents"), above))
-        near = lambda ids: F.filter(
-            F.zip_with(facts, "_ids", lambda e, i: F.when(F.array_contains(ids, i), e)), lambda e: e.isNotNull()
-        )
-        return bind(wanted, near)
+            near = lambda ids: F.filter(F.zip_with(facts, "_ids", lambda e, i: F.when(F.array_contains(ids, i), e)), lambda e: e.isNotNull())
+            return bind(parents_of(f), near)
+        return F.transform(F.get("_lists", k), lambda i: F.element_at(facts, place_from_end(F.col("_back"), i)))
 
     bad = F.filter(facts, failed)
     if max_failed is not None:
         bad = F.slice(bad, 1, max_failed)
     rows = F.transform(
         bad,
-        lambda f: F.struct(
+        lambda f, k: F.struct(
             strip(f["fact_id"]).alias("fact_id"),
             compact_fact(f, max_chars).alias("node"),
-            F.transform(around(f), lambda e: compact_fact(e, max_chars)).alias("context"),
+            F.transform(around(f, k), lambda e: compact_fact(e, max_chars)).alias("context"),
         ),
     )
     kept = [c for c in staged.columns if c in ("record_id", "problem_text")]

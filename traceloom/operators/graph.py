@@ -3,6 +3,7 @@ works inside the row and moves no data between tasks."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -495,22 +496,51 @@ def prefix_facts(records: DataFrame) -> DataFrame:
     return with_cells(records).select("record_id", F.inline(rows))
 
 
+def visiting_orders(ids: list[str], parents: list[list[str]], targets: list[bool]) -> list[list[str]]:
+    """For each target the known ids it rests on, in the order in which a walk up its parents is done with them.
+
+    A fact is done after its own parents, in their listed order, so parents stand before children whichever way the list runs. Of facts
+    that share an id all parents count. Each walk goes over its facts and edges once, with a stack of its own.
+    """
+    above: dict[str, list[str]] = {}
+    for fact_id, own in zip(ids, parents, strict=True):
+        above.setdefault(fact_id, []).extend(own)
+    out = []
+    for k, wanted in enumerate(targets):
+        if not wanted:
+            continue
+        seen, done, stack = set(), [], [iter(above[ids[k]])]
+        path: list[str | None] = [None]
+        while stack:
+            fact_id = next(stack[-1], None)
+            if fact_id is None:
+                stack.pop()
+                if (ended := path.pop()) is not None:
+                    done.append(ended)
+            elif fact_id not in seen:
+                seen.add(fact_id)
+                if fact_id in above:
+                    stack.append(iter(above[fact_id]))
+                    path.append(fact_id)
+        out.append([fact_id for fact_id in done if fact_id != ids[k]])
+    return out
+
+
+def ancestor_lists(wanted) -> Column:
+    """For records with cells, the ancestors of each fact that satisfies ``wanted``, by a walk in Arrow batches."""
+    @F.pandas_udf(f"array<{IDS}>")
+    def walk(ids: pd.Series, parents: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([visiting_orders(list(i), [list(p) for p in up], list(t)) for i, up, t in zip(ids, parents, targets, strict=True)])
+
+    targets = F.transform("facts", lambda f: F.coalesce(wanted(f), F.lit(False)))
+    return walk("_ids", F.transform("_f", lambda f: f["parents"]), targets)
+
+
 def ancestors(records: DataFrame, wanted) -> DataFrame:
-    """For each fact that satisfies ``wanted``, the facts it rests on, parents before children."""
-    staged = with_links(records)
-    ids = F.col("_ids")
-    rows = F.transform(
-        F.filter("facts", wanted),
-        lambda f: F.struct(
-            strip(f["fact_id"]).alias("fact_id"),
-            bind(
-                ids_at(ids, closure(F.col("_parents"), F.array(place_from_end(F.col("_back"), strip(f["fact_id"]))))),
-                lambda found: F.filter(
-                    F.array_distinct(ids), lambda i: (i != strip(f["fact_id"])) & F.array_contains(found, i)
-                ),
-            ).alias("ancestor_ids"),
-        ),
-    )
+    """For each fact that satisfies ``wanted``, the facts it rests on, parents before children (``visiting_orders``)."""
+    cells = with_cells(records.where(F.col("facts").isNotNull()))
+    staged = settle(cells, _chosen=F.filter(F.col("facts"), wanted)).withColumn("_lists", ancestor_lists(wanted))
+    rows = F.zip_with("_chosen", "_lists", lambda f, found: F.struct(strip(f["fact_id"]).alias("fact_id"), found.alias("ancestor_ids")))
     return staged.select("record_id", F.inline(rows))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.bins import doubling_bin, doubling_label, fixed_bin, fixed_bin_labels, pow2_bin, small_table, zero_filled
 from traceloom.functions.checks import classify_error
-from traceloom.functions.coerce import to_bool, to_float, to_step
+from traceloom.functions.coerce import to_bool, to_float, to_step, typed_bool, typed_float
 from traceloom.functions.exact import exact_mean, exact_std_pop, exact_sum
 from traceloom.functions.text import compact_ws, is_blank, strip
 from traceloom.schemas import TERMINAL
@@ -165,22 +165,29 @@ def trace_gaps(samples: DataFrame) -> DataFrame:
 
 
 def reward_trace_by_step(samples: DataFrame, metrics: list[str], bools: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per step, and over all, spread of each numeric field and rate of each flag of the reward trace."""
+    """Per step, and over all, spread of each numeric field and rate of each flag of the reward trace.
+
+    Fields that ``explode_samples`` keeps as VARIANT are read by their JSON type: a quoted number is a number in a text, so it counts for
+    the spread and is no flag. A JSON null is a missing value.
+    """
     rows = _with_step(samples)
+    kinds = dict(rows.dtypes)
+    typed = lambda c: kinds[c] == "variant"
+    there = lambda c: F.col(c).isNotNull() & (~F.is_variant_null(c) if typed(c) else F.lit(True))
+    number = lambda c: typed_float(F.col(c)) if typed(c) else to_float(F.col(c).cast("string"))
+    flag = lambda c: typed_bool(F.col(c)) if typed(c) else F.col(c) if kinds[c] == "boolean" else to_bool(F.col(c).cast("string"))
     if "trace_state" in samples.columns:
         rows = rows.where("trace_state = 'ok'")
     numbers = rows.select(
         "step",
-        F.inline(F.array(*[F.struct(F.lit(m).alias("field"), F.col(m).cast("string").alias("_raw")) for m in metrics])),
-    ).withColumn("_x", to_float(F.col("_raw")))
+        F.inline(F.array(*[F.struct(F.lit(m).alias("field"), there(m).alias("_there"), number(m).alias("_x")) for m in metrics])),
+    )
     spread = numbers.groupingSets([["step", "field"], ["field"]], "step", "field").agg(
         *_spread(F.col("_x")),
-        F.count_if(F.col("_raw").isNull()).alias("missing"),
-        F.count_if(F.col("_raw").isNotNull() & F.col("_x").isNull()).alias("invalid"),
-    )
-    flags = rows.select(
-        "step", F.inline(F.array(*[F.struct(F.lit(b).alias("field"), to_bool(F.col(b).cast("string")).alias("_v")) for b in bools]))
+        F.count_if(~F.col("_there")).alias("missing"),
+        F.count_if(F.col("_there") & F.col("_x").isNull()).alias("invalid"),
     )
+    flags = rows.select("step", F.inline(F.array(*[F.struct(F.lit(b).alias("field"), flag(b).alias("_v")) for b in bools])))
     rates = flags.groupingSets([["step", "field"], ["field"]], "step", "field").agg(
         F.count("_v").alias("n"),
         F.count_if("_v").alias("true_n"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.coerce import known_experiment_name, parse_experiment_name
@@ -47,13 +47,43 @@ def read_bench(spark: SparkSession, path: str, columns: dict[str, str], schema:
 
 
 def read_stage_records(spark: SparkSession, path: str, schema: str = STAGE_RECORD, strict: bool = True) -> DataFrame:
-    """Stage records from JSON lines; blank lines are ignored. Strict makes a bad line an error, else it is left out."""
+    """Stage records from JSON lines; blank lines are ignored. Strict looks through the lines first and makes bad ones an error that
+    names file and line, else they are left out."""
     if strict:
+        require_readable(spark, path, schema)
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.where("_bad IS NULL").drop("_bad")
 
 
+NAMED_LINES = 5  # places that an error message gives
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str = STAGE_RECORD) -> DataFrame:
+    """(source_file, line, value) of the lines that are no record of the schema; lines count from 1, blank ones too.
+
+    Files may be cut over tasks anywhere: each task numbers the lines of its parts of files in order, the lines of each part are counted,
+    and a part's first line is what the parts before it hold. One row a part goes through these sums, never a file.
+    """
+    part = ["source_file", "_start"]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
+    )
+    counts = lines.groupBy(*part).agg(F.count("*").alias("_lines"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = lines.where(~is_blank(F.col("value"))).withColumn("_read", read).where("_read IS NULL OR _read._bad IS NOT NULL")
+    return bad.join(offsets, part).select("source_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def require_readable(spark: SparkSession, path: str, schema: str = STAGE_RECORD) -> None:
+    """An error that names the first bad lines, if there are any."""
+    found = bad_lines(spark, path, schema).orderBy("source_file", "line").limit(NAMED_LINES).select("source_file", "line").collect()
+    if found:
+        raise ValueError("lines that cannot be read: " + ", ".join(f"{r.source_file}:{r.line}" for r in found))
+
+
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
     """Unreadable lines per file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
@@ -67,7 +97,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_samples(records: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per rollout of step records, with the named trace fields as raw text.
+    """One row per rollout of step records, with the named trace fields as VARIANT, which keeps their JSON type.
 
     ``trace_state`` is ok, missing (no trace) or invalid (a rollout or trace that is no object); a record without rollouts keeps one
     row of state none.
@@ -81,7 +111,8 @@ def explode_samples(records: DataFrame, fields: list[str]) -> DataFrame:
         .when(kind.startswith("OBJECT"), "ok")
         .otherwise("invalid")
     )
-    traces = [F.get_json_object("_r.trace", f"$.{f}").alias(f) for f in fields]
+    parsed = F.when(state == "ok", F.try_parse_json("_r.trace"))
+    traces = [F.try_variant_get(parsed, f"$.{f}", "variant").alias(f) for f in fields]
     return rows.select("step", "rollout_idx", "_r.reward", *traces, state.alias("trace_state"))
 
 
