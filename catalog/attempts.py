@@ -149,6 +149,64 @@ def retry_applied(spark, sf_dir):
     return rows.select("record_id", "fact_id", "prove_status", "lean_verify", "prove_skipped")
 
 
+# Targets with an id of their own that no record holds, and every attempt's code and error.
+PAYLOADS = f"""{TARGETS}, wanted AS (SELECT record_id, fact_id, true AS found FROM targets UNION ALL SELECT DISTINCT record_id, 'f_none', false FROM targets),
+  coded AS (SELECT record_id, fact_id, attempt, lean_verify, concat('code ', fact_id, ' ', attempt) AS code, CASE WHEN lean_verify THEN '' ELSE concat('error ', attempt) END AS error FROM tries WHERE attempt <= 3),
+  told AS (SELECT w.record_id, w.fact_id, w.found, o.won, coalesce(CAST(o.won AS VARCHAR), 'failed') AS bucket, coalesce(o.won + 1, o.last + 1, 0) AS n,
+    e.error AS last_error, CASE WHEN o.won IS NOT NULL THEN e.code END AS code FROM wanted w LEFT JOIN outcomes o USING (record_id, fact_id)
+    LEFT JOIN (SELECT DISTINCT * FROM coded) e ON e.record_id = w.record_id AND e.fact_id = w.fact_id AND e.attempt = coalesce(o.won, o.last))"""
+
+
+def retry_payload_rows(spark, sf_dir):
+    failed = nodes(spark, sf_dir).where("prove_status = 'failed'")
+    unknown = failed.select("record_id", F.lit("f_none").alias("fact_id")).distinct().withColumn("found", F.lit(False))
+    targets = failed.select("record_id", "fact_id", F.lit(True).alias("found")).unionByName(unknown)
+    k = F.col("attempt")
+    tries = failed.where("l_suppkey % 9 > 0").select("record_id", "fact_id", "l_partkey", F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("attempt")).where(k <= F.col("l_partkey") % 6)
+    passed = (F.col("l_partkey") * 7 + k * 3) % 5 == 0
+    log = tries.select(
+        "record_id", "fact_id", "attempt", F.concat(F.lit("code "), "fact_id", F.lit(" "), k.cast("string")).alias("candidate_lean_code"),
+        passed.alias("lean_pass"), passed.alias("lean_verify"), F.when(passed, "").otherwise(F.concat(F.lit("error "), k.cast("string"))).alias("error_msg"),
+    )
+    return at.retry_payloads(targets, log.unionByName(log.where("attempt = 1")), 3)
+
+
+@query(
+    "retry_payloads",
+    f"""WITH {PAYLOADS} SELECT t.record_id, t.fact_id, won IS NOT NULL AS success, bucket AS success_bucket, CAST(n AS INT) AS attempt_count, CASE WHEN found THEN coalesce(last_error, '') END AS final_error, CASE WHEN found THEN won IS NOT NULL END AS final_verify,
+    coalesce(string_agg(concat(c.attempt, ':', c.code, ':', c.lean_verify, ':', c.error), ';' ORDER BY c.attempt) FILTER (c.attempt IS NOT NULL), '') AS attempts, CASE WHEN found THEN '' ELSE 'fact not found' END AS error
+    FROM told t LEFT JOIN (SELECT DISTINCT * FROM coded) c ON c.record_id = t.record_id AND c.fact_id = t.fact_id AND (won IS NULL OR c.attempt <= won) GROUP BY ALL""",
+)
+def retry_payloads(spark, sf_dir):
+    """Outcome, final result and list of attempts of each retried node, those of unknown facts and with replayed attempts too."""
+    line = lambda a: F.concat_ws(":", a["attempt_index"], a["candidate_lean_code"], a["lean_verify"].cast("string"), a["error_msg"])
+    return retry_payload_rows(spark, sf_dir).select(
+        "record_id", "fact_id", "success", "success_bucket", "attempt_count", F.col("final_lean_result.error_msg").alias("final_error"),
+        F.col("final_lean_result.lean_verify").alias("final_verify"), F.array_join(F.transform("attempts", line), ";").alias("attempts"), "error",
+    )
+
+
+@query(
+    "retry_upsert",
+    f"""WITH {PAYLOADS} SELECT x.record_id, x.pos, x.fact_id, CASE WHEN won IS NOT NULL THEN 'success' ELSE prove_status END AS prove_status, CASE WHEN won IS NOT NULL THEN t.code ELSE x.lean_code END AS lean_code,
+    won IS NOT NULL OR lean_verify AS lean_verify, CASE WHEN won IS NOT NULL THEN last_error ELSE error_msg END AS error_msg, CASE WHEN won IS NOT NULL THEN CAST(n AS INT) END AS tries,
+    CASE WHEN found THEN concat_ws(' ', bucket, n, coalesce(last_error, '')) END AS retry
+    FROM (SELECT *, row_number() OVER (PARTITION BY record_id, fact_id ORDER BY pos, prove_status, lean_code, lean_pass, lean_verify, error_msg) AS nth FROM nodes) x LEFT JOIN told t ON t.record_id = x.record_id AND t.fact_id = x.fact_id AND nth = 1""",
+)
+def retry_upsert(spark, sf_dir):
+    """Stage records, one a rollout, with the retry results put into their facts."""
+    proof = F.struct("lean_code", "lean_pass", "lean_verify", "error_msg", F.lit(None).cast("int").alias("tries"), F.col("prove_skipped").alias("skipped"))
+    fact = F.struct("pos", "fact_id", "prove_status", proof.alias("solved_lemma"))
+    gathered = nodes(spark, sf_dir).groupBy("record_id").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    records = gathered.select(F.struct("record_id").alias("meta"), F.struct("facts").alias("results"))
+    rows = at.upsert_retry(records, retry_payload_rows(spark, sf_dir)).select(F.col("meta.record_id").alias("record_id"), F.explode("results.facts").alias("f"))
+    told = F.col("f.prove_failure_retry")
+    return rows.select(
+        "record_id", "f.pos", "f.fact_id", "f.prove_status", "f.solved_lemma.lean_code", "f.solved_lemma.lean_verify", "f.solved_lemma.error_msg", "f.solved_lemma.tries",
+        F.when(told.isNotNull(), F.concat_ws(" ", told["success_bucket"], told["attempt_count"], told["final_lean_result"]["error_msg"])).alias("retry"),
+    )
+
+
 @query(
     "retry_study",
     f"""WITH {AFTER}, flags AS (SELECT *, origin IN ('derived', 'answer') AS need, origin IN ('derived', 'answer') AND NOT (origin = 'derived' AND skip = 1) AS need_x FROM after_nodes),

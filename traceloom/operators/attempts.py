@@ -166,6 +166,74 @@ def retry_outcome(targets: DataFrame, attempts: DataFrame, max_retries: int) ->
     )
 
 
+NOT_FOUND = "fact not found"  # fixed value: the error of a target that its record does not hold
+
+
+def retry_payloads(targets: DataFrame, attempts: DataFrame, max_retries: int) -> DataFrame:
+    """(record_id, fact_id, success, success_bucket, attempt_count, final_lean_result, attempts, error) of each target.
+
+    ``attempts`` has (record_id, fact_id, attempt from 0, candidate_lean_code, lean_pass, lean_verify, error_msg). Those after the first
+    verified one or past the limit were never made, replays of one number count once. The final result is that of the last attempt made.
+    A target whose column ``found`` is false has no attempts and says so; without the column all are taken to be found. A node's list
+    holds at most ``max_retries`` + 1 attempts, whatever its log holds.
+    """
+    found = F.coalesce(F.col("found"), F.lit(False)) if "found" in targets.columns else F.lit(True)
+    parts = ["candidate_lean_code", "lean_pass", "lean_verify", "error_msg"]
+    once = attempts.where(F.col("attempt").between(0, max_retries)).groupBy(*NODE, "attempt").agg(F.max(F.struct(*parts)).alias("_p"))
+    made = once.groupBy(*NODE).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("attempt").cast("int").alias("attempt_index"), "_p.*"))).alias("_all"), F.min(F.when(YES(F.col("_p.lean_verify")), F.col("attempt"))).alias("_won")
+    )
+    listed = F.when(found, F.filter("_all", lambda a: F.col("_won").isNull() | (a["attempt_index"] <= F.col("_won"))))
+    joined = targets.select(*NODE, found.alias("_found")).distinct().withColumnRenamed("_found", "found").join(made, NODE, "left")
+    settled = joined.select(*NODE, "found", (F.col("found") & F.col("_won").isNotNull()).alias("success"), "_won", listed.alias("attempts"))
+    last = F.get("attempts", F.size("attempts") - 1)
+    final = F.struct(YES(last["lean_pass"]).alias("lean_pass"), YES(last["lean_verify"]).alias("lean_verify"), F.coalesce(last["error_msg"], F.lit("")).alias("error_msg"))
+    return settled.select(
+        *NODE,
+        "success",
+        F.when(F.col("success"), F.col("_won").cast("string")).otherwise(F.lit("failed")).alias("success_bucket"),
+        F.coalesce(F.size("attempts"), F.lit(0)).alias("attempt_count"),
+        F.when(F.col("found"), final).alias("final_lean_result"),
+        F.coalesce("attempts", F.array().cast(settled.schema["attempts"].dataType)).alias("attempts"),
+        F.when(F.col("found"), F.lit("")).otherwise(F.lit(NOT_FOUND)).alias("error"),
+    )
+
+
+def upsert_retry(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Stage records with the retry results put onto their facts, each in its place in ``results.facts``.
+
+    A fact with a result gets ``prove_failure_retry``; if it succeeded, also the status and the proof of the first verified attempt, in
+    place of what it had. Of facts that share an id the first is meant. Records are not taken apart: a record meets the list of its
+    own results, and only that list is gathered. Results of unknown facts or records go nowhere.
+    """
+    won = F.get(F.filter("attempts", lambda a: YES(a["lean_verify"])), F.lit(0))
+    told = F.struct("success", "success_bucket", "attempt_count", "final_lean_result")
+    results = payloads.groupBy("record_id").agg(F.collect_list(F.struct("fact_id", told.alias("told"), won.alias("won"))).alias("_results"))
+    own = results.select(F.col("record_id").alias("_of"), "_results")
+    joined = records.join(own, strip(F.col("meta.record_id")) == F.col("_of"), "left")
+    facts = F.col("results.facts")
+    ids = F.transform(facts, lambda f: f["fact_id"])
+
+    def put(f: Column, at: Column) -> Column:
+        mine = F.get(F.filter("_results", lambda r: (r["fact_id"] == f["fact_id"]) & (F.array_position(ids, f["fact_id"]) == at + 1)), F.lit(0))
+
+        def change(r: Column) -> Column:
+            success = YES(r["told"]["success"])
+            proof = F.struct(
+                r["won"]["candidate_lean_code"].alias("lean_code"), F.lit(True).alias("lean_pass"), F.lit(True).alias("lean_verify"),
+                r["won"]["error_msg"].alias("error_msg"), r["told"]["attempt_count"].alias("tries"), F.lit(False).alias("skipped"),
+            )
+            return (
+                f.withField("prove_status", F.when(success, F.lit("success")).otherwise(f["prove_status"]))
+                .withField("solved_lemma", F.when(success, proof).otherwise(f["solved_lemma"]))
+                .withField("prove_failure_retry", r["told"])
+            )
+
+        return F.get(F.transform(F.array(mine), change), F.lit(0))
+
+    return joined.withColumn("results", F.col("results").withField("facts", F.transform(facts, put))).drop("_of", "_results")
+
+
 def apply_retry(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Put retry results onto their nodes: always the outcome, and on success the proof as well."""
     joined = nodes.join(outcomes.select(*NODE, "success", "success_bucket", "attempt_count"), NODE, "left")
