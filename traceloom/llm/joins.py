@@ -37,13 +37,16 @@ def text_keys(text: Column) -> dict[str, Column]:
 
 
 class BitTable:
-    """A set of 64-bit keys by their leading bits: holds every key put in, and now and then another."""
+    """A set of 64-bit keys by their last bits: holds every key put in, and now and then another.
+
+    Keys that are least hashes of many have few leading bits set, so those would not tell them apart.
+    """
 
     def __init__(self, bits: int, table: np.ndarray):
         self.bits, self.table = bits, table
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> np.uint64(64 - self.bits)
+        bit = keys & np.uint64((1 << self.bits) - 1)
         return (self.table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -54,8 +57,8 @@ def bit_table(keys: DataFrame, column: str):
     work and no rows.
     """
     bits = max(LEAST_BITS, min(MOST_BITS, (8 * keys.count()).bit_length()))
-    bit = F.shiftrightunsigned(column, 64 - bits)
-    mask = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - bits}) & 63 AS INT))")
+    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    mask = F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")
     words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(mask).alias("bits"))
     found = words.toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
