@@ -24,7 +24,7 @@ from traceloom.llm.batches import give_back, slices
 from traceloom.llm.hattrie import WORDS, HatTrie, merged_runs
 from traceloom.session import cut_lineage
 
-SLOT_BYTES = 12 << 20  # text bytes per slot
+SLOT_BYTES = 7 << 20  # text bytes per slot
 SEGMENT = 2 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
@@ -55,20 +55,20 @@ def counted_runs(docs: DataFrame, slots: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["slot", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(slots)
+        trie, by_lang, words, carried = HatTrie(slots), {}, [], []
         for batch in slices(batches, "text", SEGMENT):
-            by_lang: dict[bytes, list[bytes]] = {}
+            by_lang = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, found in by_lang.items():
-                carried: list[bytes] = []
+                carried = []
                 for part in segments(b"\n".join(found).translate(LETTERS)):
                     words = [*carried, *(w for w in part.replace(b"\n", b" \n ").split(b" ") if w)]
                     if left := trie.count(lang, words, len(carried)):
                         yield batch_of(left)
                     carried = words[-(WORDS - 1) :]
         left = batch_of(trie.spill(0))
-        del trie
+        trie = by_lang = words = carried = None
         give_back()  # the worker goes on to merge
         yield left
 

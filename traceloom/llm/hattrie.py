@@ -200,7 +200,7 @@ def unpacked_run(blob: bytes) -> tuple[pa.BinaryArray, list[np.ndarray], np.ndar
     ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", names_count, 24))]).astype(np.int32)
     begin = 24 + 4 * names_count
     at = begin + int(ends[-1])
-    names = pa.BinaryArray.from_buffers(pa.binary(), names_count, [None, pa.py_buffer(ends), pa.py_buffer(raw[begin:at])])
+    names = pa.BinaryArray.from_buffers(pa.binary(), names_count, [None, pa.py_buffer(ends), pa.py_buffer(raw).slice(begin, at - begin)])
     kind = np.dtype("<u2" if names_count < 1 << 16 else "<u4")
     columns = [np.frombuffer(raw, kind, n, at + k * n * kind.itemsize) for k in range(WORDS)]
     return names, columns, np.frombuffer(raw, f"<u{wide}", n, at + WORDS * n * kind.itemsize)
