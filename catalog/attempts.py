@@ -237,6 +237,27 @@ def selection_summary(spark, sf_dir):
     return summary(nodes(spark, sf_dir), grades(spark, sf_dir).where("answer <> 'P'"))
 
 
+BEST = """ranked_pre AS (SELECT record_id, parent_id, rollout_id, count(*) FILTER (need AND prove_status = 'success') AS s, count(*) FILTER (need AND lean_pass) AS p, count(*) FILTER (need) AS n
+     FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY ALL),
+   best AS (SELECT parent_id, arg_min(record_id, row(-(CASE WHEN n > 0 THEN s / n ELSE 0.0 END), -s, -p, rollout_id)) AS id FROM ranked_pre GROUP BY parent_id),
+   given AS (SELECT * FROM grades WHERE answer <> 'P')"""
+
+
+@query("selection_totals", f"""WITH {BEST} SELECT g.source, CAST(grouping(g.source) AS INT) AS overall, count(*) AS selected, count(g.id) AS graded, CAST(coalesce(sum(g.is_correct), 0) AS BIGINT) AS correct, avg(coalesce(g.is_correct, 0)) AS accuracy
+   FROM best LEFT JOIN given g ON g.id = best.id GROUP BY ROLLUP (g.source)""")
+def selection_totals(spark, sf_dir):
+    from traceloom.plans.retry import selection_totals as totals
+
+    return totals(nodes(spark, sf_dir), grades(spark, sf_dir).where("answer <> 'P'"))
+
+
+@query("ungraded_selections", f"WITH {BEST} SELECT id AS record_id, parent_id FROM best WHERE id NOT IN (SELECT id FROM given)")
+def ungraded_selections(spark, sf_dir):
+    from traceloom.plans.retry import ungraded_selections as ungraded
+
+    return ungraded(nodes(spark, sf_dir), grades(spark, sf_dir).where("answer <> 'P'"))
+
+
 @query("selection_report", f"""WITH kept AS (SELECT parent_id, sum(CAST(round(p * 1e9) AS DECIMAL(18,0)))::DOUBLE / (count(p) * 1e9) AS ratio FROM (SELECT parent_id, record_id, CASE WHEN count(*) FILTER (need) > 0 THEN count(*) FILTER (need AND lean_verify) / count(*) FILTER (need) * 100.0 ELSE 0.0 END AS p
      FROM (SELECT *, origin IN ('derived', 'answer') AS need FROM nodes) GROUP BY parent_id, record_id) GROUP BY parent_id),
    b AS (SELECT parent_id, CASE WHEN ratio >= 100 THEN '100%' ELSE concat(CAST(floor(ratio / 20) * 20 AS INT), '-', CAST(floor(ratio / 20) * 20 + 20 AS INT), '%') END AS bucket FROM kept),

@@ -61,6 +61,16 @@ def extract_json_block(spark, sf_dir):
     return answers(spark, sf_dir).select("doc_id", json_text.extract_json_block(F.col("answer")).isNotNull().alias("found"))
 
 
+@query(
+    "json_block_texts",
+    r"""SELECT doc_id, CASE WHEN doc_id % 7 < 3 THEN CAST(to_json({'problem_id': CAST(doc_id AS VARCHAR), 'problem_text': text}) AS VARCHAR)
+      WHEN doc_id % 7 = 3 THEN concat('{"problem_id": "', doc_id, '", "problem_text": "x \in \mathbb{Q}"}')
+      WHEN doc_id % 7 = 4 THEN replace(concat('{problem_id: ~', doc_id, '~, ~problem_text~: ~a, }b~,}'), '~', chr(39)) END AS block FROM documents""",
+)
+def json_block_texts(spark, sf_dir):
+    return answers(spark, sf_dir).select("doc_id", json_text.extract_json_block(F.col("answer")).alias("block"))
+
+
 @query(
     "extract_json_object",
     """SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN CAST(doc_id AS VARCHAR) END AS parsed_id FROM documents""",

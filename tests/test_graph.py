@@ -276,3 +276,15 @@ def test_long_chains_of_ancestors(spark):
     start = time.perf_counter()
     found.first()
     assert time.perf_counter() - start < 5
+
+
+def test_facts_missing_from_the_stored_order(spark):
+    facts = [("a", 1), ("b", 2), ("c", 3)]
+    schema = "record_id string, facts array<struct<fact_id string, n int>>, topo_order array<string>"
+    records = spark.createDataFrame([("r", facts, ["c", "x", "a", "b"]), ("s", facts, ["b", "a"]), ("t", facts, []), ("u", facts, None)], schema)
+    order = {r.record_id: [f.fact_id for f in r.facts] for r in graph.ordered_facts(records).collect()}
+    assert order == {"r": ["c", "a", "b"], "s": ["b", "a"], "t": ["a", "b", "c"], "u": ["a", "b", "c"]}
+    assert [tuple(r) for r in graph.missing_in_order(records).collect()] == [("s", "c")]
+    with pytest.raises(Exception, match="record s: the stored order lacks c"):
+        graph.ordered_facts(records, require_all=True).collect()
+    assert graph.ordered_facts(records.where("record_id <> 's'"), require_all=True).count() == 3

@@ -62,14 +62,30 @@ def facts_of(records: DataFrame, prefer: str = "results.facts", fallback: str =
     ).select("record_id", (F.col("pos") + 1).alias("pos"), "fact.*")
 
 
-def ordered_facts(records: DataFrame) -> DataFrame:
-    """Facts in the stored order: known ids of ``topo_order``, else the order of the list."""
-    ids = F.transform("facts", lambda f: f["fact_id"])
-    listed = F.filter("topo_order", lambda i: F.array_contains(ids, i))
-    by_order = F.transform(listed, lambda i: F.get(F.filter("facts", lambda f: f["fact_id"] == i), F.lit(0)))
-    return settle(records, facts=F.col("facts"), topo_order=F.col("topo_order")).withColumn(
-        "facts", F.when(F.size(F.coalesce(F.col("topo_order"), F.array().cast(IDS))) > 0, by_order).otherwise(F.col("facts"))
-    )
+def _stored_order(records: DataFrame) -> DataFrame:
+    """Add the ids of the facts and the known ids of the stored order, which stands for the list's own where it is empty."""
+    staged = settle(records, facts=F.col("facts"), topo_order=F.coalesce("topo_order", F.array().cast(IDS)))
+    staged = settle(staged, _own=F.transform("facts", lambda f: f["fact_id"]))
+    return settle(staged, _listed=F.when(F.size("topo_order") > 0, F.array_intersect("topo_order", "_own")).otherwise(F.col("_own")))
+
+
+def ordered_facts(records: DataFrame, require_all: bool = False) -> DataFrame:
+    """Facts in the stored order: known ids of ``topo_order``, else the order of the list.
+
+    With ``require_all`` a record whose stored order leaves out facts is an error that names the record and the ids.
+    """
+    listed = F.transform("_listed", lambda i: F.element_at("facts", F.array_position("_own", i).cast("int")))
+    chosen = F.when(F.size("topo_order") > 0, listed).otherwise(F.col("facts"))
+    if require_all:
+        missing = F.array_except("_own", "_listed")
+        told = F.concat(F.lit("record "), F.coalesce(F.col("record_id").cast("string"), F.lit("")), F.lit(": the stored order lacks "), F.array_join(missing, ", "))
+        chosen = F.when(F.size(missing) > 0, F.raise_error(told)).otherwise(chosen)
+    return settle(_stored_order(records), facts=chosen).drop("_own", "_listed")
+
+
+def missing_in_order(records: DataFrame) -> DataFrame:
+    """(record_id, fact_id) of the facts that their record's stored order leaves out."""
+    return _stored_order(records).select("record_id", F.explode(F.array_except("_own", "_listed")).alias("fact_id"))
 
 
 def topo_order(facts: Column) -> Column:

@@ -33,6 +33,24 @@ def selection_summary(nodes: DataFrame, grades: DataFrame) -> DataFrame:
     )
 
 
+def selection_totals(nodes: DataFrame, grades: DataFrame) -> DataFrame:
+    """The summary of ``selection_summary`` per source and over all (``overall`` 1, source null); selected records without a grade have
+    the source null."""
+    graded = selected_records(nodes).join(grades.select(F.col("id").alias("record_id"), "source", "is_correct"), "record_id", "left")
+    return graded.rollup("source").agg(
+        F.grouping("source").cast("int").alias("overall"),
+        F.count("*").alias("selected"),
+        F.count("is_correct").alias("graded"),
+        F.coalesce(F.sum("is_correct"), F.lit(0)).alias("correct"),
+        F.avg(F.coalesce("is_correct", F.lit(0))).alias("accuracy"),
+    )
+
+
+def ungraded_selections(nodes: DataFrame, grades: DataFrame) -> DataFrame:
+    """Ids of the selected records that have no grade."""
+    return selected_records(nodes).join(grades.select(F.col("id").alias("record_id")), "record_id", "left_anti").select("record_id", "parent_id")
+
+
 def selection_report(nodes: DataFrame, per_bucket: int, seed: int, step: int = 20) -> DataFrame:
     """Problems and sampled problems per ratio bucket."""
     problems = problem_ratio(nodes, True).select("parent_id", percent_bucket(F.col("ratio_percent"), step).alias("bucket"))
