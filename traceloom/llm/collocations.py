@@ -24,7 +24,7 @@ from traceloom.llm.batches import give_back, slices
 from traceloom.llm.hattrie import WORDS, HatTrie, merged_runs
 from traceloom.session import cut_lineage
 
-SLOT_BYTES = 7 << 20  # text bytes per slot
+SLOT_BYTES = 10 << 20  # text bytes per slot
 SEGMENT = 2 << 20
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
