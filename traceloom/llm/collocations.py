@@ -101,7 +101,10 @@ def sequence_counts(docs: DataFrame, min_count: int = 10) -> DataFrame:
             "f": times[often],
         }
         sums = {"lang": list(of_lang), "size": 0, "phrase": b"", "f": np.array(list(of_lang.values()), np.int64)}
-        return pd.concat([pd.DataFrame(out), pd.DataFrame(sums)], ignore_index=True)
+        found = pd.concat([pd.DataFrame(out), pd.DataFrame(sums)], ignore_index=True)
+        names = columns = times = words = places = out = None
+        give_back()  # the worker takes the next slot
+        return found
 
     merged = counted_runs(docs, slots).groupBy("slot").applyInPandas(merge, COUNTED)
     named = cut_lineage(merged.select(F.col("lang").cast("string"), "size", F.col("phrase").cast("string"), "f"))
