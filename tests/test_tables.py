@@ -295,3 +295,17 @@ def test_bad_lines_are_named_across_splits(spark, tmp_path):
         assert len(readers.read_stage_records(spark, str(path), strict=False).select("meta.record_id").collect()) == 900 * 3 - 18 * 3 - 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_traces_of_a_table_in_parts(spark, tmp_path):
+    """A shard that is a folder: one name, and rows that count on over its parts; plain files beside it count for themselves."""
+    rows = spark.createDataFrame([(k, f"q{k}", f"r{k}") for k in range(30)], "id long, question string, response string")
+    rows.repartition(4).write.parquet(str(tmp_path / "many.parquet"))
+    rows.limit(3).toPandas().to_parquet(tmp_path / "single.parquet")
+    got = readers.read_traces(spark, str(tmp_path)).collect()
+    assert sorted((r.source_file, r.source_row_pos) for r in got) == [("many.parquet", k) for k in range(30)] + [("single.parquet", k) for k in range(3)]
+    assert {r.record_id for r in got} == {str(k) for k in range(30)}
+    some = readers.read_traces(spark, str(tmp_path), "many.parquet", limit=7)
+    assert [(r.source_file, r.source_row_pos) for r in some.collect()] == [("many.parquet", k) for k in range(7)]
+    alone = readers.read_traces(spark, str(tmp_path), "single.*", limit=2)
+    assert [(r.source_file, r.source_row_pos) for r in alone.collect()] == [("single.parquet", 0), ("single.parquet", 1)]

@@ -21,17 +21,28 @@ def read_traces(
     spark: SparkSession, path: str, glob: str = "*.parquet", id_col: str = "id", question_col: str = "question",
     response_col: str = "response", answer_col: str | None = None, limit: int = -1,
 ) -> DataFrame:
-    """Trace shards with the file, relative to ``path``, and row each trace came from; ``limit`` takes the first in that order."""
-    raw = spark.read.option("pathGlobFilter", glob).parquet(path)
+    """Trace shards with the shard, relative to ``path``, and row each trace came from; ``limit`` takes the first in that order.
+
+    A shard is a file, or a folder of parts as Spark writes a table: its rows count on from part to part, in the order of their names.
+    """
+    raw = spark.read.parquet(f"{path.rstrip('/')}/{glob}")
     require_columns(raw, [id_col, question_col, response_col] + ([answer_col] if answer_col else []))
+    below = F.substring_index("_metadata.file_path", path.rstrip("/") + "/", -1)
     rows = raw.select(
         F.col(id_col).cast("string").alias("record_id"),
         F.col(question_col).cast("string").alias("problem"),
         F.col(response_col).cast("string").alias("raw_cot"),
         (F.col(answer_col).cast("string") if answer_col else F.lit("")).alias("reference_answer"),
-        F.substring_index("_metadata.file_path", path.rstrip("/") + "/", -1).alias("source_file"),
+        F.substring_index(below, "/", 1).alias("source_file"),
         F.col("_metadata.row_index").alias("source_row_pos"),
+        below.alias("_part"),
     )
+    if any("/" in f.rsplit(path.rstrip("/") + "/", 1)[-1] for f in raw.inputFiles()):
+        before = Window.partitionBy("source_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        held = rows.groupBy("source_file", "_part").agg((F.max("source_row_pos") + 1).alias("_rows"))
+        starts = held.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))  # one row a part
+        rows = rows.join(F.broadcast(starts), "_part").withColumn("source_row_pos", F.col("_before") + F.col("source_row_pos")).drop("_before")
+    rows = rows.drop("_part")
     return rows.orderBy("source_file", "source_row_pos").limit(limit) if limit >= 0 else rows
 
 
