@@ -374,7 +374,7 @@ def experiment_names(spark, sf_dir):
 @query(
     "coercions",
     """SELECT event_id, CASE WHEN k = 0 THEN event_id WHEN k = 1 THEN 7 END AS step, CASE WHEN k IN (0, 5) THEN CAST(event_id AS DOUBLE) WHEN k = 1 THEN 7.0 WHEN k = 6 THEN value END AS number,
-    CASE WHEN k = 2 THEN true WHEN k = 3 THEN false WHEN k = 0 AND event_id IN (0, 1) THEN event_id = 1 END AS flag FROM (SELECT *, event_id % 7 AS k FROM events)""",
+    CASE WHEN k = 2 THEN true WHEN k = 3 THEN false WHEN k = 0 THEN event_id <> 0 WHEN k = 1 THEN true WHEN k = 5 THEN event_id <> 0 WHEN k = 6 THEN value <> 0 END AS flag FROM (SELECT *, event_id % 7 AS k FROM events)""",
 )
 def coercions(spark, sf_dir):
     k = F.col("event_id") % 7
@@ -383,7 +383,7 @@ def coercions(spark, sf_dir):
         F.when(k == 0, number).when(k == 1, F.lit(" 7 ")).when(k == 2, F.lit("Yes")).when(k == 3, F.lit("f")).when(k == 4, F.lit("NaN"))
         .when(k == 5, F.concat(number, F.lit(".0"))).otherwise(F.col("value").cast("string"))
     )
-    return table(spark, sf_dir, "events").select("event_id", coerce.to_step(raw).alias("step"), coerce.to_float(raw).alias("number"), coerce.to_bool(raw).alias("flag"))
+    return table(spark, sf_dir, "events").select("event_id", coerce.to_step(raw).alias("step"), coerce.to_float(raw).alias("number"), coerce.raw_bool(raw).alias("flag"))
 
 
 @query(

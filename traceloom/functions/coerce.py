@@ -77,6 +77,11 @@ def typed_bool(value: Column) -> Column:
     )
 
 
+def raw_bool(c: Column) -> Column:
+    """The flag of raw JSON text: of a JSON value by its type, as ``typed_bool``; other text is taken as a word."""
+    return F.coalesce(typed_bool(F.try_parse_json(c)), to_bool(c))
+
+
 def coerce_skip(c: Column) -> Column:
     """0 only for a readable zero; null and junk count as 1."""
     return F.when(c.try_cast("int") == 0, 0).otherwise(1)
