@@ -219,8 +219,8 @@ def _context_sql(*sections):
 
 
 def _context_rows(spark, sf_dir, mode):
-    rows = g.contexts(graph_records(spark, sf_dir), mode)
-    return rows.select("record_id", "pos", "fact_id", F.length("context").cast("long").alias("characters"), F.md5("context").alias("context_hash"))
+    rows = g.contexts(graph_records(spark, sf_dir), mode, measured=True)
+    return rows.select("record_id", "pos", "fact_id", "characters", F.md5("context").alias("context_hash"))
 
 
 @query("graph_context_parent", f"WITH {OBLIGATIONS} SELECT record_id, pos, fact_id, statement AS context FROM tasks")

@@ -288,3 +288,16 @@ def test_facts_missing_from_the_stored_order(spark):
     with pytest.raises(Exception, match="record s: the stored order lacks c"):
         graph.ordered_facts(records, require_all=True).collect()
     assert graph.ordered_facts(records.where("record_id <> 's'"), require_all=True).count() == 3
+
+
+def test_contexts_are_put_together_row_by_row(spark):
+    """Their lengths are those of the texts, and no array holds the texts of a record."""
+    from catalog.views import graph_records
+
+    records = graph_records(spark, "/root/testdata/sf0.001")
+    for mode in graph.CONTEXT_MODES:
+        rows = graph.contexts(records, mode, measured=True)
+        assert rows.where("context IS NOT NULL").count() > 0
+        assert rows.where(~F.length("context").eqNullSafe(F.col("characters"))).count() == 0
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Target proof obligation" not in plan[plan.index("Generate") :]

@@ -430,11 +430,12 @@ HEADINGS = {
 }
 
 
-def contexts(records: DataFrame, mode: str) -> DataFrame:
-    """One row per non-root fact with the text a formaliser would see in ``mode``.
+def contexts(records: DataFrame, mode: str, measured: bool = False) -> DataFrame:
+    """One row per non-root fact with the text a formaliser would see in ``mode``; ``measured`` adds its length as ``characters``.
 
     Needs ``problem_text``, ``raw_cot`` and ``facts``. Facts are written as compact JSON with sorted keys.
-    The text is null where the mode needs a problem and the record has none, or where a parent is missing.
+    The text is null where the mode needs a problem and the record has none, or where a parent is missing. The sections that the facts of a
+    record share are written, and measured, once; the whole text is put together row by row, so no record's texts are held at once.
     """
     if mode not in CONTEXT_MODES:
         raise ValueError(f"unknown context mode {mode!r}; one of {CONTEXT_MODES}")
@@ -447,34 +448,37 @@ def contexts(records: DataFrame, mode: str) -> DataFrame:
         seen = strip_think(F.coalesce(F.col("raw_cot"), F.lit("")))
         shared["_trace"] = titled("trace", F.when(seen == "", F.lit("")).otherwise(F.concat(F.lit("\n"), seen)))
     staged = settle(with_cells(records), **shared)
+    gap = F.lit("\n\n")
+    sections = [F.col("_problem")] + ([F.col("_trace")] if mode == CONTEXT_MODES[4] else [])
     if mode in CONTEXT_MODES[3:]:
-        staged = settle(staged, _graph=titled("graph", listed(F.col("_json"))))
-
-    def text(f: Column, i: Column) -> Column:
-        if mode == "c0_parent":
-            return obligation(f)
-        if mode == "c1_problem_parent":
-            middle = []
-        elif mode == "c2_problem_prefix":
-            earlier = listed(F.slice(F.col("_json"), F.lit(1), i))
-            middle = [titled("prefix", earlier), titled("node", F.get("_json", i))]
-        else:
-            middle = [F.col("_trace")] if mode == "c4_problem_cot_full_graph" else []
-            middle += [F.col("_graph"), titled("node_id", f["id"])]
-        pieces = [F.col("_problem")]
-        for section in middle + [titled("task", obligation(f))]:
-            pieces += [F.lit("\n\n"), section]
-        return F.concat(*pieces)
-
+        sections.append(titled("graph", listed(F.col("_json"))))
+    staged = settle(staged, _shared=F.concat(*[piece for section in sections for piece in (section, gap)]))
+    staged = settle(staged, _chars=F.length("_shared"))
     rows = F.transform(
         F.filter(
             F.transform("_f", lambda f, i: F.struct(i.alias("i"), f.alias("cell"))), lambda r: F.size(r["cell"]["parents"]) > 0
         ),
-        lambda r: F.struct(
-            (r["i"] + 1).alias("pos"), r["cell"]["id"].alias("fact_id"), text(r["cell"], r["i"]).alias("context")
-        ),
+        lambda r: F.struct((r["i"] + 1).alias("pos"), r["cell"]["id"].alias("fact_id"), obligation(r["cell"]).alias("_statement")),
     )
-    return staged.select("record_id", F.inline(rows))
+    kept = ["record_id", "_shared", "_chars"] + (["_json"] if mode == "c2_problem_prefix" else [])
+    told = staged.select(*kept, F.inline(rows))
+    task = titled("task", F.col("_statement"))
+    at = F.col("pos") - 1
+    if mode == "c0_parent":
+        pieces = [F.col("_statement")]
+    elif mode == "c1_problem_parent":
+        pieces = [F.col("_shared"), task]
+    elif mode == "c2_problem_prefix":
+        earlier = listed(F.slice(F.col("_json"), F.lit(1), at))
+        pieces = [F.col("_shared"), titled("prefix", earlier), gap, titled("node", F.get("_json", at)), gap, task]
+    else:
+        pieces = [F.col("_shared"), titled("node_id", F.col("fact_id")), gap, task]
+    context = F.concat(*pieces).alias("context")
+    if not measured:
+        return told.select("record_id", "pos", "fact_id", context)
+    once = mode in (CONTEXT_MODES[0], CONTEXT_MODES[2])
+    size = F.length(F.concat(*pieces)) if once else F.col("_chars") + F.length(F.concat(*pieces[1:]))
+    return told.select("record_id", "pos", "fact_id", context, size.cast("long").alias("characters"))
 
 
 def form_messages(fact_id: Column, final: Column, context: Column, system: str, user: str) -> Column:
