@@ -209,3 +209,34 @@ def test_resume_reads_done_anew_and_leaves_replayed_batches(spark, tmp_path):
     ids("a", "d").write.mode("append").parquet(done)
     work(scratch_path(spark, "mark"))  # all is run again from the start: the first folder stays, for it was written whole
     assert kept()[:2] == ["a", "b"]
+
+
+def test_countdown_asks_its_state_once_a_record():
+    """However many facts and attempts a record has, its state is read and written once a batch."""
+    import pandas as pd
+
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Store()
+
+    machine = live.CountDown(True, None)
+    machine.init(Handle())
+    ids = [f"f{k}" for k in range(500)]
+    ends = lambda stage: pd.DataFrame({"needed": None, "fact_id": ids, "stage": stage, "verdict": "success"})
+    told = [t for part in ([ends("prover")], [pd.DataFrame({"needed": [ids], "fact_id": None, "stage": None, "verdict": None})], [ends("formalizer")]) for t in machine.handleInputRows(("r",), iter(part), None)]
+    assert len(told) == 1 and told[0].to_dict("records") == [{"record_id": "r", "facts": 500}]
+    assert calls == ["get", "update"] * 3

@@ -94,24 +94,29 @@ SUCCESS, FAILED = 1, 2
 
 
 class CountDown(StatefulProcessor):
-    """The open facts of a record; its row goes out once, when the last of them is done."""
+    """The open facts of a record; its row goes out once, when the last of them is done.
+
+    The state of a record is one value, read and written once a batch: a call to the state store costs more than a fact. ``facts`` is the
+    JSON of what is known of each fact: its id, whether it is listed, and what its stages came to.
+    """
 
     def __init__(self, include_prover: bool, ttl_ms: int | None):
         self.include_prover, self.ttl_ms = include_prover, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getMapState("facts", "fact_id string", "listed boolean, form int, prove int")
-        self.record = handle.getValueState("record", "known boolean, open int, facts int, told boolean, expires bigint")
+        self.record = handle.getValueState("record", "known boolean, open int, facts int, told boolean, expires bigint, stages string")
 
     def ended(self, form: int, prove: int) -> bool:
         return form == FAILED or (form == SUCCESS and (not self.include_prover or prove > 0))
 
     def handleInputRows(self, key, rows, timerValues):
+        import json
+
         import pandas as pd
 
-        known, left, facts, told, expires = self.record.get() if self.record.exists() else (False, 0, 0, False, 0)
-        was = expires
+        known, left, facts, told, expires, stages = self.record.get() or (False, 0, 0, False, 0, "[]")
+        was, held = expires, {fact: kept for fact, *kept in json.loads(stages)}
         for part in rows:
             if self.ttl_ms is not None:
                 expires = max(expires, int(part["seen_ms"].max()) + self.ttl_ms)
@@ -121,31 +126,30 @@ class CountDown(StatefulProcessor):
                 if needed is not None and not known:
                     known, facts = True, len(needed)
                     for one in needed:
-                        _, form, prove = self.facts.getValue((one,)) or (False, 0, 0)
-                        self.facts.updateValue((one,), (True, form, prove))
+                        _, form, prove = held.get(one, (False, 0, 0))
+                        held[one] = True, form, prove
                         left += not self.ended(form, prove)
                 elif needed is None:
-                    listed, form, prove = self.facts.getValue((fact_id,)) or (False, 0, 0)
+                    listed, form, prove = held.get(fact_id, (False, 0, 0))
                     before = self.ended(form, prove)
                     code = SUCCESS if verdict == "success" else FAILED
                     if stage == "formalizer":
                         form = form if form == SUCCESS else code
                     else:
                         prove = prove if prove == SUCCESS else code
-                    self.facts.updateValue((fact_id,), (listed, form, prove))
+                    held[fact_id] = listed, form, prove
                     left += listed * (before - self.ended(form, prove))
         if known and not left and not told:
             told = True
-            self.facts.clear()
+            held = {}
             yield pd.DataFrame({"record_id": [key[0]], "facts": [facts]})
         if was != expires:
             if was:
                 self.handle.deleteTimer(was)
             self.handle.registerTimer(expires)
-        self.record.update((known, left, facts, told, expires))
+        self.record.update((known, left, facts, told, expires, json.dumps([(fact, *kept) for fact, kept in held.items()])))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.facts.clear()
         self.record.clear()
         return iter(())
 
@@ -173,8 +177,8 @@ def stream_countdown(events: DataFrame, include_prover: bool = True, arrived: st
     """(record_id, facts) of each record once, when all its facts that need work are done; ``events`` are those of ``countdown_events``.
 
     A fact is done when formalizing has failed, or has passed and proving has ended. Attempts may come before their graph, in any order
-    and repeatedly; a later success outweighs a failure unless the record is out by then. The state of a record is a row a fact, and one row
-    when it is out. With ``arrived``, a column of arrival times, it ends ``ttl_seconds`` after the record's last event; without, it stays.
+    and repeatedly; a later success outweighs a failure unless the record is out by then. The state of a record is one row, which
+    names its facts until it is out. With ``arrived``, a column of arrival times, it ends ``ttl_seconds`` after the record's last event; without, it stays.
     """
     schema, keys = "record_id string, facts int", ["record_id"]
     if arrived is None:
