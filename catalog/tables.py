@@ -69,8 +69,8 @@ def bad_lines(spark, sf_dir):
     line = F.when(F.col("doc_id") % 9 == 0, broken).otherwise(whole)
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(""), line)).otherwise(F.array(line))).alias("k", "value"))
     path = scratch_path(spark, "lines")
-    lines.orderBy("doc_id", "k").coalesce(1).select("value").write.text(path)
-    return readers.bad_lines(spark, path).select("line", "value")
+    lines.orderBy("doc_id", "k").select("value").write.text(path)
+    return readers.bad_lines(spark, path, parts=True).select("line", "value")
 
 
 @query("read_stage_records_tolerant", "SELECT CASE WHEN doc_id % 9 = 0 THEN 'corrupt' ELSE 'kept' END AS lines, count(*) AS n FROM documents GROUP BY 1")
@@ -216,11 +216,12 @@ def step_sample_files(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------------
 
 
-def _stream(spark, df, name, files=4):
-    """Write rows as files and read them as a stream, one file per batch."""
+def _stream(spark, df, name, batches=4):
+    """Write rows as files and read them as a stream in so many batches, each of a file for every core."""
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = spark.sparkContext.defaultParallelism
+    df.repartition(batches * files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(
@@ -281,12 +282,12 @@ def graph_countdown(spark, sf_dir):
     """The records whose facts are all done, told once each by a stream over graphs and attempts in files of any order."""
     live.keep_state_in_rocksdb(spark)
     facts = F.transform("facts", lambda f: F.struct(f["fact_id"].alias("fact_id"), f["parent_fact_ids"].alias("parent_fact_ids")))
-    graphs = _stream(spark, graph_records(spark, sf_dir).select("record_id", facts.alias("facts")), "graphs", files=2)
+    graphs = _stream(spark, graph_records(spark, sf_dir).select("record_id", facts.alias("facts")), "graphs", batches=2)
     # what a runner would have written: nothing after the attempt that passed, else the outcome would hang on the order of the files
     whole = fact_log(spark, sf_dir)
     won = whole.where(PASSED).groupBy("record_id", "fact_id", "stage").agg(F.min("attempt").alias("won"))
     made = whole.join(won, ["record_id", "fact_id", "stage"], "left").where("won IS NULL OR attempt <= won").drop("won")
-    log = _stream(spark, made, "fact-log", files=2)
+    log = _stream(spark, made, "fact-log", batches=2)
     out, mark = scratch_path(spark, "countdown"), scratch_path(spark, "countdown-mark")
     live.run_available(live.stream_countdown(live.countdown_events(graphs, log)), out, mark)
     return spark.read.schema("record_id string, facts int").parquet(out)

@@ -309,3 +309,26 @@ def test_traces_of_a_table_in_parts(spark, tmp_path):
     assert [(r.source_file, r.source_row_pos) for r in some.collect()] == [("many.parquet", k) for k in range(7)]
     alone = readers.read_traces(spark, str(tmp_path), "single.*", limit=2)
     assert [(r.source_file, r.source_row_pos) for r in alone.collect()] == [("single.parquet", 0), ("single.parquet", 1)]
+
+
+def test_bad_lines_count_on_over_the_parts_of_one_text(spark, tmp_path):
+    path = str(tmp_path / "text")
+    value = F.when(F.col("id") % 7 == 0, F.lit("")).when(F.col("id") % 11 == 0, F.lit('{"meta": ')).otherwise(F.lit('{"meta": {"record_id": "r"}}'))
+    spark.range(500).repartitionByRange(6, "id").sortWithinPartitions("id").select(value.alias("value")).write.text(path)
+    got = readers.bad_lines(spark, path, parts=True)
+    assert got.select("source_file").distinct().count() > 1
+    assert sorted(r.line for r in got.collect()) == [k + 1 for k in range(500) if k % 11 == 0 and k % 7]
+
+
+def test_lines_and_streams_are_written_in_many_files(spark):
+    """No query puts its lines in one file, or a batch of its stream in one."""
+    import inspect
+
+    from catalog import tables
+
+    assert "coalesce" not in inspect.getsource(tables.bad_lines)
+    log = tables._stream(spark, spark.range(1000), "many-files")
+    live.run_available(log, out := scratch_path(spark, "out"), scratch_path(spark, "mark"))
+    assert spark.read.schema("id long").parquet(out).count() == 1000
+    files = spark.read.schema("id long").parquet(out).inputFiles()
+    assert len(files) >= 4

@@ -70,18 +70,20 @@ def read_stage_records(spark: SparkSession, path: str, schema: str = STAGE_RECOR
 NAMED_LINES = 5  # places that an error message gives
 
 
-def bad_lines(spark: SparkSession, path: str, schema: str = STAGE_RECORD) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str, schema: str = STAGE_RECORD, parts: bool = False) -> DataFrame:
     """(source_file, line, value) of the lines that are no record of the schema; lines count from 1, blank ones too.
 
     Files may be cut over tasks anywhere: each task numbers the lines of its parts of files in order, the lines of each part are counted,
-    and a part's first line is what the parts before it hold. One row a part goes through these sums, never a file.
+    and a part's first line is what the parts before it hold. One row a part goes through these sums, never a file. With ``parts`` the
+    files are parts of one text, as Spark writes it, and lines count on over them in the order of their names.
     """
     part = ["source_file", "_start"]
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")
     )
     counts = lines.groupBy(*part).agg(F.count("*").alias("_lines"), F.min("_id").alias("_first"))
-    before = Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.length("source_file"), "source_file", "_start") if parts else Window.partitionBy("source_file").orderBy("_start")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
     read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bad = lines.where(~is_blank(F.col("value"))).withColumn("_read", read).where("_read IS NULL OR _read._bad IS NOT NULL")
