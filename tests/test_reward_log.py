@@ -240,3 +240,11 @@ def test_countdown_asks_its_state_once_a_record():
     told = [t for part in ([ends("prover")], [pd.DataFrame({"needed": [ids], "fact_id": None, "stage": None, "verdict": None})], [ends("formalizer")]) for t in machine.handleInputRows(("r",), iter(part), None)]
     assert len(told) == 1 and told[0].to_dict("records") == [{"record_id": "r", "facts": 500}]
     assert calls == ["get", "update"] * 3
+
+
+def test_answers_are_read_once_for_their_traces(spark):
+    """The graphs meet the outcomes of their log in one join, so no second reading of the answers stands in the plan."""
+    from catalog.attempts import candidate_rewards_from_log
+
+    plan = candidate_rewards_from_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_document#") > 0 and plan.count("inline(array(struct(_document,") == 1

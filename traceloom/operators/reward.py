@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.json_text import extract_json_block, read_answer, searched_text
-from traceloom.functions.rows import settle
+from traceloom.functions.rows import bind, settle
 from traceloom.functions.text import quoted_repr, strip
 from traceloom.operators.attempts import YES, attempt_kind
 from traceloom.operators.graph import obligation, schema_issues, typed_facts, validate_graphs, with_cells
@@ -136,26 +136,25 @@ def stage_outcomes(log: DataFrame, stage: str, retries: int, key: str = "record_
 def trace_facts(graphs: DataFrame, formalizer: DataFrame, prover: DataFrame, key: str = "record_id") -> DataFrame:
     """Put the outcomes of both stages into the facts of their graphs, with each fact's obligation.
 
-    Facts without parents need no work and get no outcome; a fact is proved only after it is formalized. What meets the outcomes is
-    narrow rows of key, place and fact id; ``key`` must tell graphs apart. Outcomes of unknown facts go nowhere.
+    Facts without parents need no work and get no outcome; a fact is proved only after it is formalized. The outcomes are gathered by
+    ``key``, which must tell graphs apart, and meet the graphs once, so these are worked out and moved once. Outcomes of unknown facts go
+    nowhere.
     """
-    places = graphs.select(key, F.posexplode(F.transform("facts", lambda f: f["fact_id"])).alias("_pos", "fact_id"))
-    found = places.join(formalizer, [key, "fact_id"], "left").join(prover, [key, "fact_id"], "left")
     proved = F.when(YES(F.col("formalizer.success")), F.col("prover"))
-    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "formalizer", proved.alias("prover")))).alias("_found"))
+    entry = F.struct("fact_id", F.struct("formalizer", proved.alias("prover")))
+    both = formalizer.join(prover, [key, "fact_id"], "full").where(F.col("fact_id").isNotNull() & F.col(key).isNotNull())
+    listed = both.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
     needs = lambda f: F.size(f["parent_fact_ids"]) > 0
-    put = F.zip_with(
-        F.zip_with("facts", F.coalesce("_found", F.array()), lambda f, o: F.struct(f.alias("f"), o.alias("o"))),
-        F.transform("_f", lambda cell: obligation(cell)),
-        lambda p, statement: F.struct(
-            p["f"]["fact_id"].alias("fact_id"), p["f"]["text"].alias("text"), p["f"]["parent_fact_ids"].alias("parent_fact_ids"),
-            p["f"]["is_final_answer"].alias("is_final_answer"), p["f"]["origin"].alias("origin"), p["f"]["skip"].alias("skip"),
-            F.when(needs(p["f"]), statement).alias("proof_obligation"),
-            F.when(needs(p["f"]), p["o"]["formalizer"]).alias("formalizer"), F.when(needs(p["f"]), p["o"]["prover"]).alias("prover"),
+    traced = lambda f, statement: bind(
+        F.when(needs(f), F.try_element_at(F.col("_found"), f["fact_id"])),
+        lambda o: F.struct(
+            f["fact_id"].alias("fact_id"), f["text"].alias("text"), f["parent_fact_ids"].alias("parent_fact_ids"),
+            f["is_final_answer"].alias("is_final_answer"), f["origin"].alias("origin"), f["skip"].alias("skip"),
+            F.when(needs(f), statement).alias("proof_obligation"), o["formalizer"].alias("formalizer"), o["prover"].alias("prover"),
         ),
     )
-    joined = with_cells(graphs.join(listed, key, "left"))
-    return settle(joined, facts=put).drop("_f", "_ids", "_back", "_found")
+    joined = settle(with_cells(graphs.join(listed, key, "left")), _told=F.transform("_f", lambda cell: obligation(cell)))
+    return settle(joined, facts=F.zip_with("facts", "_told", traced)).drop("_f", "_ids", "_back", "_found", "_told")
 
 
 def fact_done(fact: Column, include_prover: bool = True) -> Column:
