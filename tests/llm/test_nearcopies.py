@@ -94,3 +94,18 @@ def test_segments_reach_every_pair_at_the_bound():
             keys = nearcopies.segment_keys([a, b])
             missed += not (keys[0] == keys[1]).any()
     assert missed == 0
+
+
+def test_fingerprints_make_candidates(spark, monkeypatch):
+    """The stage's SimHash on its own: fingerprints equal a count bit by bit, and without any table of minima close ones are linked."""
+    rng = random.Random(6)
+    words = [f"s{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = {1: " ".join(words), 2: " ".join([*words, "end"]), 3: " ".join(words[:2000]), 4: "other words here", 5: ""}
+    sets = nearcopies.shingle_sets(list(texts.values()))
+    want = [sum((sum(int(h) >> b & 1 for h in s) * 2 > len(s)) << b for b in range(64)) for s in sets]
+    got = [int(f) % (1 << 64) for f in nearcopies.fingerprints_of(sets)]
+    assert got == want
+    assert bin(got[0] ^ got[1]).count("1") <= 2
+    monkeypatch.setattr(nearcopies, "ties", lambda sketched: sketched.limit(0).selectExpr("fp AS a", "fp AS b"))
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    assert {r.doc_id: r.component_id for r in nearcopies.group_documents(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}

@@ -1,6 +1,8 @@
-"""Near copies by Jaccard similarity: documents whose sets of five-word shingles are alike to 0.8 or more, and what these links reach.
+"""Near copies by SimHash, checked by Jaccard similarity: documents whose sets of five-word shingles are alike to 0.8 or more, and what
+these links reach.
 
-Candidates come from tables by segment: of a set's ``BANDS * ROWS`` minima under fixed mixings, each segment of ``ROWS`` is a table
+Each set has a 64-bit SimHash fingerprint, and fingerprints at most two bits apart (``simhash.links``) make candidates. Sets alike to 0.8
+may lie much further apart, so tables by segment of minima find the rest: of a set's ``BANDS * ROWS`` minima under fixed mixings, each segment of ``ROWS`` is a table
 key. Two sets of similarity s share none of the keys with probability (1 - s**4)**32, which is 5e-8 at 0.8 and less above. Keys are
 aggregated before they move, each candidate is tied to the smallest one of its key only, so a large group makes as many rows as it
 has members, and the components of these ties are what can be near copies at all.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from traceloom.llm.batches import slices, texts
 from traceloom.llm.components import components
 from traceloom.llm.joins import small_side
+from traceloom.llm import simhash
 from traceloom.llm.simhash import keep_first, label_rows, row_keys
 from traceloom.llm.words import finish, hashes_of
 from traceloom.session import cut_lineage
@@ -85,17 +88,30 @@ def segment_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprint of each set as a signed long: per bit, whether over half of its shingles' hashes set it."""
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    half = np.array([len(s) for s in sets]) / 2
+    flat = np.concatenate(sets).astype("<u8").view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(sets), 8), np.uint8)
+    for k in range(8):  # a byte of the hashes at a time, so that the bits of all are never held together
+        bits = np.unpackbits(flat[:, k : k + 1], axis=1, bitorder="little")
+        out[:, k] = np.packbits(np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > half[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view("<i8")[:, 0]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, fp, size, keys) of every row: hashes of its text, the key of its set, the set's size and its table keys."""
+    """(doc_id, h1, h2, fp, size, keys, print) of every row: hashes of its text, the key of its set, the set's size, its table keys and its
+    fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(texts(batch, "text"))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(segment_keys(sets).ravel()))
-            columns = [*(batch.column(k) for k in ("own_id", "own1", "own2")), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "fp", "size", "keys"])
+            columns = [*(batch.column(k) for k in ("own_id", "own1", "own2")), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array(fingerprints_of(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "fp", "size", "keys", "print"])
 
-    return docs.select(F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>")
+    return docs.select(F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>, print long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -117,6 +133,17 @@ def ties(sketched: DataFrame) -> DataFrame:
     return entries.join(met, F.col("key") == F.col("of")).where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def fingerprint_ties(sketched: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets that connect all whose fingerprints are equal or at most two bits apart."""
+    prints = cut_lineage(sketched.groupBy("print").agg(F.min("fp").alias("low"), F.max("fp").alias("high")))
+    own = sketched.join(small_side(prints.where("low < high").select(F.col("print").alias("of"), "low")), F.col("print") == F.col("of"))
+    equal = own.where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    low = lambda name, end: prints.select(F.col("print").alias(f"_{end}"), F.col("low").alias(name))
+    near = simhash.links(prints.select(F.col("print").alias("fp"))).withColumnsRenamed({"a": "_x", "b": "_y"})
+    met = near.join(low("a", "x"), "_x").join(low("b", "y"), "_y").where("a <> b").select("a", "b")
+    return equal.unionAll(met)
+
+
 def links_within(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
     """Edges that connect exactly the sets that links of 0.8 or more connect, one for each set reached from another."""
     fps, sets = list(members), list(members.values())
@@ -147,7 +174,7 @@ def links_within(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
 
 def links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """Edges (a, b) of keys of sets that connect those alike to 0.8 or more."""
-    labels = cut_lineage(components(ties(sketched)))
+    labels = cut_lineage(components(fingerprint_ties(sketched).unionAll(ties(sketched))))
     met = small_side(labels)
     sized = sketched.join(met, sketched.fp == met.node).groupBy("label", "fp").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
     nodes = cut_lineage(sized)
