@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.batches import slices, texts
+from traceloom.llm.batches import give_back, slices, texts
 from traceloom.llm.components import components
 from traceloom.llm.joins import small_side
 from traceloom.llm import simhash
@@ -110,6 +110,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(segment_keys(sets).ravel()))
             columns = [*(batch.column(k) for k in ("own_id", "own1", "own2")), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array(fingerprints_of(sets))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "fp", "size", "keys", "print"])
+        sets = keys = columns = None
+        give_back()  # the worker goes on to later stages
 
     return docs.select(F.col("text").cast("string").alias("text"), *row_keys()).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, size long, keys array<long>, print long")
 
