@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,3 +105,59 @@ def test_many_words_rank_pairs_first(monkeypatch):
     one = hattrie.packed_run(names, columns, np.array([1, 2, 3]))
     got, merged, times = hattrie.merged_runs([one, one])
     assert got.equals(names) and [c.tolist() for c in merged] == [c.tolist() for c in columns] and times.tolist() == [2, 4, 6]
+
+
+def seconds(work):
+    """CPU seconds of the faster of two calls."""
+    took = []
+    for _ in range(2):
+        began = time.process_time()
+        work()
+        took.append(time.process_time() - began)
+    return min(took)
+
+
+def test_merge_takes_no_longer_for_more_runs():
+    """The same 200,000 words and sequences come in 8 runs or in 400, as more tasks and spills make more runs of a slot."""
+
+    def dealt(n):
+        runs = []
+        for k in range(n):
+            names = pa.array([b"%07d x" % w for w in range(k, 200_000, n)], pa.binary())
+            ranks = np.arange(1, len(names) + 1)
+            runs.append(hattrie.packed_run(names, [ranks, 0 * ranks, 0 * ranks], ranks))
+        return runs
+
+    few, many = dealt(8), dealt(400)
+    want, got = hattrie.merged_runs(few), hattrie.merged_runs(many)
+    assert got[0].equals(want[0]) and all((a == b).all() for a, b in zip(got[1], want[1], strict=True))
+    assert seconds(lambda: hattrie.merged_runs(many)) < 4 * seconds(lambda: hattrie.merged_runs(few)) + 0.5
+
+
+def test_spill_follows_its_runs_and_not_all_words():
+    """2,000 sequences leave in as many runs, by a task that knows no other words or half a million, as it does for most of its text."""
+    few = [w for k in range(4000) for w in (b"w%d" % k, b"\n")]
+
+    def spill_after(others):
+        trie = hattrie.HatTrie(2000)
+        known = trie.words[b"x"] = hattrie.LocalWords(trie.names, b"x")
+        assert [known[b"%d" % k] for k in range(others)] == list(range(1, others + 1))
+        trie.spill(0)
+        runs = trie.count(b"x", few, 0)
+        began = time.process_time()
+        runs += trie.spill(0)
+        took = time.process_time() - began
+        assert sum(hattrie.unpacked_run(r)[2].sum() for _, r in runs) == 4000
+        return took
+
+    assert min(spill_after(500_000) for _ in range(2)) < 2 * min(spill_after(0) for _ in range(2)) + 1.5
+
+
+def test_piece_ends_and_words_of_one_letter():
+    """Cut at ends beside one another, at the text's edges and where a segment is carried on."""
+    trie = hattrie.HatTrie(1)
+    part = b"\n\n a  b\nb c\n".replace(b"\n", b" . ").split()
+    names, columns, times = hattrie.merged_runs([r for _, r in [*trie.count(b"x", part, 0), *trie.spill(0)]])
+    got = {tuple(names[r - 1].as_py() for r in row if r): n for *row, n in zip(*(c.tolist() for c in columns), times.tolist(), strict=True)}
+    a, b, c = b"a x", b"b x", b"c x"
+    assert got == {(a,): 1, (b,): 2, (c,): 1, (a, b): 1, (b, c): 1}

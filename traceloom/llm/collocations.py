@@ -63,7 +63,7 @@ def counted_runs(docs: DataFrame, slots: int) -> DataFrame:
             for lang, found in by_lang.items():
                 carried = []
                 for part in segments(b"\n".join(found).translate(LETTERS)):
-                    words = [*carried, *(w for w in part.replace(b"\n", b" \n ").split(b" ") if w)]
+                    words = [*carried, *part.replace(b"\n", b" . ").split()]
                     if left := trie.count(lang, words, len(carried)):
                         yield batch_of(left)
                     carried = words[-(WORDS - 1) :]

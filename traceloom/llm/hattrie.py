@@ -26,6 +26,7 @@ FANOUT_BITS = 4
 SPREAD = 16  # slots a prefix can reach
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 LOW = np.int64(MOST_WORDS)
+ENDS = (b"\n", b".")  # as words, they end a piece
 
 
 class Node:
@@ -69,7 +70,7 @@ class LocalWords(dict):
 
     def __init__(self, names: list[bytes], label: bytes):
         self.names, self.label = names, label
-        self[b"\n"] = 0
+        self.update(dict.fromkeys(ENDS, 0))
 
     def __missing__(self, word: bytes) -> int:
         self.names.append(word + b" " + self.label)
@@ -87,13 +88,14 @@ class HatTrie:
     def clear(self) -> None:
         self.names: list[bytes] = [b""]  # id 0 stands for no word
         self.hashes = np.zeros(1, np.uint64)
+        self.order: list[int] = []  # ids by their names' bytes, as of the last spill
         self.words: dict[bytes, LocalWords] = {}
         self.roots: list = [Counter() for _ in range(self.slots)]
 
     def count(self, label: bytes, words: list[bytes], before: int) -> list[tuple[int, bytes]]:
         """Count the sequences that end in ``words`` after the first ``before``; gives the runs that had to leave.
 
-        A word ``\\n`` ends a piece: no sequence holds it.
+        A word of ``ENDS`` ends a piece: no sequence holds it.
         """
         out = []
         if len(self.names) + len(words) > MOST_WORDS:
@@ -102,7 +104,7 @@ class HatTrie:
         if label not in self.words:
             self.words[label] = LocalWords(self.names, label)
         known = self.words[label]
-        ids = np.array([known[w] for w in words], np.int64)
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         keys = []
         for size in range(1, WORDS + 1):
             n = len(ids) - size + 1
@@ -145,37 +147,36 @@ class HatTrie:
         held, out = sum(sizes), []
         if held <= most:
             return out
-        order = sorted(range(1, len(self.names)), key=self.names.__getitem__)
-        names = pa.array([self.names[k] for k in order], pa.binary())
-        rank = np.zeros(len(self.names), np.int64)
-        rank[order] = np.arange(1, len(self.names))
+        self.order += range(len(self.order) + 1, len(self.names))
+        self.order.sort(key=self.names.__getitem__)  # the sort goes on from what is in order already
+        names = pa.array([self.names[k] for k in self.order], pa.binary())
+        rank, place = np.zeros(len(self.names), np.int64), np.zeros(len(self.names), np.int64)
+        rank[self.order] = np.arange(1, len(self.names))
         for at in sorted(range(self.slots), key=lambda k: -sizes[k]):
             if held <= most // 2 or not sizes[at]:
                 break
-            out.append((at, run_of(self.roots[at], names, rank)))
+            out.append((at, run_of(self.roots[at], names, rank, place)))
             self.roots[at] = Counter()
             held -= sizes[at]
         return out
 
 
-def run_of(root, names: pa.BinaryArray, rank: np.ndarray) -> bytes:
-    """A subtree as a sorted run; ``names`` are all words in byte order, ``rank`` the place there of each id."""
+def run_of(root, names: pa.BinaryArray, rank: np.ndarray, place: np.ndarray) -> bytes:
+    """A subtree as a sorted run; ``names`` are all words in byte order, ``rank`` the place there of each id. What it takes follows the
+    run and not all words: ``place`` is room to number the run's own in, of which only these are touched."""
     found = containers(root)
     keys = np.concatenate([np.fromiter(c, np.int64, len(c)) for c in found])
     times = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in found])
     key = np.zeros(len(keys), np.int64)
-    for place in range(WORDS):
-        shift = BITS * (WORDS - 1 - place)
+    for shift in range(BITS * (WORDS - 1), -1, -BITS):
         key |= rank[keys >> shift & LOW] << shift
     by = np.argsort(key)
     key = key[by]
-    columns = [key >> BITS * (WORDS - 1 - place) & LOW for place in range(WORDS)]
-    used = np.zeros(len(names) + 1, bool)
-    for c in columns:
-        used[c] = True
-    used[0] = False
-    own = np.cumsum(used) * used
-    return packed_run(names.filter(pa.array(used[1:])), [own[c] for c in columns], times[by])
+    columns = [key >> shift & LOW for shift in range(BITS * (WORDS - 1), -1, -BITS)]
+    used = np.sort(np.concatenate([[0], *columns]))
+    used = used[1:][used[1:] > used[:-1]]  # without 0, no word
+    place[used] = np.arange(1, len(used) + 1)
+    return packed_run(names.take(pa.array(used - 1)), [place[c] for c in columns], times[by])
 
 
 def packed_run(names: pa.BinaryArray, columns: list[np.ndarray], times: np.ndarray) -> bytes:
@@ -209,7 +210,7 @@ def unpacked_run(blob: bytes) -> tuple[pa.BinaryArray, list[np.ndarray], np.ndar
 def merged_runs(blobs: list[bytes]) -> tuple[pa.BinaryArray, list[np.ndarray], np.ndarray]:
     """The runs of one slot as one: sorted runs over a common ranking of words, merged, equal sequences added up."""
     runs = [unpacked_run(b) for b in blobs]
-    numbered = pa.chunked_array([r[0] for r in runs]).dictionary_encode().unify_dictionaries()
+    numbered = pa.chunked_array([r[0] for r in runs]).dictionary_encode()  # the chunks share one dictionary
     names = numbered.chunk(0).dictionary
     order = pc.array_sort_indices(names)
     names = names.take(order)
